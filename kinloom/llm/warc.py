@@ -110,19 +110,10 @@ def write_archive(pages: DataFrame, path: str, options: ArchiveOptions = Archive
     gone = headers.filter("NOT holds_payload").select("page_id", "payload_sha256")
     same = held["page_id"].eqNullSafe(gone["page_id"]) & (held["payload_sha256"] == gone["payload_sha256"])
     first = held.join(gone, same, "left_anti")
-    few = headers.filter("holds_payload").groupBy("payload_sha256").count().filter("count > 1").select("payload_sha256")
-    once = first.join(F.broadcast(few), "payload_sha256", "left_anti") if _few(few) else None
-    if once is None:
-        out = first.dropDuplicates(["payload_sha256"])
-    else:
-        twice = first.join(F.broadcast(few), "payload_sha256", "left_semi").dropDuplicates(["payload_sha256"])
-        out = once.unionByName(twice)
-    out.select("payload_sha256", "payload").write.parquet(f"{path}/payloads")
-
-
-def _few(digests: DataFrame, most: int = 10_000) -> bool:
-    """Whether the digests written by several response records are few enough to be sent to every task."""
-    return len(digests.limit(most + 1).take(most + 1)) <= most
+    digests = headers.filter("holds_payload").groupBy("payload_sha256").count()
+    if digests.filter("count > 1").limit(1).count():  # rows repeated with the smallest page_id
+        first = first.dropDuplicates(["payload_sha256"])
+    first.select("payload_sha256", "payload").write.parquet(f"{path}/payloads")
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
