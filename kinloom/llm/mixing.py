@@ -25,7 +25,7 @@ from kinloom.llm.common import word_count, words, written
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 BLOCK_TOKENS = 2048
-PART_ROWS = 20_000
+PART_ROWS = 4096
 SHARE = 1.5
 MOST_PASSES = 2
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import mixing, sharding, warc
+from kinloom.llm import langid, mixing, ngram_join, sharding, warc
 from kinloom.llm.common import load, new_path
 
 
@@ -28,6 +28,21 @@ def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the rows that are not held out."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    models = langid.learn(docs.filter(~langid.held_out()))
+    return langid.identify(docs.select("doc_id", "text"), models).select(
+        "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected"
+    )
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles overlap by 85 %."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.near_classes(docs, ngram_join.Options(width=4, similar=85))
+
+
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, read the archive back, and report each record."""
     path = new_path(spark, "warc")
@@ -38,6 +53,8 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_minimax_sharding": op2_minimax_sharding,
+    "op3_language_id": op3_language_id,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op10_warc_archive": op10_warc_archive,
 }
 
