@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import langid, mixing, ngram_join, sharding, warc
+from kinloom.llm import langid, mixing, ngram_join, sharding, substring_dedup, warc
 from kinloom.llm.common import load, new_path
 
 
@@ -43,6 +43,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(docs, ngram_join.Options(width=4, similar=85))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stay when 50-word passages of earlier documents go."""
+    return substring_dedup.dedup_words(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, read the archive back, and report each record."""
     path = new_path(spark, "warc")
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_language_id": op3_language_id,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_warc_archive": op10_warc_archive,
 }
 
