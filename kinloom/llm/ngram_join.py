@@ -136,7 +136,11 @@ def shared_lists(signed: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
     ``rest`` bounds how many shingles the class can share with another, if this list is the first that both are in:
     those behind its prefix, and its shared lists from this one on.
     """
-    own = signed.join(reps.select(F.col("rep").alias("doc_id"), "class"), ["doc_id", "class"])
+    ids = signed.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "class")
+    copies = ids.join(reps, "class").filter("doc_id <> rep").select("doc_id", "class")
+    copies = written(copies.distinct(), "ngram-copies")
+    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    own = signed.filter("n > 0 AND doc_id IS NOT NULL").join(F.broadcast(copies) if few else copies, ["doc_id", "class"], "left_anti")
     lists = own.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "token"))
     by_token, by_rep = Window.partitionBy("token"), Window.partitionBy("rep")
     several = F.min("rep").over(by_token) < F.max("rep").over(by_token)
@@ -277,12 +281,13 @@ def near_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
         return written(df, "ngram-edges")
 
     stars = write(star_pairs(lists, o))
-    first = write(connected_components(verified(stars, sets, o), write))
+    first = write(connected_components(write(verified(stars, sets, o)), write))
     cross = write(cross_pairs(lists, first, o).join(stars, ["a", "b"], "left_anti"))
     more = verified(cross, sets, o).select("u", "v")
     u, v = first.select(F.col("node").alias("u"), F.col("component").alias("cu")), first.select(F.col("node").alias("v"), F.col("component").alias("cv"))
     joined = more.join(u, "u", "left").join(v, "v", "left")
-    top = connected_components(joined.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")), write)
+    joined = write(joined.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+    top = connected_components(joined, write)
     top = top.withColumnsRenamed({"node": "c1", "component": "c2"})
     placed = (
         reps.join(first.withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left")
