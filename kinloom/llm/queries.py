@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import langid, mixing, ngram_join, sharding, substring_dedup, warc
+from kinloom.llm import decontamination, langid, mixing, ngram_join, sharding, substring_dedup, warc
 from kinloom.llm.common import load, new_path
 
 
@@ -37,6 +37,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of benchmark items, and the most similar window for each item."""
+    found = decontamination.leaks(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", F.round("similarity", 6).alias("similarity"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles overlap by 85 %."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_minimax_sharding": op2_minimax_sharding,
     "op3_language_id": op3_language_id,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc_archive": op10_warc_archive,
