@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import decontamination, langid, mixing, ngram_join, pii, sharding, substring_dedup, warc
+from kinloom.llm import decontamination, embedding_join, langid, mixing, ngram_join, pii, sharding, substring_dedup, warc
 from kinloom.llm.common import load, new_path
 
 
@@ -49,6 +49,11 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(docs, ngram_join.Options(width=4, similar=85))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
+    return embedding_join.near_vectors(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for their personal numbers, dates and addresses. The key is a placeholder."""
     return pii.pseudonymised(load(spark, sf_dir, "documents").select("doc_id", "text"), key="example key")
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc_archive": op10_warc_archive,
