@@ -214,6 +214,7 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], thresholds: np.
 
 def set_table(docs: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
     """rep, n, shingles (sorted, packed) of the classes in ``reps``, from one text of each."""
+    reps = written(reps, "ngram-ids")
     few = reps.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     ids = reps.select(F.col("rep").alias("doc_id"))
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
@@ -233,12 +234,8 @@ def verified(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
     """The pairs (a, b) that are links. ``a`` is the query; its candidates meet in groups of QUERY_GROUP or so."""
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / QUERY_GROUP).alias("groups"))
     dealt = pairs.join(fan, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("groups").cast("int")))
-    queries = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("rep", "a"), "a")
-    found = dealt.select("a", "salt", "b").join(sets.withColumnRenamed("rep", "b"), "b")
-    kind = pairs.schema["a"].dataType.simpleString()
-    rows = queries.select("a", "salt", F.lit(None).cast(kind).alias("b"), "n", "shingles").unionByName(
-        found.select("a", "salt", "b", "n", "shingles")
-    )
+    own = dealt.select("a", "salt", F.lit(None).cast("bigint").alias("b"), F.col("a").alias("rep")).distinct()
+    rows = own.unionByName(dealt.select("a", "salt", "b", F.col("b").alias("rep"))).join(sets.select("rep", "shingles"), "rep")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +262,10 @@ def verified(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
     return rows.select("a", "salt", "b", "shingles").mapInArrow(check, "u bigint, v bigint")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+
 def near_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
     """Per row of ``docs`` (doc_id bigint, text): doc_id, n_shingles, component_id.
 
@@ -275,15 +276,16 @@ def near_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
     classes = signed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"))
     reps = written(classes, "ngram-classes")
     lists = written(shared_lists(signed, reps.filter("rep IS NOT NULL"), o), "ngram-shared")
-    sets = written(set_table(docs, lists.select("rep").distinct(), o), "ngram-sets")
 
     def write(df: DataFrame) -> DataFrame:
         return written(df, "ngram-edges")
 
     stars = write(star_pairs(lists, o))
+    sets = written(set_table(docs, ends(stars), o), "ngram-sets")
     first = write(connected_components(write(verified(stars, sets, o)), write))
     cross = write(cross_pairs(lists, first, o).join(stars, ["a", "b"], "left_anti"))
-    more = verified(cross, sets, o).select("u", "v")
+    others = ends(cross).join(sets.select("rep"), "rep", "left_anti")
+    more = verified(cross, sets.unionByName(written(set_table(docs, others, o), "ngram-sets")), o)
     u, v = first.select(F.col("node").alias("u"), F.col("component").alias("cu")), first.select(F.col("node").alias("v"), F.col("component").alias("cv"))
     joined = more.join(u, "u", "left").join(v, "v", "left")
     joined = write(joined.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
