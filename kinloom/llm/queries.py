@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import decontamination, embedding_join, langid, mixing, ngram_join, pii, sharding, substring_dedup, warc
+from kinloom.llm import decontamination, embedding_join, langid, mixing, ngram_join, pii, secret_scan, sharding, substring_dedup, warc
 from kinloom.llm.common import load, new_path
 
 
@@ -49,6 +49,12 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(docs, ngram_join.Options(width=4, similar=85))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: pattern spans and those that the random field adds."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.learn(docs)))
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at cosine 0.9."""
     return embedding_join.near_vectors(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_secret_scan": op6_secret_scan,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_substring_dedup": op9_substring_dedup,
