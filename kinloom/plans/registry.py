@@ -1,36 +1,334 @@
-"""Registered queries over the relational and text tables, each with its SQL equivalent where SQL can express it."""
+"""Registered queries: each operator on the relational and text tables, with its SQL equivalent.
+
+The tables hold no wikitext and no families, so each query says what stands for people, edges, pages and evidence.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinloom.operators.fusion import fuse_evidence
+from kinloom.functions import text
+from kinloom.operators import consistency, coverage, fusion, identity, incremental, inference, traverse
+from kinloom.operators.graph import connected_components
+from kinloom.plans.storage import written
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@registered("""
+SELECT l_suppkey AS a, l_partkey AS b, count(*) AS n_evidence, count(DISTINCT l_orderkey) AS n_pages,
+       round(least(1 - product(1 - greatest(least(0.4 + l_discount * 5, 0.95), 0.05)), 0.98), 6) AS confidence,
+       count(DISTINCT l_orderkey) >= 2 AS corroborated
+FROM lineitem GROUP BY l_suppkey, l_partkey""")
 def evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier and part are the ends of an edge, the order is the page that gives evidence for it."""
     rows = load(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("a"),
-        F.col("l_partkey").alias("b"),
-        F.col("l_orderkey").alias("page"),
+        F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_orderkey").alias("page"),
         (F.lit(0.4) + F.col("l_discount") * 5).alias("confidence"),
     )
-    return fuse_evidence(rows, ["a", "b"], page="page", confidence="confidence")
+    return fusion.fuse_evidence(rows, ["a", "b"], page="page", confidence="confidence")
+
+
+@registered("""
+SELECT l_suppkey AS a, l_partkey AS b, l_returnflag AS page, max(l_discount) AS confidence,
+       arg_min(l_linenumber, l_orderkey * 16 + l_linenumber) AS line, min(l_orderkey) AS ord
+FROM lineitem GROUP BY ALL""")
+def evidence_dedupe_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one return flag are one piece of evidence of an edge."""
+    rows = load(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.col("l_returnflag").alias("page"),
+        F.col("l_discount").alias("confidence"), F.col("l_orderkey").alias("ord"), F.col("l_linenumber").alias("line"),
+    )
+    return fusion.dedupe_evidence(rows, ["a", "b", "page"], "confidence", ["ord", "line"], ["line", "ord"])
+
+
+@registered("""
+SELECT user_id, count(*) FILTER (event_type IN ('view', 'click')) AS votes_m, count(*) FILTER (event_type = 'error') AS votes_f,
+       CASE WHEN count(*) FILTER (event_type IN ('view', 'click', 'error')) > 0 THEN
+            CASE WHEN count(*) FILTER (event_type IN ('view', 'click')) >= count(*) FILTER (event_type = 'error') THEN 'm' ELSE 'f' END END AS winner
+FROM events GROUP BY user_id""")
+def vote_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events vote on their user."""
+    e = load(spark, sf_dir, "events").select("user_id", "event_type")
+    return fusion.majority_vote(e, "user_id", F.col("event_type").isin("view", "click"), F.col("event_type") == "error")
+
+
+@registered("""
+SELECT word, count(*) AS documents FROM (
+  SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM documents)
+GROUP BY word HAVING count(*) >= 8""")
+def doc_frequency_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that eight documents have at least."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))
+    words = d.select(F.explode(F.array_distinct(found)).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("documents")).filter("documents >= 8")
+
+
+@registered("""
+SELECT alias, min(title) AS title, max(kind) AS kind FROM (
+  SELECT p_name || ' ' || p_size AS alias, p_partkey AS title, 'name' AS kind FROM part
+  UNION ALL SELECT p_brand || ' ' || p_type || ' ' || p_size, p_partkey, 'nick' FROM part)
+WHERE length(alias) >= 3 GROUP BY alias HAVING count(DISTINCT title) = 1""")
+def unique_alias_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are titles; name and size, and brand, type and size, are aliases for them."""
+    p = load(spark, sf_dir, "part")
+    one = p.select(F.concat_ws(" ", "p_name", "p_size").alias("alias"), F.col("p_partkey").alias("title"), F.lit("name").alias("kind"))
+    two = p.select(F.concat_ws(" ", "p_brand", "p_type", "p_size").alias("alias"), F.col("p_partkey").alias("title"), F.lit("nick").alias("kind"))
+    return identity.unique_alias_index(one.unionByName(two))
+
+
+@registered("""SELECT page_id, target, count(*) AS n FROM (
+  SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) GROUP BY ALL""")
+def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each page with their number."""
+    p = load(spark, sf_dir, "pages").select("page_id", F.explode(text.hrefs(F.col("html"))).alias("target"))
+    return p.groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(r"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS plain FROM pages""")
+def strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable text of each page."""
+    return load(spark, sf_dir, "pages").select("page_id", text.strip_markup(F.col("html")).alias("plain"))
+
+
+@registered(r"""
+SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM (
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s
+  FROM documents)""")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of each document with their position."""
+    d = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences_plain(F.col("text"))).alias("pos", "sentence"))
+    return d.select("doc_id", "sentence", F.col("pos").cast("long").alias("pos"))
+
+
+@registered(r"""
+SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)licen[cs]ed? under') THEN 'licence' WHEN regexp_matches(text, '[0-9]{16}|@') THEN 'personal'
+  WHEN regexp_matches(text, '[|]') THEN 'table' WHEN length(text) < 80 THEN 'stub' ELSE 'prose' END AS kind FROM documents""")
+def page_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ladder of tests: the first that holds names the kind."""
+    t = F.col("text")
+    kind = (F.when(t.rlike("(?i)licen[cs]ed? under"), "licence").when(t.rlike("[0-9]{16}|@"), "personal")
+            .when(t.rlike("[|]"), "table").when(F.length(t) < 80, "stub").otherwise("prose"))
+    return load(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"))
+
+
+@registered("""
+WITH RECURSIVE r AS (SELECT page_id AS source, (page_id // 3) * 2 AS target FROM pages WHERE page_id % 3 <> 0),
+walk AS (SELECT source, target FROM r UNION SELECT w.source, r.target FROM walk w JOIN r ON w.target = r.source)
+SELECT source, target FROM walk WHERE target NOT IN (SELECT source FROM r)""")
+def redirect_canonicalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose number is no multiple of three redirect to an earlier one; where do they end?"""
+    p = load(spark, sf_dir, "pages").filter("page_id % 3 <> 0")
+    return traverse.follow_redirects(p.select(F.col("page_id").alias("source"), (F.floor(F.col("page_id") / 3) * 2).alias("target")))
+
+
+@registered("""
+WITH new AS (SELECT o_orderkey, max(o_totalprice) AS o_totalprice, 'new' AS origin FROM orders
+             WHERE o_orderdate >= TIMESTAMP '2000-01-01' - INTERVAL 2 HOUR GROUP BY o_orderkey),
+     old AS (SELECT o_orderkey, o_totalprice - 1 AS o_totalprice, 'old' AS origin FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01')
+SELECT * FROM new UNION ALL SELECT * FROM old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new)""")
+def incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders since a watermark less its overlap replace earlier versions of themselves."""
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    new = o.filter(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp") - F.expr("INTERVAL 2 HOURS"))
+    new = new.select("o_orderkey", "o_totalprice", F.lit("new").alias("origin"))
+    old = o.filter("o_orderdate < timestamp '2001-01-01'")
+    old = old.select("o_orderkey", (F.col("o_totalprice") - 1).alias("o_totalprice"), F.lit("old").alias("origin"))
+    return incremental.upsert(old, new, ["o_orderkey"], version="o_totalprice")
+
+
+@registered("""
+WITH wanted AS (SELECT DISTINCT o_custkey AS title FROM orders), done AS (SELECT c_custkey AS title FROM customer WHERE c_acctbal > 0),
+     failed AS (SELECT c_custkey AS title FROM customer WHERE c_acctbal < -500), missing AS (SELECT c_custkey AS title FROM customer WHERE c_nationkey = 3)
+SELECT title, true AS retry FROM failed UNION ALL
+SELECT title, false FROM wanted WHERE title NOT IN (FROM failed) AND title NOT IN (FROM done) AND title NOT IN (FROM missing)""")
+def retry_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which customers are to be fetched: failures again, others unless they are there or known to be missing."""
+    c = load(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "title")
+    wanted = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("title"))
+    return incremental.pending(wanted, c.filter("c_acctbal > 0"), c.filter("c_acctbal < -500"), c.filter("c_nationkey = 3"), "title")
+
+
+@registered("""
+WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL
+                     SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
+walk AS (SELECT 'r' || r_regionkey AS node, 0 AS depth FROM region UNION
+         SELECT e.child, depth + 1 FROM walk JOIN e ON e.parent = node WHERE depth < 8 AND e.child NOT IN ('n3', 'n7'))
+SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
+def category_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations and customers as a category tree with two excluded categories."""
+    n = load(spark, sf_dir, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child"))
+    c = load(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.concat(F.lit("c"), "c_custkey").alias("child"))
+    roots = load(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
+    out = spark.createDataFrame([("n3",), ("n7",)], "node string")
+    return traverse.descendants(n.unionByName(c), roots, 8, out)
+
+
+@registered("""
+SELECT DISTINCT a, b FROM (
+  SELECT l_partkey, min(l_suppkey) FILTER (l_suppkey % 2 = 0) AS a, min(l_suppkey) FILTER (l_suppkey % 2 = 1) AS b,
+         count(DISTINCT l_suppkey) FILTER (l_suppkey % 2 = 0) AS m, count(DISTINCT l_suppkey) FILTER (l_suppkey % 2 = 1) AS f
+  FROM lineitem WHERE l_quantity >= 45 GROUP BY l_partkey) WHERE m = 1 AND f = 1""")
+def coparent_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are children of the suppliers of large quantities; even suppliers are fathers."""
+    p = load(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select(F.col("l_partkey").alias("child"), F.col("l_suppkey").alias("parent"))
+    return inference.coparents(p.withColumn("gender", F.when(F.col("parent") % 2 == 0, "m").otherwise("f")))
+
+
+@registered("""
+SELECT o_custkey AS x, l_suppkey AS b, min(l_partkey) AS y FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+GROUP BY ALL HAVING count(DISTINCT l_partkey) = 1""")
+def inlaw_inference_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer and supplier are linked through a part if only one fits."""
+    o, l = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    pairs = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("x"), F.col("l_suppkey").alias("b"), F.col("l_partkey").alias("y"))
+    return inference.unique_candidates(pairs, ["x", "b"], "y")
+
+
+@registered("""
+SELECT l_orderkey AS a, l_linenumber AS line, CASE WHEN cb < pb + 12 OR cd < pb THEN 'too_late' WHEN cb > pd + 1 THEN 'posthumous' END AS why,
+       CASE WHEN cb < pb + 12 OR cd < pb OR cb > pd + 1 THEN least(0.5 + l_discount, 0.3) ELSE 0.5 + l_discount END AS confidence
+FROM (SELECT *, 1900 + l_quantity AS cb, 1960 + l_quantity AS cd, 1870 + l_partkey % 50 AS pb, 1900 + l_suppkey % 60 AS pd FROM lineitem)""")
+def consistency_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items carry the years of a child and a parent."""
+    l = load(spark, sf_dir, "lineitem")
+    why = consistency.parent_years(1900 + F.col("l_quantity"), 1960 + F.col("l_quantity"), 1870 + F.col("l_partkey") % 50, 1900 + F.col("l_suppkey") % 60)
+    conf = F.lit(0.5) + F.col("l_discount")
+    out = l.select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("line"), why.alias("why"), conf.alias("confidence"))
+    return out.withColumn("confidence", F.when(F.col("why").isNotNull(), F.least("confidence", F.lit(0.3))).otherwise(F.col("confidence")))
+
+
+_SHARED = """
+keys AS (SELECT doc_id, 'a' || md5(left(lower(text), 60)) AS k FROM documents UNION ALL SELECT doc_id, 'z' || md5(right(lower(text), 60)) FROM documents),
+e AS (SELECT DISTINCT x.doc_id AS u, y.doc_id AS v FROM keys x JOIN keys y USING (k) WHERE x.doc_id <> y.doc_id),
+walk AS (SELECT u AS node, u AS reach FROM e UNION SELECT node, v FROM walk JOIN e ON reach = u),
+comp AS (SELECT node, min(reach) AS component FROM walk GROUP BY node)"""
+
+
+def _shared_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with equal beginnings or ends, each linked to the first of them."""
+    low = F.lower("text")
+    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(
+        F.concat(F.lit("a"), F.md5(F.substring(low, 1, 60))), F.concat(F.lit("z"), F.md5(F.right(low, F.lit(60)))))).alias("k"))
+    d = written(d, "ends")
+    first = d.groupBy("k").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return d.join(first, "k").select(F.col("doc_id").alias("u"), "v")
+
+
+@registered(f"WITH RECURSIVE {_SHARED} SELECT node, component FROM comp")
+def connected_components_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share their beginning or their end."""
+    return connected_components(_shared_ends(spark, sf_dir), written)
+
+
+@registered(f"""WITH RECURSIVE {_SHARED}, n AS (SELECT component, source, count(*) AS n FROM comp JOIN documents ON doc_id = node GROUP BY ALL)
+SELECT component, min(source) AS source, n FROM n WHERE n = (SELECT max(n) FROM n AS m WHERE m.component = n.component) GROUP BY component, n""")
+def component_label_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent source of each component, the smallest on a tie."""
+    parts = connected_components(_shared_ends(spark, sf_dir), written)
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), "source")
+    return identity.top_value(parts.join(d, "node"), "component", "source")
+
+
+@registered("""
+SELECT x.c_custkey AS u, y.c_custkey AS v FROM customer x JOIN customer y
+ON x.c_nationkey = y.c_nationkey AND x.c_mktsegment = y.c_mktsegment AND x.c_custkey < y.c_custkey AND levenshtein(x.c_name, y.c_name) <= 1""")
+def slot_blocking_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of one nation and segment whose names differ in one character."""
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return identity.block_pairs(c, ["c_nationkey", "c_mktsegment"], "c_custkey", F.levenshtein(F.col("x.c_name"), F.col("y.c_name")) <= 1)
+
+
+@registered("""
+WITH m AS (SELECT DISTINCT s_nationkey AS family, s_suppkey AS person FROM supplier), size AS (SELECT family, count(*) AS members FROM m GROUP BY family),
+t AS (SELECT DISTINCT l_partkey AS tree, l_suppkey AS person, l_partkey % 5 = 0 AS draft FROM lineitem),
+hit AS (SELECT family, tree, draft, count(*) AS covered FROM m JOIN t USING (person) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY covered / members DESC, draft, tree) AS r FROM hit JOIN size USING (family))
+SELECT size.family, size.members, tree, coalesce(covered, 0) AS covered, round(coalesce(covered / size.members, 0), 6) AS score,
+  CASE WHEN tree IS NULL THEN 'none' WHEN covered / size.members >= 0.5 AND covered >= 3 THEN CASE WHEN draft THEN 'draft' ELSE 'exists' END ELSE 'partial' END AS status
+FROM size LEFT JOIN (FROM best WHERE r = 1) b USING (family)""")
+def coverage_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of a nation are a family, suppliers of a part a tree."""
+    m = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("family"), F.col("s_suppkey").alias("person"))
+    t = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("tree"), F.col("l_suppkey").alias("person"), (F.col("l_partkey") % 5 == 0).alias("draft"))
+    return coverage.best_coverage(m, t)
+
+
+@registered("""
+SELECT l_partkey AS child, l_suppkey AS owner FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY q DESC, d, l_suppkey) AS r FROM (
+    SELECT l_partkey, l_suppkey, max(l_quantity) AS q, min(l_shipdate) AS d FROM lineitem GROUP BY l_partkey, l_suppkey)) WHERE r = 1""")
+def owner_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first supplier of each part by quantity, then date, then id."""
+    l = load(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_quantity").alias("q"), F.min("l_shipdate").alias("d"))
+    first = F.row_number().over(Window.partitionBy("l_partkey").orderBy(F.desc("q"), "d", "l_suppkey"))
+    return l.withColumn("r", first).filter("r = 1").select(F.col("l_partkey").alias("child"), F.col("l_suppkey").alias("owner"))
+
+
+@registered("""
+WITH RECURSIVE p AS (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders),
+walk AS (SELECT child AS node, 0 AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.child, depth + 1 FROM walk JOIN p ON p.parent = node WHERE depth < 4)
+SELECT node, depth FROM walk""")
+def bloodline_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order descends from the one before it of its customer; four generations from the first."""
+    p = written(_order_chain(spark, sf_dir), "chain")
+    return traverse.descendants(p.filter("parent IS NOT NULL"), p.filter("parent IS NULL").select(F.col("child").alias("node")), 4)
+
+
+def _order_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("child"), before.alias("parent"))
+
+
+@registered("""
+WITH p AS (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS f,
+                  lag(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS m FROM orders),
+one AS (SELECT child, 'f' AS letter, f AS parent FROM p WHERE f IS NOT NULL UNION ALL SELECT child, 'm', m FROM p WHERE m IS NOT NULL),
+two AS (SELECT a.child, a.letter || b.letter AS slot, b.parent FROM one a JOIN one b ON a.parent = b.child),
+three AS (SELECT a.child, a.slot || b.letter AS slot, b.parent FROM two a JOIN one b ON a.parent = b.child)
+SELECT child AS person, letter AS slot, parent AS ancestor FROM one UNION ALL FROM two UNION ALL FROM three""")
+def ancestor_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's father is the order before it of its customer, its mother the one before that."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("child"), F.lag("o_orderkey").over(w).alias("f"), F.lag("o_orderkey", 2).over(w).alias("m"))
+    p = o.select("child", F.col("f").alias("parent"), F.lit("m").alias("gender")).unionByName(o.select("child", F.col("m").alias("parent"), F.lit("f").alias("gender")))
+    return traverse.ancestor_slots(p.filter("parent IS NOT NULL"), o.select(F.col("child").alias("node")), 3)
+
 
+@registered()
+def privacy_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders descend from the one before; those of status F have no article. Which of them keep the chain together?"""
+    p = written(_order_chain(spark, sf_dir).filter("parent IS NOT NULL"), "chain")
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), "o_orderstatus", "o_custkey")
+    wed = o.filter("node % 7 = 0").select(F.col("node").alias("a"), (F.col("node") + 1).alias("b"))
+    return traverse.kept_without_article(p, wed, o.filter("o_orderstatus <> 'F'").select("node"))
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"evidence_fusion": evidence_fusion}
 
-ORACLE_SQL: dict[str, str] = {
-    "evidence_fusion": """
-        SELECT l_suppkey AS a, l_partkey AS b, count(*) AS n_evidence, count(DISTINCT l_orderkey) AS n_pages,
-               round(least(1 - product(1 - greatest(least(0.4 + l_discount * 5, 0.95), 0.05)), 0.98), 6) AS confidence,
-               count(DISTINCT l_orderkey) >= 2 AS corroborated
-        FROM lineitem GROUP BY l_suppkey, l_partkey"""
-}
+@registered()
+def cycle_break(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between suppliers of neighbouring lines of an order, their cycles broken."""
+    l = load(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_suppkey", "l_discount")
+    e = l.alias("x").join(l.alias("y"), "l_orderkey").filter("x.l_suppkey <> y.l_suppkey")
+    e = e.groupBy(F.col("x.l_suppkey").alias("a"), F.col("y.l_suppkey").alias("b")).agg(F.max("x.l_discount").alias("d"), F.count(F.lit(1)).alias("n_evidence"))
+    e = e.select("a", "b", (F.lit(0.5) + F.col("d")).alias("confidence"), (F.col("a") % 5 == 0).alias("alias_any"), "n_evidence")
+    return traverse.break_cycles(e, 0.2)
