@@ -1,52 +1,21 @@
-"""Helpers shared by the training-data operators: table access, words, shared storage."""
+"""Helpers shared by the training-data operators: table access and words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_BREAK = r"[\x20\x09-\x0D]+"
+from kinloom.plans.storage import new_path, written
+
+__all__ = ["load", "new_path", "word_count", "words", "written"]
 
-_own_dir: list[str] = []
+WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor reaches: ``spark.checkpoint.dir``.
-
-    Only a single-process session (tests) without that setting gets a temporary folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="kinloom-"))
-    return _own_dir[0]
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/kinloom-{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    A lost executor costs no recomputation beyond its running tasks. The folder is left to the
-    retention of ``spark.checkpoint.dir``, since the returned frame stays lazy.
-    """
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Array of the runs of ``[^\\x20\\x09-\\x0D]``; null text gives an empty array."""
     parts = F.split(F.coalesce(text, F.lit("")), WORD_BREAK, -1)
