@@ -75,14 +75,16 @@ def source_plan(
 def schedule(spark: SparkSession, plan: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     """(slot, source_no, rank): the source of each slot, and how many slots of that source came before.
 
-    Weights are the sources' targets. Enough slots are drawn that each source reaches its target; what a source
-    would take beyond it is left out by ``blocks``.
+    A source's weight is the number of blocks up to its target. The gaps between n golden-ratio points are below 1.9 / n,
+    so three points for each block reach every source as often as it has blocks, the smallest too; slots beyond a
+    source's blocks are left out.
     """
-    rows = [(r["source_no"], r["target"]) for r in plan.orderBy("source_no").collect()]
-    total = sum(t for _, t in rows)
+    rows = [(r["source_no"], math.ceil(round(r["target"]) / block)) for r in plan.orderBy("source_no").collect()]
+    rows = [r for r in rows if r[1]]
+    total = sum(n for _, n in rows)
     if not total:
         return spark.createDataFrame([], "slot long, source_no int, rank long")
-    slots = math.ceil(total / block) + 4 * len(rows) + 64
+    slots = 3 * total + 64
     point = F.pmod(F.col("slot").cast("double") * GOLDEN, F.lit(1.0))
     which, acc = F.lit(rows[-1][0]), 0.0
     steps = []
@@ -100,9 +102,11 @@ def schedule(spark: SparkSession, plan: DataFrame, block: int = BLOCK_TOKENS) ->
         .select("source_no", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
     within = Window.partitionBy("source_no", "part").orderBy("slot")
-    return drawn.withColumn("r", F.row_number().over(within)).join(offsets, ["source_no", "part"]).select(
+    ranked = drawn.withColumn("r", F.row_number().over(within)).join(offsets, ["source_no", "part"]).select(
         "slot", "source_no", (F.col("offset") + F.col("r") - 1).alias("rank")
     )
+    needed = F.create_map(*[F.lit(x) for r in rows for x in r])
+    return ranked.filter(F.col("rank") < F.element_at(needed, F.col("source_no")))
 
 
 def streams(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
