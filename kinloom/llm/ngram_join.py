@@ -36,6 +36,10 @@ from kinloom.operators.graph import connected_components
 
 SKETCH_BITS = 18
 SKETCH_PARTS = 32
+#: Bits of the bitmap of a set. In lists of LONG_LIST classes or more, bitmaps of both classes are compared before a
+#: pair is made: a bit that only one set has stands for at least one shingle that the other lacks.
+BITMAP_BITS = 1024
+LONG_LIST = 16
 QUERY_GROUP = 512
 #: Ids that are sent to every task at most (8 bytes each); beyond that, texts are joined with them.
 BROADCAST_IDS = 1_000_000
@@ -102,36 +106,41 @@ def frequency_levels(sketch: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, o: Options) -> DataFrame:
-    """Per text: doc_id, n (shingles), class (digest of the set) and prefix (its rarest shingles, in the common order)."""
+    """Per text: doc_id, n (shingles), class (digest of the set), bits (its bitmap) and prefix (its rarest shingles, in the
+    common order)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _batches(batches, o.width):
-            ns, classes, prefixes = [], [], []
+            ns, classes, bitmaps, prefixes = [], [], [], []
             for s in sets:
                 n = len(s)
                 ns.append(n)
                 if not n:
                     classes.append(None)
+                    bitmaps.append(None)
                     prefixes.append(np.zeros(0, np.int64))
                     continue
                 with np.errstate(over="ignore"):
                     a, b = s.sum(dtype=np.uint64), (s * s * np.uint64(0x9E3779B97F4A7C15) + (s >> np.uint64(7))).sum(dtype=np.uint64)
                 classes.append(int(a).to_bytes(8, "little") + int(b).to_bytes(8, "little") + n.to_bytes(4, "little"))
+                bits = np.zeros(BITMAP_BITS, bool)
+                bits[(s % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
+                bitmaps.append(np.packbits(bits).view(np.int64))
                 level = levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 prefixes.append(s[np.argsort(level, kind="stable")[: prefix_length(n, o)]].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(ns, pa.int32()), pa.array(classes, pa.binary()), lists],
-                ["doc_id", "n", "class", "prefix"],
+                [part.column("doc_id"), pa.array(ns, pa.int32()), pa.array(classes, pa.binary()), pa.array(bitmaps, pa.list_(pa.int64())), lists],
+                ["doc_id", "n", "class", "bits", "prefix"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n int, class binary, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n int, class binary, bits array<bigint>, prefix array<bigint>")
 
 
 def shared_lists(signed: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
-    """The inverted lists that several classes are in: token, rep, n, rest.
+    """The inverted lists that several classes are in: token, rep, n, classes (in the list), rest.
 
     ``rest`` bounds how many shingles the class can share with another, if this list is the first that both are in:
     those behind its prefix, and its shared lists from this one on.
@@ -144,10 +153,11 @@ def shared_lists(signed: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
     lists = own.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "token"))
     by_token, by_rep = Window.partitionBy("token"), Window.partitionBy("rep")
     several = F.min("rep").over(by_token) < F.max("rep").over(by_token)
-    kept = written(lists.withColumn("several", several).filter("several").drop("several").distinct(), "ngram-lists")
+    lists = lists.withColumns({"several": several, "classes": F.count(F.lit(1)).over(by_token)})
+    kept = written(lists.filter("several").drop("several").distinct(), "ngram-lists")
     behind = F.floor((F.lit(o.similar) * F.col("n") + o.similar_of - 1) / o.similar_of) - 1  # n - prefix length
     later = F.count(F.lit(1)).over(by_rep.orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, 0))
-    return kept.select("token", "rep", "n", (behind + later).cast("int").alias("rest"))
+    return kept.select("token", "rep", "n", "classes", (behind + later).cast("int").alias("rest"))
 
 
 def _reach(x: str, y: str, o: Options) -> Column:
@@ -156,24 +166,49 @@ def _reach(x: str, y: str, o: Options) -> Column:
     return F.least(f"{x}.rest", f"{y}.rest") * den >= both * o.similar
 
 
-def star_pairs(lists: DataFrame, o: Options) -> DataFrame:
-    """(a, b): each class of a list with the class of that list whose hash is smallest."""
-    first = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "rest")).alias("p"))
-    first = first.select("token", "p.*").alias("x")
-    pairs = first.join(lists.alias("y"), "token").filter((F.col("x.rep") != F.col("y.rep")) & _reach("x", "y", o))
-    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+def with_bitmaps(lists: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``lists`` with the bitmaps (rep, bits) of the classes of long lists, and null in short ones."""
+    long = lists.filter(F.col("classes") >= LONG_LIST).join(bitmaps, "rep", "left")
+    short = lists.filter(F.col("classes") < LONG_LIST).withColumn("bits", F.lit(None).cast("array<bigint>"))
+    return long.select(short.columns).unionByName(short)
+
+
+def star_pairs(lists: DataFrame, bitmaps: DataFrame, o: Options) -> DataFrame:
+    """(a, b): each class of a list with one class of it, chosen by a hash for each list, so that classes which share
+    many lists meet many others."""
+    chosen = F.xxhash64("token", "rep")
+    first = lists.groupBy("token").agg(F.min(F.struct(chosen.alias("h"), "rep")).alias("p"))
+    lists = with_bitmaps(lists, bitmaps)
+    heads = lists.join(first.select("token", F.col("p.rep").alias("rep")), ["token", "rep"])
+    x, y = heads.alias("x"), lists.alias("y")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") != F.col("y.rep")) & _reach("x", "y", o) & _alike(o))
+    earlier = F.xxhash64("x.rep") < F.xxhash64("y.rep")
+    a, b = F.when(earlier, F.col("x.rep")).otherwise(F.col("y.rep")), F.when(earlier, F.col("y.rep")).otherwise(F.col("x.rep"))
+    return pairs.select(a.alias("a"), b.alias("b")).distinct()
+
+
+def _alike(o: Options) -> Column:
+    """Whether the bitmaps of x and y allow a link; true where there are none."""
+    den, both = o.similar + o.similar_of, o.similar * (F.col("x.n") + F.col("y.n"))
+
+    def lacking(p: str, q: str) -> Column:
+        only = F.zip_with(f"{p}.bits", f"{q}.bits", lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v))))
+        return F.aggregate(only, F.lit(0), lambda acc, n: acc + n) * den <= F.col(f"{p}.n") * den - both
+
+    return F.coalesce(lacking("x", "y") & lacking("y", "x"), F.lit(True))
 
 
-def cross_pairs(lists: DataFrame, components: DataFrame, o: Options) -> DataFrame:
-    """(a, b): classes of one list that are in different components so far."""
+def cross_pairs(lists: DataFrame, components: DataFrame, bitmaps: DataFrame, o: Options) -> DataFrame:
+    """(a, b): classes of one list that are in different components so far. ``bitmaps`` is (rep, bits)."""
     placed = lists.join(components.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     by_token = Window.partitionBy("token")
     mixed = F.min("component").over(by_token) < F.max("component").over(by_token)
-    placed = written(placed.withColumn("mixed", mixed).filter("mixed").withColumn("h", F.xxhash64("rep")), "ngram-mixed")
+    placed = placed.withColumns({"mixed": mixed, "h": F.xxhash64("rep")})
+    placed = with_bitmaps(written(placed.filter("mixed").drop("mixed"), "ngram-mixed"), bitmaps)
     x, y = placed.alias("x"), placed.alias("y")
     apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.h") < F.col("y.h"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _reach("x", "y", o))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _reach("x", "y", o) & _alike(o))
     return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
@@ -233,7 +268,7 @@ def set_table(docs: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
     """The pairs (a, b) that are links. ``a`` is the query; its candidates meet in groups of QUERY_GROUP or so."""
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / QUERY_GROUP).alias("groups"))
-    dealt = pairs.join(fan, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("groups").cast("int")))
+    dealt = written(pairs.join(fan, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("groups").cast("int"))), "ngram-pairs")
     own = dealt.select("a", "salt", F.lit(None).cast("bigint").alias("b"), F.col("a").alias("rep")).distinct()
     rows = own.unionByName(dealt.select("a", "salt", "b", F.col("b").alias("rep"))).join(sets.select("rep", "shingles"), "rep")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -280,10 +315,15 @@ def near_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
     def write(df: DataFrame) -> DataFrame:
         return written(df, "ngram-edges")
 
-    stars = write(star_pairs(lists, o))
+    # equal ids with different texts have several bitmaps; without one, their pairs are made and verified
+    bitmaps = signed.filter("n > 0").select(F.col("doc_id").alias("rep"), "bits").join(lists.select("rep").distinct(), "rep", "left_semi")
+    bitmaps = bitmaps.groupBy("rep").agg(F.min("bits").alias("low"), F.max("bits").alias("high"))
+    bitmaps = bitmaps.select("rep", F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
+    bitmaps = written(bitmaps, "ngram-bitmaps")
+    stars = write(star_pairs(lists, bitmaps, o))
     sets = written(set_table(docs, ends(stars), o), "ngram-sets")
     first = write(connected_components(write(verified(stars, sets, o)), write))
-    cross = write(cross_pairs(lists, first, o).join(stars, ["a", "b"], "left_anti"))
+    cross = write(cross_pairs(lists, first, bitmaps, o).join(stars, ["a", "b"], "left_anti"))
     others = ends(cross).join(sets.select("rep"), "rep", "left_anti")
     more = verified(cross, sets.unionByName(written(set_table(docs, others, o), "ngram-sets")), o)
     u, v = first.select(F.col("node").alias("u"), F.col("component").alias("cu")), first.select(F.col("node").alias("v"), F.col("component").alias("cv"))
