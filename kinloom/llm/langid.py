@@ -18,12 +18,14 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+#: Texts that are Python strings at once.
+PYTHON_TEXTS = 256
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
 
@@ -103,11 +105,17 @@ class Classifier:
 def identify(docs: DataFrame, models: list[tuple[str, bytes]], options: Options = Options()) -> DataFrame:
     """``docs`` with lang_pred, score, margin and rejected. Texts are read where they lie; nothing is shuffled."""
 
-    @F.pandas_udf(RESULT)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(RESULT)
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         classify = Classifier(models, options)
         for texts in batches:
-            yield pd.DataFrame([classify(t) for t in texts], columns=["lang_pred", "score", "margin", "rejected"])
+            told: list[tuple] = []
+            for start in range(0, len(texts), PYTHON_TEXTS):
+                told += [classify(t) for t in texts.slice(start, PYTHON_TEXTS).to_pylist()]
+            columns = list(zip(*told, strict=True)) or [()] * 4
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
+            yield pa.StructArray.from_arrays(arrays, ["lang_pred", "score", "margin", "rejected"])
+            pa.default_memory_pool().release_unused()  # a worker lives on for other stages
 
     names = ["lang_pred", "score", "margin", "rejected"]
     kept = [c for c in docs.columns if c not in names]

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Rows and bytes of text that are taken apart at once, so that memory doesn't follow the batch size.
-SLICE_ROWS, SLICE_BYTES = 2000, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 500, 2 << 20
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
@@ -32,6 +32,7 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
         stop = min(max(stop, start + 1), start + SLICE_ROWS, n)
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # a worker lives on for other stages
 
 
 def mixed(a: np.ndarray) -> np.ndarray:
