@@ -298,7 +298,8 @@ def verified(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
 
 
 def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    """(rep): the classes in ``pairs``. Each side is made distinct first, where queries repeat."""
+    return pairs.select(F.col("a").alias("rep")).distinct().unionByName(pairs.select(F.col("b").alias("rep")).distinct()).distinct()
 
 
 def near_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
