@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from kinloom.llm import decontamination, embedding_join, langid, mixing, ngram_join, pii, secret_scan, sharding, substring_dedup, warc
 from kinloom.llm.common import load, new_path
+from kinloom.llm.oracles import ORACLE_SQL
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,5 +93,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc_archive": op10_warc_archive,
 }
-
-ORACLE_SQL: dict[str, str] = {}
