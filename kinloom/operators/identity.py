@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.config import Thresholds
 from kinloom.functions.names import names_match
+from kinloom.functions.text import display_name
 from kinloom.operators.fusion import canonical_ends
 from kinloom.operators.graph import connected_components
 from kinloom.plans.storage import written
@@ -126,3 +128,77 @@ def families(people: DataFrame, edges: DataFrame, least: float = 0.5) -> DataFra
     rank = F.row_number().over(Window.orderBy(F.desc("articles"), F.desc("size"), "component"))
     named = size.withColumn("family", F.concat(F.lit("F"), rank))
     return parts.join(named, "component").select("family", F.col("node").alias("id"), "size", "articles")
+
+
+def _descends(children: DataFrame, depth: int) -> DataFrame:
+    """(top, node): who descends from whom within ``depth`` generations. ``children`` is (parent, child)."""
+    level = written(children.select(F.col("parent").alias("top"), F.col("child").alias("node")).distinct(), "descends")
+    every = level
+    step = children.select(F.col("parent").alias("node"), F.col("child").alias("next"))
+    for _ in range(depth - 1):
+        level = level.join(step, "node").select("top", F.col("next").alias("node")).distinct().join(every, ["top", "node"], "left_anti")
+        level = written(level, "descends")
+        if level.isEmpty():
+            break
+        every = written(every.unionByName(level), "descends")
+    return every
+
+
+def conflicting_mentions(people: DataFrame, edges: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """(article, page): pages whose mentions of an article must mean a namesake.
+
+    ``people`` is (id, fetched, gender, born, died); ``edges`` has evidence (array of structs with source_page, alias).
+    A parent edge conflicts if the parent descends from the child; if the article as parent is too young for the child or
+    a grandchild, or died before; if the article as child is too old for the parent, or is a child by alias only and
+    another father is certain. Siblings conflict if their births are too far apart. What an article's own page says counts.
+    """
+    e = edges.filter("relation IN ('parent', 'sibling') AND NOT inferred").select("a", "b", "relation", F.coalesce("alias_only", F.lit(False)).alias("weak"), F.array_distinct("evidence.source_page").alias("pages"))
+    years = lambda end: people.select(F.col("id").alias(end), F.col("fetched").alias(f"fetched_{end}"), F.col("gender").alias(f"gender_{end}"), F.col("born").alias(f"born_{end}"), F.col("died").alias(f"died_{end}"))
+    e = written(e.join(years("a"), "a", "left").join(years("b"), "b", "left"), "namesakes")
+    p = e.filter("relation = 'parent'")
+    below = _descends(p.filter("NOT weak").select(F.col("b").alias("parent"), F.col("a").alias("child")), t.descendant_depth)
+    loops = p.join(below.select(F.col("top").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_semi").select("a", "b").withColumn("loop", F.lit(True))
+    first = p.groupBy(F.col("b").alias("a")).agg(F.min("born_a").alias("first_child"))
+    fathers = p.filter("NOT weak AND gender_b = 'm'").groupBy("a").agg(F.collect_set("b").alias("fathers"))  # a handful each
+    judged = p.join(loops.distinct(), ["a", "b"], "left").join(first, "a", "left").join(fathers, "a", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    loop, young = yes(F.col("loop")), yes(F.col("born_a") < F.col("born_b") + t.parent_gap)
+    as_parent = loop | young | yes(F.col("first_child") < F.col("born_b") + t.grandparent_gap) | yes(F.col("born_a") > F.col("died_b") + t.posthumous)
+    other = yes(F.exists("fathers", lambda f: f != F.col("b")))
+    as_child = loop | young | (F.col("weak") & yes(F.col("gender_b") == "m") & other)
+    far = yes(F.abs(F.col("born_a") - F.col("born_b")) > t.sibling_gap)
+    sides = [judged.filter(as_parent).select(F.col("b").alias("article"), "pages", F.col("fetched_b").alias("f")),
+             judged.filter(as_child).select(F.col("a").alias("article"), "pages", F.col("fetched_a").alias("f"))]
+    sides += [e.filter(F.col("relation") == "sibling").filter(far).select(F.col(x).alias("article"), "pages", F.col(f"fetched_{x}").alias("f")) for x in ("a", "b")]
+    bad = sides[0]
+    for s in sides[1:]:
+        bad = bad.unionByName(s)
+    own = F.col("pages") == F.array("article")
+    return bad.filter(~F.col("article").startswith("~") & yes(F.col("f")) & ~own).select("article", F.explode("pages").alias("page")).distinct()
+
+
+def separate_namesakes(people: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(people, edges): edges with evidence of a conflicting mention move to a person without an article, ``~name@page:alias``.
+
+    Of several pages the smallest names the person; the first end is moved, if both conflict.
+    """
+    bad = written(conflicting_mentions(people, edges).filter("article <> page"), "namesakes")
+    keyed = edges.filter("NOT inferred").select("a", "b", "relation", F.explode(F.array_distinct("evidence.source_page")).alias("page"))
+    hit = None
+    for place, end in enumerate(("a", "b")):
+        h = keyed.join(bad.withColumnRenamed("article", end), [end, "page"], "left_semi").select("a", "b", "relation", F.struct(F.lit(place).alias("place"), "page").alias("h"))
+        hit = h if hit is None else hit.unionByName(h)
+    hit = written(hit.groupBy("a", "b", "relation").agg(F.min("h").alias("h")), "namesakes")
+    moved = edges.join(hit, ["a", "b", "relation"], "left")
+    article = F.when(F.col("h.place") == 0, F.col("a")).when(F.col("h.place") == 1, F.col("b"))
+    moved = moved.withColumn("__new", F.concat(F.lit("~"), display_name(article), F.lit("@"), F.col("h.page"), F.lit(":alias")))
+    new = moved.filter("h IS NOT NULL").select(F.col("__new").alias("id"), display_name(article).alias("name"), article.alias("of")).distinct()
+    new = new.join(people.select(F.col("id").alias("of"), "gender"), "of", "left").groupBy("id", "name").agg(F.min("gender").alias("gender"))
+    people = people.unionByName(new.withColumn("fetched", F.lit(False)).join(people.select("id"), "id", "left_anti"), allowMissingColumns=True)
+    calm = F.transform("evidence", lambda v: v.withField("alias", F.lit(False)))
+    changed = moved.withColumns({
+        "a": F.when(F.col("h.place") == 0, F.col("__new")).otherwise(F.col("a")), "b": F.when(F.col("h.place") == 1, F.col("__new")).otherwise(F.col("b")),
+        "evidence": F.when(F.col("h").isNotNull(), calm).otherwise(F.col("evidence")),
+        "alias_only": F.when(F.col("h").isNotNull(), False).otherwise(F.col("alias_only")),
+    }).drop("h", "__new")
+    return people, written(canonical_ends(changed), "namesakes")

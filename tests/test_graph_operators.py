@@ -113,3 +113,15 @@ def test_families(spark):
     p = people(spark, a=("m", None, None), b=("f", None, None), c=("m", None, None), d=("m", None, None))
     got = identity.families(p, edges(spark, ("a", "b", "spouse", 0.9), ("c", "a", "parent", 0.9), ("d", "c", "sibling", 0.9))).collect()
     assert {(r["family"], r["id"]) for r in got} == {("F1", "a"), ("F1", "b"), ("F1", "c")}
+
+
+def test_namesakes_are_separated(spark):
+    r = relations(spark, ("Son", "Moshe (writer)", "parent", "Son", "s1", [], 0.7), ("Moshe (writer)", "Wife", "spouse", "Son", "s2", [], 0.7),
+                  ("Moshe (writer)", "Father", "parent", "Moshe (writer)", "s3", [], 0.9))
+    p = people(spark, **{"Son": ("m", 1930, None), "Moshe (writer)": ("m", 1952, None), "Wife": ("f", None, None), "Father": ("m", 1890, None)})
+    folk, out = identity.separate_namesakes(p, fusion.fuse_relations(r))
+    got = set(confidence(out))
+    new = "~Moshe@Son:alias"
+    assert {("Son", new, "parent"), ("Moshe (writer)", "Father", "parent")} <= got
+    assert ("Wife", new, "spouse") in got or (new, "Wife", "spouse") in got
+    assert new in {x["id"] for x in folk.collect()}
