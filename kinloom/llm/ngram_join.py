@@ -38,7 +38,7 @@ SKETCH_BITS = 18
 SKETCH_PARTS = 32
 #: Bits of the bitmap of a set. In lists of LONG_LIST classes or more, bitmaps of both classes are compared before a
 #: pair is made: a bit that only one set has stands for at least one shingle that the other lacks.
-BITMAP_BITS = 1024
+BITMAP_BITS = 4096
 LONG_LIST = 16
 QUERY_GROUP = 512
 #: Ids that are sent to every task at most (8 bytes each); beyond that, texts are joined with them.
@@ -106,37 +106,32 @@ def frequency_levels(sketch: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, o: Options) -> DataFrame:
-    """Per text: doc_id, n (shingles), class (digest of the set), bits (its bitmap) and prefix (its rarest shingles, in the
-    common order)."""
+    """Per text: doc_id, n (shingles), class (digest of the set) and prefix (its rarest shingles, in the common order)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _batches(batches, o.width):
-            ns, classes, bitmaps, prefixes = [], [], [], []
+            ns, classes, prefixes = [], [], []
             for s in sets:
                 n = len(s)
                 ns.append(n)
                 if not n:
                     classes.append(None)
-                    bitmaps.append(None)
                     prefixes.append(np.zeros(0, np.int64))
                     continue
                 with np.errstate(over="ignore"):
                     a, b = s.sum(dtype=np.uint64), (s * s * np.uint64(0x9E3779B97F4A7C15) + (s >> np.uint64(7))).sum(dtype=np.uint64)
                 classes.append(int(a).to_bytes(8, "little") + int(b).to_bytes(8, "little") + n.to_bytes(4, "little"))
-                bits = np.zeros(BITMAP_BITS, bool)
-                bits[(s % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
-                bitmaps.append(np.packbits(bits).view(np.int64))
                 level = levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 prefixes.append(s[np.argsort(level, kind="stable")[: prefix_length(n, o)]].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(ns, pa.int32()), pa.array(classes, pa.binary()), pa.array(bitmaps, pa.list_(pa.int64())), lists],
-                ["doc_id", "n", "class", "bits", "prefix"],
+                [part.column("doc_id"), pa.array(ns, pa.int32()), pa.array(classes, pa.binary()), lists],
+                ["doc_id", "n", "class", "prefix"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n int, class binary, bits array<bigint>, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n int, class binary, prefix array<bigint>")
 
 
 def shared_lists(signed: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
@@ -247,12 +242,15 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], thresholds: np.
     return out & (count >= thresholds)
 
 
-def set_table(docs: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
-    """rep, n, shingles (sorted, packed) of the classes in ``reps``, from one text of each."""
+def _texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     reps = written(reps, "ngram-ids")
     few = reps.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     ids = reps.select(F.col("rep").alias("doc_id"))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def set_table(docs: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
+    """rep, n, shingles (sorted, packed) of the classes in ``reps``."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _batches(batches, o.width):
@@ -261,8 +259,25 @@ def set_table(docs: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
                 ["rep", "n", "shingles"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(pack, f"rep {kind}, n int, shingles binary")
+    return _texts_of(docs, reps).mapInArrow(pack, "rep bigint, n int, shingles binary")
+
+
+def bitmap_table(docs: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
+    """rep, bits: the bitmap of each class in ``reps``. Where one id stands for different texts it is null, so that pairs
+    with it are made and verified."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in _batches(batches, o.width):
+            rows = []
+            for s in sets:
+                bits = np.zeros(BITMAP_BITS, bool)
+                bits[(s % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
+                rows.append(np.packbits(bits).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], ["rep", "bits"])
+
+    marked = _texts_of(docs, reps).mapInArrow(mark, "rep bigint, bits array<bigint>")
+    both = marked.groupBy("rep").agg(F.min("bits").alias("low"), F.max("bits").alias("high"))
+    return both.select("rep", F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
@@ -316,11 +331,8 @@ def near_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
     def write(df: DataFrame) -> DataFrame:
         return written(df, "ngram-edges")
 
-    # equal ids with different texts have several bitmaps; without one, their pairs are made and verified
-    bitmaps = signed.filter("n > 0").select(F.col("doc_id").alias("rep"), "bits").join(lists.select("rep").distinct(), "rep", "left_semi")
-    bitmaps = bitmaps.groupBy("rep").agg(F.min("bits").alias("low"), F.max("bits").alias("high"))
-    bitmaps = bitmaps.select("rep", F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
-    bitmaps = written(bitmaps, "ngram-bitmaps")
+    in_long = lists.filter(F.col("classes") >= LONG_LIST).select("rep").distinct()
+    bitmaps = written(bitmap_table(docs, in_long, o), "ngram-bitmaps")
     stars = write(star_pairs(lists, bitmaps, o))
     sets = written(set_table(docs, ends(stars), o), "ngram-sets")
     first = write(connected_components(write(verified(stars, sets, o)), write))
