@@ -106,59 +106,67 @@ def frequency_levels(sketch: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, o: Options) -> DataFrame:
-    """Per text: doc_id, n (shingles), class (digest of the set) and prefix (its rarest shingles, in the common order)."""
+    """Per text: doc_id, n (shingles), class (digest of the set), prefix (its rarest shingles, in the common order) and
+    last (where the prefix ends in that order, level and leading bits of the hash)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _batches(batches, o.width):
-            ns, classes, prefixes = [], [], []
+            ns, classes, prefixes, last = [], [], [], []
             for s in sets:
                 n = len(s)
                 ns.append(n)
                 if not n:
                     classes.append(None)
                     prefixes.append(np.zeros(0, np.int64))
+                    last.append(0)
                     continue
                 with np.errstate(over="ignore"):
                     a, b = s.sum(dtype=np.uint64), (s * s * np.uint64(0x9E3779B97F4A7C15) + (s >> np.uint64(7))).sum(dtype=np.uint64)
                 classes.append(int(a).to_bytes(8, "little") + int(b).to_bytes(8, "little") + n.to_bytes(4, "little"))
                 level = levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                prefixes.append(s[np.argsort(level, kind="stable")[: prefix_length(n, o)]].view(np.int64))
+                first = np.argsort(level, kind="stable")[: prefix_length(n, o)]
+                prefixes.append(s[first].view(np.int64))
+                last.append(int(level[first[-1]]) << 25 | int(s[first[-1]]) >> 39)
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(ns, pa.int32()), pa.array(classes, pa.binary()), lists],
-                ["doc_id", "n", "class", "prefix"],
+                [part.column("doc_id"), pa.array(ns, pa.int32()), pa.array(classes, pa.binary()), lists, pa.array(last, pa.int32())],
+                ["doc_id", "n", "class", "prefix", "last"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n int, class binary, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n int, class binary, prefix array<bigint>, last int")
 
 
 def shared_lists(signed: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
-    """The inverted lists that several classes are in: token, rep, n, classes (in the list), rest.
+    """The inverted lists that several classes are in: token, rep, n, last, classes (in the list), left, rest.
 
-    ``rest`` bounds how many shingles the class can share with another, if this list is the first that both are in:
-    those behind its prefix, and its shared lists from this one on.
+    ``left`` and ``rest`` bound how many shingles the class can share with another, if this list is the first that both
+    are in: ``left`` are all its shingles from this one on; ``rest`` are those behind its prefix, and its shared lists
+    from this one on. ``rest`` holds only if the other's prefix ends no earlier, since a shingle of this prefix can be
+    behind one that does.
     """
     ids = signed.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "class")
     copies = ids.join(reps, "class").filter("doc_id <> rep").select("doc_id", "class")
     copies = written(copies.distinct(), "ngram-copies")
     few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     own = signed.filter("n > 0 AND doc_id IS NOT NULL").join(F.broadcast(copies) if few else copies, ["doc_id", "class"], "left_anti")
-    lists = own.select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "token"))
+    lists = own.select(F.col("doc_id").alias("rep"), "n", "last", F.posexplode("prefix").alias("pos", "token"))
     by_token, by_rep = Window.partitionBy("token"), Window.partitionBy("rep")
     several = F.min("rep").over(by_token) < F.max("rep").over(by_token)
     lists = lists.withColumns({"several": several, "classes": F.count(F.lit(1)).over(by_token)})
     kept = written(lists.filter("several").drop("several").distinct(), "ngram-lists")
     behind = F.floor((F.lit(o.similar) * F.col("n") + o.similar_of - 1) / o.similar_of) - 1  # n - prefix length
     later = F.count(F.lit(1)).over(by_rep.orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, 0))
-    return kept.select("token", "rep", "n", "classes", (behind + later).cast("int").alias("rest"))
+    return kept.select("token", "rep", "n", "last", "classes", (F.col("n") - F.col("pos")).alias("left"), (behind + later).cast("int").alias("rest"))
 
 
 def _reach(x: str, y: str, o: Options) -> Column:
     """Whether the classes x and y of one list can share as many shingles as a link needs."""
     both, den = F.col(f"{x}.n") + F.col(f"{y}.n"), o.similar + o.similar_of
-    return F.least(f"{x}.rest", f"{y}.rest") * den >= both * o.similar
+    rest = F.when(F.col(f"{x}.last") < F.col(f"{y}.last"), F.col(f"{x}.rest")).when(F.col(f"{x}.last") > F.col(f"{y}.last"), F.col(f"{y}.rest"))
+    rest = F.coalesce(rest, F.greatest(f"{x}.rest", f"{y}.rest"))  # ``last`` may be equal where the ends are not
+    return F.least(f"{x}.left", f"{y}.left", rest) * den >= both * o.similar
 
 
 def with_bitmaps(lists: DataFrame, bitmaps: DataFrame) -> DataFrame:

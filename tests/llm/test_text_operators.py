@@ -254,6 +254,19 @@ def test_components_equal_brute_force(spark, corpus, width, num):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(corpus, width, num, 100)
 
 
+@pytest.mark.parametrize(("width", "num", "more"), [(4, 85, 15), (5, 80, 22)])
+def test_longer_copies_just_above_the_threshold_are_linked(spark, width, num, more):
+    texts = []
+    for k in range(24):  # own words behind, before or amidst the copy
+        base, own = prose(3000 + k, 90 + width - 1).split(" "), prose(4000 + k, more).split(" ")
+        cut = [len(base), 0, 40, len(base)][k % 4]
+        texts += [" ".join(base), " ".join(base[:cut] + own[: more - (width - 1) * (k % 4 == 2)] + base[cut:])]
+    out = ngram_join.near_classes(documents(spark, texts), ngram_join.Options(width, num)).collect()
+    expect = brute_components(texts, width, num, 100)
+    assert sum(i != c for i, (_, c) in expect.items()) >= 18
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == expect
+
+
 def test_one_of_each_and_empty_tables(spark, corpus):
     docs = documents(spark, corpus)
     kept = ngram_join.one_of_each(docs.unionByName(docs))
