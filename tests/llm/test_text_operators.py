@@ -205,6 +205,16 @@ def test_leaks_are_found_and_clean_rows_stay(spark):
     assert decontamination.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_documents_shorter_than_an_item_are_judged_whole(spark):
+    item = prose(70, 30)
+    w = item.split()
+    texts = [" ".join(w[:29]), " ".join(w[1:]), " ".join(w[:25]), " ".join(w[:24]), edited(" ".join(w[:29]), 0), edited(" ".join(w[:29]), 14), item]
+    docs, bench = documents(spark, texts), spark.createDataFrame([(1, item), (2, prose(71, 9))], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["first_word"], round(r["similarity"], 6)) for r in decontamination.leaks(docs, bench).collect()}
+    assert got == {0: (1, 0, 0.961538), 1: (1, 0, 0.961538), 2: (1, 0, 0.807692), 4: (1, 0, 0.888889), 6: (1, 0, 1.0)}
+    assert {r["doc_id"] for r in decontamination.without_leaks(docs, bench).collect()} == {3, 5}
+
+
 def test_simhash_by_hand(spark):
     h = [0x0123456789ABCDEF, -1, 0x7FFFFFFF00000000, 5, -9]
     got = spark.range(1).select(decontamination.simhash(F.array(*[F.lit(x).cast("long") for x in h]))).first()[0]
