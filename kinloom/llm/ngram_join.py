@@ -363,7 +363,34 @@ def near_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, o: Options = Options()) -> DataFrame:
-    """``docs`` without the near copies: of each component the row with the smallest doc_id stays, once."""
-    heads = near_classes(docs, o).filter("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """``docs`` without the near copies: of each component the row with the smallest doc_id stays, once.
+
+    Rows without an id, and rows that share an id but not a text, are judged by their own text: they are linked under
+    keys made of id and text. A row without an id stays only if no row of its component has one; those without words
+    all stay.
+    """
+    row_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = docs.select("doc_id", row_hash.alias("text_hash"))
+    several = texts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
+    several = written(several.filter("low <> high").select("doc_id"), "ngram-ids-of-several")
+    few = several.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    marked = several.select(F.col("doc_id").alias("__several"))
+    keyed = docs.join(F.broadcast(marked) if few else marked, F.col("doc_id") == F.col("__several"), "left")
+    own = F.col("doc_id").isNull() | F.col("__several").isNotNull()
+    key = F.when(own, F.xxhash64("doc_id", row_hash, F.lit("own"))).otherwise(F.col("doc_id").cast("bigint"))
+    keyed = keyed.withColumns({"__own": own, "__key": key})
+
+    # one row of each key made here, so that many rows without an id are not compared with each other
+    odd = keyed.filter("__own").select(F.col("__key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    near = near_classes(keyed.filter("NOT __own").select(F.col("__key").alias("doc_id"), "text").unionByName(odd), o)
+    near = near.select(F.col("doc_id").alias("__key"), "n_shingles", "component_id").distinct()
+    ids = keyed.filter("__own").select("__key", F.col("doc_id").cast("bigint").alias("__id")).distinct()
+    ids = written(ids.withColumn("__own", F.lit(True)), "ngram-own-keys")
+    near = near.join(ids, "__key", "left").withColumn("__id", F.when(F.col("__own"), F.col("__id")).otherwise(F.col("__key")))
+    first = F.min(F.struct(F.col("__id").isNull().alias("bare"), "__id", "__key", F.col("n_shingles").alias("n")))
+    heads = near.groupBy("component_id").agg(first.alias("h"))
+    heads = written(heads.select("h.__key", (F.col("h.bare") & (F.col("h.n") == 0)).alias("__all")), "ngram-heads")
+    kept = keyed.join(heads.select("__key"), "__key", "left_semi")
+    all_of = kept.filter("doc_id IS NULL").join(heads.filter("__all").select("__key"), "__key", "left_semi")
+    once = kept.join(heads.filter("__all").select("__key"), "__key", "left_anti").dropDuplicates(["__key"])
+    return once.select(*docs.columns).unionByName(all_of.select(*docs.columns))

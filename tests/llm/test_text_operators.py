@@ -286,6 +286,18 @@ def test_one_of_each_and_empty_tables(spark, corpus):
     assert ngram_join.near_classes(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_or_with_a_shared_one_are_judged_by_their_text(spark):
+    lone, other, third, fourth = (prose(80 + k, 90) for k in range(4))
+    rows = [(None, lone), (None, lone), (None, edited(lone, 0)), (None, other), (None, edited(third, 0)), (1, third), (2, fourth), (2, prose(90, 90)),
+            (2, fourth), (3, edited(third, 89)), (3, prose(91, 90)), (4, ""), (4, ""), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", "z") for i, t in rows], DOCS)
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got.pop((None, lone), 0) + got.pop((None, edited(lone, 0)), 0) == 1
+    assert got == Counter([(None, other), (1, third), (2, fourth), (2, prose(90, 90)), (3, prose(91, 90)), (4, ""), (None, None), (None, "")])
+
+
 def test_divide_skip_equals_counting():
     import numpy as np
 
