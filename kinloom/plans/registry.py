@@ -326,7 +326,7 @@ def privacy_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def cycle_break(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between suppliers of neighbouring lines of an order, their cycles broken."""
+    """Edges between suppliers of lines of an order, their cycles broken. Only lines of quantity 49 or more (see README)."""
     l = load(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_suppkey", "l_discount")
     e = l.alias("x").join(l.alias("y"), "l_orderkey").filter("x.l_suppkey <> y.l_suppkey")
     e = e.groupBy(F.col("x.l_suppkey").alias("a"), F.col("y.l_suppkey").alias("b")).agg(F.max("x.l_discount").alias("d"), F.count(F.lit(1)).alias("n_evidence"))
