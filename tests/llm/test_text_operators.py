@@ -215,6 +215,15 @@ def test_documents_shorter_than_an_item_are_judged_whole(spark):
     assert {r["doc_id"] for r in decontamination.without_leaks(docs, bench).collect()} == {3, 5}
 
 
+def test_items_without_an_id_contaminate(spark):
+    one, two, three = (prose(75 + k, 25) for k in range(3))
+    docs = documents(spark, [f"{prose(78, 20)} {one}", two, three, prose(79, 60)])
+    bench = spark.createDataFrame([(None, one), (None, two), (None, two), (1, three), (1, one)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"] or 0, r["similarity"]) for r in decontamination.leaks(docs, bench).collect())
+    assert got == [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0), (2, 1, 1.0)]
+    assert [r["doc_id"] for r in decontamination.without_leaks(docs, bench).collect()] == [3]
+
+
 def test_simhash_by_hand(spark):
     h = [0x0123456789ABCDEF, -1, 0x7FFFFFFF00000000, 5, -9]
     got = spark.range(1).select(decontamination.simhash(F.array(*[F.lit(x).cast("long") for x in h]))).first()[0]
