@@ -35,6 +35,37 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     A lost executor costs no recomputation beyond its running tasks. The folder is left to the retention of
     ``spark.checkpoint.dir``, since the returned frame stays lazy.
     """
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).write(df, label)
+
+
+class Scratch:
+    """Tables written on the way to a result, deleted once nothing reads them any more.
+
+    Drop a table only after everything made from it has been written itself: a lost executor may have to read it again.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self._paths: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, label: str = "step") -> DataFrame:
+        path = new_path(self._spark, label)
+        df.write.parquet(path)
+        out = self._spark.read.schema(df.schema).parquet(path)
+        self._paths.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete the tables that ``write`` returned as these frames; others are left alone."""
+        gone = [(f, p) for f, p in self._paths if any(f is x for x in frames)]
+        for pair in gone:
+            self._delete(pair[1])
+            self._paths.remove(pair)
+
+    def drop_all_but(self, *frames: DataFrame) -> None:
+        self.drop(*[f for f, _ in self._paths if not any(f is x for x in frames)])
+
+    def _delete(self, path: str) -> None:
+        context = self._spark.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
