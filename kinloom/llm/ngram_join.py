@@ -2,18 +2,20 @@
 
 Two texts of a and b distinct shingles are linked when they share T = ceil(s * (a + b) / (1 + s)) of them at least.
 In the inverted index of all texts, a partner of a text therefore occurs in T of the text's lists. As in DivideSkip, a
-text's lists are divided: the short ones (its rarest shingles, one more than it may miss) are merged, which here is an
-equi-join on shingles, and the long ones are only probed for what the merge has found.
+text's lists are divided: the short ones (its rarest shingles, one more than it may miss) give the candidates, by an
+equi-join on shingles, and the long ones are only probed for those.
 
 1. Corpus counts of shingles, in a sketch of fixed size that covers every text, order shingles from rare to frequent.
    The order only has to be the same everywhere; errors of the sketch cost time, not links.
 2. Texts with equal sets are one class from here on. Each class lists its rarest shingles (the prefix).
 3. Lists with one class are dropped, and each class learns how many shingles it can still share from a list on.
-4. Merge: first every class of a list is compared with one class of it, and links found are joined to components. Only
-   then are classes of different components compared that share a list and can still reach T. So large groups of near
-   copies cost as many comparisons as they have members, and their outliers more.
-5. Probe: candidates of one query class meet in groups of bounded size. There the remaining lists of the query are
-   divided again, the short merged and the long searched by bisection, and those with T occurrences are linked.
+4. Short lists give candidates. First every class of a list is paired with one pivot of it, twice, with few pivots and
+   then with one for each list, and links are joined to components. Only then are classes of different components paired
+   that share a list and can still reach T. So large groups of near copies cost as many pairs as they have members, and
+   their outliers more.
+5. T-occurrence search: candidates of one query class meet in groups of bounded size. The query's lists over them are
+   divided, a heap merges the short ones and counts occurrences, the long ones are searched by bisection for what is
+   left, and candidates with T occurrences are linked.
 
 Edge cases: null texts and texts without words have empty sets and link with nothing; a text with fewer words than n
 has its whole sequence as one shingle; equal ids and repeated rows share what their texts get; classes without a
@@ -22,6 +24,9 @@ non-null id link with nothing; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,17 +35,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import written
-from kinloom.llm.tokens import shingle_sets, slices
+from kinloom.llm.tokens import free_memory, shingle_sets, slices
 from kinloom.operators.graph import connected_components
+from kinloom.plans.storage import Scratch
 
 SKETCH_BITS = 18
 SKETCH_PARTS = 32
-#: Bits of the bitmap of a set. In lists of LONG_LIST classes or more, bitmaps of both classes are compared before a
-#: pair is made: a bit that only one set has stands for at least one shingle that the other lacks.
-BITMAP_BITS = 4096
+#: Bits of the bitmap of a set. It travels once for each pair that may be a link, and folded FOLD times with the entries
+#: of lists of LONG_LIST classes or more that are still in several components.
+BITMAP_BITS = 2048
+FOLD = 2
 LONG_LIST = 16
+#: A list may be hot if its hash range holds HOT_FACTOR times the mean. Rows of classes of HOT_COPIES rows or more are
+#: joined with their class where they lie.
+HOT_FACTOR = 8
+HOT_COPIES = 128
 QUERY_GROUP = 512
+GROUP_SHINGLES = 1 << 19
+#: Cost of a step of the merge against one of the search in a long list, for the choice of the number of long lists.
+LONG_COST = 0.0085
 #: Ids that are sent to every task at most (8 bytes each); beyond that, texts are joined with them.
 BROADCAST_IDS = 1_000_000
 
@@ -67,6 +80,7 @@ def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa
     for batch in batches:
         for part in slices(batch):
             yield part, shingle_sets(part.column("text"), width)
+    free_memory()
 
 
 def shingle_sketch(docs: DataFrame, o: Options) -> np.ndarray:
@@ -105,19 +119,28 @@ def frequency_levels(sketch: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(1, over)))).astype(np.uint8)
 
 
-def signatures(docs: DataFrame, levels: np.ndarray, o: Options) -> DataFrame:
-    """Per text: doc_id, n (shingles), class (digest of the set), prefix (its rarest shingles, in the common order) and
-    last (where the prefix ends in that order, level and leading bits of the hash)."""
+def hot_level(sketch: np.ndarray) -> int:
+    """Level from which a hash range holds so many shingles that a single list may be too long for one task."""
+    mean = float(sketch.mean())
+    return max(3, int(np.log2(max(2.0, (HOT_FACTOR - 1) * mean / (3 * np.sqrt(mean) + 1)))))
+
+
+def signatures(docs: DataFrame, levels: np.ndarray, hot: int, o: Options) -> DataFrame:
+    """Per text: doc_id, n (shingles), class (digest of the set), prefix (its rarest shingles, in the common order),
+    cold (how many of them are below level ``hot``), last (where the prefix ends in that order, level and leading bits
+    of the hash) and bits (bitmap of the set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _batches(batches, o.width):
-            ns, classes, prefixes, last = [], [], [], []
-            for s in sets:
+            ns, classes, prefixes, cold, last = [], [], [], [], []
+            bits = np.zeros((len(sets), BITMAP_BITS), bool)
+            for k, s in enumerate(sets):
                 n = len(s)
                 ns.append(n)
                 if not n:
                     classes.append(None)
                     prefixes.append(np.zeros(0, np.int64))
+                    cold.append(0)
                     last.append(0)
                     continue
                 with np.errstate(over="ignore"):
@@ -126,36 +149,59 @@ def signatures(docs: DataFrame, levels: np.ndarray, o: Options) -> DataFrame:
                 level = levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 first = np.argsort(level, kind="stable")[: prefix_length(n, o)]
                 prefixes.append(s[first].view(np.int64))
+                cold.append(int(np.count_nonzero(level[first] < hot)))
                 last.append(int(level[first[-1]]) << 25 | int(s[first[-1]]) >> 39)
+                bits[k, (s % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
+            packed = np.packbits(bits, axis=1).view(np.int64)
+            at = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * packed.shape[1])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(ns, pa.int32()), pa.array(classes, pa.binary()), lists, pa.array(last, pa.int32())],
-                ["doc_id", "n", "class", "prefix", "last"],
+                [part.column("doc_id"), pa.array(ns, pa.int32()), pa.array(classes, pa.binary()), lists, pa.array(cold, pa.int32()),
+                 pa.array(last, pa.int32()), pa.ListArray.from_arrays(at, pa.array(packed.ravel()))],
+                ["doc_id", "n", "class", "prefix", "cold", "last", "bits"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, n int, class binary, prefix array<bigint>, last int")
+    schema = f"doc_id {kind}, n int, class binary, prefix array<bigint>, cold int, last int, bits array<bigint>"
+    return docs.select("doc_id", "text").mapInArrow(sign, schema)
+
 
+def small(df: DataFrame) -> DataFrame:
+    """``df``, which must be cheap to count, marked to be sent to every task if it has BROADCAST_IDS rows at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else df
 
-def shared_lists(signed: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
+
+def representatives(signed: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``signed`` whose id stands for their class; those of one class and id are alike."""
+    ids = signed.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "class")
+    copies = ids.join(reps.select(F.col("rep").alias("doc_id"), "class"), ["doc_id", "class"], "left_anti")
+    copies = scratch.write(copies.distinct(), "ngram-copies")
+    return signed.filter("n > 0 AND doc_id IS NOT NULL").join(small(copies), ["doc_id", "class"], "left_anti")
+
+
+def shared_lists(own: DataFrame, o: Options) -> DataFrame:
     """The inverted lists that several classes are in: token, rep, n, last, classes (in the list), left, rest.
 
     ``left`` and ``rest`` bound how many shingles the class can share with another, if this list is the first that both
     are in: ``left`` are all its shingles from this one on; ``rest`` are those behind its prefix, and its shared lists
     from this one on. ``rest`` holds only if the other's prefix ends no earlier, since a shingle of this prefix can be
     behind one that does.
+
+    Lists that the sketch calls hot are counted with a partial aggregate, and joined with their counts, which can be
+    split over tasks; all others are counted where they meet.
     """
-    ids = signed.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "class")
-    copies = ids.join(reps, "class").filter("doc_id <> rep").select("doc_id", "class")
-    copies = written(copies.distinct(), "ngram-copies")
-    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    own = signed.filter("n > 0 AND doc_id IS NOT NULL").join(F.broadcast(copies) if few else copies, ["doc_id", "class"], "left_anti")
-    lists = own.select(F.col("doc_id").alias("rep"), "n", "last", F.posexplode("prefix").alias("pos", "token"))
-    by_token, by_rep = Window.partitionBy("token"), Window.partitionBy("rep")
-    several = F.min("rep").over(by_token) < F.max("rep").over(by_token)
-    lists = lists.withColumns({"several": several, "classes": F.count(F.lit(1)).over(by_token)})
-    kept = written(lists.filter("several").drop("several").distinct(), "ngram-lists")
+    each = own.select(F.col("doc_id").alias("rep"), "n", "last", "cold", F.posexplode("prefix").alias("pos", "token"))
+    columns = ["token", "rep", "n", "last", "pos", "classes"]
+    by_token = Window.partitionBy("token")
+    cold = each.filter("pos < cold").withColumns(
+        {"several": F.min("rep").over(by_token) < F.max("rep").over(by_token), "classes": F.count(F.lit(1)).over(by_token)}
+    )
+    hot = each.filter("pos >= cold")
+    counted = hot.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("classes"))
+    hot = hot.join(counted.filter("low < high").select("token", "classes"), "token")
+    kept = cold.filter("several").select(columns).unionByName(hot.select(columns)).distinct()
+    by_rep = Window.partitionBy("rep")
     behind = F.floor((F.lit(o.similar) * F.col("n") + o.similar_of - 1) / o.similar_of) - 1  # n - prefix length
     later = F.count(F.lit(1)).over(by_rep.orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, 0))
     return kept.select("token", "rep", "n", "last", "classes", (F.col("n") - F.col("pos")).alias("left"), (behind + later).cast("int").alias("rest"))
@@ -169,60 +215,115 @@ def _reach(x: str, y: str, o: Options) -> Column:
     return F.least(f"{x}.left", f"{y}.left", rest) * den >= both * o.similar
 
 
-def with_bitmaps(lists: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``lists`` with the bitmaps (rep, bits) of the classes of long lists, and null in short ones."""
-    long = lists.filter(F.col("classes") >= LONG_LIST).join(bitmaps, "rep", "left")
-    short = lists.filter(F.col("classes") < LONG_LIST).withColumn("bits", F.lit(None).cast("array<bigint>"))
-    return long.select(short.columns).unionByName(short)
+def _pair(x: str, y: str) -> list[Column]:
+    """a and b of a pair; which of them is the query doesn't depend on the list."""
+    earlier = F.xxhash64(f"{x}.rep") < F.xxhash64(f"{y}.rep")
+    return [F.when(earlier, F.col(f"{p}.rep")).otherwise(F.col(f"{q}.rep")).alias(n) for n, p, q in (("a", x, y), ("b", y, x))]
 
 
-def star_pairs(lists: DataFrame, bitmaps: DataFrame, o: Options) -> DataFrame:
-    """(a, b): each class of a list with one class of it, chosen by a hash for each list, so that classes which share
-    many lists meet many others."""
-    chosen = F.xxhash64("token", "rep")
-    first = lists.groupBy("token").agg(F.min(F.struct(chosen.alias("h"), "rep")).alias("p"))
-    lists = with_bitmaps(lists, bitmaps)
-    heads = lists.join(first.select("token", F.col("p.rep").alias("rep")), ["token", "rep"])
-    x, y = heads.alias("x"), lists.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") != F.col("y.rep")) & _reach("x", "y", o) & _alike(o))
-    earlier = F.xxhash64("x.rep") < F.xxhash64("y.rep")
-    a, b = F.when(earlier, F.col("x.rep")).otherwise(F.col("y.rep")), F.when(earlier, F.col("y.rep")).otherwise(F.col("x.rep"))
-    return pairs.select(a.alias("a"), b.alias("b")).distinct()
+def star_pairs(lists: DataFrame, o: Options, *by: str) -> DataFrame:
+    """(a, b): each class of a list with one class of it, the pivot; with ``component`` only across components.
 
+    The pivot has the smallest hash of rep and ``by``: without ``by`` similar lists have few pivots and classes few
+    pairs, with the token each list has its own, and classes which share many lists meet many others.
+    """
+    order = F.xxhash64(*by, "rep")
+    apart = ["component"] if "component" in lists.columns else []
+    entry = F.struct(order.alias("h"), "rep", "n", "last", "left", "rest", *apart)
+    pivots = lists.groupBy("token").agg(F.min(entry).alias("p")).select("token", "p.*").alias("x")
+    y = lists.alias("y")
+    far = F.col("x.component") != F.col("y.component") if apart else F.col("x.rep") != F.col("y.rep")
+    met = pivots.join(y, (F.col("x.token") == F.col("y.token")) & far & _reach("x", "y", o))
+    return met.select(*_pair("x", "y")).distinct()
 
-def _alike(o: Options) -> Column:
-    """Whether the bitmaps of x and y allow a link; true where there are none."""
-    den, both = o.similar + o.similar_of, o.similar * (F.col("x.n") + F.col("y.n"))
+
+def cross_pairs(lists: DataFrame, bitmaps: DataFrame, o: Options) -> DataFrame:
+    """(a, b): classes of one list that are in different components. ``lists`` has component, ``bitmaps`` is (rep, bits).
+
+    In each list the classes outside its most frequent component are compared with all others, so that lists of large
+    groups cost their outliers times their length.
+    """
+    frequent = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = frequent.groupBy("token").agg(F.max(F.struct("k", "component")).alias("m")).select("token", F.col("m.component").alias("main"))
+    placed = lists.join(main, "token").withColumn("h", F.xxhash64("rep"))
+    words = BITMAP_BITS // 64
+    folded = F.transform(
+        F.sequence(F.lit(0), F.lit(words // FOLD - 1)),
+        lambda i: F.aggregate(F.sequence(i, F.lit(words - 1), F.lit(words // FOLD)), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.get("bits", k))),
+    )
+    bitmaps = bitmaps.select("rep", F.when(F.col("bits").isNotNull(), folded).alias("bits"))
+    long = placed.filter(F.col("classes") >= LONG_LIST).join(bitmaps, "rep", "left")
+    short = placed.filter(F.col("classes") < LONG_LIST).withColumn("bits", F.lit(None).cast("array<bigint>"))
+    placed = long.select(short.columns).unionByName(short)
+    x, y = placed.filter("component <> main").alias("x"), placed.alias("y")
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.h") < F.col("y.h"))
+    apart = (F.col("x.component") != F.col("y.component")) & once
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _reach("x", "y", o) & _alike("x", "y", o))
+    return met.select(*_pair("x", "y")).distinct()
+
+
+def _alike(x: str, y: str, o: Options) -> Column:
+    """Whether the bitmaps of x and y allow a link; true where there is none. A bit that only one set has stands for at
+    least one shingle that the other lacks."""
+    den, both = o.similar + o.similar_of, o.similar * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
     def lacking(p: str, q: str) -> Column:
         only = F.zip_with(f"{p}.bits", f"{q}.bits", lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v))))
         return F.aggregate(only, F.lit(0), lambda acc, n: acc + n) * den <= F.col(f"{p}.n") * den - both
 
-    return F.coalesce(lacking("x", "y") & lacking("y", "x"), F.lit(True))
-
-
-def cross_pairs(lists: DataFrame, components: DataFrame, bitmaps: DataFrame, o: Options) -> DataFrame:
-    """(a, b): classes of one list that are in different components so far. ``bitmaps`` is (rep, bits)."""
-    placed = lists.join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "rep"))
-    by_token = Window.partitionBy("token")
-    mixed = F.min("component").over(by_token) < F.max("component").over(by_token)
-    placed = placed.withColumns({"mixed": mixed, "h": F.xxhash64("rep")})
-    placed = with_bitmaps(written(placed.filter("mixed").drop("mixed"), "ngram-mixed"), bitmaps)
-    x, y = placed.alias("x"), placed.alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.h") < F.col("y.h"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _reach("x", "y", o) & _alike(o))
-    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    return F.coalesce(lacking(x, y) & lacking(y, x), F.lit(True))
+
+
+def alike_pairs(pairs: DataFrame, bitmaps: DataFrame, o: Options) -> DataFrame:
+    """The pairs (a, b) whose whole bitmaps (rep, n, bits) allow a link."""
+    x, y = bitmaps.withColumnRenamed("rep", "a").alias("x"), bitmaps.withColumnRenamed("rep", "b").alias("y")
+    met = pairs.join(x, "a").join(y, "b")
+    return met.filter(_alike("x", "y", o)).select("a", "b")
+
+
+def bitmap_table(own: DataFrame) -> DataFrame:
+    """rep, n, bits of each class. Where one id stands for different texts bits is null, so that pairs with it are made
+    and verified."""
+    both = own.groupBy(F.col("doc_id").alias("rep")).agg(F.min("n").alias("n"), F.min("bits").alias("low"), F.max("bits").alias("high"))
+    return both.select("rep", "n", F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
+
+
+def merge_skip(lists: list[list[int]], least: int) -> dict[int, int]:
+    """Occurrences of what is in ``least`` of the sorted lists or more. A heap merges the lists; where its smallest value
+    has too few, lists are moved on by bisection to the next value that may have enough."""
+    heap = [(x[0], k, 0) for k, x in enumerate(lists) if x]
+    heapq.heapify(heap)
+    out: dict[int, int] = {}
+    while len(heap) >= least:
+        value, taken = heap[0][0], []
+        while heap and heap[0][0] == value:
+            taken.append(heapq.heappop(heap))
+        if len(taken) >= least:
+            out[value] = len(taken)
+            goal = value + 1
+        else:
+            while heap and len(taken) < least - 1:
+                taken.append(heapq.heappop(heap))
+            if not heap:
+                break
+            goal = heap[0][0]
+        for _, k, at in taken:
+            at = bisect_left(lists[k], goal, at)
+            if at < len(lists[k]):
+                heapq.heappush(heap, (lists[k][at], k, at))
+    return out
 
 
 def divide_skip(query: np.ndarray, candidates: list[np.ndarray], thresholds: np.ndarray) -> np.ndarray:
     """Which candidates hold ``thresholds`` of the query's elements at least; arrays are sorted and distinct.
 
-    The query's elements have inverted lists over the candidates. All but the longest lists are merged; what has too
-    few occurrences for the rest to make up is dropped; each long list is searched for the remaining candidates.
+    The query's elements have inverted lists over the candidates. The longest lists are set aside, as many as pay; the
+    short ones are merged, and what has so few occurrences that all long lists could not make up for it is dropped; each
+    long list is searched for the remaining candidates.
     """
+    out = np.zeros(len(candidates), bool)
     if not candidates:
-        return np.zeros(0, bool)
+        return out
     owner = np.repeat(np.arange(len(candidates)), [len(c) for c in candidates])
     flat = np.concatenate(candidates)
     at = np.searchsorted(query, flat)
@@ -230,74 +331,50 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], thresholds: np.
     hit[hit] = query[at[hit]] == flat[hit]
     order = np.argsort(at[hit], kind="stable")
     at, owner = at[hit][order], owner[hit][order]  # lists of the query's elements, each sorted by candidate
-    ends = np.searchsorted(at, np.arange(len(query) + 1))
-    lengths = np.diff(ends)
-    n_long = max(0, min(int(thresholds.min()) - 1, int(np.count_nonzero(lengths > len(candidates) // 2))))
-    long = np.argsort(lengths, kind="stable")[len(query) - n_long :] if n_long else np.zeros(0, np.int64)
-    is_long = np.zeros(len(query), bool)
-    is_long[long] = True
-    count = np.bincount(owner[~is_long[at]], minlength=len(candidates))
-    alive = np.flatnonzero(count >= thresholds - n_long)
-    for done, k in enumerate(long[np.argsort(-lengths[long], kind="stable")], 1):
-        entries = owner[ends[k] : ends[k + 1]]
-        p = np.searchsorted(entries, alive)
-        ok = p < len(entries)
-        ok[ok] = entries[p[ok]] == alive[ok]
-        count[alive] += ok
-        alive = alive[count[alive] >= thresholds[alive] - (n_long - done)]
-    out = np.zeros(len(candidates), bool)
-    out[alive] = True
-    return out & (count >= thresholds)
-
-
-def _texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    reps = written(reps, "ngram-ids")
-    few = reps.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    ids = reps.select(F.col("rep").alias("doc_id"))
-    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    ends = np.searchsorted(at, np.arange(len(query) + 1)).tolist()
+    entries = owner.tolist()
+    lists = sorted((entries[a:b] for a, b in zip(ends, ends[1:]) if b > a), key=len)
+    fewest = int(thresholds.min())
+    if len(lists) < fewest:
+        return out
+    n_long = min(fewest - 1, int(fewest / (LONG_COST * math.log2(len(lists[-1])) + 1)))
+    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+    limits = thresholds.tolist()
+    for candidate, count in merge_skip(short, fewest - n_long).items():
+        need = limits[candidate]
+        for done, entry in enumerate(long):
+            if count + n_long - done < need:
+                break
+            p = bisect_left(entry, candidate)
+            count += p < len(entry) and entry[p] == candidate
+        out[candidate] = count >= need
+    return out
 
 
 def set_table(docs: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
-    """rep, n, shingles (sorted, packed) of the classes in ``reps``."""
+    """rep, shingles (sorted, packed) of the classes in ``reps``, which must be cheap to count."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _batches(batches, o.width):
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["rep", "n", "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "shingles"])
 
-    return _texts_of(docs, reps).mapInArrow(pack, "rep bigint, n int, shingles binary")
+    texts = docs.select("doc_id", "text").join(small(reps.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+    return texts.mapInArrow(pack, "rep bigint, shingles binary")
 
 
-def bitmap_table(docs: DataFrame, reps: DataFrame, o: Options) -> DataFrame:
-    """rep, bits: the bitmap of each class in ``reps``. Where one id stands for different texts it is null, so that pairs
-    with it are made and verified."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _batches(batches, o.width):
-            rows = []
-            for s in sets:
-                bits = np.zeros(BITMAP_BITS, bool)
-                bits[(s % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
-                rows.append(np.packbits(bits).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.list_(pa.int64()))], ["rep", "bits"])
-
-    marked = _texts_of(docs, reps).mapInArrow(mark, "rep bigint, bits array<bigint>")
-    both = marked.groupBy("rep").agg(F.min("bits").alias("low"), F.max("bits").alias("high"))
-    return both.select("rep", F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
-    """The pairs (a, b) that are links. ``a`` is the query; its candidates meet in groups of QUERY_GROUP or so."""
+def verified(pairs: DataFrame, docs: DataFrame, o: Options, scratch: Scratch) -> DataFrame:
+    """(u, v): the pairs (a, b) that are links. ``a`` is the query; its candidates meet in groups of QUERY_GROUP or so,
+    of which GROUP_SHINGLES are searched at once."""
+    ids = scratch.write(ends(pairs), "ngram-ids")
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / QUERY_GROUP).alias("groups"))
-    dealt = written(pairs.join(fan, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("groups").cast("int"))), "ngram-pairs")
+    dealt = pairs.join(fan, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("groups").cast("int")))
+    dealt = scratch.write(dealt.select("a", "salt", "b"), "ngram-pairs")
     own = dealt.select("a", "salt", F.lit(None).cast("bigint").alias("b"), F.col("a").alias("rep")).distinct()
-    rows = own.unionByName(dealt.select("a", "salt", "b", F.col("b").alias("rep"))).join(sets.select("rep", "shingles"), "rep")
+    rows = own.unionByName(dealt.select("a", "salt", "b", F.col("b").alias("rep"))).join(set_table(docs, ids, o), "rep")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, queries, ids, found = None, [], [], []
+        at, queries, ids, found, held = None, [], [], [], 0
 
         def links() -> Iterator[pa.RecordBatch]:
             for query in queries if found else []:  # several, if one id stands for several texts
@@ -306,16 +383,22 @@ def verified(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"u": pa.array([at[0]] * len(ok), pa.int64()), "v": pa.array([ids[i] for i in ok], pa.int64())})
 
         for batch in batches:
-            for a, salt, b, body in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "shingles")), strict=True):
-                if (a, salt) != at:
+            bodies = batch.column("shingles")
+            for k, (a, salt, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b")), strict=True)):
+                if (a, salt) != at or held > GROUP_SHINGLES:
                     yield from links()
-                    at, queries, ids, found = (a, salt), [], [], []
+                    ids, found, held = [], [], 0
+                if (a, salt) != at:
+                    at, queries = (a, salt), []
+                body = np.frombuffer(bodies[k].as_buffer(), np.uint64).copy()
                 if b is None:
-                    queries.append(np.frombuffer(body, np.uint64))
+                    queries.append(body)
                 else:
                     ids.append(b)
-                    found.append(np.frombuffer(body, np.uint64))
+                    found.append(body)
+                    held += len(body)
         yield from links()
+        free_memory()
 
     return rows.select("a", "salt", "b", "shingles").mapInArrow(check, "u bigint, v bigint")
 
@@ -330,35 +413,55 @@ def near_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
 
     ``component_id`` is the smallest doc_id that links reach from the document, itself included.
     """
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = written(signatures(docs, frequency_levels(shingle_sketch(docs, o)), o), "ngram-signatures")
-    classes = signed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    reps = written(classes, "ngram-classes")
-    lists = written(shared_lists(signed, reps.filter("rep IS NOT NULL"), o), "ngram-shared")
-
-    def write(df: DataFrame) -> DataFrame:
-        return written(df, "ngram-edges")
-
-    in_long = lists.filter(F.col("classes") >= LONG_LIST).select("rep").distinct()
-    bitmaps = written(bitmap_table(docs, in_long, o), "ngram-bitmaps")
-    stars = write(star_pairs(lists, bitmaps, o))
-    sets = written(set_table(docs, ends(stars), o), "ngram-sets")
-    first = write(connected_components(write(verified(stars, sets, o)), write))
-    cross = write(cross_pairs(lists, first, bitmaps, o).join(stars, ["a", "b"], "left_anti"))
-    others = ends(cross).join(sets.select("rep"), "rep", "left_anti")
-    more = verified(cross, sets.unionByName(written(set_table(docs, others, o), "ngram-sets")), o)
-    u, v = first.select(F.col("node").alias("u"), F.col("component").alias("cu")), first.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-    joined = more.join(u, "u", "left").join(v, "v", "left")
-    joined = write(joined.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
-    top = connected_components(joined, write)
-    top = top.withColumnsRenamed({"node": "c1", "component": "c2"})
-    placed = (
-        reps.join(first.withColumnsRenamed({"node": "rep", "component": "c"}), "rep", "left")
-        .withColumn("c1", F.coalesce("c", "rep"))
-        .join(top, "c1", "left")
-        .select("class", F.coalesce("c2", "c1").alias("component_id"))
-    )
-    out = signed.select("doc_id", "n", "class").join(placed, "class", "left")
+    sketch = shingle_sketch(docs, o)
+    signed = scratch.write(signatures(docs, frequency_levels(sketch), hot_level(sketch), o), "ngram-signatures")
+    classes = signed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    reps = scratch.write(classes, "ngram-classes")
+    rows = scratch.write(signed.select("doc_id", "n", "class"), "ngram-rows")
+    own = representatives(signed, reps.filter("rep IS NOT NULL"), scratch)
+    lists = scratch.write(shared_lists(own, o), "ngram-shared")
+    bitmaps = scratch.write(bitmap_table(own.select("doc_id", "n", "bits")), "ngram-bitmaps")
+    scratch.drop_all_but(reps, rows, lists, bitmaps)
+
+    def edge_components(edges: DataFrame) -> DataFrame:
+        return scratch.write(connected_components(edges, lambda df: scratch.write(df, "ngram-edges"), scratch.drop), "ngram-components")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links among pairs that may be."""
+        likely = scratch.write(alike_pairs(pairs, bitmaps, o), "ngram-likely")
+        return scratch.write(verified(likely, docs, o, scratch), "ngram-links")
+
+    def placed(lists: DataFrame, components: DataFrame) -> DataFrame:
+        """The lists that are in several components, with component."""
+        at = lists.drop("component").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+        at = at.withColumn("component", F.coalesce("component", "rep"))
+        both = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        return scratch.write(at.join(both.select("token"), "token", "left_semi"), "ngram-mixed")
+
+    first = linked(star_pairs(lists, o))
+    components = edge_components(first)
+    mixed = placed(lists, components)
+    second = linked(star_pairs(mixed, o, "token"))
+    links = first.unionByName(second)
+    components = edge_components(links)
+    mixed = placed(mixed, components)
+    third = linked(cross_pairs(mixed, bitmaps, o))
+    components = edge_components(links.unionByName(third))
+    scratch.drop_all_but(reps, rows, components)
+
+    table = reps.join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    table = table.select("class", "copies", F.coalesce("component", "rep").alias("component_id"))
+    table = scratch.write(table, "ngram-placed")
+    hot = F.broadcast(table.filter(F.col("copies") >= HOT_COPIES).select("class", F.col("component_id").alias("c")))
+    few = table.filter(F.col("copies") >= HOT_COPIES).limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    if few:  # rows of large classes get theirs where they lie, and no task gets a whole class
+        rows = rows.join(hot, "class", "left")
+        rest = rows.filter("c IS NULL").drop("c").join(table.select("class", "component_id"), "class", "left")
+        out = rest.select("doc_id", "n", "component_id").unionByName(rows.filter("c IS NOT NULL").select("doc_id", "n", F.col("c").alias("component_id")))
+    else:
+        out = rows.join(table.select("class", "component_id"), "class", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -367,30 +470,30 @@ def one_of_each(docs: DataFrame, o: Options = Options()) -> DataFrame:
 
     Rows without an id, and rows that share an id but not a text, are judged by their own text: they are linked under
     keys made of id and text. A row without an id stays only if no row of its component has one; those without words
-    all stay.
+    all stay. What stays is decided on ids and hashes of texts. Texts are only moved where rows repeat a kept key, and
+    in the join with the kept keys once these are more than BROADCAST_IDS.
     """
+    scratch = Scratch(docs.sparkSession)
     row_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     texts = docs.select("doc_id", row_hash.alias("text_hash"))
     several = texts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
-    several = written(several.filter("low <> high").select("doc_id"), "ngram-ids-of-several")
-    few = several.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    marked = several.select(F.col("doc_id").alias("__several"))
-    keyed = docs.join(F.broadcast(marked) if few else marked, F.col("doc_id") == F.col("__several"), "left")
+    several = scratch.write(several.filter("low <> high").select("doc_id"), "ngram-ids-of-several")
+    marked = small(several.select(F.col("doc_id").alias("__several")))
+    keyed = docs.join(marked, F.col("doc_id") == F.col("__several"), "left")
     own = F.col("doc_id").isNull() | F.col("__several").isNotNull()
     key = F.when(own, F.xxhash64("doc_id", row_hash, F.lit("own"))).otherwise(F.col("doc_id").cast("bigint"))
     keyed = keyed.withColumns({"__own": own, "__key": key})
+    ids = keyed.select("__key", F.col("doc_id").cast("bigint").alias("__id"), "__own")
+    counted = ids.groupBy("__key").agg(F.first("__id").alias("__id"), F.max("__own").alias("__own"), F.count(F.lit(1)).alias("__rows"))
+    counted = scratch.write(counted, "ngram-keys")
 
     # one row of each key made here, so that many rows without an id are not compared with each other
     odd = keyed.filter("__own").select(F.col("__key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
     near = near_classes(keyed.filter("NOT __own").select(F.col("__key").alias("doc_id"), "text").unionByName(odd), o)
-    near = near.select(F.col("doc_id").alias("__key"), "n_shingles", "component_id").distinct()
-    ids = keyed.filter("__own").select("__key", F.col("doc_id").cast("bigint").alias("__id")).distinct()
-    ids = written(ids.withColumn("__own", F.lit(True)), "ngram-own-keys")
-    near = near.join(ids, "__key", "left").withColumn("__id", F.when(F.col("__own"), F.col("__id")).otherwise(F.col("__key")))
-    first = F.min(F.struct(F.col("__id").isNull().alias("bare"), "__id", "__key", F.col("n_shingles").alias("n")))
-    heads = near.groupBy("component_id").agg(first.alias("h"))
-    heads = written(heads.select("h.__key", (F.col("h.bare") & (F.col("h.n") == 0)).alias("__all")), "ngram-heads")
-    kept = keyed.join(heads.select("__key"), "__key", "left_semi")
-    all_of = kept.filter("doc_id IS NULL").join(heads.filter("__all").select("__key"), "__key", "left_semi")
-    once = kept.join(heads.filter("__all").select("__key"), "__key", "left_anti").dropDuplicates(["__key"])
-    return once.select(*docs.columns).unionByName(all_of.select(*docs.columns))
+    near = near.select(F.col("doc_id").alias("__key"), "n_shingles", "component_id").distinct().join(counted, "__key")
+    first = F.min(F.struct(F.col("__id").isNull().alias("bare"), "__id", "__key", F.col("n_shingles").alias("n"), F.col("__rows").alias("rows")))
+    heads = near.groupBy("component_id").agg(first.alias("h")).select("h.*")
+    heads = scratch.write(heads.select("__key", ((F.col("rows") == 1) | (F.col("bare") & (F.col("n") == 0))).alias("all")), "ngram-heads")
+    whole = keyed.join(small(heads.filter("all").select("__key")), "__key", "left_semi")
+    once = keyed.join(small(heads.filter("NOT all").select("__key")), "__key", "left_semi").dropDuplicates(["__key"])
+    return whole.select(*docs.columns).unionByName(once.select(*docs.columns))

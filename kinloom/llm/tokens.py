@@ -6,6 +6,8 @@ machine); shingles are mixed from word hashes without touching strings again.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,14 @@ def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch
         stop = min(max(stop, start + 1), start + SLICE_ROWS, n)
         yield batch.slice(start, stop - start)
         start = stop
-    pa.default_memory_pool().release_unused()  # a worker lives on for other stages
+
+
+def free_memory() -> None:
+    """Give memory back that a worker, which lives on for other stages, holds but doesn't use."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def mixed(a: np.ndarray) -> np.ndarray:
