@@ -9,10 +9,10 @@ equi-join on shingles, and the long ones are only probed for those.
    The order only has to be the same everywhere; errors of the sketch cost time, not links.
 2. Texts with equal sets are one class from here on. Each class lists its rarest shingles (the prefix).
 3. Lists with one class are dropped, and each class learns how many shingles it can still share from a list on.
-4. Short lists give candidates. First every class of a list is paired with one pivot of it, twice, with few pivots and
-   then with one for each list, and links are joined to components. Only then are classes of different components paired
-   that share a list and can still reach T. So large groups of near copies cost as many pairs as they have members, and
-   their outliers more.
+4. Short lists give candidates. First the pivots of each list are paired with all its other classes, and links are
+   joined to components. In lists that are in several components then, every class is paired with one of another
+   component. Only then are all classes of different components paired that share a list and can still reach T. So large
+   groups of near copies cost as many pairs as they have members, and their outliers more.
 5. T-occurrence search: candidates of one query class meet in groups of bounded size. The query's lists over them are
    divided, a heap merges the short ones and counts occurrences, the long ones are searched by bisection for what is
    left, and candidates with T occurrences are linked.
@@ -41,11 +41,13 @@ from kinloom.plans.storage import Scratch
 
 SKETCH_BITS = 18
 SKETCH_PARTS = 32
-#: Bits of the bitmap of a set. It travels once for each pair that may be a link, and folded FOLD times with the entries
-#: of lists of LONG_LIST classes or more that are still in several components.
-BITMAP_BITS = 2048
-FOLD = 2
-LONG_LIST = 16
+#: Bits of the bitmap of a set for each of its shingles, up to the next power of two. It travels once for each pair that
+#: may be a link, and halved once with the entries of lists of LONG_LIST classes or more that are compared across components.
+BITMAP_BITS = 6
+LONG_LIST = 256
+#: Pivots of a list, each of which is paired with all classes that come after it.
+PIVOTS = 2
+HOT_RANK = 1_000_000
 #: A list may be hot if its hash range holds HOT_FACTOR times the mean. Rows of classes of HOT_COPIES rows or more are
 #: joined with their class where they lie.
 HOT_FACTOR = 8
@@ -125,6 +127,19 @@ def hot_level(sketch: np.ndarray) -> int:
     return max(3, int(np.log2(max(2.0, (HOT_FACTOR - 1) * mean / (3 * np.sqrt(mean) + 1)))))
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bit for each of 2 ** k remainders of the shingles, k by their number, as 64-bit words."""
+    size = max(64, 1 << (BITMAP_BITS * len(s) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(s % np.uint64(size)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+
 def signatures(docs: DataFrame, levels: np.ndarray, hot: int, o: Options) -> DataFrame:
     """Per text: doc_id, n (shingles), class (digest of the set), prefix (its rarest shingles, in the common order),
     cold (how many of them are below level ``hot``), last (where the prefix ends in that order, level and leading bits
@@ -132,9 +147,8 @@ def signatures(docs: DataFrame, levels: np.ndarray, hot: int, o: Options) -> Dat
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _batches(batches, o.width):
-            ns, classes, prefixes, cold, last = [], [], [], [], []
-            bits = np.zeros((len(sets), BITMAP_BITS), bool)
-            for k, s in enumerate(sets):
+            ns, classes, prefixes, cold, last, bits = [], [], [], [], [], []
+            for s in sets:
                 n = len(s)
                 ns.append(n)
                 if not n:
@@ -142,6 +156,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, hot: int, o: Options) -> Dat
                     prefixes.append(np.zeros(0, np.int64))
                     cold.append(0)
                     last.append(0)
+                    bits.append(np.zeros(0, np.int64))
                     continue
                 with np.errstate(over="ignore"):
                     a, b = s.sum(dtype=np.uint64), (s * s * np.uint64(0x9E3779B97F4A7C15) + (s >> np.uint64(7))).sum(dtype=np.uint64)
@@ -151,14 +166,10 @@ def signatures(docs: DataFrame, levels: np.ndarray, hot: int, o: Options) -> Dat
                 prefixes.append(s[first].view(np.int64))
                 cold.append(int(np.count_nonzero(level[first] < hot)))
                 last.append(int(level[first[-1]]) << 25 | int(s[first[-1]]) >> 39)
-                bits[k, (s % np.uint64(BITMAP_BITS)).astype(np.int64)] = True
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
-            packed = np.packbits(bits, axis=1).view(np.int64)
-            at = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * packed.shape[1])
+                bits.append(bitmap(s))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(ns, pa.int32()), pa.array(classes, pa.binary()), lists, pa.array(cold, pa.int32()),
-                 pa.array(last, pa.int32()), pa.ListArray.from_arrays(at, pa.array(packed.ravel()))],
+                [part.column("doc_id"), pa.array(ns, pa.int32()), pa.array(classes, pa.binary()), _lists(prefixes), pa.array(cold, pa.int32()),
+                 pa.array(last, pa.int32()), _lists(bits)],
                 ["doc_id", "n", "class", "prefix", "cold", "last", "bits"],
             )
 
@@ -181,7 +192,8 @@ def representatives(signed: DataFrame, reps: DataFrame, scratch: Scratch) -> Dat
 
 
 def shared_lists(own: DataFrame, o: Options) -> DataFrame:
-    """The inverted lists that several classes are in: token, rep, n, last, classes (in the list), left, rest.
+    """The inverted lists that several classes are in: token, rep, n, last, classes (in the list), rank (in the list, by
+    rep), left, rest.
 
     ``left`` and ``rest`` bound how many shingles the class can share with another, if this list is the first that both
     are in: ``left`` are all its shingles from this one on; ``rest`` are those behind its prefix, and its shared lists
@@ -191,20 +203,27 @@ def shared_lists(own: DataFrame, o: Options) -> DataFrame:
     Lists that the sketch calls hot are counted with a partial aggregate, and joined with their counts, which can be
     split over tasks; all others are counted where they meet.
     """
-    each = own.select(F.col("doc_id").alias("rep"), "n", "last", "cold", F.posexplode("prefix").alias("pos", "token"))
-    columns = ["token", "rep", "n", "last", "pos", "classes"]
+    columns = ["token", "rep", "n", "last", "pos", "classes", "rank"]
+
+    def exploded(first: Column, many: Column) -> DataFrame:
+        part = F.slice("prefix", first + 1, many)
+        each = own.select(F.col("doc_id").alias("rep"), "n", "last", first.alias("first"), F.posexplode(part).alias("at", "token"))
+        return each.select("token", "rep", "n", "last", (F.col("first") + F.col("at")).alias("pos"))
+
     by_token = Window.partitionBy("token")
-    cold = each.filter("pos < cold").withColumns(
-        {"several": F.min("rep").over(by_token) < F.max("rep").over(by_token), "classes": F.count(F.lit(1)).over(by_token)}
+    cold = exploded(F.lit(0), F.col("cold")).withColumns(
+        {"classes": F.count(F.lit(1)).over(by_token), "rank": F.dense_rank().over(by_token.orderBy("rep")),
+         "several": F.min("rep").over(by_token) < F.max("rep").over(by_token)}
     )
-    hot = each.filter("pos >= cold")
+    hot = exploded(F.col("cold"), F.size("prefix") - F.col("cold"))
     counted = hot.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("classes"))
-    hot = hot.join(counted.filter("low < high").select("token", "classes"), "token")
+    hot = hot.join(counted.filter("low < high"), "token").withColumn("rank", F.when(F.col("rep") == F.col("low"), 1).otherwise(HOT_RANK))
     kept = cold.filter("several").select(columns).unionByName(hot.select(columns)).distinct()
     by_rep = Window.partitionBy("rep")
     behind = F.floor((F.lit(o.similar) * F.col("n") + o.similar_of - 1) / o.similar_of) - 1  # n - prefix length
     later = F.count(F.lit(1)).over(by_rep.orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, 0))
-    return kept.select("token", "rep", "n", "last", "classes", (F.col("n") - F.col("pos")).alias("left"), (behind + later).cast("int").alias("rest"))
+    left, rest = (F.col("n") - F.col("pos")).alias("left"), (behind + later).cast("int").alias("rest")
+    return kept.select("token", "rep", "n", "last", "classes", "rank", left, rest)
 
 
 def _reach(x: str, y: str, o: Options) -> Column:
@@ -221,19 +240,34 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.when(earlier, F.col(f"{p}.rep")).otherwise(F.col(f"{q}.rep")).alias(n) for n, p, q in (("a", x, y), ("b", y, x))]
 
 
-def star_pairs(lists: DataFrame, o: Options, *by: str) -> DataFrame:
-    """(a, b): each class of a list with one class of it, the pivot; with ``component`` only across components.
+def star_pairs(lists: DataFrame, o: Options) -> DataFrame:
+    """(a, b): the pivots of each list, which have the smallest ranks, with all classes after them. Similar lists have the
+    same pivots, so that classes have few pairs. In hot lists one class has rank 1, and no other comes before the rest."""
+    x, y = lists.filter(F.col("rank") <= PIVOTS).alias("x"), lists.alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rank") < F.col("y.rank")) & (F.col("x.rep") != F.col("y.rep")) & _reach("x", "y", o))
+    return met.select(*_pair("x", "y")).distinct()
 
-    The pivot has the smallest hash of rep and ``by``: without ``by`` similar lists have few pivots and classes few
-    pairs, with the token each list has its own, and classes which share many lists meet many others.
-    """
-    order = F.xxhash64(*by, "rep")
-    apart = ["component"] if "component" in lists.columns else []
-    entry = F.struct(order.alias("h"), "rep", "n", "last", "left", "rest", *apart)
+
+def still_open(lists: DataFrame) -> DataFrame:
+    """The lists without their pivots, which have been paired with all others, if more than one class is left."""
+    return lists.filter((F.col("rank") > PIVOTS) & (F.col("classes") > F.when(F.col("rank") == HOT_RANK, 2).otherwise(PIVOTS + 1)))
+
+
+def across_components(lists: DataFrame, components: DataFrame) -> DataFrame:
+    """The lists that are in several components, with component."""
+    at = lists.drop("component").join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    at = at.withColumn("component", F.coalesce("component", "rep"))
+    both = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return at.join(both.select("token"), "token", "left_semi")
+
+
+def scattered_pairs(lists: DataFrame, o: Options) -> DataFrame:
+    """(a, b): each class of a list with one class of it that is in another component. Each list has its own pivot, by a
+    hash of token and rep, so that classes which share many lists meet many others."""
+    entry = F.struct(F.xxhash64("token", "rep").alias("h"), "rep", "n", "last", "left", "rest", "component")
     pivots = lists.groupBy("token").agg(F.min(entry).alias("p")).select("token", "p.*").alias("x")
     y = lists.alias("y")
-    far = F.col("x.component") != F.col("y.component") if apart else F.col("x.rep") != F.col("y.rep")
-    met = pivots.join(y, (F.col("x.token") == F.col("y.token")) & far & _reach("x", "y", o))
+    met = pivots.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _reach("x", "y", o))
     return met.select(*_pair("x", "y")).distinct()
 
 
@@ -245,14 +279,9 @@ def cross_pairs(lists: DataFrame, bitmaps: DataFrame, o: Options) -> DataFrame:
     """
     frequent = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
     main = frequent.groupBy("token").agg(F.max(F.struct("k", "component")).alias("m")).select("token", F.col("m.component").alias("main"))
+    bits = F.when(F.size("bits") > 1, _halved(F.col("bits"))).otherwise(F.col("bits"))
     placed = lists.join(main, "token").withColumn("h", F.xxhash64("rep"))
-    words = BITMAP_BITS // 64
-    folded = F.transform(
-        F.sequence(F.lit(0), F.lit(words // FOLD - 1)),
-        lambda i: F.aggregate(F.sequence(i, F.lit(words - 1), F.lit(words // FOLD)), F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.get("bits", k))),
-    )
-    bitmaps = bitmaps.select("rep", F.when(F.col("bits").isNotNull(), folded).alias("bits"))
-    long = placed.filter(F.col("classes") >= LONG_LIST).join(bitmaps, "rep", "left")
+    long = placed.filter(F.col("classes") >= LONG_LIST).join(bitmaps.select("rep", bits.alias("bits")), "rep", "left")
     short = placed.filter(F.col("classes") < LONG_LIST).withColumn("bits", F.lit(None).cast("array<bigint>"))
     placed = long.select(short.columns).unionByName(short)
     x, y = placed.filter("component <> main").alias("x"), placed.alias("y")
@@ -262,29 +291,37 @@ def cross_pairs(lists: DataFrame, bitmaps: DataFrame, o: Options) -> DataFrame:
     return met.select(*_pair("x", "y")).distinct()
 
 
+def _halved(bits: Column) -> Column:
+    """The bitmap of half as many remainders."""
+    half = (F.size(bits) / 2).cast("int")
+    return F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda u, v: u.bitwiseOR(v))
+
+
 def _alike(x: str, y: str, o: Options) -> Column:
     """Whether the bitmaps of x and y allow a link; true where there is none. A bit that only one set has stands for at
-    least one shingle that the other lacks."""
+    least one shingle that the other lacks. Sets that can be linked have bitmaps of one size, or one is twice as large."""
     den, both = o.similar + o.similar_of, o.similar * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+    p, q = F.col(f"{x}.bits"), F.col(f"{y}.bits")
+    p, q = F.when(F.size(p) > F.size(q), _halved(p)).otherwise(p), F.when(F.size(q) > F.size(p), _halved(q)).otherwise(q)
 
-    def lacking(p: str, q: str) -> Column:
-        only = F.zip_with(f"{p}.bits", f"{q}.bits", lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v))))
-        return F.aggregate(only, F.lit(0), lambda acc, n: acc + n) * den <= F.col(f"{p}.n") * den - both
+    def lacking(u: Column, v: Column, n: str) -> Column:
+        only = F.zip_with(u, v, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j))))
+        return F.aggregate(only, F.lit(0), lambda acc, k: acc + F.coalesce(k, F.lit(0))) * den <= F.col(f"{n}.n") * den - both
 
-    return F.coalesce(lacking(x, y) & lacking(y, x), F.lit(True))
+    return F.coalesce(lacking(p, q, x) & lacking(q, p, y), F.lit(True))
 
 
 def alike_pairs(pairs: DataFrame, bitmaps: DataFrame, o: Options) -> DataFrame:
     """The pairs (a, b) whose whole bitmaps (rep, n, bits) allow a link."""
     x, y = bitmaps.withColumnRenamed("rep", "a").alias("x"), bitmaps.withColumnRenamed("rep", "b").alias("y")
-    met = pairs.join(x, "a").join(y, "b")
-    return met.filter(_alike("x", "y", o)).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").filter(_alike("x", "y", o)).select("a", "b")
 
 
-def bitmap_table(own: DataFrame) -> DataFrame:
-    """rep, n, bits of each class. Where one id stands for different texts bits is null, so that pairs with it are made
-    and verified."""
-    both = own.groupBy(F.col("doc_id").alias("rep")).agg(F.min("n").alias("n"), F.min("bits").alias("low"), F.max("bits").alias("high"))
+def bitmap_table(own: DataFrame, ids: DataFrame) -> DataFrame:
+    """rep, n, bits of the classes in ``ids``. Where one id stands for different texts bits is null, so that pairs with it
+    are made and verified."""
+    own = own.select(F.col("doc_id").alias("rep"), "n", "bits").join(small(ids), "rep", "left_semi")
+    both = own.groupBy("rep").agg(F.min("n").alias("n"), F.min("bits").alias("low"), F.max("bits").alias("high"))
     return both.select("rep", "n", F.when(F.col("low") == F.col("high"), F.col("low")).alias("bits"))
 
 
@@ -422,33 +459,27 @@ def near_classes(docs: DataFrame, o: Options = Options()) -> DataFrame:
     rows = scratch.write(signed.select("doc_id", "n", "class"), "ngram-rows")
     own = representatives(signed, reps.filter("rep IS NOT NULL"), scratch)
     lists = scratch.write(shared_lists(own, o), "ngram-shared")
-    bitmaps = scratch.write(bitmap_table(own.select("doc_id", "n", "bits")), "ngram-bitmaps")
-    scratch.drop_all_but(reps, rows, lists, bitmaps)
+    own = scratch.write(own.select("doc_id", "n", "bits"), "ngram-bitmaps")
+    scratch.drop_all_but(reps, rows, lists, own)
 
     def edge_components(edges: DataFrame) -> DataFrame:
         return scratch.write(connected_components(edges, lambda df: scratch.write(df, "ngram-edges"), scratch.drop), "ngram-components")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Links among pairs that may be."""
-        likely = scratch.write(alike_pairs(pairs, bitmaps, o), "ngram-likely")
-        return scratch.write(verified(likely, docs, o, scratch), "ngram-links")
-
-    def placed(lists: DataFrame, components: DataFrame) -> DataFrame:
-        """The lists that are in several components, with component."""
-        at = lists.drop("component").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        at = at.withColumn("component", F.coalesce("component", "rep"))
-        both = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        return scratch.write(at.join(both.select("token"), "token", "left_semi"), "ngram-mixed")
-
-    first = linked(star_pairs(lists, o))
-    components = edge_components(first)
-    mixed = placed(lists, components)
-    second = linked(star_pairs(mixed, o, "token"))
-    links = first.unionByName(second)
-    components = edge_components(links)
-    mixed = placed(mixed, components)
-    third = linked(cross_pairs(mixed, bitmaps, o))
-    components = edge_components(links.unionByName(third))
+        pairs = scratch.write(pairs, "ngram-pairs")
+        ids = scratch.write(ends(pairs), "ngram-ids")
+        likely = scratch.write(alike_pairs(pairs, bitmap_table(own, ids), o), "ngram-likely")
+        links = scratch.write(verified(likely, docs, o, scratch), "ngram-links")
+        scratch.drop(pairs, ids, likely)
+        return links
+
+    links = linked(star_pairs(lists, o))
+    mixed = scratch.write(across_components(still_open(lists), edge_components(links)), "ngram-mixed")
+    links = links.unionByName(linked(scattered_pairs(mixed, o)))
+    mixed = scratch.write(across_components(mixed, edge_components(links)), "ngram-mixed")
+    ids = scratch.write(mixed.filter(F.col("classes") >= LONG_LIST).select("rep").distinct(), "ngram-ids")
+    components = edge_components(links.unionByName(linked(cross_pairs(mixed, bitmap_table(own, ids), o))))
     scratch.drop_all_but(reps, rows, components)
 
     table = reps.join(components.withColumnRenamed("node", "rep"), "rep", "left")
