@@ -44,7 +44,7 @@ SKETCH_PARTS = 32
 #: Bits of the bitmap of a set for each of its shingles, up to the next power of two. It travels once for each pair that
 #: may be a link, and halved once with the entries of lists of LONG_LIST classes or more that are compared across components.
 BITMAP_BITS = 6
-LONG_LIST = 256
+LONG_LIST = 64
 #: Pivots of a list, each of which is paired with all classes that come after it.
 PIVOTS = 2
 HOT_RANK = 1_000_000
