@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary, cut from a bounded sample of labelled texts. A text is encoded
+Each language has a raw-content zstandard dictionary, made of the whole texts of a bounded sample of labelled rows. A text is encoded
 whole, in pieces, with every dictionary; the language of the smallest encoding wins. A text is rejected when the best
 two encodings are too near each other.
 
@@ -15,6 +15,7 @@ predicted alike; extra columns are kept.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,12 +32,11 @@ RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
 @dataclass(frozen=True)
 class Options:
-    """``sample_docs`` labelled texts of each language are learned from at most, ``sample_chars`` of each, and
-    ``dictionary_bytes`` of them are kept. Texts are encoded in pieces of ``piece_bytes``. A text is rejected when
-    the best encoding is smaller than the second best by less than ``min_margin`` of the latter."""
+    """``sample_docs`` labelled rows of each language are learned from at most: their whole texts make up the dictionary,
+    in the order of the sample, until it has ``dictionary_bytes``. Texts are encoded in pieces of ``piece_bytes``. A
+    text is rejected when the best encoding is smaller than the second best by less than ``min_margin`` of the latter."""
 
-    sample_docs: int = 256
-    sample_chars: int = 4096
+    sample_docs: int = 128
     dictionary_bytes: int = 65536
     piece_bytes: int = 4096
     level: int = 6
@@ -44,7 +44,11 @@ class Options:
 
 
 def normalised(text: str) -> bytes:
-    return re.sub(r"[\W\d_]+", " ", text.lower()).strip().encode()
+    """The letters (``str.isalpha``), lower-cased, with one space for whatever stands between them."""
+    text = re.sub(r"[\W\d_]+", " ", text.lower())
+    if odd := [c for c in set(text) if c != " " and not c.isalpha()]:  # signs that count as numbers but are no digits
+        text = re.sub(f"[{re.escape(''.join(odd))} ]+", " ", text)
+    return text.strip().encode()
 
 
 def learn(labelled: DataFrame, options: Options = Options()) -> list[tuple[str, bytes]]:
@@ -58,24 +62,18 @@ def learn(labelled: DataFrame, options: Options = Options()) -> list[tuple[str,
     ids = known.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= options.sample_docs)
     chosen = F.broadcast(ids.select("doc_id", "lang").distinct())  # at most sample_docs rows a language
     rows = (
-        known.select("doc_id", "lang", F.substring("text", 1, options.sample_chars).alias("text"))
+        known.select("doc_id", "lang", "text")
         .join(chosen, ["doc_id", "lang"], "left_semi")
         .distinct()
         .collect()
     )
     parts: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        if body := normalised(r["text"]):
-            parts.setdefault(r["lang"], []).append(body)
-    models = [(lang, _cut(bodies, options.dictionary_bytes)) for lang, bodies in parts.items()]
-    return sorted(models, key=lambda m: (-sum(map(len, parts[m[0]])), m[0]))
-
-
-def _cut(bodies: list[bytes], most: int) -> bytes:
-    """The same share of every text, ``most`` bytes in all."""
-    total = sum(map(len, bodies)) + len(bodies)
-    share = min(1.0, most / max(1, total))
-    return b" ".join(b[: max(16, int(len(b) * share))] for b in bodies)[:most]
+    for r in sorted(rows, key=lambda r: (r["lang"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"])):
+        own = parts.setdefault(r["lang"], [])
+        if (body := normalised(r["text"])) and sum(map(len, own)) < options.dictionary_bytes:
+            own.append(body)
+    models = [(lang, b" ".join(bodies)) for lang, bodies in parts.items() if bodies]
+    return sorted(models, key=lambda m: (-len(m[1]), m[0]))
 
 
 class Classifier:
