@@ -4,16 +4,21 @@ Values are found by pattern, validated, and permuted within their format by a ke
 values get equal pseudonyms in every document, different values different ones, and no table of them is kept:
 
 * card    13 to 19 digits with a right Luhn digit: the other digits are permuted and the Luhn digit is set anew
-* phone   10 national digits, with or without +1, or + and a country code: the digits after the code are permuted
+* phone   10 national digits of the North American plan, with or without +1: area code, and exchange with line, are
+          permuted, and each of the two keeps whether its first digit is 2 or more, as valid ones have it; or + and an
+          assigned country code with 8 to 15 digits in all: the digits after the code are permuted
 * ssn     ddd-dd-dddd in the valid range: permuted within that range
 * ip      four numbers to 255: permuted as 32 bits
 * date    yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy that exists, from 1800 to 2199: permuted among all days of these years
-* email   the local part: letters and digits are permuted, each keeps its kind
+* email   the local part: letters and digits are permuted, each keeps its kind; one alone never stays as it is
 
 The same value in another notation (spaces, hyphens, date order) has the same pseudonym in that notation. Numbers that
 fail validation are left alone.
 
-Edge cases: null text stays null; values are found wherever they stand in a text, whatever its length; digits inside
+The key is a literal of the query plan. Sites that keep plans or event logs should set
+``spark.sql.redaction.string.regex`` so that it matches the key.
+
+Edge cases: null text stays null; repeated rows get equal pseudonyms; values are found wherever they stand in a text, whatever its length; digits inside
 words and longer numbers are no values; extra columns are kept, but those named like the added counts are replaced.
 """
 
@@ -26,16 +31,21 @@ ROUNDS = 8
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 #: In the order in which they are tried at a place of a text.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-])",
+    "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![A-SU-Za-z0-9_-]|T(?!\d))",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){3,4})(?![\w-])",
+    "phone": r"(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){3,4}|\+\d{8,15})(?![\w-])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 FIRST_DAY, DAYS = "1800-01-01", (27, 5411)  # 146,097 days, a whole Gregorian cycle
 SSN_PARTS = (898 * 99, 9999)
+#: Assigned country codes of one and two digits; all others have three (ITU-T E.164).
+SHORT_CODES = (
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55",
+    "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
 
 
 def _number(key: str, label: str, i: Column, other: Column) -> Column:
@@ -44,9 +54,9 @@ def _number(key: str, label: str, i: Column, other: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def permuted_pair(x: Column, y: Column, sizes: tuple[int, int], key: str, label: str) -> Column:
-    """Keyed permutation of pairs (x, y) with x below sizes[0] and y below sizes[1], as struct(x, y)."""
-    a, b = (F.lit(s).cast("bigint") for s in sizes)
+def permuted_pair(x: Column, y: Column, sizes: tuple, key: str, label: str) -> Column:
+    """Keyed permutation of pairs (x, y) with x below sizes[0] and y below sizes[1] (numbers or columns), as struct(x, y)."""
+    a, b = ((s if isinstance(s, Column) else F.lit(s)).cast("bigint") for s in sizes)
 
     def turn(s: Column, i: Column) -> Column:
         left = F.struct(F.pmod(s["x"] + _number(key, label, i, s["y"]), a).alias("x"), s["y"].alias("y"))
@@ -116,12 +126,31 @@ def _card(m: Column, key: str) -> Column:
     return _refilled(m, F.concat(body, check.cast("string")))
 
 
+def _abroad(m: Column) -> Column:
+    """Whether a phone number has a country code other than 1."""
+    return m.startswith("+") & ~_digits(m).startswith("1")
+
+
+def _code_length(d: Column) -> Column:
+    return F.when(F.substring(d, 1, 1).isin("1", "7"), 1).when(F.substring(d, 1, 2).isin(*SHORT_CODES), 2).otherwise(3)
+
+
 def _phone(m: Column, key: str) -> Column:
-    """The last ten digits, or those after the country code."""
     d = _digits(m)
-    n = F.when(F.length(d) >= 10, 10).otherwise(F.length(d) - F.length(F.regexp_extract(m, r"^\+(\d{1,3})", 1)))
-    own = F.substring(d, F.length(d) - n + 1, n)
-    return _refilled(m, F.concat(F.substring(d, F.lit(1), F.length(d) - n), permuted_text(own, key, "phone")))
+    code = F.when(_abroad(m), _code_length(d)).otherwise(F.length(d) - 10)
+    own = F.substring(d, code + 1, F.length(d) - code)
+    number = lambda first, n: F.substring(own, first, n).cast("bigint")
+    low = lambda v: F.when(v < 200, 0).otherwise(200)
+    size = lambda v: F.when(v < 200, 200).otherwise(800)
+    area, exchange = number(1, 3), number(4, 3)
+    sizes = size(area), size(exchange) * 10_000
+    home = permuted_pair(area - low(area), (exchange - low(exchange)) * 10_000 + number(7, 4), sizes, key, "phone")
+
+    def write(s: Column) -> Column:
+        return F.concat(F.lpad((s["x"] + low(area)).cast("string"), 3, "0"), F.lpad((s["y"] + low(exchange) * 10_000).cast("string"), 7, "0"))
+
+    fresh = F.when(_abroad(m), permuted_text(own, key, "phone")).otherwise(F.transform(F.array(home), write)[0])
+    return _refilled(m, F.concat(F.substring(d, F.lit(1), code), fresh))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -167,7 +196,10 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    return F.concat(permuted_text(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    local = F.substring_index(m, "@", 1)
+    kinds = F.when(local.rlike("^[0-9]$"), 10).otherwise(26)
+    alone = _turned(local, 1 + F.pmod(_number(key, "email", F.lit(0), F.lit("")), kinds - 1))
+    return F.concat(F.when(F.length(local) == 1, alone).otherwise(permuted_text(local, key, "email")), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def kind_of(m: Column) -> Column:
@@ -178,13 +210,15 @@ def kind_of(m: Column) -> Column:
     ssn = area.between(1, 899) & (area != 666) & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000")
     d = _digits(m)
     card = F.length(d).between(13, 19) & (luhn_sum(d, False) % 10 == 0)
+    phone = ~_abroad(m) & (F.length(d) - F.when(d.startswith("1"), 1).otherwise(0) >= 10) & (F.length(d) <= 11)
+    phone = phone | (_abroad(m) & F.length(d).between(8, 15) & ~d.startswith("0"))
     shape = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
     return (
         F.when(m.contains("@"), "email")
         .when(shape("ip"), F.when(ip, "ip"))
         .when(shape("date"), F.when(in_range, "date"))
         .when(shape("ssn"), F.when(ssn, "ssn"))
-        .when(shape("phone"), "phone")
+        .when(shape("phone"), F.when(phone, "phone"))
         .when(card, "card")
     )
 
