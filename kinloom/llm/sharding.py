@@ -6,7 +6,8 @@ binary search, and the order is cut there. Groups larger than an equal share get
 no cut can make those smaller, and the others share the remaining shards.
 
 The driver never sees the groups: it sees sums over hash ranges, and refines only the ranges in which a cut can
-fall, so that it holds some ten thousands of sums at any input size. Assignment compares a row's hash with at most
+fall, down to single hashes. Their number follows the square of the shards and the largest range by the mean, not the
+input: some ten thousands for 8 shards. Assignment compares a row's hash with at most
 ``n_shards`` bounds. A hash value shared by different texts makes them one group, which is harmless.
 
 Edge cases: null texts are one group and count no bytes; sizes are UTF-8 bytes plus 1, so nothing is weightless;
@@ -25,9 +26,8 @@ from pyspark.sql import functions as F
 from kinloom.llm.common import written
 
 FIRST_BITS = 12
-#: Hash ranges that one refinement reads to the driver at most. Should more ranges than this hold a possible cut, the
-#: cut is placed between ranges instead of between texts.
-MOST_SUMS = 1 << 17
+#: Hash ranges that one refinement reads to the driver, unless more than half as many hold a possible cut: those are halved.
+SUMS = 1 << 17
 SLOT_GROUP_ROWS = 20_000
 
 
@@ -98,9 +98,9 @@ def plan_shards(groups: DataFrame, n_shards: int) -> tuple[list[int], list[int]]
     items = sorted((r["d"] << (64 - bits), bits, r["s"]) for r in rows)  # (lowest key, bits, size)
     while bits < 64 and items:
         cut = {items[i][0] >> (64 - bits) for i in _windows([s for _, _, s in items], k) if items[i][1] == bits}
-        finer = min(64, bits + max(0, (MOST_SUMS // max(1, len(cut))).bit_length() - 1))
-        if not cut or finer == bits:
+        if not cut:
             break
+        finer = min(64, bits + max(1, (SUMS // len(cut)).bit_length() - 1))
         rows = (
             shared.filter(_prefix(F.col("key"), bits).isin(sorted(cut)))
             .groupBy(_prefix(F.col("key"), finer).alias("d"))
@@ -133,19 +133,19 @@ def _windows(sizes: list[int], k: int) -> list[int]:
     return sorted(out)
 
 
-def assign_keyed(sized: DataFrame, n_shards: int, order: tuple[str, ...]) -> DataFrame:
-    """Add ``shard`` and ``slot`` to rows with ``key`` and ``size``; rows of one key stay together.
+def assign_keyed(sized: DataFrame, n_shards: int, order: tuple[str, ...], key: str = "key") -> DataFrame:
+    """Add ``shard`` and ``slot`` to rows with ``key`` (named here) and ``size``; rows of one key stay together.
 
     The narrow columns are written first: planning reads them several times, and the texts only once.
     """
     sized = written(sized, "shard-sizes")
-    alone, bounds = plan_shards(sized.select("key", "size"), n_shards)
+    alone, bounds = plan_shards(sized.select(F.col(key).alias("key"), "size"), n_shards)
     shard = F.lit(len(alone))
     for i, b in enumerate(bounds):
-        shard = F.when(F.col("key") > b, len(alone) + i + 1).otherwise(shard)
-    for i, key in enumerate(alone):
-        shard = F.when(F.col("key") == key, i).otherwise(shard)
-    return with_slots(sized.withColumn("shard", shard.cast("int")), order)
+        shard = F.when(F.col(key) > b, len(alone) + i + 1).otherwise(shard)
+    for i, k in enumerate(alone):
+        shard = F.when(F.col(key) == k, i).otherwise(shard)
+    return with_slots(sized.withColumn("shard", shard.cast("int")), (*order, key))
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 8, text: str = "text", order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -153,21 +153,22 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, text: str = "text", order:
 
     Texts are written with the rows that the numbering deals out.
     """
-    docs = docs.drop("size", "shard", "slot", "key")
-    sized = docs.withColumns({"size": text_size(docs[text]), "key": group_key(docs[text])})
-    return assign_keyed(sized, n_shards, order).drop("key")
+    docs = docs.drop("size", "shard", "slot")
+    sized = docs.withColumns({"size": text_size(docs[text]), "__key": group_key(docs[text])})
+    return assign_keyed(sized, n_shards, order, "__key").drop("__key")
 
 
 def with_slots(placed: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Number the rows of each shard without one task per shard: by hash parts of bounded size, then offsets."""
+    """Number the rows of each shard, dealt out by a hash of ``order``, without one task per shard: by hash parts of
+    bounded size, then offsets."""
     n = placed.count()
     parts = max(1, -(-n // SLOT_GROUP_ROWS))
-    dealt = F.xxhash64(*order, "key")
+    dealt = F.xxhash64(*order)
     placed = placed.withColumns({"__deal": dealt, "__part": F.pmod(dealt, F.lit(parts))})
     counts = placed.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    within = Window.partitionBy("shard", "__part").orderBy("__deal", *order, "key")
+    within = Window.partitionBy("shard", "__part").orderBy("__deal", *order)
     numbered = placed.withColumn("__row", F.row_number().over(within))
     numbered = numbered.join(offsets, ["shard", "__part"])
     slot = (F.col("__offset") + F.col("__row") - 1).cast("long")
