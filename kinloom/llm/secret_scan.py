@@ -4,7 +4,7 @@ The field tags the tokens of a line as B (a secret begins), I (it goes on) or O.
 secrets are written in; their features are shape (length, kinds of characters and changes between them), neighbouring
 words (names like password, signs like = and quotes before the token) and file features (of the whole text). It is
 trained here: on lines of a bounded sample of documents, labelled by the patterns, some of which get generated secrets
-put in. Decoding is Viterbi, and exact: a line is skipped only if an upper bound shows that no path beats all-O.
+put in, and others what looks like one and isn't (addresses, paths, versions, digests of files, names in code). Decoding is Viterbi, and exact: a line is skipped only if an upper bound shows that no path beats all-O.
 
 Spans count code points, the end is exclusive. Spans that the field finds are added unless they overlap a pattern's.
 
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.tokens import slices
+from kinloom.llm.tokens import free_memory, slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -33,20 +33,22 @@ HEX = re.compile(r"[0-9a-f]+")
 BASE = ("assign", "access", "hex")
 ADDED = "crf"
 NAMES = re.compile(rb"passw|passphrase|pwd|secret|token|api_?key|auth|bearer|credential|private|access_?key")
+#: Endings of file and host names.
+ENDINGS = re.compile(rb"\.(?:com|org|net|edu|gov|io|dev|html?|php|js|css|json|ya?ml|xml|txt|csv|md|py|java|cpp?|go|rs|png|jpe?g|gif|svg|pdf|zip|gz|tar|exe|log)\b")
 
 O, B, I = 0, 1, 2
-N_FEATURES = 30
+N_FEATURES = 36
 BLOCKED = -1e4
 
 
 @dataclass(frozen=True)
 class Options:
-    """The field learns from ``sample_docs`` texts at most, ``sample_chars`` of each, and from as many generated lines."""
+    """The field learns from lines of ``sample_docs`` whole texts at most, from ``generated`` lines with a secret and from
+    as many without."""
 
-    sample_docs: int = 600
-    sample_chars: int = 4000
-    generated: int = 600
-    steps: int = 120
+    sample_docs: int = 300
+    generated: int = 500
+    steps: int = 100
     seed: int = 5
 
 
@@ -67,24 +69,23 @@ _HEX[48:58] = _HEX[97:103] = True
 
 
 class Tokens:
-    """Tokens of a buffer of texts with features; ``bounds`` are the texts' byte offsets in it."""
+    """Tokens of texts with features, in a buffer where a line end follows each text, so that nothing reaches over its
+    end; ``bounds`` are the texts' offsets in the buffer."""
 
-    def __init__(self, body: bytes, bounds: np.ndarray) -> None:
+    def __init__(self, texts: list[bytes]) -> None:
+        body = b"\n".join([*texts, b""])
+        bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)])
+        self.body, self.bounds = body, bounds
         raw = np.frombuffer(body, np.uint8)
         kind = _CLASS[raw]
         inside = kind > 0
         step = np.diff(inside.astype(np.int8), prepend=0, append=0)
         starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        cuts = bounds[1:-1]  # a token never reaches over the end of a text
-        at = np.searchsorted(starts, cuts, side="left") - 1
-        cut = cuts[(at >= 0) & (len(starts) > 0) & (ends[np.maximum(at, 0)] > cuts)] if len(starts) else cuts[:0]
-        cut = np.unique(cut)
-        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
         self.start, self.end = starts, ends
         n = len(starts)
         self.text = np.searchsorted(bounds, starts, side="right") - 1
         lines = np.flatnonzero(raw == 10)
-        self.line = np.searchsorted(lines, starts) + self.text  # rises at line ends and at text ends
+        self.line = np.searchsorted(lines, starts)
         self.x = np.zeros((n, N_FEATURES), np.float32)
         if not n:
             self.named = np.zeros(0, bool)
@@ -100,6 +101,12 @@ class Tokens:
         change = np.zeros(len(raw), bool)
         change[1:] = (kind[1:] != kind[:-1]) & inside[1:] & inside[:-1]
         changes = per_token(change)
+        dots, slashes = per_token(raw == 46), per_token(raw == 47)
+        words = per_token(np.append((kind[1:] == 4) & (kind[:-1] == 3), False))  # small letters that a sign ends
+        known = np.zeros(n, bool)
+        ended = np.array([m.end() for m in ENDINGS.finditer(body)], np.int64)
+        at = np.searchsorted(ends, ended)
+        known[at[(at < n) & (ends[np.minimum(at, n - 1)] == ended)]] = True
         hits = np.array([m.start() for m in NAMES.finditer(body.lower())], np.int64)
         named = np.zeros(n, bool)
         own = np.searchsorted(starts, hits, side="right") - 1
@@ -122,6 +129,7 @@ class Tokens:
             mixed & (hexed == size) & (size >= 16),
             named, back(named, 1), back(named, 2), next_named, between("="), between(":"), between("\"'"),  # neighbours
             back(mixed & (size >= 8), 1) & (starts - gap0 == 1), between("@"), np.append(between("@")[1:], False),
+            dots >= 1, dots * 8 >= size, slashes >= 2, back(slashes >= 1, 1) & between(":"), known, words >= 3,
             per_text(named)[self.text] > 0, per_text(mixed & (size >= 16))[self.text] * 20 > count[self.text],  # file
         )):
             self.x[:, k] = f
@@ -224,14 +232,12 @@ def train(lines: list[tuple[np.ndarray, np.ndarray]], steps: int, rate: float =
 
 
 def _labelled(texts: list[str], marked: list[list[tuple[int, int]]], longest: int = 48) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features and tags by line; ``marked`` are the secrets of each text, in bytes. Long lines are cut for training."""
-    bodies = [t.encode() for t in texts]
-    bounds = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
-    t = Tokens(b"".join(bodies), bounds)
+    """Features and tags by line; ``marked`` are the secrets of each text, in bytes. Long lines become several chains."""
+    t = Tokens([t.encode() for t in texts])
     y = np.zeros(len(t.start), np.int64)
     for k, spans in enumerate(marked):
         for a, b in spans:
-            own = np.flatnonzero((t.start < bounds[k] + b) & (t.end > bounds[k] + a))
+            own = np.flatnonzero((t.start < t.bounds[k] + b) & (t.end > t.bounds[k] + a))
             y[own], y[own[:1]] = I, B
     out = []
     for part in np.split(np.arange(len(y)), np.flatnonzero(np.diff(t.line)) + 1):
@@ -250,9 +256,13 @@ def _generated(rng: np.random.Generator, lines: list[str], n: int) -> tuple[list
         s = "".join(letters[i] for i in rng.integers(0, len(letters), rng.integers(16, 64)))
         if rng.random() < 0.15:  # written in groups
             s = ":".join(s[i : i + 8] for i in range(0, len(s), 8))
-        if rng.random() < 0.2:
-            s = ["sk_live_", "ghp_", "AKIA", "xoxb-"][rng.integers(4)] + s
-        put = forms[rng.integers(len(forms))].format(n=names[rng.integers(len(names))], s=s)
+        own = rng.random() < 0.4  # letters that say whose secret it is
+        if own:
+            s = "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 6))) + "_-"[rng.integers(2)] + s
+        elif rng.random() < 0.15:
+            s = ".".join(s[i : i + len(s) // 3 + 1] for i in range(0, len(s), len(s) // 3 + 1))
+        bare = rng.random() < (0.5 if own else 0.2) and letters is alphabets[2]
+        put = s if bare else forms[rng.integers(len(forms))].format(n=names[rng.integers(len(names))], s=s)
         line = lines[rng.integers(len(lines))] if lines and rng.random() < 0.7 else ""
         words = line.split(" ")
         at = int(rng.integers(0, len(words) + 1))
@@ -263,18 +273,49 @@ def _generated(rng: np.random.Generator, lines: list[str], n: int) -> tuple[list
     return texts, spans
 
 
+def _harmless(rng: np.random.Generator, lines: list[str], n: int) -> list[str]:
+    """Lines with something that looks like a secret and isn't."""
+    lower, hexed = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+    some = lambda letters, a, b: "".join(letters[i] for i in rng.integers(0, len(letters), rng.integers(a, b)))
+    word, number = lambda: some(lower, 3, 11), lambda: int(rng.integers(0, 10 ** int(rng.integers(1, 7))))
+    tops, files = ("com", "org", "net", "io"), ("html", "py", "json", "png", "log", "csv", "tar.gz")
+    host = lambda: f"{word()}{number() % 100 if rng.random() < 0.5 else ''}.{word()}.{tops[rng.integers(4)]}"
+    kinds = (
+        lambda: f"{word()}.{word()}{number() % 100}@{host()}", lambda: f"{word()}{number()}@{host()}", lambda: host(),
+        lambda: f"https://{host()}/{word()}/{number()}/{word()}-{word()}-{number()}.{files[rng.integers(7)]}?id={number()}",
+        lambda: f"/usr/{word()}/{word()}_{number()}/{word()}.{files[rng.integers(7)]}",
+        lambda: f"{word()}_{word()}_{number()}", lambda: "".join(word().title() for _ in range(rng.integers(2, 5))) + str(number() % 10), lambda: f"v{number() % 20}.{number() % 30}.{number() % 99}-beta{number() % 9}",
+        lambda: f"{int(rng.integers(1900, 2100))}-{int(rng.integers(1, 13)):02d}-{int(rng.integers(1, 29)):02d}T10:{int(rng.integers(10, 60))}:00",
+        lambda: f"commit {some(hexed, 7, 13)}", lambda: "-".join(some(hexed, k, k + 1) for k in (8, 4, 4, 4, 12)), lambda: f"+1 ({number()}) {number()}-{number()}",
+        lambda: " ".join(str(int(rng.integers(1000, 9999))) for _ in range(4)), lambda: f"the {('secret', 'token', 'password', 'private')[rng.integers(4)]} {word()} of {word()}",
+        lambda: f"ISBN {number()}-{number()}-{number()}", lambda: f"{word()}-{word()}-{word()}-{word()}",
+    )
+    out = []
+    for _ in range(n):
+        words = (lines[rng.integers(len(lines))] if lines and rng.random() < 0.7 else "").split(" ")
+        at = int(rng.integers(0, len(words) + 1))
+        out.append(" ".join([*words[:at], kinds[rng.integers(len(kinds))](), *words[at:]]))
+    return out
+
+
 def learn(docs: DataFrame, o: Options = Options()) -> Field:
     """Field from a bounded sample of (doc_id, text): the rows with the smallest hash of doc_id."""
     known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(o.sample_docs).distinct()
-    rows = known.select("doc_id", F.substring("text", 1, o.sample_chars).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
-    texts = [r["text"] for r in sorted(rows.distinct().collect(), key=lambda r: (r["doc_id"], r["text"]))]
+    rows = known.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    return fit([r["text"] for r in sorted(rows.distinct().collect(), key=lambda r: (r["doc_id"], r["text"]))], o)
+
+
+def fit(texts: list[str], o: Options) -> Field:
+    """Field from sampled texts and generated lines."""
     rng = np.random.Generator(np.random.PCG64(o.seed))
     marked = [[(len(t[:a].encode()), len(t[:b].encode())) for *_, (a, b) in base_spans(t)] for t in texts]
     lines = _labelled(texts, marked)
     order = rng.permutation(len(lines))[: 2 * o.generated]
-    whole = [x for t in texts for x in t.split("\n") if 0 < len(x) < 600]
-    lines = [lines[k] for k in order] + _labelled(*_generated(rng, whole, o.generated))
+    whole = [x for t in texts for x in t.split("\n") if x]
+    harmless = _harmless(rng, whole, o.generated)
+    found = [[(len(t[:a].encode()), len(t[:b].encode())) for *_, (a, b) in base_spans(t)] for t in harmless]
+    lines = [lines[k] for k in order] + _labelled(*_generated(rng, whole, o.generated)) + _labelled(harmless, found)
     return train(lines, o.steps)
 
 
@@ -285,11 +326,8 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                column = pc.fill_null(part.column("text"), "").cast(pa.binary())
-                sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
-                bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-                body = b"".join(column.to_pylist())
-                t = Tokens(body, bounds)
+                texts = pc.fill_null(part.column("text"), "").cast(pa.binary()).to_pylist()
+                t = Tokens(texts)
                 extra: dict[int, list[tuple[int, int]]] = {}
                 for a, b in field.decode(t.x @ field.emit, t.line):
                     extra.setdefault(int(t.text[a]), []).append((int(t.start[a]), int(t.end[b - 1])))
@@ -297,14 +335,15 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
                 doubt = set(np.unique(t.text[t.named | (t.end - t.start >= 16)]).tolist()) | set(extra)
                 out: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 for k in sorted(doubt):
-                    raw = body[bounds[k] : bounds[k + 1]]
+                    raw, first = texts[k], int(t.bounds[k])
                     text = raw.decode()
                     spans = [(a, b, kind) for a, b, kind, _ in base_spans(text)]
-                    places = [(len(raw[: a - bounds[k]].decode()), len(raw[: b - bounds[k]].decode())) for a, b in extra.get(k, [])]
+                    places = [(len(raw[: a - first].decode()), len(raw[: b - first].decode())) for a, b in extra.get(k, [])]
                     spans += [(a, b, ADDED) for a, b in places if not any(a < y and x < b for x, y, _ in spans)]
                     out[k] = [{"kind": c, "start": a, "end": b} for a, b, c in sorted(spans, key=lambda s: (s[0], order[s[2]], s[1]))]
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, kind)], ["doc_id", "spans"])
+        free_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, spans array<struct<kind:string,start:int,end:int>>")
