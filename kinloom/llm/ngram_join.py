@@ -203,12 +203,12 @@ def shared_lists(own: DataFrame, o: Options) -> DataFrame:
     Lists that the sketch calls hot are counted with a partial aggregate, and joined with their counts, which can be
     split over tasks; all others are counted where they meet.
     """
-    columns = ["token", "rep", "n", "last", "pos", "classes", "rank"]
+    columns = ["token", "rep", "pos", "classes", "rank"]
 
     def exploded(first: Column, many: Column) -> DataFrame:
         part = F.slice("prefix", first + 1, many)
-        each = own.select(F.col("doc_id").alias("rep"), "n", "last", first.alias("first"), F.posexplode(part).alias("at", "token"))
-        return each.select("token", "rep", "n", "last", (F.col("first") + F.col("at")).alias("pos"))
+        each = own.select(F.col("doc_id").alias("rep"), first.alias("first"), F.posexplode(part).alias("at", "token"))
+        return each.select("token", "rep", (F.col("first") + F.col("at")).alias("pos"))
 
     by_token = Window.partitionBy("token")
     cold = exploded(F.lit(0), F.col("cold")).withColumns(
@@ -219,11 +219,18 @@ def shared_lists(own: DataFrame, o: Options) -> DataFrame:
     counted = hot.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("classes"))
     hot = hot.join(counted.filter("low < high"), "token").withColumn("rank", F.when(F.col("rep") == F.col("low"), 1).otherwise(HOT_RANK))
     kept = cold.filter("several").select(columns).unionByName(hot.select(columns)).distinct()
+
+    # sizes come in now, where most entries are gone; an id that stands for several texts gets bounds that hold for all
+    facts = own.groupBy(F.col("doc_id").alias("rep")).agg(
+        F.min("n").alias("n"), F.max("n").alias("most"), F.max("last").alias("last"), (F.min("class") < F.max("class")).alias("mixed")
+    )
+    kept = kept.join(facts, "rep")
     by_rep = Window.partitionBy("rep")
-    behind = F.floor((F.lit(o.similar) * F.col("n") + o.similar_of - 1) / o.similar_of) - 1  # n - prefix length
+    behind = F.floor((F.lit(o.similar) * F.col("most") + o.similar_of - 1) / o.similar_of) - 1  # n - prefix length
     later = F.count(F.lit(1)).over(by_rep.orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, 0))
-    left, rest = (F.col("n") - F.col("pos")).alias("left"), (behind + later).cast("int").alias("rest")
-    return kept.select("token", "rep", "n", "last", "classes", "rank", left, rest)
+    left, rest = (F.col("most") - F.col("pos")).alias("left"), F.when(F.col("mixed"), F.lit(2**30)).otherwise(behind + later).cast("int").alias("rest")
+    last = F.when(F.col("mixed"), -1).otherwise(F.col("last")).alias("last")
+    return kept.select("token", "rep", "n", last, "classes", "rank", left, rest)
 
 
 def _reach(x: str, y: str, o: Options) -> Column:
