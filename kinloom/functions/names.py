@@ -21,7 +21,10 @@ SUFFIXES = (
     "ז\"ל", "זצ\"ל", "זצוק\"ל", "זי\"ע", "ע\"ה", "הי\"ד", "נ\"ע", "שליט\"א", "שיחי'", "שי'", "תחי'", "שתחי'",
     "זצוקללה\"ה", "נבג\"מ", "זיע\"א", "יבלחט\"א", "יבדל\"א", "שיבדל\"א", "הכ\"מ",
 )
-LETTERS, VALUES = "אבגדהוזחטיכךלמםנןסעפףצץקרשת", (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 20, 20, 30, 40, 40, 50, 50, 60, 70, 80, 80, 90, 90, 100, 200, 300, 400)
+LETTER_VALUES = {
+    "א": 1, "ב": 2, "ג": 3, "ד": 4, "ה": 5, "ו": 6, "ז": 7, "ח": 8, "ט": 9, "י": 10, "כ": 20, "ך": 20, "ל": 30, "מ": 40, "ם": 40, "נ": 50, "ן": 50,
+    "ס": 60, "ע": 70, "פ": 80, "ף": 80, "צ": 90, "ץ": 90, "ק": 100, "ר": 200, "ש": 300, "ת": 400,
+}
 
 
 def _without(words: Column, drop: tuple[str, ...]) -> Column:
@@ -46,15 +49,35 @@ def alias_key(name: Column) -> Column:
     return F.array_join(name_words(name), " ")
 
 
+def mention_surname(name: Column) -> Column:
+    """Surname of an unlinked name: the last word, if there are two without titles."""
+    w = _without(F.split(normalize_quotes(F.coalesce(name, F.lit(""))), r"\s+"), HONORIFICS)
+    return F.when(F.size(w) >= 2, F.element_at(w, -1)).otherwise("")
+
+
+def plain_surname(surname: Column) -> Column:
+    """Spelling of a surname that is compared: an alef at the end of five letters or more goes."""
+    return F.when((F.length(surname) >= 5) & surname.endswith("א"), F.left(surname, F.length(surname) - 1)).otherwise(surname)
+
+
+def key_words(name: Column) -> Column:
+    """Words that are compared: hyphens part words, signs at their ends, titles and blessings go, the last of two or more
+    is spelled as ``plain_surname`` does. What stands in parentheses stays."""
+    parts = F.split(F.replace(normalize_quotes(F.coalesce(name, F.lit(""))), F.lit("-"), F.lit(" ")), r"\s+")
+    parts = F.transform(parts, lambda w: F.regexp_replace(w, r"^[(),.;:'\"]+|[(),.;:'\"]+$", ""))
+    w = _without(parts, HONORIFICS + SUFFIXES)
+    last = plain_surname(F.try_element_at(w, F.lit(-1)))
+    return F.when(F.size(w) >= 2, F.concat(F.slice(w, F.lit(1), F.size(w) - 1), F.array(last))).otherwise(w)
+
+
 def name_key(name: Column) -> Column:
-    """What is compared: words without titles; an alef at the end of a last word of five letters or more goes."""
-    key = F.array_join(name_words(name), " ")
-    return F.regexp_replace(key, r"(?<=[^\s]{4})א$", "")
+    """``key_words``, joined."""
+    return F.array_join(key_words(name), " ")
 
 
 def given_part(name: Column) -> Column:
-    """The name up to the maiden name."""
-    return F.trim(F.split(name_key(name), r"\sלבית(\s|$)", 2)[0])
+    """``name_key`` of the name up to the maiden name."""
+    return name_key(F.split(name, r"\s+לבית\s+", 2)[0])
 
 
 @F.pandas_udf(DoubleType())
@@ -76,25 +99,33 @@ def names_match_plain(a: Column, b: Column) -> Column:
 
 def names_match(a: Column, b: Column, ratio: float = 0.85, given: float = 0.7) -> Column:
     """``names_match_plain``, or similar spelling; with one surname in common, the rest must be similar as well."""
-    x, y = name_key(a), name_key(b)
+    x, y = given_part(a), given_part(b)
+    some = (F.length(x) > 0) & (F.length(y) > 0)
     wx, wy = F.split(x, " "), F.split(y, " ")
     shared = (F.size(wx) > 1) & (F.size(wy) > 1) & (F.element_at(wx, -1) == F.element_at(wy, -1))
-    head = lambda w: F.array_join(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(1))), " ")
+    head = lambda w: F.array_join(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), " ")
     near = (match_ratio(x, y) >= ratio) & (~shared | (match_ratio(head(wx), head(wy)) >= given))
-    return names_match_plain(a, b) | near
+    return names_match_plain(a, b) | (some & near)
 
 
 def similar_surname_plain(a: Column, b: Column, least: int = 4) -> Column:
-    """Equal, or one the beginning of the other with ``least`` letters at least."""
-    short = F.least(F.length(a), F.length(b))
-    return (a == b) | ((short >= least) & (a.startswith(b) | b.startswith(a)))
+    """Equal, or one the beginning of the other with ``least`` letters at least; the empty name is like none."""
+    x, y = normalize_quotes(a), normalize_quotes(b)
+    short = F.least(F.length(x), F.length(y))
+    return (short > 0) & ((x == y) | ((short >= least) & (x.startswith(y) | y.startswith(x))))
+
+
+def similar_surname(a: Column, b: Column, ratio: float = 0.85) -> Column:
+    """``similar_surname_plain``, or similar spelling."""
+    x, y = normalize_quotes(a), normalize_quotes(b)
+    return similar_surname_plain(a, b) | ((F.length(x) > 0) & (F.length(y) > 0) & (match_ratio(x, y) >= ratio))
 
 
 def hebrew_number(text: Column) -> Column:
     """Sum of letter values, or null if anything else is in the text."""
-    value = F.create_map(*[F.lit(x) for pair in zip(LETTERS, VALUES, strict=True) for x in pair])
+    value = F.create_map(*[F.lit(x) for pair in LETTER_VALUES.items() for x in pair])
     total = F.aggregate(F.split(text, ""), F.lit(0), lambda acc, c: acc + F.element_at(value, c))
-    return F.when(text.rlike(f"^[{LETTERS}]+$"), total)
+    return F.when(text.rlike(f"^[{''.join(LETTER_VALUES)}]+$"), total)
 
 
 def year(text: Column) -> Column:

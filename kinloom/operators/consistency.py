@@ -40,6 +40,15 @@ def several_parents(people: DataFrame, edges: DataFrame) -> DataFrame:
     return p.groupBy(F.col("a").alias("id"), "gender").agg(F.countDistinct("b").alias("n")).filter("n > 1 AND gender IS NOT NULL").select("id", "gender")
 
 
+def flagged_people(people: DataFrame, edges: DataFrame) -> DataFrame:
+    """``people`` with flags: several_fathers, several_mothers, by the edges that rules have left."""
+    named = F.when(F.col("gender") == "m", "several_fathers").otherwise("several_mothers")
+    own = several_parents(people, edges).groupBy("id").agg(F.sort_array(F.collect_set(named)).alias("__flags"))
+    old = F.col("flags") if "flags" in people.columns else F.array().cast("array<string>")
+    out = people.join(own, "id", "left").withColumn("flags", F.array_distinct(F.concat(F.coalesce(old, F.array().cast("array<string>")), F.coalesce("__flags", F.array().cast("array<string>")))))
+    return out.drop("__flags")
+
+
 def _parents(edges: DataFrame, least: float = SOLID) -> DataFrame:
     return edges.filter((F.col("relation") == "parent") & (F.col("confidence") >= least))
 

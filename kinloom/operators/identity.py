@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.config import Thresholds
-from kinloom.functions.names import names_match
+from kinloom.functions.names import alias_key, names_match
 from kinloom.functions.text import display_name
 from kinloom.operators.fusion import canonical_ends
 from kinloom.operators.graph import connected_components
@@ -16,9 +16,33 @@ from kinloom.plans.storage import written
 def unique_alias_index(aliases: DataFrame) -> DataFrame:
     """(alias, title, kind): aliases that stand for one title only; kind nick beats name. Input (alias, title, kind)."""
     n = aliases.filter(F.length("alias") >= 3).groupBy("alias").agg(
-        F.countDistinct("title").alias("n"), F.min("title").alias("title"), F.max("kind").alias("kind")
+        F.max("title").alias("other"), F.min("title").alias("title"), F.max("kind").alias("kind")
     )
-    return n.filter("n = 1").drop("n")
+    return n.filter("title = other").drop("other")
+
+
+def page_aliases(pages: DataFrame) -> DataFrame:
+    """(alias, title, kind) of (title, redirects, bold): the shown name and its form without titles as names; other
+    titles that lead to the page, additions in parentheses after a name, and bold words of its lead as nicks."""
+    title = F.col("title")
+    names = F.array(display_name(title), alias_key(display_name(title)))
+    nicks = F.concat(F.coalesce("redirects", F.array().cast("array<string>")), F.coalesce("bold", F.array().cast("array<string>")))
+    kinds = F.concat(F.transform(names, lambda a: F.struct(a.alias("alias"), F.lit("name").alias("kind"))), F.transform(nicks, lambda a: F.struct(a.alias("alias"), F.lit("nick").alias("kind"))))
+    rows = pages.select("title", F.explode(kinds).alias("k")).select(F.trim("k.alias").alias("alias"), "title", "k.kind")
+    return rows.filter(F.length("alias") >= 3).distinct()
+
+
+def resolve_aliases(mentions: DataFrame, index: DataFrame) -> DataFrame:
+    """``mentions`` (name, in_prose, ...) with title and alias: the page that an unlinked name stands for, if one does.
+    Names, unlike nicks, count in running text alone. ``index`` is ``unique_alias_index``: one row an alias."""
+    key = mentions.withColumn("__k", alias_key(F.col("name")))
+    found = None
+    for c, at in (("name", "__t0"), ("__k", "__t1")):
+        hit = index.select(F.col("alias").alias(c), F.col("title").alias(at), F.col("kind").alias(f"{at}_kind"))
+        key = key.join(hit, c, "left")
+        ok = F.when((F.col(f"{at}_kind") == "nick") | F.col("in_prose"), F.col(at))
+        found = ok if found is None else F.coalesce(found, ok)
+    return key.withColumn("title", found).withColumn("alias", F.col("title").isNotNull()).drop("__k", "__t0", "__t1", "__t0_kind", "__t1_kind")
 
 
 def anchored_ids(relations: DataFrame) -> DataFrame:
@@ -125,8 +149,13 @@ def families(people: DataFrame, edges: DataFrame, least: float = 0.5) -> DataFra
     size = parts.join(people.select(F.col("id").alias("node"), "fetched"), "node", "left").groupBy("component").agg(
         F.count(F.lit(1)).alias("size"), F.sum(F.coalesce(F.col("fetched").cast("int"), F.lit(0))).alias("articles")
     ).filter("size >= 2")
-    rank = F.row_number().over(Window.orderBy(F.desc("articles"), F.desc("size"), "component"))
-    named = size.withColumn("family", F.concat(F.lit("F"), rank))
+    # numbers go through all families: sorted in ranges, counted in each, and on from what the ranges before have
+    order = [F.desc("articles"), F.desc("size"), F.col("component")]
+    ranged = written(size.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "families")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # one row a range
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    named = ranged.withColumn("at", within).join(F.broadcast(starts), "range").withColumn("family", F.concat(F.lit("F"), (F.col("start") + F.col("at")).cast("string")))
     return parts.join(named, "component").select("family", F.col("node").alias("id"), "size", "articles")
 
 

@@ -20,17 +20,15 @@ T = Thresholds()
 def coparents(parents: DataFrame) -> DataFrame:
     """(a, b): the father and the mother of children that have exactly one of each. ``parents`` is (child, parent, gender)."""
     m, f = F.col("gender") == "m", F.col("gender") == "f"
-    one = parents.groupBy("child").agg(
-        F.countDistinct(F.when(m, F.col("parent"))).alias("n_m"), F.countDistinct(F.when(f, F.col("parent"))).alias("n_f"),
-        F.min(F.when(m, F.col("parent"))).alias("a"), F.min(F.when(f, F.col("parent"))).alias("b"),
-    )
-    return one.filter("n_m = 1 AND n_f = 1").select("a", "b").distinct()
+    end = lambda fold, test, name: fold(F.when(test, F.col("parent"))).alias(name)
+    one = parents.groupBy("child").agg(end(F.min, m, "a"), end(F.max, m, "a2"), end(F.min, f, "b"), end(F.max, f, "b2"))
+    return one.filter("a = a2 AND b = b2").select("a", "b").distinct()
 
 
 def unique_candidates(pairs: DataFrame, by: list[str], candidate: str) -> DataFrame:
     """Rows whose group ``by`` has exactly one candidate."""
-    n = pairs.groupBy(*by).agg(F.countDistinct(candidate).alias("__n"), F.min(candidate).alias(candidate))
-    return n.filter("__n = 1").drop("__n")
+    n = pairs.groupBy(*by).agg(F.max(candidate).alias("__other"), F.min(candidate).alias(candidate))
+    return n.filter(F.col("__other") == F.col(candidate)).drop("__other")
 
 
 def _new(pairs: DataFrame, relation: str, confidence: float | Column, edges: DataFrame) -> DataFrame:

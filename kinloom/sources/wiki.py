@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from kinloom.functions.text import nested_templates
+
 Call = Callable[[dict], tuple[int, dict, dict]]
 PAGE_SCHEMA = (
     "title string, pageid bigint, wikitext string, categories array<string>, revid bigint, fetched_at timestamp, "
@@ -42,34 +44,37 @@ def retry_after(header: str | None, fallback: float, now: datetime | None = None
 
 @dataclass
 class Client:
-    """Spaced calls with retries. After a 429 or 503 the spacing grows for the rest of the run, to 30 s at most."""
+    """Spaced calls with retries. After a 429 or 503 the spacing grows for the rest of the run, to 30 s at most. With
+    ``maxlag`` the site may put a call off while its copies lag behind by more seconds."""
 
     call: Call
     spacing: float = 1.0
     retries: int = 6
+    maxlag: int = 5
     sleep: Callable[[float], None] = time.sleep
     clock: Callable[[], float] = time.monotonic
     _last: float = field(default=float("-inf"))
 
     def request(self, params: dict) -> dict:
         wait = 5.0
-        for _ in range(self.retries):
+        for _ in range(self.retries + 1):
             pause = self._last + self.spacing - self.clock()
             if pause > 0:
                 self.sleep(pause)
             self._last = self.clock()
             try:
-                status, headers, body = self.call({**params, "format": "json", "formatversion": 2})
-            except OSError:
+                status, headers, body = self.call({**params, "format": "json", "formatversion": 2, "maxlag": self.maxlag})
+            except (OSError, ValueError):  # no answer, or one that cannot be read
                 status, headers, body = 599, {}, {}
+            body = body if isinstance(body, dict) else {}
             code = (body.get("error") or {}).get("code")
             if status in (429, 503):
                 self.spacing = min(30.0, self.spacing * 1.5 + 0.5)
             if status in (429, 503) or status >= 500 or code in ("maxlag", "ratelimited"):
                 self.sleep(retry_after(headers.get("Retry-After"), wait))
                 wait = min(300.0, wait * 2)
-            elif code:
-                raise ApiError(code)
+            elif code or status >= 400:
+                raise ApiError(code or f"status {status}")
             else:
                 return body
         raise ApiError("no answer after all retries")
@@ -85,6 +90,59 @@ class Client:
                 return
 
 
+# Names of the site's pages that hold categories and templates.
+CATEGORY_SPACE, TEMPLATE_SPACE = "קטגוריה:", "תבנית:"
+LISTED = "title string, ns int, pageid bigint"
+
+
+def category_members(client: Client, category: str, kinds: str = "page|subcat", ns: str | None = None) -> Iterator[tuple]:
+    """Rows of LISTED: pages and categories in a category."""
+    title = category if category.startswith(CATEGORY_SPACE) else CATEGORY_SPACE + category
+    params = {"action": "query", "list": "categorymembers", "cmtitle": title, "cmtype": kinds, "cmlimit": "max"}
+    return _listing(client, params | ({"cmnamespace": ns} if ns is not None else {}), "categorymembers")
+
+
+def recent_changes(client: Client, since: str, ns: str = "0") -> Iterator[tuple]:
+    """Rows of LISTED: pages edited or made since a time, oldest first, each once."""
+    params = {"action": "query", "list": "recentchanges", "rcstart": since, "rcdir": "newer", "rcnamespace": ns, "rctype": "edit|new", "rcprop": "title|ids", "rclimit": "max"}
+    seen: set[str] = set()
+    for row in _listing(client, params, "recentchanges"):
+        if row[0] and row[0] not in seen:
+            seen.add(row[0])
+            yield row
+
+
+def embedded_in(client: Client, template: str, ns: str = "0|10|2") -> Iterator[tuple]:
+    """Rows of LISTED: pages that use a template."""
+    title = template if ":" in template else TEMPLATE_SPACE + template
+    return _listing(client, {"action": "query", "list": "embeddedin", "eititle": title, "eilimit": "max", "einamespace": ns}, "embeddedin")
+
+
+def prefix_search(client: Client, prefix: str, ns: str = "0") -> Iterator[tuple]:
+    """Rows of LISTED: pages whose title begins with a text."""
+    return _listing(client, {"action": "query", "list": "prefixsearch", "pssearch": prefix, "pslimit": "max", "psnamespace": ns}, "prefixsearch")
+
+
+def search(client: Client, text: str, ns: str = "0|10|2") -> Iterator[tuple]:
+    """Rows of LISTED: pages that have a text."""
+    return _listing(client, {"action": "query", "list": "search", "srsearch": text, "srlimit": "max", "srnamespace": ns}, "search")
+
+
+def _listing(client: Client, params: dict, key: str) -> Iterator[tuple]:
+    for part in client.pages(params):
+        for item in part.get(key) or []:
+            yield item.get("title"), item.get("ns"), item.get("pageid")
+
+
+def site_info(client: Client) -> dict:
+    """general, statistics and namespaces of the site."""
+    return client.request({"action": "query", "meta": "siteinfo", "siprop": "general|statistics|namespaces"}).get("query", {})
+
+
+#: What ``spark.read.format("wiki_list")`` can list, by option ``list``; option ``of`` is its argument.
+LISTINGS = {"category": category_members, "changes": recent_changes, "embedded": embedded_in, "prefix": prefix_search, "search": search}
+
+
 class WikiPages(DataSource):
     """``spark.read.format("wiki_pages")`` with options ``client`` ("module:function") and ``titles`` (separated by |)."""
 
@@ -99,18 +157,45 @@ class WikiPages(DataSource):
         return _Reader(self.options)
 
 
-class _Reader(DataSourceReader):
+class WikiList(DataSource):
+    """``spark.read.format("wiki_list")`` with options ``client``, ``list`` (see LISTINGS), ``of`` and ``ns``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "wiki_list"
+
+    def schema(self) -> str:
+        return LISTED
+
+    def reader(self, schema):
+        return _ListReader(self.options)
+
+
+class _OneReader(DataSourceReader):
+    """The rate limit is for the whole site, so one partition reads."""
+
     def __init__(self, options):
         self.options = dict(options)
 
     def partitions(self):
         return [InputPartition(0)]
 
-    def read(self, partition):
+    def client(self) -> Client:
         import importlib
 
         module, _, name = self.options["client"].partition(":")
-        client = Client(getattr(importlib.import_module(module), name), spacing=float(self.options.get("spacing", 1.0)))
+        return Client(getattr(importlib.import_module(module), name), spacing=float(self.options.get("spacing", 1.0)))
+
+
+class _ListReader(_OneReader):
+    def read(self, partition):
+        more = {"ns": self.options["ns"]} if "ns" in self.options else {}
+        yield from LISTINGS[self.options["list"]](self.client(), self.options["of"], **more)
+
+
+class _Reader(_OneReader):
+    def read(self, partition):
+        client = self.client()
         titles = [t for t in self.options.get("titles", "").split("|") if t]
         step = int(self.options.get("batch", 50))
         for k in range(0, len(titles), step):
@@ -121,15 +206,17 @@ def fetch_batch(client: Client, titles: list[str]) -> Iterator[tuple]:
     """Rows of PAGE_SCHEMA for those of ``titles`` that exist, under the title that was asked for."""
     moved: dict[str, str] = {}
     found: dict[str, dict] = {}
-    for part in client.pages({"action": "query", "prop": "revisions|categories", "titles": "|".join(titles), "redirects": 1}):
-        moved |= {m["from"]: m["to"] for key in ("normalized", "redirects") for m in part.get(key, [])}
-        for p in part.get("pages", []):
+    params = {"action": "query", "prop": "revisions|categories", "rvprop": "content|ids|timestamp", "rvslots": "main", "cllimit": "max"}
+    for part in client.pages({**params, "titles": "|".join(titles), "redirects": 1}):
+        moved |= {m["from"]: m["to"] for key in ("normalized", "redirects") for m in part.get(key) or []}
+        for p in part.get("pages") or []:
             if p.get("missing") or p.get("invalid"):
                 continue
             own = found.setdefault(p["title"], {"pageid": p.get("pageid"), "text": None, "categories": [], "revid": None})
-            own["categories"] += [c["title"].split(":", 1)[-1] for c in p.get("categories", [])]
-            for r in p.get("revisions", [])[:1]:
-                own["text"], own["revid"] = r.get("content"), r.get("revid")
+            own["categories"] += [c["title"].split(":", 1)[-1] for c in p.get("categories") or []]
+            if own["text"] is None and p.get("revisions"):
+                last = p["revisions"][0]
+                own["text"], own["revid"] = last.get("slots", {}).get("main", last).get("content"), last.get("revid")
     now = datetime.now(timezone.utc).replace(tzinfo=None)
     for asked in titles:
         final, seen = asked, set()
@@ -146,7 +233,8 @@ def titles_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pages_with_template(pages: DataFrame, template: str) -> DataFrame:
-    return pages.filter(F.array_contains("templates", template))
+    """Pages of PAGE_SCHEMA that use a template, at any depth."""
+    return pages.filter(F.array_contains(F.transform(nested_templates(F.col("wikitext")), lambda t: t["name"]), template))
 
 
 def pages_with_prefix(pages: DataFrame, prefix: str) -> DataFrame:

@@ -9,12 +9,21 @@ ROLES = {"father": ("אב",), "mother": ("אם",), "spouse": ("בן זוג",), "
 
 
 def fake_site(params):
-    """A site of two pages and a redirect; every call is answered whole."""
-    texts = {"A": "[[B]]", "B": "text"}
+    """A site of two pages and a redirect, that gives texts only to those who ask for them as the real one wants."""
+    assert params["maxlag"] == 5 and params["formatversion"] == 2
+    if "list" in params:
+        kind = {"categorymembers": "cm", "recentchanges": "rc", "embeddedin": "ei", "prefixsearch": "ps", "search": "sr"}[params["list"]]
+        assert params[f"{kind}limit"] == "max"
+        first = not params.get(f"{kind}continue")
+        items = [{"title": "A", "ns": 0, "pageid": 1}] if first else [{"title": "B", "ns": 0, "pageid": 2}, {"title": "A", "ns": 0, "pageid": 1}]
+        return 200, {}, {"query": {params["list"]: items}} | ({"continue": {f"{kind}continue": "x"}} if first else {})
+    texts = {"A": "[[B]] {{Box|a={{Inner}}}}", "B": "text"}
     asked = params["titles"].split("|")
     moved = [{"from": t, "to": "B"} for t in asked if t == "Old B"]
     final = {"B" if t == "Old B" else t for t in asked}
-    pages = [{"title": t, "pageid": 1, "revisions": [{"content": texts[t], "revid": 7}], "categories": [{"title": "Category:People"}]} if t in texts else {"title": t, "missing": True} for t in sorted(final)]
+    assert params["rvprop"].startswith("content") and params["rvslots"] == "main" and params["cllimit"] == "max"
+    revisions = lambda t: [{"slots": {"main": {"content": texts[t]}}, "revid": 7}]
+    pages = [{"title": t, "pageid": 1, "revisions": revisions(t), "categories": [{"title": "Category:People"}]} if t in texts else {"title": t, "missing": True} for t in sorted(final)]
     return 200, {}, {"query": {"pages": pages, "redirects": moved}}
 
 
@@ -25,6 +34,14 @@ def test_client_slows_down_and_loses_nothing():
     assert list(c.pages({})) == [{"x": 1}] and c.spacing == 2.0 and 3.0 in slept and 10.0 in slept
     with pytest.raises(wiki.ApiError):
         wiki.Client(lambda p: (200, {}, {"error": {"code": "bad"}}), sleep=slept.append).request({})
+    with pytest.raises(wiki.ApiError):
+        wiki.Client(lambda p: (404, {}, {}), sleep=slept.append).request({})
+
+    def unreadable(p):
+        raise ValueError("no JSON")
+
+    with pytest.raises(wiki.ApiError):
+        wiki.Client(unreadable, sleep=slept.append, retries=2).request({})
     assert wiki.retry_after("9999", 1) == 600 and wiki.retry_after("nonsense", 4) == 4 and wiki.retry_after(None, 4) == 4
 
 
@@ -32,7 +49,20 @@ def test_page_source(spark):
     spark.dataSource.register(wiki.WikiPages)
     df = spark.read.format("wiki_pages").option("client", "tests.test_sources:fake_site").option("titles", "A|Old B|Gone").option("spacing", "0").load()
     got = {r["requested_title"]: (r["title"], r["redirect_to"], r["wikitext"], r["categories"]) for r in df.collect()}
-    assert got == {"A": ("A", None, "[[B]]", ["People"]), "Old B": ("B", "B", "text", ["People"])}
+    assert got == {"A": ("A", None, "[[B]] {{Box|a={{Inner}}}}", ["People"]), "Old B": ("B", "B", "text", ["People"])}
+    assert [r["title"] for r in wiki.pages_with_template(df, "Inner").collect()] == ["A"]
+
+
+@pytest.mark.parametrize(("kind", "expect"), [("category", ["A", "B", "A"]), ("changes", ["A", "B"]), ("embedded", ["A", "B", "A"]), ("prefix", ["A", "B", "A"]), ("search", ["A", "B", "A"])])
+def test_listings_go_on_to_the_end(spark, kind, expect):
+    spark.dataSource.register(wiki.WikiList)
+    df = spark.read.format("wiki_list").options(client="tests.test_sources:fake_site", list=kind, of="X", spacing="0").load()
+    assert [r["title"] for r in df.collect()] == expect
+
+
+def test_site_info():
+    body = {"general": {"sitename": "x"}, "statistics": {"pages": 2}, "namespaces": {}}
+    assert wiki.site_info(wiki.Client(lambda p: (200, {}, {"query": body}), spacing=0)) == body
 
 
 def test_relations_of_a_page(spark):

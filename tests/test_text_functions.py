@@ -48,17 +48,40 @@ def test_links_templates_sections_sentences(spark):
     assert one(spark, text.sentences_plain, "A b. C d! e\n\nf") == ["A b.", "C d!", "e", "f"]
 
 
+def test_nested_templates_and_own_namespaces(spark):
+    found = one(spark, text.nested_templates, "a {{A|x={{B|[[p|q]]}}|{{C}}}} {{D_d|1=z}} {{open")
+    assert [(t["name"], t["params"], t["positional"]) for t in found] == [("A", {"x": "{{B|[[p|q]]}}"}, ["{{C}}"]), ("B", {}, ["[[p|q]]"]), ("C", {}, []), ("D d", {}, ["1=z"])]
+    assert all("a {{A|x={{B|[[p|q]]}}|{{C}}}} {{D_d|1=z}} {{open"[t["start"] : t["end"]].startswith("{{" + t["name"][0]) for t in found)
+    links = one(spark, lambda c: text.wikilinks(c, ("portal:",)), "[[Portal:x]] [[y]]")
+    assert [x["target"] for x in links] == ["y"]
+
+
 def test_footnote_tokens(spark):
     t = "a<ref name=x/>b<ref>n. 2</ref>c"
     assert one(spark, text.tokenize_refs, t) == "a\0R0\0b\0R1\0c"
     assert one(spark, text.refs, t) == ["<ref name=x/>", "<ref>n. 2</ref>"]
     assert one(spark, lambda c: text.refs_in(text.tokenize_refs(c), text.refs(c)), t) == ["<ref name=x/>", "<ref>n. 2</ref>"]
     assert one(spark, lambda c: text.remove_ref_tokens(text.tokenize_refs(c)), t) == "abc"
+    assert one(spark, lambda c: text.restore_refs(text.tokenize_refs(c), text.refs(c)), t) == t
 
 
 @pytest.mark.parametrize(("a", "b", "expect"), [
     ("משה כהן", "הרב משה כהן", True), ("משה", "משה כהן", True), ("משה יצחק כהן", "משה כהן", True),
+    ("משה-אורי בלוי", "משה אורי בלויא", True), ("משה (כהן)", "משה כהן", True), ("אסתר לבית וולף", "אסתר", True),
     ("חי שרה", "חיה שרה", True), ("משה כהן", "דוד כהן", False), ("משה כהן", "משה לוי", False),
 ])
 def test_names_match(spark, a, b, expect):
     assert one(spark, names.names_match, a, b) is expect
+
+
+@pytest.mark.parametrize(("f", "value", "expect"), [
+    (names.name_key, "משה בלויא", "משה בלוי"), (names.name_key, "לנדא", "לנדא"), (names.name_key, "הרב משה, לאנדא", "משה לאנד"), (names.name_key, None, ""),
+    (names.name_key, "שפירא", "שפירא"), (names.mention_surname, "הרב משה כהן", "כהן"), (names.mention_surname, "הרב משה", ""), (names.plain_surname, "בלויא", "בלוי"),
+])
+def test_name_keys(spark, f, value, expect):
+    assert one(spark, f, value) == expect
+
+
+@pytest.mark.parametrize(("a", "b", "expect"), [("בלוי", "בלויא", True), ("כהן", "לוין", False), ("גורארי", "גוראריה", True), ("שניאורסון", "שניאורסאן", True), ("", "כהן", False), ("לוי", "כהן", False)])
+def test_similar_surnames(spark, a, b, expect):
+    assert one(spark, names.similar_surname, a, b) is expect
