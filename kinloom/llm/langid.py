@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.llm.tokens import free_memory
+
 UNKNOWN = "und"
 #: Texts that are Python strings at once.
 PYTHON_TEXTS = 256
@@ -113,10 +115,11 @@ def identify(docs: DataFrame, models: list[tuple[str, bytes]], options: Options
             columns = list(zip(*told, strict=True)) or [()] * 4
             arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.StructArray.from_arrays(arrays, ["lang_pred", "score", "margin", "rejected"])
-            pa.default_memory_pool().release_unused()  # a worker lives on for other stages
+        free_memory()
 
     names = ["lang_pred", "score", "margin", "rejected"]
     kept = [c for c in docs.columns if c not in names]
+    predict = predict.asNondeterministic()  # or else a filter on the result would have every text encoded twice
     return docs.select(*kept, predict("text").alias("__p")).select(*kept, *[f"__p.{n}" for n in names])
 
 

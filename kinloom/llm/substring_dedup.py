@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinloom.llm.common import written
-from kinloom.llm.tokens import pair, rolling, slices, word_hashes
+from kinloom.llm.tokens import free_memory, pair, rolling, slices, word_hashes
 
 SPAN = 50
 #: Ids that are sent to every task at most (8 bytes each); beyond that, texts are joined with them.
@@ -89,6 +89,7 @@ def scan(docs: DataFrame, span: int = SPAN) -> DataFrame:
                     [part.column("doc_id"), pa.array(np.diff(w.offsets)), pa.array(_digests(w.words, w.offsets), pa.binary()), _lists(picks)],
                     ["doc_id", "n_words", "sha256", "picks"],
                 )
+        free_memory()
 
     return docs.mapInArrow(read, "doc_id bigint, n_words bigint, sha256 binary, picks array<bigint>")
 
@@ -101,6 +102,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[
             for i, a, _, e in w.spans():
                 picked = np.asarray(shared[i].values.to_numpy()).view(np.uint64) if shared[i].is_valid else np.zeros(0, np.uint64)
                 yield part, w, i, a + np.flatnonzero(np.isin(w.least[a:e], picked))
+    free_memory()
 
 
 def anchors(candidates: DataFrame, span: int = SPAN) -> DataFrame:
@@ -178,6 +180,7 @@ def removal(candidates: DataFrame, span: int = SPAN) -> DataFrame:
                      pa.array(cols[3], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), pa.array(cols[4])],
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "repeats", "kept"],
                 )
+        free_memory()
 
     return candidates.mapInArrow(
         cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, repeats array<struct<first:int,end:int>>, kept string"
