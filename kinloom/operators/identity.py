@@ -100,6 +100,20 @@ def block_pairs(rows: DataFrame, block: list[str], node: str, match: Column) ->
     return x.join(y, on & match).select(F.col(f"x.{node}").alias("u"), F.col(f"y.{node}").alias("v")).distinct()
 
 
+def near_pairs(rows: DataFrame, block: list[str], node: str, text: str) -> DataFrame:
+    """(u, v): rows of one block whose texts differ in one character at most. Two such texts have a form in common that
+    lacks one character, or one is such a form of the other; so rows meet on those forms, not each with each."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    forms = F.array_distinct(F.concat(F.array(text), F.transform(at, lambda k: F.concat(F.substr(text, F.lit(1), k - 1), F.substr(text, k + 1)))))
+    each = rows.select(*block, node, text, F.explode(forms).alias("__form"))
+    x, y = each.alias("x"), each.alias("y")
+    on = (F.col("x.__form") == F.col("y.__form")) & (F.col(f"x.{node}") < F.col(f"y.{node}"))
+    for c in block:
+        on = on & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    close = F.levenshtein(F.col(f"x.{text}"), F.col(f"y.{text}"), 1).between(0, 1)
+    return x.join(y, on & close).select(F.col(f"x.{node}").alias("u"), F.col(f"y.{node}").alias("v")).distinct()
+
+
 def merge_in_slots(people: DataFrame, edges: DataFrame, year_window: int = 40) -> DataFrame:
     """(old, new): unlinked people to be replaced. ``people`` is (id, name, born: year or null).
 

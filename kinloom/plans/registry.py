@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinloom.functions import text
-from kinloom.operators import consistency, coverage, fusion, identity, incremental, inference, traverse
+from kinloom.functions import names, text
+from kinloom.operators import boxes, canonical, consistency, coverage, existing, forest, fusion, identity, incremental, inference, merging, selection, traverse, trees
 from kinloom.operators.graph import connected_components
 from kinloom.plans.storage import written
+from kinloom.sinks import outputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,14 +123,17 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(r"""
-SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)licen[cs]ed? under') THEN 'licence' WHEN regexp_matches(text, '[0-9]{16}|@') THEN 'personal'
-  WHEN regexp_matches(text, '[|]') THEN 'table' WHEN length(text) < 80 THEN 'stub' ELSE 'prose' END AS kind FROM documents""")
+SELECT doc_id, CASE WHEN regexp_matches(source || '/' || doc_id, '7$') THEN false
+  WHEN doc_id % 3 <> 0 AND regexp_matches(lang, '^(en|fr)$') AND NOT regexp_matches(lang, '^fr$') THEN true WHEN doc_id % 3 <> 0 THEN false
+  WHEN regexp_matches(source || '/' || doc_id, '5$') THEN false ELSE regexp_matches(left(coalesce(text, ''), 1500), '[0-9]{16}|@') END AS person
+FROM documents""")
 def page_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ladder of tests: the first that holds names the kind."""
-    t = F.col("text")
-    kind = (F.when(t.rlike("(?i)licen[cs]ed? under"), "licence").when(t.rlike("[0-9]{16}|@"), "personal")
-            .when(t.rlike("[|]"), "table").when(F.length(t) < 80, "stub").otherwise("prose"))
-    return load(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"))
+    """Documents as pages: titles that end in 7 are nobody's, English ones without a digit of three are people's."""
+    d = load(spark, sf_dir, "documents")
+    title = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    rules = canonical.PersonRules("7$", "^(en|fr)$", "^fr$", "5$", "[0-9]{16}|@")
+    categories = F.when(F.col("doc_id") % 3 != 0, F.array("lang")).otherwise(F.array().cast("array<string>"))
+    return d.select("doc_id", canonical.is_person_page(title, categories, F.col("text"), rules).alias("person"))
 
 
 @registered("""
@@ -188,10 +192,10 @@ def category_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT a, b FROM (
   SELECT l_partkey, min(l_suppkey) FILTER (l_suppkey % 2 = 0) AS a, min(l_suppkey) FILTER (l_suppkey % 2 = 1) AS b,
          count(DISTINCT l_suppkey) FILTER (l_suppkey % 2 = 0) AS m, count(DISTINCT l_suppkey) FILTER (l_suppkey % 2 = 1) AS f
-  FROM lineitem WHERE l_quantity >= 45 GROUP BY l_partkey) WHERE m = 1 AND f = 1""")
+  FROM lineitem GROUP BY l_partkey, l_orderkey) WHERE m = 1 AND f = 1""")
 def coparent_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts are children of the suppliers of large quantities; even suppliers are fathers."""
-    p = load(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select(F.col("l_partkey").alias("child"), F.col("l_suppkey").alias("parent"))
+    """A part in an order is a child of its suppliers there; even suppliers are fathers."""
+    p = load(spark, sf_dir, "lineitem").select(F.struct("l_partkey", "l_orderkey").alias("child"), F.col("l_suppkey").alias("parent"))
     return inference.coparents(p.withColumn("gender", F.when(F.col("parent") % 2 == 0, "m").otherwise("f")))
 
 
@@ -218,34 +222,34 @@ def consistency_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("confidence", F.when(F.col("why").isNotNull(), F.least("confidence", F.lit(0.3))).otherwise(F.col("confidence")))
 
 
-_SHARED = """
-keys AS (SELECT doc_id, 'a' || md5(left(lower(text), 60)) AS k FROM documents UNION ALL SELECT doc_id, 'z' || md5(right(lower(text), 60)) FROM documents),
+_SAME = """
+keys AS (SELECT doc_id, 'a' || md5(lower(text)) AS k FROM documents UNION ALL SELECT doc_id, 'z' || md5(regexp_replace(lower(text), '[^a-z]+', '', 'g')) FROM documents),
 e AS (SELECT DISTINCT x.doc_id AS u, y.doc_id AS v FROM keys x JOIN keys y USING (k) WHERE x.doc_id <> y.doc_id),
 walk AS (SELECT u AS node, u AS reach FROM e UNION SELECT node, v FROM walk JOIN e ON reach = u),
 comp AS (SELECT node, min(reach) AS component FROM walk GROUP BY node)"""
 
 
-def _shared_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with equal beginnings or ends, each linked to the first of them."""
+def _same_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose whole texts are equal but for case, or have the same letters, each linked to the first of them."""
     low = F.lower("text")
     d = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(
-        F.concat(F.lit("a"), F.md5(F.substring(low, 1, 60))), F.concat(F.lit("z"), F.md5(F.right(low, F.lit(60)))))).alias("k"))
-    d = written(d, "ends")
+        F.concat(F.lit("a"), F.md5(low)), F.concat(F.lit("z"), F.md5(F.regexp_replace(low, "[^a-z]+", ""))))).alias("k"))
+    d = written(d, "texts")
     first = d.groupBy("k").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return d.join(first, "k").select(F.col("doc_id").alias("u"), "v")
 
 
-@registered(f"WITH RECURSIVE {_SHARED} SELECT node, component FROM comp")
+@registered(f"WITH RECURSIVE {_SAME} SELECT node, component FROM comp")
 def connected_components_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents that share their beginning or their end."""
-    return connected_components(_shared_ends(spark, sf_dir), written)
+    """Components of documents that have the same text, but for case or signs."""
+    return connected_components(_same_texts(spark, sf_dir), written)
 
 
-@registered(f"""WITH RECURSIVE {_SHARED}, n AS (SELECT component, source, count(*) AS n FROM comp JOIN documents ON doc_id = node GROUP BY ALL)
+@registered(f"""WITH RECURSIVE {_SAME}, n AS (SELECT component, source, count(*) AS n FROM comp JOIN documents ON doc_id = node GROUP BY ALL)
 SELECT component, min(source) AS source, n FROM n WHERE n = (SELECT max(n) FROM n AS m WHERE m.component = n.component) GROUP BY component, n""")
 def component_label_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent source of each component, the smallest on a tie."""
-    parts = connected_components(_shared_ends(spark, sf_dir), written)
+    parts = connected_components(_same_texts(spark, sf_dir), written)
     d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), "source")
     return identity.top_value(parts.join(d, "node"), "component", "source")
 
@@ -256,7 +260,7 @@ ON x.c_nationkey = y.c_nationkey AND x.c_mktsegment = y.c_mktsegment AND x.c_cus
 def slot_blocking_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of one nation and segment whose names differ in one character."""
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    return identity.block_pairs(c, ["c_nationkey", "c_mktsegment"], "c_custkey", F.levenshtein(F.col("x.c_name"), F.col("y.c_name")) <= 1)
+    return identity.near_pairs(c, ["c_nationkey", "c_mktsegment"], "c_custkey", "c_name")
 
 
 @registered("""
@@ -275,24 +279,39 @@ def coverage_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""
-SELECT l_partkey AS child, l_suppkey AS owner FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY q DESC, d, l_suppkey) AS r FROM (
-    SELECT l_partkey, l_suppkey, max(l_quantity) AS q, min(l_shipdate) AS d FROM lineitem GROUP BY l_partkey, l_suppkey)) WHERE r = 1""")
+SELECT child, owner FROM (SELECT child, owner, row_number() OVER (PARTITION BY child ORDER BY NOT fetched, gender <> 'm', year, owner) AS r FROM (
+  SELECT DISTINCT 'p' || l_partkey AS child, 's' || l_suppkey AS owner, s_acctbal > 0 AS fetched, CASE WHEN s_nationkey % 2 = 0 THEN 'm' ELSE 'f' END AS gender, s_suppkey % 13 AS year
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)) WHERE r = 1""")
 def owner_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first supplier of each part by quantity, then date, then id."""
-    l = load(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_quantity").alias("q"), F.min("l_shipdate").alias("d"))
-    first = F.row_number().over(Window.partitionBy("l_partkey").orderBy(F.desc("q"), "d", "l_suppkey"))
-    return l.withColumn("r", first).filter("r = 1").select(F.col("l_partkey").alias("child"), F.col("l_suppkey").alias("owner"))
+    """Suppliers are parents of their parts: which of them is a part drawn under?"""
+    people = _supplier_people(spark, sf_dir)
+    e = load(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).distinct()
+    e = e.select("a", "b", F.lit("parent").alias("relation"), F.lit(0.9).alias("confidence"))
+    everybody = e.select(F.col("a").alias("id")).unionByName(e.select(F.col("b").alias("id"))).distinct().select(F.lit("all").alias("spec"), "id")
+    return trees.owners(people, e, everybody).select("child", "owner")
+
+
+def _supplier_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), "s_suppkey").alias("id"), (F.col("s_acctbal") > 0).alias("fetched"),
+        F.when(F.col("s_nationkey") % 2 == 0, "m").otherwise("f").alias("gender"), (F.col("s_suppkey") % 13).cast("int").alias("year"),
+    )
 
 
 @registered("""
-WITH RECURSIVE p AS (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders),
-walk AS (SELECT child AS node, 0 AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.child, depth + 1 FROM walk JOIN p ON p.parent = node WHERE depth < 4)
-SELECT node, depth FROM walk""")
+WITH RECURSIVE p AS (SELECT * FROM (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders) WHERE parent IS NOT NULL),
+up AS (SELECT o_orderkey AS node FROM orders WHERE o_orderkey % 97 = 0 UNION SELECT parent FROM up JOIN p ON child = node WHERE parent % 5 <> 0),
+down AS (SELECT node FROM up UNION SELECT child FROM down JOIN p ON parent = node)
+SELECT node FROM down UNION SELECT o_orderkey + 1 FROM orders JOIN down ON node = o_orderkey WHERE o_orderkey % 7 = 0
+UNION SELECT o_orderkey FROM orders JOIN down ON node = o_orderkey + 1 WHERE o_orderkey % 7 = 0""")
 def bloodline_traverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order descends from the one before it of its customer; four generations from the first."""
-    p = written(_order_chain(spark, sf_dir), "chain")
-    return traverse.descendants(p.filter("parent IS NOT NULL"), p.filter("parent IS NULL").select(F.col("child").alias("node")), 4)
+    """Each order descends from the one before it of its customer, a father unless a multiple of five; who is of one blood
+    with every 97th?"""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    p = _order_chain(spark, sf_dir).filter("parent IS NOT NULL").select(F.col("child").alias("a"), F.col("parent").alias("b"), F.lit("parent").alias("relation"))
+    wed = o.filter("id % 7 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit("spouse").alias("relation"))
+    people = o.withColumn("gender", F.when(F.col("id") % 5 != 0, "m").otherwise("f"))
+    return trees.bloodline(people, p.unionByName(wed).withColumn("confidence", F.lit(0.9)), o.filter("id % 97 = 0").select(F.col("id").alias("node")))
 
 
 def _order_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,7 +334,17 @@ def ancestor_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.ancestor_slots(p.filter("parent IS NOT NULL"), o.select(F.col("child").alias("node")), 3)
 
 
-@registered()
+@registered("""
+WITH RECURSIVE p AS (SELECT * FROM (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders) WHERE parent IS NOT NULL),
+art AS (SELECT o_orderkey AS node FROM orders WHERE o_orderstatus <> 'F'),
+reach AS (SELECT node FROM art UNION SELECT parent FROM reach JOIN p ON child = node),
+br AS (SELECT parent AS node, count(DISTINCT child) AS n FROM p JOIN reach ON child = node GROUP BY parent),
+bare AS (SELECT node, coalesce(n, 0) AS n FROM (SELECT child AS node FROM p UNION SELECT parent FROM p) LEFT JOIN br USING (node) WHERE node NOT IN (SELECT node FROM art)),
+wed AS (SELECT o_orderkey AS node FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey + 1 IN (SELECT node FROM art)
+        UNION SELECT o_orderkey + 1 FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey IN (SELECT node FROM art)),
+seed AS (SELECT node FROM bare WHERE n >= 2 UNION SELECT node FROM bare JOIN p ON child = node WHERE n >= 1 AND parent IN (SELECT node FROM art)),
+kept AS (SELECT node FROM seed UNION SELECT b.node FROM kept JOIN p ON p.parent = kept.node JOIN bare b ON b.node = p.child WHERE b.n >= 1 OR b.node IN (SELECT node FROM wed))
+SELECT node FROM kept""")
 def privacy_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders descend from the one before; those of status F have no article. Which of them keep the chain together?"""
     p = written(_order_chain(spark, sf_dir).filter("parent IS NOT NULL"), "chain")
@@ -326,9 +355,205 @@ def privacy_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def cycle_break(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between suppliers of lines of an order, their cycles broken. Only lines of quantity 49 or more (see README)."""
-    l = load(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select("l_orderkey", "l_suppkey", "l_discount")
+    """Edges between suppliers of lines of an order, their cycles broken."""
+    l = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_discount")
     e = l.alias("x").join(l.alias("y"), "l_orderkey").filter("x.l_suppkey <> y.l_suppkey")
     e = e.groupBy(F.col("x.l_suppkey").alias("a"), F.col("y.l_suppkey").alias("b")).agg(F.max("x.l_discount").alias("d"), F.count(F.lit(1)).alias("n_evidence"))
     e = e.select("a", "b", (F.lit(0.5) + F.col("d")).alias("confidence"), (F.col("a") % 5 == 0).alias("alias_any"), "n_evidence")
     return traverse.break_cycles(e, 0.2)
+
+
+@registered("""
+WITH r AS (SELECT c_name AS id, CASE WHEN c_nationkey % 2 = 0 THEN 'm' ELSE 'f' END AS gender, true AS fetched, -1 AS ord, 0 AS side FROM customer WHERE c_custkey % 2 = 0
+  UNION ALL SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0'), NULL, false, o_orderkey, 0 FROM orders
+  UNION ALL SELECT '~' || o_orderpriority || '@' || o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 'f' END, false, o_orderkey, 1 FROM orders)
+SELECT id, CASE WHEN id LIKE '~%' THEN split_part(substr(id, 2), '@', 1) ELSE id END AS name, bool_or(fetched) OVER (PARTITION BY id) AS fetched, gender
+FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord, side) = 1""")
+def person_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even customers have pages; orders mention customers and unlinked priorities."""
+    c, o = load(spark, sf_dir, "customer"), load(spark, sf_dir, "orders")
+    pages = c.filter("c_custkey % 2 = 0").select(F.col("c_name").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_nationkey") % 2 == 0, "m").otherwise("f").alias("gender"))
+    none = F.lit(None).cast("string")
+    rel = o.select(
+        F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("person"), F.concat(F.lit("~"), "o_orderpriority", F.lit("@"), "o_orderstatus").alias("relative"),
+        F.lit("").alias("person_name"), none.alias("relative_name"), none.alias("person_gender"), F.when(F.col("o_orderkey") % 2 == 0, "f").alias("relative_gender"), F.col("o_orderkey").alias("order"),
+    )
+    return merging.upsert_people(pages, rel)
+
+
+@registered("""
+WITH o AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN year(o_orderdate) END AS born FROM orders),
+p AS (SELECT * FROM (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders) WHERE parent IS NOT NULL),
+w AS (SELECT id AS a, id + 1 AS b FROM o WHERE id % 7 = 0 UNION SELECT id + 1, id FROM o WHERE id % 7 = 0),
+sure AS (SELECT o.id, coalesce(any_value(o.born), min(s.born)) AS born FROM o LEFT JOIN w ON w.a = o.id LEFT JOIN o s ON s.id = w.b GROUP BY o.id),
+one AS (SELECT id, coalesce(born, (SELECT min(k.born) - 25 FROM p JOIN o k ON k.id = p.child WHERE p.parent = sure.id), (SELECT max(k.born) + 25 FROM p JOIN o k ON k.id = p.parent WHERE p.child = sure.id)) AS born FROM sure),
+two AS (SELECT id, coalesce(born, (SELECT min(k.born) - 25 FROM p JOIN one k ON k.id = p.child WHERE p.parent = sure.id), (SELECT max(k.born) + 25 FROM p JOIN one k ON k.id = p.parent WHERE p.child = sure.id)) AS born FROM sure)
+SELECT id, CAST(born AS INT) AS estimate FROM two""")
+def birth_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders descend from the one before of their customer; those of status F are born in their year."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", F.year("o_orderdate")).alias("born"))
+    p = _order_chain(spark, sf_dir).filter("parent IS NOT NULL").select(F.col("child").alias("a"), F.col("parent").alias("b"), F.lit("parent").alias("relation"))
+    wed = o.filter("id % 7 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit("spouse").alias("relation"))
+    return merging.estimated_births(o, p.unionByName(wed))
+
+
+_CUSTOMERS = "c AS (SELECT 'c' || c_custkey AS id, c_custkey AS k, c_mktsegment AS surname, c_custkey % 10 AS spec, c_acctbal > 0 AS fetched FROM customer)"
+_KIN = """e AS (SELECT 'c' || c_custkey AS a, 'c' || (c_custkey - 10) AS b, 'parent' AS relation FROM customer WHERE c_custkey % 3 = 0 AND c_custkey >= 10
+  UNION ALL SELECT 'c' || c_custkey, 'c' || (c_custkey + 10), 'spouse' FROM customer WHERE c_custkey % 4 = 0)"""
+
+
+def _kin(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers as people (surname: segment), relations between every tenth, groups by last digit."""
+    c = load(spark, sf_dir, "customer")
+    name = lambda shift: F.concat(F.lit("c"), (F.col("c_custkey") + shift).cast("string"))
+    people = c.select(name(0).alias("id"), F.col("c_mktsegment").alias("surname"), (F.col("c_acctbal") > 0).alias("fetched"))
+    up = c.filter("c_custkey % 3 = 0 AND c_custkey >= 10").select(name(0).alias("a"), name(-10).alias("b"), F.lit("parent").alias("relation"))
+    wed = c.filter("c_custkey % 4 = 0").select(name(0).alias("a"), name(10).alias("b"), F.lit("spouse").alias("relation"))
+    members = c.select((F.col("c_custkey") % 10).alias("spec"), name(0).alias("id"))
+    return people, up.unionByName(wed).withColumn("confidence", F.lit(0.9)), members
+
+
+@registered(f"""
+WITH {_CUSTOMERS}, n AS (SELECT spec, surname, count(*) AS n FROM c GROUP BY ALL),
+base AS (SELECT DISTINCT spec, CASE spec % 3 WHEN 0 THEN 'HOUS' WHEN 1 THEN 'ELSE' END AS base FROM c WHERE spec % 3 < 2),
+fit AS (SELECT DISTINCT n.spec, base FROM n JOIN base USING (spec) WHERE surname = base OR surname LIKE base || '%'),
+modal AS (SELECT spec, surname FROM n QUALIFY row_number() OVER (PARTITION BY spec ORDER BY n DESC, surname) = 1),
+main AS (SELECT modal.spec, coalesce(fit.base, modal.surname) AS main FROM modal LEFT JOIN fit USING (spec))
+SELECT spec, main AS surname FROM main UNION SELECT n.spec, surname FROM n JOIN main USING (spec) WHERE surname = main OR surname LIKE main || '%'""")
+def family_surnames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments are surnames; some groups are labelled with the beginning of one, some with none of theirs, some not."""
+    people, _, members = _kin(spark, sf_dir)
+    label = F.when(F.col("spec") % 3 == 0, selection.FAMILY_PREFIXES[0] + "HOUS").when(F.col("spec") % 3 == 1, selection.FAMILY_PREFIXES[0] + "ELSE").otherwise("x")
+    return selection.family_surnames(people, members, members.select("spec").distinct().withColumn("label", label), names.similar_surname_plain)
+
+
+@registered(f"""
+WITH {_CUSTOMERS}, {_KIN}, up AS (SELECT DISTINCT a AS id FROM e WHERE relation = 'parent'),
+w AS (SELECT a, b FROM e WHERE relation = 'spouse' UNION SELECT b, a FROM e WHERE relation = 'spouse'),
+f AS (SELECT w.a AS id, any_value(x.spec) AS spec, bool_or(w.b IN (SELECT id FROM up)) AS sup, bool_or(y.surname = 'BUILDING') AS snamed, bool_or(w.a IN (SELECT id FROM up)) AS own, bool_or(x.surname = 'BUILDING') AS named
+      FROM w JOIN c x ON x.id = w.a JOIN c y ON y.id = w.b GROUP BY w.a)
+SELECT spec, id FROM f WHERE (NOT named AND CASE WHEN own THEN sup ELSE sup OR snamed END) OR (named AND NOT own AND sup)""")
+def married_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who came into the groups, all of the name BUILDING, by marriage."""
+    people, e, members = _kin(spark, sf_dir)
+    surname = members.select("spec").distinct().withColumn("surname", F.lit("BUILDING"))
+    return selection.married_in(people, e, members, surname, names.similar_surname_plain)
+
+
+@registered(f"""
+WITH {_CUSTOMERS}, {_KIN}, m AS (SELECT spec, id FROM c WHERE fetched), bare AS (SELECT id FROM c WHERE NOT fetched)
+SELECT spec, id FROM m UNION SELECT spec, b FROM e JOIN m ON m.id = a WHERE b IN (SELECT id FROM bare) UNION SELECT spec, a FROM e JOIN m ON m.id = b WHERE a IN (SELECT id FROM bare)""")
+def unlinked_relatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of customers in credit, and their relatives who are not."""
+    people, e, members = _kin(spark, sf_dir)
+    own = members.join(people.filter("fetched").select("id"), "id", "left_semi").select("spec", "id")
+    return selection.with_unlinked_relatives(people, e, own)
+
+
+@registered("""
+WITH o AS (SELECT o_custkey AS tree, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS depth, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT 't' || tree AS tree_id, CAST(depth AS INT) AS node_id, CASE WHEN depth > 0 THEN CAST(depth - 1 AS INT) END AS parent_node, 'o' || k AS person, CAST(depth AS INT) AS depth, depth = 3 AND n > 4 AS truncated
+FROM o WHERE depth < 4""")
+def tree_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree for each customer: every order stands below the one before it; four people fit."""
+    o = load(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.lit("t"), "o_custkey").alias("spec"), F.year("o_orderdate").alias("year"), F.lit("m").alias("gender"), F.lit("one two").alias("name"))
+    chain = _order_chain(spark, sf_dir).select(F.concat(F.lit("o"), "child").alias("child"), F.when(F.col("parent").isNotNull(), F.concat(F.lit("o"), "parent")).alias("owner"))
+    chain = written(chain.join(o.select(F.col("id").alias("child"), "spec"), "child"), "chain")
+    e = chain.filter("owner IS NOT NULL").select(F.col("child").alias("a"), F.col("owner").alias("b"), F.lit("parent").alias("relation"), F.lit(0.9).alias("confidence"))
+    below = forest.families_below(o, e, chain.filter("owner IS NOT NULL").select("spec", "child", "owner"))
+    roots = chain.filter("owner IS NULL").select(F.col("spec").alias("tree_id"), "spec", F.col("child").alias("person"))
+    nodes, _ = forest.grow_trees(roots, below, o, forest.bare_children(o, e), 4, max_depth=5)
+    return nodes.select("tree_id", "node_id", "parent_node", "person", "depth", "truncated")
+
+
+@registered("""
+WITH p AS (SELECT CASE WHEN page_id % 5 = 0 THEN 'עץ משפחת ' ELSE '' END || 'p' || page_id // 2 AS title, CASE page_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 10 END AS ns,
+  page_id % 4 = 0 AS cat, CASE WHEN page_id % 7 IN (1, 2) THEN 'T' || page_id % 7 END AS uses, page_id % 5 = 0 AS titled, contains(html, 'the ') AS said FROM pages),
+s AS (SELECT title, 'category' AS source FROM p WHERE cat UNION SELECT title, 'embeds:' || uses FROM p WHERE uses IS NOT NULL AND (ns = 10 OR titled)
+      UNION SELECT title, 'prefix' FROM p WHERE titled UNION SELECT title, 'search' FROM p WHERE titled AND said),
+q AS (SELECT DISTINCT title FROM s)
+SELECT title, CAST(max(ns) AS INT) AS ns, (SELECT string_agg(source, ',' ORDER BY source) FROM s WHERE s.title = p.title) AS sources, max(ns) = 2 AS draft
+FROM p WHERE cat OR titled OR (uses IS NOT NULL AND ns = 10) GROUP BY title""")
+def existing_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a site's: category, templates, namespaces and titles by number; two pages each share a name."""
+    n = F.col("page_id")
+    pages = load(spark, sf_dir, "pages").select(
+        F.concat(F.when(n % 5 == 0, "עץ משפחת ").otherwise(""), F.lit("p"), F.floor(n / 2).cast("string")).alias("title"), F.when(n % 3 == 0, 0).when(n % 3 == 1, 2).otherwise(10).alias("ns"),
+        F.when(n % 4 == 0, F.array(F.lit("Trees"))).otherwise(F.array().cast("array<string>")).alias("categories"), F.array(F.concat(F.lit("T"), (n % 7).cast("string"))).alias("uses"), F.col("html").alias("wikitext"),
+    )
+    found = existing.find_trees(pages, "Trees", ("T1", "T2"), "the ")
+    return found.select("title", "ns", F.array_join("sources", ",").alias("sources"), "draft")
+
+
+@registered("""
+WITH e AS (SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, CASE l_linenumber % 3 WHEN 0 THEN 'parent' WHEN 1 THEN 'spouse' ELSE 'uncle' END AS relation, max(l_discount) AS confidence,
+  bool_or(l_returnflag = 'A') AS noref, bool_or(l_returnflag = 'N') AS inferred, bool_or(l_linestatus = 'F') AS conflict FROM lineitem GROUP BY 1, 2, 3)
+SELECT DISTINCT 't' || s_nationkey AS tree_id, a, b, relation, confidence,
+  concat_ws(',', CASE WHEN noref THEN 'noref' END, CASE WHEN inferred THEN 'inferred' END, CASE WHEN conflict THEN 'conflict' END) AS classes
+FROM e JOIN supplier ON a = 's' || s_suppkey WHERE relation <> 'uncle'""")
+def review_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of a nation are a tree; which of their edges does the report list, and how?"""
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "parent").when(F.col("l_linenumber") % 3 == 1, "spouse").otherwise("uncle")
+    e = load(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"), kind.alias("relation")).agg(
+        F.max("l_discount").alias("confidence"), F.bool_or(F.col("l_returnflag") == "A").alias("noref"), F.bool_or(F.col("l_returnflag") == "N").alias("inferred"), F.bool_or(F.col("l_linestatus") == "F").alias("conflict"))
+    flags = F.array_compact(F.array(F.when(F.col("noref"), F.lit("no_ref")), F.when(F.col("inferred"), F.lit("inferred")), F.when(F.col("conflict"), F.lit("cycle"))))
+    e = e.select("a", "b", "relation", "confidence", "inferred", flags.alias("flags"), F.array().cast("array<struct<refs:array<string>>>").alias("evidence"))
+    shown = load(spark, sf_dir, "supplier").select(F.concat(F.lit("t"), "s_nationkey").alias("tree_id"), F.concat(F.lit("s"), "s_suppkey").alias("person"))
+    return outputs.review_edges(shown, e).select("tree_id", "a", "b", "relation", "confidence", F.array_join("classes", ",").alias("classes"))
+
+
+@registered("""
+SELECT c_custkey, '[[' || c_name || ' (' || c_mktsegment || ')|' || c_name || ']]<br /><small>' || c_mktsegment ||
+  CASE WHEN c_nationkey % 3 < 2 THEN ' · ' || CASE WHEN c_nationkey % 3 = 0 THEN CAST(c_nationkey + 1900 AS VARCHAR) ELSE '?–' || (c_nationkey + 1950) END ELSE '' END || '</small>' AS label
+FROM customer""")
+def person_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as articles named by customer and segment; some have a year of birth, some of death."""
+    k = F.col("c_nationkey")
+    born, died = F.when(k % 3 == 0, (k + 1900).cast("string")), F.when(k % 3 == 1, (k + 1950).cast("string"))
+    title = F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")"))
+    return load(spark, sf_dir, "customer").select("c_custkey", boxes.person_label(title, F.col("c_name"), born, died).alias("label"))
+
+
+@registered("""
+SELECT c_nationkey AS tree_id, count(DISTINCT c_custkey) AS people, count(DISTINCT CASE WHEN c_acctbal > 0 THEN c_custkey END) AS articles, max(c_custkey % 4) + 1 AS generations, 700 AS width, 500 AS height
+FROM customer GROUP BY c_nationkey""")
+def tree_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of a nation are a tree of four generations."""
+    c = load(spark, sf_dir, "customer")
+    nodes = c.select(F.col("c_nationkey").alias("tree_id"), F.col("c_custkey").alias("person"), (F.col("c_custkey") % 4).alias("depth"))
+    size = c.select(F.col("c_nationkey").alias("tree_id")).distinct().withColumns({"width": F.lit(700), "height": F.lit(500)})
+    return selection.tree_records(nodes, c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("fetched")), size)
+
+
+@registered("""
+SELECT person, string_agg(title, ',' ORDER BY title) AS trees FROM (
+  SELECT l_suppkey AS person, 'B' || l_partkey % 50 AS title FROM lineitem UNION SELECT l_suppkey, 'A' || l_orderkey % 50 FROM lineitem) GROUP BY person""")
+def cross_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers are in built trees by part and in existing ones by order."""
+    l = load(spark, sf_dir, "lineitem")
+    tree = lambda letter, key: l.select(F.col("l_suppkey").alias("person"), F.concat(F.lit(letter), (F.col(key) % 50).cast("string")).alias("title"))
+    return selection.cross_links(tree("B", "l_partkey"), tree("A", "l_orderkey")).select("person", F.array_join("trees", ",").alias("trees"))
+
+
+@registered("""
+SELECT DISTINCT target FROM (SELECT 'c' || o_custkey AS target FROM orders UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN '~' ELSE 'p' END || o_orderpriority FROM orders)
+WHERE target NOT LIKE '~%' AND target NOT IN (SELECT 'c' || c_custkey FROM customer WHERE c_acctbal > 0) AND target NOT IN (SELECT 'c' || c_custkey FROM customer WHERE c_nationkey = 3)""")
+def link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ends of orders are neither pages (customers in credit) nor looked up before (those of one nation)?"""
+    o, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer").withColumn("t", F.concat(F.lit("c"), "c_custkey"))
+    rel = o.select(F.concat(F.lit("c"), "o_custkey").alias("person"), F.concat(F.when(F.col("o_orderkey") % 2 == 0, "~").otherwise("p"), "o_orderpriority").alias("relative"))
+    return canonical.unresolved_targets(rel, c.filter("c_acctbal > 0").select(F.col("t").alias("title")), c.filter("c_nationkey = 3").select(F.col("t").alias("target")))
+
+
+@registered(f"""
+WITH {_CUSTOMERS}, cat AS (SELECT spec AS g, id FROM c WHERE spec < 4), fam AS (SELECT 'F' || k % 9 AS family, id, fetched FROM c),
+n AS (SELECT family, count(*) AS n, count(cat.id) AS covered FROM fam LEFT JOIN cat USING (id) WHERE fetched GROUP BY family)
+SELECT 'N' || g AS spec, 'category' AS kind, id FROM cat UNION ALL
+SELECT family, 'component', id FROM fam JOIN n USING (family) WHERE n >= 4 AND covered / n < 0.5""")
+def family_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a category by last digit, and components by another number."""
+    c = load(spark, sf_dir, "customer")
+    ident = F.concat(F.lit("c"), "c_custkey").alias("id")
+    category = F.when(F.col("c_custkey") % 10 < 4, F.array(F.concat(F.lit("N"), (F.col("c_custkey") % 10).cast("string")))).otherwise(F.array().cast("array<string>"))
+    people = c.select(ident, (F.col("c_acctbal") > 0).alias("fetched"), category.alias("family_categories"))
+    return trees.family_specs(people, c.select(F.concat(F.lit("F"), (F.col("c_custkey") % 9).cast("string")).alias("family"), ident))
