@@ -12,7 +12,9 @@ Only passages that can repeat at all are indexed and probed. The smallest of the
 same wherever the window stands, so a window whose smallest block hash no other document selects has no equal (that is
 winnowing; it loses nothing). Exact copies of whole documents are settled by a digest of their words before that.
 
-Hashes have 64 bits and decide equality of windows; whole documents are compared by SHA-256.
+Two hashes of 64 bits, of the window and of its first half, decide equality of windows of different documents; whole
+documents are compared by SHA-256. A hit is extended window by window: pairing each hit of a passage with each of its
+references would be quadratic in the documents that share it.
 
 Edge cases: null texts have no words; documents with fewer words than ``span`` stay whole; words may repeat inside a
 document without being removed; rows with a null doc_id stay whole and are no reference; rows that share a doc_id
@@ -133,7 +135,8 @@ def _reach(starts: np.ndarray, more: int) -> np.ndarray:
 
 
 def hit_windows(candidates: DataFrame, span: int = SPAN) -> DataFrame:
-    """(window, doc_id): the distinct windows around the anchors in ``hits`` that candidates have."""
+    """(window, head, doc_id): the distinct windows around the anchors in ``hits`` that candidates have, with the hash of
+    their first half, so that 128 bits tell them apart."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, w, i, starts in _candidates(batches, span):
@@ -144,12 +147,13 @@ def hit_windows(candidates: DataFrame, span: int = SPAN) -> DataFrame:
             hit = np.isin(w.block[low:high], hits.values.to_numpy().view(np.uint64))
             before = np.concatenate([[0], np.cumsum(hit)])
             around = before[starts - low + span - w.half + 1] > before[starts - low]
-            own = np.unique(w.window[starts[around]])
+            own, at = np.unique(w.window[starts[around]], return_index=True)
+            head = w.block[starts[around][at]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own.view(np.int64)), pa.array(np.full(len(own), part.column("doc_id")[i].as_py(), np.int64))], ["window", "doc_id"]
+                [pa.array(own.view(np.int64)), pa.array(head.view(np.int64)), pa.array(np.full(len(own), part.column("doc_id")[i].as_py(), np.int64))], ["window", "head", "doc_id"]
             )
 
-    return candidates.mapInArrow(emit, "window bigint, doc_id bigint")
+    return candidates.mapInArrow(emit, "window bigint, head bigint, doc_id bigint")
 
 
 def removal(candidates: DataFrame, span: int = SPAN) -> DataFrame:
@@ -209,8 +213,8 @@ def repeats(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame, Da
     used = found.join(index, "hash").filter("doc_id > ref OR (is_block AND doc_id < last)")
     hits = used.groupBy("doc_id").agg(F.collect_set("hash").alias("hits"))
     windows = written(hit_windows(candidates.join(hits, "doc_id"), span), "repeat-windows")
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
-    late = windows.join(first, "window").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("window").alias("gone"))
+    first = windows.groupBy("window", "head").agg(F.min("doc_id").alias("first"))
+    late = windows.join(first, ["window", "head"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("window").alias("gone"))
     return scanned, classes, candidates.select("doc_id", "text").join(late, "doc_id")
 
 
