@@ -263,7 +263,9 @@ def test_items_without_an_id_contaminate(spark):
     assert [r["doc_id"] for r in decontamination.without_leaks(docs, bench).collect()] == [3]
 
 
-def test_simhash_by_hand(spark):
+@pytest.mark.parametrize("counted", [65_535, 3])
+def test_simhash_by_hand(spark, monkeypatch, counted):
+    monkeypatch.setattr(decontamination, "COUNTED", counted)
     h = [0x0123456789ABCDEF, -1, 0x7FFFFFFF00000000, 5, -9]
     got = spark.range(1).select(decontamination.simhash(F.array(*[F.lit(x).cast("long") for x in h]))).first()[0]
     expect = sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in h) > len(h))
@@ -346,6 +348,24 @@ def test_rows_without_an_id_or_with_a_shared_one_are_judged_by_their_text(spark)
     assert got == Counter([(None, other), (1, third), (2, fourth), (2, prose(90, 90)), (3, prose(91, 90)), (4, ""), (None, None), (None, "")])
 
 
+def test_one_id_for_several_texts_links_by_each(spark):
+    one, two = prose(60, 90), prose(61, 300)
+    rows = [(1, one), (1, two), (2, edited(one, 3)), (3, edited(two, 5)), (4, prose(62, 90))]
+    out = ngram_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_merge_skip_counts_what_is_in_enough_lists():
+    import random
+
+    rng = random.Random(7)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(20), rng.randint(0, 12))) for _ in range(rng.randint(1, 7))]
+        least = rng.randint(1, 5)
+        n = Counter(x for one in lists for x in one)
+        assert ngram_join.merge_skip(lists, least) == {x: k for x, k in n.items() if k >= least}
+
+
 def test_divide_skip_equals_counting():
     import numpy as np
 
