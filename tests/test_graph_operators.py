@@ -80,6 +80,41 @@ def test_cycles_lose_their_weakest_edge(spark):
     assert got == {("a", "b"): 0.9, ("b", "c"): 0.6, ("c", "a"): 0.2, ("c", "d"): 0.9, ("d", "e"): 0.2, ("e", "d"): 0.8}
 
 
+def test_closing_edges_equal_brute_force():
+    import random
+
+    for seed in range(400):
+        rng = random.Random(seed)
+        nodes = rng.randint(2, 8)
+        ranked = [(i, j) for i in range(nodes) for j in range(nodes) if i != j]
+        rng.shuffle(ranked)
+        ranked = ranked[: rng.randint(1, len(ranked))]
+        expect = []
+        for k, (a, b) in enumerate(ranked):  # do stronger edges lead from b to a?
+            seen, todo = {b}, [b]
+            while todo:
+                x = todo.pop()
+                new = [q for p, q in ranked[:k] if p == x and q not in seen]
+                seen.update(new)
+                todo += new
+            expect += [(a, b)] if a in seen else []
+        assert traverse.closing_edges(ranked) == expect
+
+
+def test_cycle_query_leaves_no_cycle(spark):
+    from kinloom.plans import registry
+
+    rows = registry.QUERIES["cycle_break"](spark, "/root/testdata/sf0.001").collect()
+    live = [(r["a"], r["b"]) for r in rows if not r["in_cycle"]]
+    assert len(set(traverse.strong_parts(live).values())) == len({x for e in live for x in e}) and any(r["in_cycle"] for r in rows)
+
+
+def test_deep_chains_are_reached(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "source long, target long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert traverse.reachable(chain, start).count() == 301
+
+
 def test_redirects_with_chain_and_cycle(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (32, 31), (40, 40), (50, 55), (59, 51)] + [(i, i + 1) for i in range(51, 59)], "source long, target long")
     got = {r["source"]: r["target"] for r in traverse.follow_redirects(links).collect()}
@@ -115,6 +150,23 @@ def test_families(spark):
     assert {(r["family"], r["id"]) for r in got} == {("F1", "a"), ("F1", "b"), ("F1", "c")}
 
 
+def test_near_names_and_aliases(spark):
+    df = spark.createDataFrame([(1, "x", "abc"), (2, "x", "abd"), (3, "x", "ab"), (4, "x", "axyz"), (5, "y", "abc"), (6, "x", ""), (7, "x", "q")], "id long, g string, name string")
+    assert {tuple(r) for r in identity.near_pairs(df, ["g"], "id", "name").collect()} == {(1, 2), (1, 3), (2, 3), (6, 7)}
+    pages = spark.createDataFrame([("Moshe Cohen (x)", ["The Rebbe"], ["Moshele"])], "title string, redirects array<string>, bold array<string>")
+    index = identity.unique_alias_index(identity.page_aliases(pages))
+    assert {(r["alias"], r["kind"]) for r in index.collect()} == {("Moshe Cohen", "name"), ("The Rebbe", "nick"), ("Moshele", "nick")}
+    said = spark.createDataFrame([("The Rebbe", False), ("Moshe Cohen", False), ("Moshe Cohen", True), ("nobody", True)], "name string, in_prose boolean")
+    got = {(r["name"], r["in_prose"]): (r["title"], r["alias"]) for r in identity.resolve_aliases(said, index).collect()}
+    assert got == {("The Rebbe", False): ("Moshe Cohen (x)", True), ("Moshe Cohen", False): (None, False), ("Moshe Cohen", True): ("Moshe Cohen (x)", True), ("nobody", True): (None, False)}
+
+
+def test_people_with_several_fathers_are_flagged(spark):
+    p = people(spark, a=("m", None, None), b=("m", None, None), c=("m", None, None))
+    flagged = consistency.flagged_people(p, edges(spark, ("a", "b", "parent", 0.9), ("a", "c", "parent", 0.9)))
+    assert {r["id"]: r["flags"] for r in flagged.collect()} == {"a": ["several_fathers"], "b": [], "c": []}
+
+
 def test_namesakes_are_separated(spark):
     r = relations(spark, ("Son", "Moshe (writer)", "parent", "Son", "s1", [], 0.7), ("Moshe (writer)", "Wife", "spouse", "Son", "s2", [], 0.7),
                   ("Moshe (writer)", "Father", "parent", "Moshe (writer)", "s3", [], 0.9))
