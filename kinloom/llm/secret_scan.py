@@ -195,7 +195,12 @@ def train(lines: list[tuple[np.ndarray, np.ndarray]], steps: int, rate: float =
     steps_real = np.zeros((3, 3))
     np.add.at(steps_real, (y[:, :-1][inside[:, 1:]], y[:, 1:][inside[:, 1:]]), 1)
     last = np.arange(n), size - 1
-    real = {"emit": np.einsum("ntf,nts->fs", x, hot), "move": steps_real, "enter": hot[:, 0].sum(0), "leave": hot[last].sum(0)}
+    flat = x.reshape(-1, N_FEATURES)
+
+    def by_feature(tags: np.ndarray) -> np.ndarray:
+        return (flat.T @ tags.reshape(-1, 3).astype(np.float32)).astype(np.float64)
+
+    real = {"emit": by_feature(hot), "move": steps_real, "enter": hot[:, 0].sum(0), "leave": hot[last].sum(0)}
     w = {"emit": np.zeros((N_FEATURES, 3)), "move": np.zeros((3, 3)), "enter": np.zeros(3), "leave": np.zeros(3)}
     block_move, block_enter = np.zeros((3, 3)), np.zeros(3)
     block_move[O, I] = block_enter[I] = BLOCKED
@@ -206,7 +211,7 @@ def train(lines: list[tuple[np.ndarray, np.ndarray]], steps: int, rate: float =
         return (top + np.log(np.exp(a - top).sum(axis, keepdims=True))).squeeze(axis)
 
     for step in range(1, steps + 1):
-        e = x @ w["emit"]
+        e = (flat @ w["emit"].astype(np.float32)).reshape(n, longest, 3).astype(np.float64)
         move, enter = w["move"] + block_move, w["enter"] + block_enter
         alpha = np.zeros((n, longest, 3))
         alpha[:, 0] = enter + e[:, 0]
@@ -222,7 +227,7 @@ def train(lines: list[tuple[np.ndarray, np.ndarray]], steps: int, rate: float =
         p = np.exp(np.minimum(0, alpha + beta - z[:, None, None])) * inside[:, :, None]
         joint = alpha[:, :-1, :, None] + move + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
         joint = np.exp(np.minimum(0, joint)) * inside[:, 1:, None, None]
-        seen = {"emit": np.einsum("ntf,nts->fs", x, p), "move": joint.sum((0, 1)), "enter": p[:, 0].sum(0), "leave": p[last].sum(0)}
+        seen = {"emit": by_feature(p), "move": joint.sum((0, 1)), "enter": p[:, 0].sum(0), "leave": p[last].sum(0)}
         for k in w:
             g = (seen[k] - real[k]) / n + decay * w[k]
             m1[k] = 0.9 * m1[k] + 0.1 * g
