@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
+#: Ids and digests (40 bytes) that are sent to every task at most; beyond that, payloads are joined with them.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -100,7 +102,8 @@ def records(pages: DataFrame, options: ArchiveOptions = ArchiveOptions()) -> Dat
 
 
 def write_archive(pages: DataFrame, path: str, options: ArchiveOptions = ArchiveOptions()) -> None:
-    """Write both parts below ``path``. Payload bytes move only for the first copy of repeated payloads."""
+    """Write both parts below ``path``. Payload bytes are moved if more than BROADCAST_ROWS pages revisit, or if rows with
+    the smallest page_id of a payload repeat."""
     spark = pages.sparkSession
     records(pages, options).write.parquet(f"{path}/headers")
     headers = spark.read.parquet(f"{path}/headers")
@@ -109,7 +112,8 @@ def write_archive(pages: DataFrame, path: str, options: ArchiveOptions = Archive
     # A page is left out if it revisits; what remains is unique per digest but for repeated rows.
     gone = headers.filter("NOT holds_payload").select("page_id", "payload_sha256")
     same = held["page_id"].eqNullSafe(gone["page_id"]) & (held["payload_sha256"] == gone["payload_sha256"])
-    first = held.join(gone, same, "left_anti")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # then payloads stay where they lie
+    first = held.join(F.broadcast(gone) if few else gone, same, "left_anti")
     digests = headers.filter("holds_payload").groupBy("payload_sha256").count()
     if digests.filter("count > 1").limit(1).count():  # rows repeated with the smallest page_id
         first = first.dropDuplicates(["payload_sha256"])
