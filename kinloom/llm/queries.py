@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import decontamination, embedding_join, langid, mixing, ngram_join, pii, secret_scan, sharding, substring_dedup, warc
+from kinloom.llm import (
+    decontamination,
+    embedding_join,
+    langid,
+    merkle,
+    mixing,
+    ngram_join,
+    pii,
+    secret_scan,
+    sharding,
+    substring_dedup,
+    warc,
+    whitening,
+)
 from kinloom.llm.common import load, new_path
 from kinloom.llm.oracles import ORACLE_SQL
 
@@ -81,6 +94,16 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(spark, path)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on up to 16 whitened principal components, fitted on the distinct ones."""
+    return whitening.whitened_rows(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A proof for every document in a Merkle tree over languages, and whether it bears out the row as it is claimed."""
+    return merkle.manifest(load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_minimax_sharding": op2_minimax_sharding,
@@ -92,4 +115,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_pseudonyms": op8_pii_pseudonyms,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc_archive": op10_warc_archive,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
