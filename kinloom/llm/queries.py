@@ -18,6 +18,7 @@ from kinloom.llm import (
     secret_scan,
     sharding,
     substring_dedup,
+    suffix_index,
     warc,
     whitening,
 )
@@ -104,6 +105,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that stay when strings of 400 bytes that also stand elsewhere go."""
+    return suffix_index.dedup_bytes(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_minimax_sharding": op2_minimax_sharding,
@@ -117,4 +123,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_archive": op10_warc_archive,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
