@@ -1,5 +1,7 @@
 """SQL for DuckDB that gives the rows of those queries whose results have a plain definition."""
 
+import functools
+
 WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -48,9 +50,74 @@ SELECT page_id, octet_length(encode(b)) AS payload_bytes, {_BASE32} AS payload_d
        CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
 FROM p JOIN f USING (b)"""
 
+_CRC_ROW = [functools.reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(4), k) for k in range(16)]
+CRC32 = f"""xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({{}}, ''), lambda c: [ascii(c) & 15, ascii(c) >> 4]))),
+    lambda a, n: xor(a >> 4, CAST({_CRC_ROW} AS BIGINT[])[CAST(xor(a, n) & 15 AS INT) + 1])))"""
+
+
+def _field(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+def _climb(name: str, leaves: str, levels: int) -> str:
+    """Tables name0 .. name<levels>: g, i, h and, above the first, the parents of runs of 8, until a group has one node."""
+    out = [f"{name}0 AS (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n FROM {leaves})"]
+    for k in range(levels):
+        out.append(f"""{name}{k + 1} AS (SELECT g, i // 8 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h,
+            (any_value(n) + 7) // 8 AS n FROM {name}{k} GROUP BY g, i // 8)""")
+    return ",\n".join(out)
+
+
+def _folds(name: str, start: str, levels: int) -> str:
+    """Tables name_f0 ..: what becomes of ``start`` (id, g, i, v, p: node so far, siblings so far) on the way up."""
+    out = [f"{name}_f0 AS ({start})"]
+    for k in range(levels):
+        out.append(f"""{name}_f{k + 1} AS (SELECT id, f.g, f.i // 8 AS i, CASE WHEN any_value(n) = 1 THEN any_value(v) ELSE sha256(string_agg(CASE WHEN t.i = f.i THEN v ELSE h END, '' ORDER BY t.i)) END AS v,
+            any_value(p) || coalesce(string_agg(CASE WHEN t.i <> f.i THEN h END, '' ORDER BY t.i), '') AS p
+            FROM {name}_f{k} f JOIN {name}{k} t ON t.g = f.g AND t.i // 8 = f.i // 8 GROUP BY id, f.g, f.i)""")
+    return ",\n".join(out)
+
+
+_UP, _OVER = 7, 3  # levels for up to 2 million rows of a language and 512 languages
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_SMALL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+MANIFEST = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') AS g, {_leaf("text")} AS h,
+           CASE WHEN {CRC32.format("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_leaf(_SMALL)} END AS told FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h, told, id) - 1 AS i FROM d),
+{_climb("t", "r", _UP)},
+sub AS (SELECT '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, h, g AS of FROM t{_UP}),
+{_climb("s", "sub", _OVER)},
+{_folds("t", "SELECT id, g, i, coalesce(told, h) AS v, '' AS p FROM r", _UP)},
+{_folds("s", f"SELECT f.id, '' AS g, sub.i, v, p FROM t_f{_UP} f JOIN sub ON f.g = sub.of", _OVER)}
+SELECT doc_id, r.h AS leaf, sub.h AS subroot, root.h AS root, sha256(p) AS proof_sha256, v AS folded_root, v = root.h AS verified
+FROM r JOIN sub ON r.g = sub.of JOIN s_f{_OVER} f ON f.id = r.id CROSS JOIN s{_OVER} root"""
+
+BYTES = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT k, i, md5(substr(x, 2 * i + 1, 800)) AS h FROM (SELECT k, x, unnest(range(0, CAST(len(x) / 2 AS BIGINT) - 399)) AS i FROM d WHERE len(x) >= 800)),
+again AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM win SEMI JOIN again USING (h)),
+run AS (SELECT k, i, sum(CASE WHEN i - before <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS run FROM hit),
+span AS (SELECT k, run, min(i) AS a, max(i) + 400 AS b FROM run GROUP BY k, run),
+cut AS (SELECT k, run, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY run), 0) AS free FROM span),
+kept AS (SELECT k, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * free + 1, 2 * (a - free)), '' ORDER BY run) AS kept, max(b) AS tail
+         FROM cut JOIN d USING (k) GROUP BY k)
+SELECT doc_id, CAST(len(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)"""
+
 ORACLE_SQL = {
     "op5_ngram_jaccard": N_GRAM,
     "op7_embedding_near_dedup": EMBEDDINGS,
     "op9_substring_dedup": SUBSTRINGS,
     "op10_warc_archive": ARCHIVE,
+    "op12_merkle_manifest": MANIFEST,
+    "op13_suffix_array_dedup": BYTES,
 }
