@@ -6,11 +6,12 @@ values get equal pseudonyms in every document, different values different ones,
 * card    13 to 19 digits with a right Luhn digit: the other digits are permuted and the Luhn digit is set anew
 * phone   10 national digits of the North American plan, with or without +1: area code, and exchange with line, are
           permuted, and each of the two keeps whether its first digit is 2 or more, as valid ones have it; or + and an
-          assigned country code with 8 to 15 digits in all: the digits after the code are permuted
+          assigned country code with 8 to 15 digits in all: the digits after the code are permuted; a "(0)" stays
 * ssn     ddd-dd-dddd in the valid range: permuted within that range
-* ip      four numbers to 255: permuted as 32 bits
+* ip      four numbers to 255: permuted as 32 bits; where one is written with leading zeros, all get three digits
 * date    yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy that exists, from 1800 to 2199: permuted among all days of these years
-* email   the local part: letters and digits are permuted, each keeps its kind; one alone never stays as it is
+* email   the local part: letters and digits are permuted, each keeps its kind; one alone never stays as it is; the domain,
+          two labels or more of any length, stays
 
 The same value in another notation (spaces, hyphens, date order) has the same pseudonym in that notation. Numbers that
 fail validation are left alone.
@@ -31,11 +32,11 @@ ROUNDS = 8
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 #: In the order in which they are tried at a place of a text.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9-][A-Za-z0-9.-]*+",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "date": r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![A-SU-Za-z0-9_-]|T(?!\d))",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]\d{2,4}){3,4}|\+\d{8,15})(?![\w-])",
+    "phone": r"(?<![\w+])(?:(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,12}(?:[ .-]\d{2,8}){0,4})(?![\w-])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -135,9 +136,14 @@ def _code_length(d: Column) -> Column:
     return F.when(F.substring(d, 1, 1).isin("1", "7"), 1).when(F.substring(d, 1, 2).isin(*SHORT_CODES), 2).otherwise(3)
 
 
+def _trunk(m: Column) -> Column:
+    """1 if a trunk zero stands in parentheses behind the country code: no part of the number abroad."""
+    return F.when(m.rlike(r"^\+\d{1,3}[ .-]?\(0\)"), 1).otherwise(0)
+
+
 def _phone(m: Column, key: str) -> Column:
     d = _digits(m)
-    code = F.when(_abroad(m), _code_length(d)).otherwise(F.length(d) - 10)
+    code = F.when(_abroad(m), _code_length(d) + _trunk(m)).otherwise(F.length(d) - 10)
     own = F.substring(d, code + 1, F.length(d) - code)
     number = lambda first, n: F.substring(own, first, n).cast("bigint")
     low = lambda v: F.when(v < 200, 0).otherwise(200)
@@ -157,7 +163,9 @@ def _ip(m: Column, key: str) -> Column:
     p = F.split(m, r"\.")
     part = lambda k: p[k].cast("int")
     out = permuted_pair(part(0) * 256 + part(1), part(2) * 256 + part(3), (65536, 65536), key, "ip")
-    text = lambda v: F.concat_ws(".", F.floor(v / 256).cast("string"), (v % 256).cast("string"))
+    padded = m.rlike(r"(?:^|\.)0\d")
+    octet = lambda v: F.when(padded, F.lpad(v.cast("string"), 3, "0")).otherwise(v.cast("string"))
+    text = lambda v: F.concat_ws(".", octet(F.floor(v / 256)), octet(v % 256))
     return F.transform(F.array(out), lambda s: F.concat_ws(".", text(s["x"]), text(s["y"])))[0]
 
 
@@ -211,7 +219,7 @@ def kind_of(m: Column) -> Column:
     d = _digits(m)
     card = F.length(d).between(13, 19) & (luhn_sum(d, False) % 10 == 0)
     phone = ~_abroad(m) & (F.length(d) - F.when(d.startswith("1"), 1).otherwise(0) >= 10) & (F.length(d) <= 11)
-    phone = phone | (_abroad(m) & F.length(d).between(8, 15) & ~d.startswith("0"))
+    phone = phone | (_abroad(m) & (F.length(d) - _trunk(m)).between(8, 15) & ~d.startswith("0"))
     shape = lambda k: m.rlike(f"^(?:{PATTERNS[k]})$")
     return (
         F.when(m.contains("@"), "email")

@@ -32,11 +32,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import written
+from kinloom.llm.common import words, written
 from kinloom.llm.tokens import free_memory, pair, rolling, slices, word_hashes
 
 SPAN = 50
-#: Ids that are sent to every task at most (8 bytes each); beyond that, texts are joined with them.
+#: Ids that are sent to every task at most (40 bytes each); beyond that, texts are joined with them.
 BROADCAST_IDS = 1_000_000
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
@@ -157,14 +157,14 @@ def hit_windows(candidates: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def removal(candidates: DataFrame, span: int = SPAN) -> DataFrame:
-    """Per row of ``candidates`` (doc_id, text, gone: hashes of windows that go): doc_id, n_words, n_removed, kept_sha256,
+    """Per row of ``candidates`` (doc_id, sha256, text, gone: hashes of windows that go): doc_id, sha256, n_words, n_removed, kept_sha256,
     repeats (the maximal repeats, as first word and end), kept (the words that stay, joined by one space)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 w, gone = Windows(part.column("text"), span), part.column("gone")
-                words, rows = w.words.to_pylist(), []
+                own, rows = w.words.to_pylist(), []
                 for i, a, b, e in w.spans():
                     take = np.zeros(b - a, bool)
                     runs = []
@@ -176,37 +176,38 @@ def removal(candidates: DataFrame, span: int = SPAN) -> DataFrame:
                         take = np.cumsum(edge)[:-1] > 0
                         ends = np.flatnonzero(np.diff(np.concatenate([[False], take, [False]]).astype(np.int8)))
                         runs = [{"first": int(x), "end": int(y)} for x, y in ends.reshape(-1, 2)]
-                    kept = " ".join(words[a + k] for k in np.flatnonzero(~take))
+                    kept = " ".join(own[a + k] for k in np.flatnonzero(~take))
                     rows.append((b - a, int(take.sum()), hashlib.sha256(kept.encode()).hexdigest(), runs, kept))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]),
+                    [part.column("doc_id"), part.column("sha256"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]),
                      pa.array(cols[3], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), pa.array(cols[4])],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256", "repeats", "kept"],
+                    ["doc_id", "sha256", "n_words", "n_removed", "kept_sha256", "repeats", "kept"],
                 )
         free_memory()
 
     return candidates.mapInArrow(
-        cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, repeats array<struct<first:int,end:int>>, kept string"
+        cut, "doc_id bigint, sha256 binary, n_words bigint, n_removed bigint, kept_sha256 string, repeats array<struct<first:int,end:int>>, kept string"
     )
 
 
 def repeats(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scanned, classes, candidates). ``scanned`` is ``scan``; ``classes`` has the smallest doc_id of each sequence of
-    words; ``candidates`` are the documents with passages that others have: doc_id, text, gone (hashes of the windows
+    words; ``candidates`` are the documents with passages that others have: doc_id, sha256, text, gone (hashes of the windows
     that an earlier document has, null if none)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     scanned = written(scan(docs, span), "repeat-scan")
     classes = written(scanned.groupBy("sha256").agg(F.min("doc_id").alias("rep")), "repeat-classes")
     own = scanned.filter(F.size("picks") > 0).join(classes.filter("rep IS NOT NULL"), "sha256").filter("doc_id = rep")
-    picks = own.select("doc_id", F.explode("picks").alias("pick"))
+    picks = own.select("doc_id", "sha256", F.explode("picks").alias("pick"))
     shared = picks.groupBy("pick").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    of_doc = picks.join(shared.select("pick"), "pick").groupBy("doc_id").agg(F.collect_set("pick").alias("shared"))
+    of_doc = picks.join(shared.select("pick"), "pick").groupBy("doc_id", "sha256").agg(F.collect_set("pick").alias("shared"))
     of_doc = written(of_doc, "repeat-shared")
-    ids = of_doc.select("doc_id")
+    ids = of_doc.select("doc_id").distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    candidates = written(texts.join(of_doc, "doc_id"), "repeat-texts")
+    own_words = F.unhex(F.sha2(F.array_join(words(F.col("text")), " ").cast("binary"), 256))  # rows that share a doc_id differ in it
+    candidates = written(texts.withColumn("sha256", own_words).join(of_doc, ["doc_id", "sha256"]), "repeat-texts")
 
     found = written(anchors(candidates, span), "repeat-anchors")
     index = found.groupBy("hash").agg(F.min(F.when(F.col("is_block"), F.col("doc_id"))).alias("ref"), F.max("doc_id").alias("last"))
@@ -215,7 +216,7 @@ def repeats(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame, Da
     windows = written(hit_windows(candidates.join(hits, "doc_id"), span), "repeat-windows")
     first = windows.groupBy("window", "head").agg(F.min("doc_id").alias("first"))
     late = windows.join(first, ["window", "head"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("window").alias("gone"))
-    return scanned, classes, candidates.select("doc_id", "text").join(late, "doc_id")
+    return scanned, classes, candidates.select("doc_id", "sha256", "text").join(late, "doc_id")
 
 
 def dedup_words(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -226,11 +227,11 @@ def dedup_words(docs: DataFrame, span: int = SPAN) -> DataFrame:
     copy = (F.col("n_words") >= span) & (F.col("doc_id") > F.col("rep"))
     settled = rows.withColumn("copy", F.coalesce(copy, F.lit(False)))
     # documents that were cut are reported from there; their exact copies are still copies
-    cut_ids = cut.select("doc_id").distinct()
+    cut_ids = cut.select("doc_id", "sha256").distinct()
     few = cut_ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    left = settled.filter(~F.col("copy")).join(F.broadcast(cut_ids) if few else cut_ids, "doc_id", "left_anti")
+    left = settled.filter(~F.col("copy")).join(F.broadcast(cut_ids) if few else cut_ids, ["doc_id", "sha256"], "left_anti")
     out = left.select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.lower(F.hex("sha256")).alias("kept_sha256"))
     gone = settled.filter("copy").select(
         "doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(EMPTY_SHA256).alias("kept_sha256")
     )
-    return out.unionByName(gone).unionByName(cut)
+    return out.unionByName(gone).unionByName(cut.drop("sha256"))

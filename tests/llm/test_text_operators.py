@@ -601,3 +601,48 @@ def test_archive_round_trip(spark):
     empty = new_path(spark, "test")
     warc.write_archive(pages.limit(0), empty)
     assert warc.page_digests(spark, empty).count() == 0
+
+
+def test_mail_domains_of_many_labels(spark):
+    long = "x@" + "a." * 4000 + "com"
+    docs = documents(spark, [long, f"to {long} and jo@b.org.", "x@a..com", "x@com", "jo@b.org..x", *[long] * 2])
+    out = [r["text"] for r in pii.pseudonymised(docs, "k").orderBy("doc_id").collect()]
+    assert out[0] != long and out[0][1:] == long[1:] and out[5] == out[6] == out[0]
+    assert re.fullmatch(r"to [a-z]@(?:a\.){4000}com and [a-z]{2}@b\.org\.", out[1])
+    assert out[2:4] == ["x@a..com", "x@com"] and re.fullmatch(r"[a-z]{2}@b\.org\.\.x", out[4])
+
+
+def test_phone_numbers_abroad_in_any_grouping(spark):
+    same = [["+49 30 1234567", "+49301234567", "+49-30-123-4567"], ["+44 (0)20 7946 0958", "+442079460958", "+44 20 7946 0958"], ["+1 4155552671", "+1 (415) 555-2671", "415-555-2671"]]
+    alone = ["+358 40 1234567", "+33 1 23 45 67 89"]
+    never = ["+49 30 12", "+123456789012345678", "+999", "x+49 30 1234567"]
+    docs = documents(spark, [*[f"call {t}, now" for group in same for t in group], *alone, *never])
+    out = [r["text"] for r in pii.pseudonymised(docs, "k").orderBy("doc_id").collect()]
+    digits = [re.sub(r"[^0-9]", "", t) for t in out]
+    assert digits[0] == digits[1] == digits[2] != "49301234567" and digits[0].startswith("49") and re.fullmatch(r"call \+49 \d\d \d{7}, now", out[0])
+    assert re.fullmatch(r"call \+44 \(0\)\d\d \d{4} \d{4}, now", out[3]) and digits[3].replace("440", "44", 1) == digits[4] == digits[5]
+    assert digits[6] == digits[7] == "1" + digits[8] != "14155552671"
+    assert all(o != t and re.sub(r"\d", "0", o) == re.sub(r"\d", "0", t) for o, t in zip(out[9:11], alone, strict=True))
+    assert out[11:] == never
+
+
+def test_addresses_with_leading_zeros_keep_three_digits(spark):
+    out = [r["text"] for r in pii.pseudonymised(documents(spark, ["192.168.001.1", "192.168.1.1"]), "k").orderBy("doc_id").collect()]
+    assert re.fullmatch(r"(\d{3}\.){3}\d{3}", out[0]) and [int(x) for x in out[0].split(".")] == [int(x) for x in out[1].split(".")]
+
+
+def test_substrings_of_rows_that_share_a_doc_id(spark):
+    a, b = prose(71, 80), prose(72, 80)
+    rows = [(1, a), (2, b), (5, a), (5, b + " two words"), (None, a), (None, b + " x"), (7, b), (7, b), (7, a + " tail"), (8, None), (5, prose(73, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in substring_dedup.dedup_words(docs, 50).collect())
+    want = Counter()
+    held = [(i, (t or "").split()) for i, t in rows]
+    first = {}
+    for i, w in held:
+        for p in range(len(w) - 49 if i is not None else 0):
+            first[tuple(w[p : p + 50])] = min(i, first.get(tuple(w[p : p + 50]), i))
+    for i, w in held:
+        gone = {p + k for p in range(len(w) - 49) if i is not None and first[tuple(w[p : p + 50])] < i for k in range(50)}
+        want[i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()] += 1
+    assert got == want
