@@ -14,7 +14,10 @@ levels of the same number of batches are merged into one of the next size before
 is written a logarithmic number of times, and a scan reads a logarithmic number of tables.
 
 A gram with more than ``Options.group`` different entries would make an array that no task should hold, quadratic to
-scan. Strings of such entries are counted instead, by 128 bits of hash, with partial sums in each task.
+scan. It is split by what its strings have in common: those that begin in the same block of 64 places before the anchor
+share all but 63 bytes of their length, so entries meet under a hash of these, once a block. Groups that are still too
+large are split by blocks of 8 places, and then by single places, where a group of equal hashes (of 128 bits) is one
+repeated string and needs no array. That takes at most 8 rows an entry and turn, wherever the group comes from.
 
 Exact copies of whole documents are found by SHA-256 first; one of them stands for all.
 
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm.tokens import free_memory, mixed, rolling, slices
+from kinloom.llm.tokens import free_memory, mixed, slices
 from kinloom.plans.storage import Scratch
 
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
@@ -228,21 +231,21 @@ def _reaches(left: list[bytes], right: list[bytes], new: np.ndarray, length: int
     return far_l, far_r
 
 
-_ENTRY = "bucket bigint, left binary, right binary, cid1 bigint, cid2 bigint"
+_ENTRY = "bucket bigint, key bigint, left binary, right binary, cid1 bigint, cid2 bigint"
+_NAMES = ["bucket", "key", "left", "right", "cid1", "cid2"]
 
 
 def merge_scan(batch: DataFrame, levels: DataFrame, opts: Options) -> DataFrame:
     """(cid1, cid2, l, r): reaches of entries of the batch and of the levels in the strings they share."""
 
     def scan_bucket(new: pa.Table, old: pa.Table) -> pa.Table:
-        cols = {c: [*new.column(c).to_pylist(), *old.column(c).to_pylist()] for c in ("left", "right", "cid1", "cid2")}
-        right, fresh = cols["right"], new.num_rows
-        order = sorted(range(len(right)), key=right.__getitem__)  # two sorted runs or more: merged in linear time
-        heads = [right[k][: opts.gram] for k in order]
+        cols = {c: [*new.column(c).to_pylist(), *old.column(c).to_pylist()] for c in _NAMES[1:]}
+        keys, right, fresh = cols["key"], cols["right"], new.num_rows
+        order = sorted(range(len(right)), key=lambda k: (keys[k], right[k]))  # two sorted runs or more: merged in linear time
         out, a = [], 0
         while a < len(order):
             b = a + 1
-            while b < len(order) and heads[b] == heads[a]:
+            while b < len(order) and keys[order[b]] == keys[order[a]]:
                 b += 1
             run = order[a:b]
             if b - a > 1 and min(run) < fresh:
@@ -259,11 +262,10 @@ def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     """One sorted level out of two; entries that both have stand once."""
 
     def merge(x: pa.Table, y: pa.Table) -> pa.Table:
-        both = pa.concat_tables([t.select(["bucket", "left", "right", "cid1", "cid2"]) for t in (x, y)])
-        left, right = both.column("left").to_pylist(), both.column("right").to_pylist()
-        order = sorted(range(len(left)), key=lambda k: (right[k], left[k]))
-        keep = [k for n, k in enumerate(order) if not n or (right[k], left[k]) != (right[order[n - 1]], left[order[n - 1]])]
-        return both.take(keep)
+        both = pa.concat_tables([t.select(_NAMES) for t in (x, y)])
+        entry = list(zip(*(both.column(c).to_pylist() for c in ("key", "right", "left")), strict=True))
+        order = sorted(range(len(entry)), key=entry.__getitem__)
+        return both.take([k for n, k in enumerate(order) if not n or entry[k] != entry[order[n - 1]]])
 
     return a.groupBy("bucket").cogroup(b.groupBy("bucket")).applyInArrow(merge, _ENTRY)
 
@@ -277,7 +279,7 @@ class Family:
         self.levels: list[tuple[int, DataFrame]] = []
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Take the written entries of a batch in; returns what ``merge_scan`` finds, written."""
+        """Take the written entries of a batch (``_ENTRY``) in; returns what ``merge_scan`` finds, written."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
             self.levels.append((size + 1, self._scratch.write(merged(b, a), "suffix-level")))
@@ -290,35 +292,55 @@ class Family:
         return found
 
 
-def _windows(hot: DataFrame, opts: Options) -> DataFrame:
-    """(w1, w2, cid1, cid2, place): 128 bits of every string of ``length`` bytes, and its start from the anchor."""
-    table = np.frombuffer(hashlib.shake_256(b"bytes of strings").digest(4096), np.uint64).reshape(2, 256)
+def _steps(length: int) -> list[int]:
+    """Sizes of the blocks that places before an anchor are split into, turn by turn, down to 1."""
+    out = [1]
+    while out[-1] * 8 < length:
+        out.append(out[-1] * 8)
+    return out[::-1]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lot in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
-                left, right = lot.column("left").to_pylist(), lot.column("right").to_pylist()
-                data = np.frombuffer(b"".join(x + y for x, y in zip(left, right, strict=True)), np.uint8)
-                both = [rolling(t[data], opts.length).view(np.int64) for t in table]
-                size = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)])
-                n = size - opts.length + 1
-                row = np.repeat(np.arange(len(n)), n)
-                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = np.repeat(np.cumsum(size) - size, n) + inside
-                ids = [lot.column(c).to_numpy()[row] for c in ("cid1", "cid2")]
-                place = inside - np.array([len(x) for x in left])[row]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (both[0][at], both[1][at], *ids, place)], ["w1", "w2", "cid1", "cid2", "place"])
-        free_memory()
-
-    return hot.mapInArrow(read, "w1 bigint, w2 bigint, cid1 bigint, cid2 bigint, place bigint")
 
+def _cores(crowded: DataFrame, step: int, opts: Options) -> DataFrame:
+    """(batch, cid1, cid2, key, more, low): for each entry (low: where its block of the turn before begins) and block of
+    ``step`` places, a hash of the bytes that all its strings beginning there have in common."""
+    length = opts.length
 
-def counted(hot: DataFrame, opts: Options, scratch: Scratch) -> DataFrame:
-    """Reaches, as ``merge_scan`` gives them, of entries of grams that too many entries have."""
-    windows = scratch.write(_windows(hot, opts), "suffix-windows")
-    again = scratch.write(windows.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"), "suffix-again")
-    found = windows.join(again, ["w1", "w2"]).groupBy("cid1", "cid2").agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    return scratch.write(found.select("cid1", "cid2", (-F.col("low")).alias("l"), (F.col("high") + opts.length).alias("r")), "suffix-found")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, (left, right, low) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("left", "right", "low")), strict=True)):
+                first, last = max(length - len(right), 0 if low is None else low), min(len(left), length if low is None else low + 8 * step - 1)
+                for at in range(first - first % step, last + 1, step):
+                    core = left[len(left) - at :] + right[: max(0, length - at - step + 1)]
+                    digest = xxhash.xxh3_128_digest(core, seed=at)
+                    out.append((row, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), at))
+            row, key, more, low = (np.array(c, np.int64) for c in (zip(*out, strict=True) if out else [[]] * 4))
+            own = [batch.column(c).take(pa.array(row)) for c in ("batch", "cid1", "cid2")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(key), pa.array(more), pa.array(low)], ["batch", "cid1", "cid2", "key", "more", "low"])
+
+    return crowded.mapInArrow(read, "batch int, cid1 bigint, cid2 bigint, key bigint, more bigint, low bigint")
+
+
+def split_crowded(crowded: DataFrame, opts: Options, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(entries by smaller keys, reaches of strings that crowds share) of entries of grams that too many entries have.
+
+    ``crowded`` has batch, cid1, cid2, left, right. Two entries that share a string meet under a key, or in a reach.
+    """
+    texts = crowded.select("batch", "cid1", "cid2", "left", "right")
+    turn, arrays, reaches = crowded.withColumn("low", F.lit(None).cast("bigint")), [], []
+    for step in _steps(opts.length):
+        if turn.isEmpty():
+            break
+        cores = scratch.write(_cores(turn, step, opts), "suffix-cores")
+        sizes = scratch.write(cores.groupBy("key", "more").count().filter("count > 1"), "suffix-sizes")
+        met = scratch.write(cores.join(sizes, ["key", "more"]), "suffix-met")
+        large = F.col("count") > opts.group
+        arrays.append(met.filter(~large).join(texts, ["batch", "cid1", "cid2"]).select("batch", "cid1", "cid2", "left", "right", "key"))
+        if step == 1:
+            reaches.append(met.filter(large).select("cid1", "cid2", F.col("low").alias("l"), (opts.length - F.col("low")).alias("r")))
+        else:
+            turn = met.filter(large).join(texts, ["batch", "cid1", "cid2"])
+    return arrays, reaches
 
 
 def _broadcast_if_few(ids: DataFrame) -> DataFrame:
@@ -349,16 +371,21 @@ def long_repeats(docs: DataFrame, opts: Options, scratch: Scratch) -> tuple[Data
     distinct = scratch.write(distinct, "suffix-distinct")
     hot = scratch.write(distinct.groupBy("g").count().filter(F.col("count") > opts.group).select("g", F.lit(True).alias("hot")), "suffix-hot")
     marked = distinct.join(_broadcast_if_few(hot), "g", "left")
-    size = marked.filter("hot IS NULL").agg(F.sum(F.col("nl") + F.col("nr"))).first()[0] or 0  # one number
-    buckets = max(1, -(-size // opts.bucket_bytes))
     texts = occurrences.select("oid", "cid1", "left", "right").join(marked.select("oid", "cid1", "cid2", "batch", "g", "hot"), ["oid", "cid1"])
-    texts = scratch.write(texts.withColumn("bucket", F.pmod("g", F.lit(buckets))), "suffix-arrays")
+    texts = scratch.write(texts.drop("oid"), "suffix-arrays")
+    arrays, reaches = split_crowded(texts.filter("hot"), opts, scratch)
+    indexed = texts.filter("hot IS NULL").select("batch", "cid1", "cid2", "left", "right", F.col("g").alias("key"))
+    for more in arrays:
+        indexed = indexed.unionByName(more)
+    size = distinct.agg(F.sum(F.col("nl") + F.col("nr"))).first()[0] or 0  # one number
+    buckets = max(1, -(-size // opts.bucket_bytes))
+    indexed = scratch.write(indexed.withColumn("bucket", F.pmod("key", F.lit(buckets))), "suffix-indexed")
+    scratch.drop(texts)
 
-    family, reaches = Family(docs.sparkSession, opts, scratch), []
+    family = Family(docs.sparkSession, opts, scratch)
     for k in range(opts.batches):
-        part = texts.filter(f"hot IS NULL AND batch = {k}").select("bucket", "left", "right", "cid1", "cid2")
-        reaches.append(family.add(part.sortWithinPartitions("bucket", "right")))
-    reaches.append(counted(texts.filter("hot"), opts, scratch))
+        part = indexed.filter(f"batch = {k}").select(*_NAMES)
+        reaches.append(family.add(part.sortWithinPartitions("bucket", "key", "right")))
     reaches.append(distinct.filter("n > 1").select("cid1", "cid2", F.col("nl").cast("bigint").alias("l"), F.col("nr").cast("bigint").alias("r")))
     reach = reaches[0]
     for more in reaches[1:]:

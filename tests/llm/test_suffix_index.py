@@ -52,7 +52,7 @@ def planted(seed):
 
 
 @pytest.mark.parametrize(("seed", "opts"), [
-    (1, SMALL), (2, sx.Options(length=40, gram=8, group=2, bucket_bytes=500)), (3, sx.Options(length=40, gram=40, batches=7)), (4, sx.Options(length=64, gram=5, batches=1)),
+    (1, SMALL), (2, sx.Options(length=40, gram=8, group=2, bucket_bytes=500)), (5, sx.Options(length=70, gram=6, group=1)), (3, sx.Options(length=40, gram=40, batches=7)), (4, sx.Options(length=64, gram=5, batches=1)),
 ])
 def test_equal_to_brute_force(spark, seed, opts):
     df = documents(spark, planted(seed))
@@ -91,8 +91,8 @@ def test_levels_grow_geometrically(spark):
     family = sx.Family(spark, SMALL, scratch)
     sizes = []
     for k in range(5):
-        rows = [(0, prose(k * 10 + j, 3).encode(), prose(k * 10 + j, 9).encode(), k, j) for j in range(3)]
-        family.add(scratch.write(spark.createDataFrame(rows, "bucket long, left binary, right binary, cid1 long, cid2 long")))
+        rows = [(0, j, prose(k * 10 + j, 3).encode(), prose(k * 10 + j, 9).encode(), k, j) for j in range(3)]
+        family.add(scratch.write(spark.createDataFrame(rows, sx._ENTRY)))
         sizes.append([s for s, _ in family.levels])
     assert sizes == [[0], [0, 0], [1, 0], [1, 0, 0], [2, 0]]
     assert sum(level.count() for _, level in family.levels) == 15
