@@ -1,17 +1,14 @@
 """Relations from wikitext: infobox fields, phrases and list lines, with their sentence and footnotes.
 
-A sentence is read as its links (or unlinked names behind a title) and the words between them. Phrases are a table, not
-code: words before a person say what the one named before them, or the page's, is to that person. Sentences without any
-kin word are dropped by a native test before Python sees them. A page is the unit of work.
-
-With a lexicon of names (see ``name_lexicon``) unlinked names are taken as well: ``~name`` ends.
+Sentences without any kin word are dropped by a native test before Python sees them; ``reading`` reads the others, a line
+at a time. What a line needs of the whole corpus comes with it by joins: the words of its names from the lexicon, and which
+of its links are pages of people. So no vocabulary and no list of titles passes through the driver, whatever their size.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,285 +16,54 @@ from pyspark.sql import functions as F
 
 from kinloom.config import Thresholds
 from kinloom.functions import text as tx
-from kinloom.functions.names import HONORIFICS, SUFFIXES, key_words
+from kinloom.functions.names import HONORIFICS, key_words
+from kinloom.operators.identity import resolve_aliases
+from kinloom.operators.reading import (
+    FEMALE_KIN,
+    FEMALE_TITLES,
+    GENDERED,
+    LINKED,
+    MALE_KIN,
+    NO_ARTICLE,
+    TRIGGER,
+    UNLINKED,
+    YEAR,
+    Lexicon,
+    any_of,
+    phrases,
+    read_line,
+    word,
+)
+from kinloom.plans.storage import written
 
 T = Thresholds()
 
-# Kin words, what they say, and how sure they are.
-OF = {  # X, <word> של Y: (relation, the ends it runs from and to, confidence)
-    "child_of": (("בנו", "בנה", "בתו", "בתה", "בנם", "בתם"), "parent", "SR", 0.7),
-    "parent_of": (("אביו", "אמו", "אביה", "אמה", "אביהם", "אמם"), "parent", "RS", 0.7),
-    "spouse_of": (("אשתו", "אישתו", "רעייתו", "זוגתו", "בעלה", "אלמנתו"), "spouse", "SR", 0.8),
-    "sibling_of": (("אחיו", "אחותו", "אחיה", "אחותה", "אחיהם", "אחותם"), "sibling", "SR", 0.8),
-    "grandparent_of": (("נכדו", "נכדתו", "נכדם", "נכדתם"), "grandparent", "SR", 0.75),
-    "great_grandparent_of": (("נינו", "נינתו"), "great_grandparent", "SR", 0.75),
-    "grandparent_rev": (("סבו", "סבתו", "סבה", "סבתה"), "grandparent", "RS", 0.7),
-    "child_in_law_of": (("חתנו", "כלתו", "חתנם", "כלתם"), "parent_in_law", "SR", 0.8),
-    "sibling_in_law_of": (("גיסו", "גיסתו", "גיסה", "גיסם"), "sibling_in_law", "SR", 0.7),
-    "uncle_of": (("דודו", "דודתו", "דודה", "דודם"), "uncle", "RS", 0.7),
-    "nephew_of": (("אחיינו", "אחייניתו", "אחיינה", "אחיינם"), "uncle", "SR", 0.7),
-}
-IS = {  # <word>, Y: the page's person stands for the subject
-    "parent_is": (("אביו", "אמו", "אביה", "אמה"), "parent", "SR", 0.8),
-    "spouse_noun": (("אשתו", "אישתו", "רעייתו", "זוגתו", "בעלה"), "spouse", "SR", 0.8),
-    "sibling_is": (("אחיו", "אחותו", "אחיה", "אחותה"), "sibling", "SR", 0.75),
-    "child_is": (("בנו", "בתו", "בנם", "בתם", "בנה", "בתה"), "parent", "RS", 0.75),
-    "grandparent_is": (("סבו", "סבתו", "סבה", "סבתה"), "grandparent", "SR", 0.75),
-    "parent_in_law_is": (("חותנו", "חמיו", "חמותו", "חותנתו", "חמיה", "חמותה"), "parent_in_law", "SR", 0.8),
-    "child_in_law_is": (("חתנו", "כלתו", "חתנם", "כלתם"), "parent_in_law", "RS", 0.75),
-    "uncle_is": (("דודו", "דודתו"), "uncle", "SR", 0.7),
-}
-SPOUSE_VERBS = ("נשוי", "נשואה", "נישא", "נישאה", "התחתן", "התחתנה", "נשא", "נשאה")
-CONSTRUCT = {  # X, <word> Y, without "of"
-    "spouse_construct": (("אשת", "רעיית", "אלמנת"), "spouse", "SR", 0.8),
-    "child_construct": (("בן", "בת"), "parent", "SR", 0.7),
-    "son_in_law_of": (("חתן", "כלת"), "parent_in_law", "SR", 0.75),
-}
-MARRIED_DAUGHTER = (("בתו", "בת", "בתה"), "parent_in_law", "SR", 0.75)  # behind a verb of marriage
-LISTS = {  # <word>: Y, Z and W
-    "children_list": (("ילדיו", "ילדיה", "ילדיהם", "בניו", "בנותיו", "בניהם", "בנותיהם", "צאצאיו", "צאצאיהם"), "parent", "RS", 0.75),
-    "siblings_list": (("אחיו ואחיותיו", "אחיו", "אחיותיו", "אחיה", "אחיותיה"), "sibling", "SR", 0.7),
-}
-LIST_ROLES = {  # in lines of lists: the person of the line is this to the page's person
-    "child": (("בנו", "בתו", "בנם", "בתם", "בנה", "בתה"), "parent", "RS"), "child_in_law": (("חתנו", "כלתו", "חתנם", "כלתם"), "parent_in_law", "RS"),
-    "sibling": (("אחיו", "אחותו", "אחיה", "אחותה"), "sibling", "SR"), "parent": (("אביו", "אמו", "אביה", "אמה"), "parent", "SR"),
-    "spouse": (("אשתו", "בעלה", "רעייתו", "זוגתו"), "spouse", "SR"), "grandparent": (("סבו", "סבתו", "סבה", "סבתה"), "grandparent", "SR"),
-    "parent_in_law": (("חותנו", "חמיו", "חמותו", "חותנתו"), "parent_in_law", "SR"), "sibling_in_law": (("גיסו", "גיסתו"), "sibling_in_law", "SR"),
-    "uncle": (("דודו", "דודתו"), "uncle", "SR"),
-}
-LIST_SECTIONS = {  # words of headings and lead-ins, and the role of lines below them
-    "child": "ילדי|צאצא|בניו|בנותיו|בני משפחתו", "sibling": "אחיו|אחיותיו", "child_in_law": "חתניו|כלותיו",
-}
-BORN = ("נולד", "נולדה")
-TO_PARENTS = ("אביו", "אביה", "הוריו", "הוריה", "אמו", "אמה", "אימו", "אימה")
-NAMED_AFTER = ("על שם", "ע\"ש", "לזכר")
-IS_WORDS, PLACE_SIGNS = ("הוא", "היא", "היה", "הייתה", "היתה"), ("ב", "מ")
-VERBS = (*IS_WORDS, "היו", *SPOUSE_VERBS, *BORN, "נפטר", "נפטרה", "כיהן", "שימש", "למד", "עלה", "עבר", "מכהן", "משמש")
-FEMALE_TITLES = ("הרבנית", "מרת", "גב'", "הגברת")
-FEMALE_KIN, MALE_KIN = ("אשת", "בת", "אם", "כלת", "נכדת", "אחות", "אלמנת", "סבת", "דודת", "נינת"), ("בן", "אב", "אבי", "חתן", "נכד", "אח", "בעל", "סב", "דוד", "נין")
-GENDERED = {"m": ("נולד", "נפטר", "נישא", "התחתן", "כיהן", "שימש", "למד"), "f": ("נולדה", "נפטרה", "נישאה", "התחתנה", "כיהנה", "שימשה", "למדה")}
-STOP_WORDS = ("של", "אשר", "היה", "הייתה", "הוא", "היא", "את", "על", "עם", "אצל", "וכן", "גם", "כי", "אך", "אבל", "לבית")
-BORN_TO, SPOUSE_VERB = 0.85, 0.85
-LINKED, UNLINKED, LIST_LINKED, LIST_UNLINKED = 0.9, 0.7, 0.8, 0.6
-NO_ARTICLE = 0.15  # an unlinked end costs so much
-
 SCHEMA = (
     "person string, relative string, relation string, source_page string, evidence string, refs array<string>, method string, "
-    "pattern string, confidence double, side string, alias boolean, order int"
+    "pattern string, confidence double, side string, alias boolean, order int, doubtful boolean, start int, end int"
 )
-_LETTERS = "א-ת"
-
-
-def _any(words) -> str:
-    return "(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")"
-
-
-def _word(words) -> str:
-    return f"(?<![{_LETTERS}]){_any(words)}(?![{_LETTERS}])"
-
-
-_TITLES = rf"(?:{_any(HONORIFICS)}\s+)*"
-_ORDINAL = rf"(?:\s+ה[{_LETTERS}]+)?"
-
-
-@dataclass(frozen=True)
-class Phrase:
-    """Words at the end of a gap that make the next person a relative. ``open``: the words before them tell the subject;
-    ``chain``: also if that was the relative of another phrase; ``explicit``: only if there is one."""
-
-    name: str
-    ending: re.Pattern
-    relation: str
-    direction: str
-    confidence: float
-    open: bool = True
-    chain: bool = False
-    explicit: bool = False
-
-
-@dataclass
-class Mention:
-    """A person in a sentence, and the words between it and the one before."""
-
-    id: str
-    gap: str
-    title: str = ""
-    used: bool = field(default=False)
-
 
-def phrases() -> list[Phrase]:
-    def ending(body: str) -> re.Pattern:
-        return re.compile(body + rf"\s*(?:,\s*)?{_TITLES}$")
 
-    is_, marry = rf"(?:\s*[,:]?\s*{_any(IS_WORDS)}(?![{_LETTERS}]))?", _word(SPOUSE_VERBS) + r"(?:\s+לאי?שה)?(?:\s+בזיווג\s+\S+)?"
-    out = [Phrase("married_daughter_of", ending(rf"{marry}\s+(?:את\s+|עם\s+|ל)?{_any(MARRIED_DAUGHTER[0])}(?:\s+של)?"), *MARRIED_DAUGHTER[1:])]
-    out += [Phrase(n, ending(_word(w) + _ORDINAL + r"\s+של"), r, d, c, chain=n == "child_of") for n, (w, r, d, c) in OF.items()]
-    out += [Phrase(n, ending(_word(w) + r"(?:\s+של)?"), r, d, c, chain=n != "spouse_construct", explicit=n == "child_construct") for n, (w, r, d, c) in CONSTRUCT.items()]
-    out += [Phrase("spouse_verb", ending(marry + r"\s+(?:ל|עם|את)"), "spouse", "SR", SPOUSE_VERB)]
-    out += [Phrase(n, ending(_word(w) + _ORDINAL + is_), r, d, c, open=False) for n, (w, r, d, c) in IS.items()]
-    out += [Phrase(n, ending(_word(w) + r"\s*(?:הם|הן|היו)?\s*[:,]?"), r, d, c, open=False) for n, (w, r, d, c) in LISTS.items()]
-    return out
-
-
-TRIGGER = _any({w for words, *_ in (*OF.values(), *IS.values(), *CONSTRUCT.values(), *LISTS.values(), MARRIED_DAUGHTER) for w in words} | set(SPOUSE_VERBS) | set(BORN))
-_BORN = re.compile(_word(BORN) + rf"[^.]*(?<![{_LETTERS}])ל{_any(TO_PARENTS)}?\s*,?\s*{_TITLES}$")
-_AND = re.compile(rf"\s*,?\s*ו(?:של|-|ל{_any(TO_PARENTS)}?)?\s*,?\s*{_TITLES}$")
-_ITEM = re.compile(rf"\s*(?:,|ו|,\s*ו|ו-)\s*{_TITLES}$")
-_BESIDE = re.compile(rf"^\s*[,–(-]?\s*(?:{_any(IS_WORDS)}\s+)?$")
-_LINK = re.compile(r"\[\[([^\[\]|#]+?)(?:#[^\[\]|]*)?(?:\|[^\[\]]*)?\]\]")
-_NAME_AT = re.compile(rf"[{_LETTERS}][{_LETTERS}'\"-]*(?:\s+[{_LETTERS}][{_LETTERS}'\"-]*){{0,3}}")
-
-
-@dataclass(frozen=True)
-class Lexicon:
-    """Words of names in titles: given (first words), last (last words that are no given names), all."""
-
-    given: frozenset = frozenset()
-    last: frozenset = frozenset()
-    every: frozenset = frozenset()
-
-    def name(self, text: str, titled: bool) -> str:
-        """The name that ``text`` begins with, or nothing: given or titled first, then on while words are known."""
-        words: list[str] = []
-        for w in text.split():
-            bare = w.strip("(),.;:'\"")
-            if not bare or bare in STOP_WORDS or bare in HONORIFICS or bare in SUFFIXES or bare not in self.every and not (titled and not words):
-                break
-            words.append(bare)
-            if bare != w:  # a sign ends the name
-                break
-        if not words or not (titled or words[0] in self.given or len(words) > 1 and words[1] in self.last):
-            return ""
-        return " ".join(words) if titled or len(words) > 1 or words[0] in self.given and not words[0].startswith("ה") else ""
-
-
-def name_lexicon(titles: DataFrame, least: int = T.strict_lexicon) -> Lexicon:
-    """Lexicon of (title), which is empty below ``least`` titles: too few to know names by. Words of names are far fewer
-    than titles; they are what every task needs."""
+def lexicon_of(titles: DataFrame, texts: DataFrame | None = None, least: int = T.strict_lexicon, frequent: int = T.document_frequency) -> DataFrame | None:
+    """(word, given, last, every, common) of names in (title), and of words that ``frequent`` of ``texts`` (text) have;
+    None below ``least`` titles: too few to know names by."""
     if titles.limit(least).count() < least:
-        return Lexicon()
+        return None
     w = titles.select(key_words(tx.display_name(F.col("title"))).alias("w")).filter(F.size("w") > 0)
     ends = w.select(F.posexplode("w").alias("at", "word"), F.size("w").alias("n")).filter(F.length("word") > 1)
-    each = ends.groupBy("word").agg(F.bool_or(F.col("at") == 0).alias("given"), F.bool_or((F.col("at") == F.col("n") - 1) & (F.col("n") > 1)).alias("last"))
-    rows = each.collect()
-    given = frozenset(r["word"] for r in rows if r["given"])
-    return Lexicon(given, frozenset(r["word"] for r in rows if r["last"]) - given, frozenset(r["word"] for r in rows))
-
-
-def mentions(clean: str, lexicon: Lexicon) -> list[Mention]:
-    """People of a sentence in order: content links, and names that the lexicon knows right behind kin words or titles."""
-    out, at = [], 0
-    for m in _LINK.finditer(clean):
-        target = _title(m.group(1))
-        if any(target.lower().startswith(ns) for ns in tx.SKIPPED_NAMESPACES):
-            continue
-        out += _unlinked(clean[at : m.start()], lexicon)
-        spent = sum(len(x.gap) + len(x.title) for x in _unlinked(clean[at : m.start()], lexicon))
-        out.append(Mention(target, clean[at + spent : m.start()]))
-        at = m.end()
-    return out + _unlinked(clean[at:], lexicon)
-
-
-def _unlinked(gap: str, lexicon: Lexicon) -> list[Mention]:
-    """Unlinked names in the words between links. ``title`` is the name as written, so that lengths add up."""
-    if not lexicon.every:
-        return []
-    out, at = [], 0
-    while (m := _NAME_START.search(gap, at)) is not None:
-        raw = gap[m.end() :]
-        name = lexicon.name(raw, bool(m.group("title")))
-        if not name:
-            at = m.end()
-            continue
-        end = m.end() + raw.index(name.split()[-1], sum(map(len, name.split()[:-1]))) + len(name.split()[-1])
-        begin = sum(len(x.gap) + len(x.title) for x in out)
-        out.append(Mention("~" + name, gap[begin : m.end()], gap[m.end() : end]))
-        at = end
-    return out
-
-
-_NAME_START = re.compile(
-    rf"(?:{_word({w for words, *_ in (*OF.values(), *IS.values(), *CONSTRUCT.values()) for w in words} | set(TO_PARENTS))}{_ORDINAL}(?:\s+של)?|(?<![{_LETTERS}])(?:ו?ל|ו)?{_any(TO_PARENTS)}|{_word(SPOUSE_VERBS)}\s+(?:ל|עם\s+|את\s+))"
-    rf"\s*,?\s*(?P<title>(?:{_any(HONORIFICS)}\s+)*)"
-)
+    each = ends.groupBy("word").agg(F.bool_or(F.col("at") == 0).alias("given"), F.bool_or((F.col("at") == F.col("n") - 1) & (F.col("n") > 1)).alias("l"))
+    named = each.select("word", "given", (F.col("l") & ~F.col("given")).alias("last"), F.lit(True).alias("every"))
+    if texts is None:
+        return named.withColumn("common", F.lit(False))
+    common = document_frequency(texts).filter(F.col("n") >= frequent).select("word", F.lit(True).alias("common"))
+    no = F.lit(False)
+    return named.join(common, "word", "full").select("word", *[F.coalesce(c, no).alias(c) for c in ("given", "last", "every", "common")])
 
 
-def of_sentence(page: str, sentence: str, table: list[Phrase], lexicon: Lexicon = Lexicon()) -> Iterator[tuple[str, str, str, str, float]]:
-    """(person, relative, relation, pattern, confidence) of one sentence of the page."""
-    clean = re.sub("\0R\\d+\0", "", sentence)
-    clean = re.sub(rf"{_any(NAMED_AFTER)}[^,.]*", "", clean)
-    people = mentions(clean, lexicon)
-    said: tuple | None = None  # what "and" goes on with
-    so_far = ""
-    for k, now in enumerate(people):
-        gap = now.gap
-        so_far, upto = f"{so_far}{gap}{now.id}", so_far + gap
-        if said and (_AND if said[5] != "list" else _ITEM).match(gap):
-            yield from _said(said, now)
-            now.used = True
-            continue
-        said = None
-        before = people[k - 1] if k else None
-        hit = next(((p, m) for p in table if (m := p.ending.search(gap))), None)
-        if hit is None and (m := _BORN.search(upto)):
-            hit = Phrase("born_to", _BORN, "parent", "SR", BORN_TO, open=False), m
-        if hit is None:
-            continue
-        phrase, m = hit
-        subject = people[0].id if k and phrase.open and clean[:1] in "*#" else page  # a line of a list is about its head
-        if phrase.open and before is not None and _BESIDE.match(gap[: m.start()]) and (phrase.chain or not before.used):
-            subject = before.id
-        elif phrase.explicit:
-            continue
-        kind = "list" if phrase.name in LISTS else "child" if phrase.relation == "parent" else ""
-        said = (subject, phrase.relation, phrase.direction, phrase.name, phrase.confidence, kind)
-        yield from _said(said, now)
-        now.used = True
-        if not kind:
-            said = None
-
-
-def _said(said: tuple, now: Mention) -> Iterator[tuple[str, str, str, str, float]]:
-    subject, relation, direction, name, confidence, _ = said
-    a, b = (subject, now.id) if direction == "SR" else (now.id, subject)
-    if a != b:
-        yield a, b, relation, name, confidence - (NO_ARTICLE if now.id.startswith("~") else 0)
-
-
-def _title(target: str) -> str:
-    return re.sub(r"\s+", " ", target.strip().replace("_", " "))
-
-
-def of_list_line(page: str, line: str, context: str, lexicon: Lexicon = Lexicon()) -> Iterator[tuple[str, str, str, str, float]]:
-    """What a line of a list says about its first person, and those set beside it: by a kin word before it or right after
-    it, else by the heading or lead-in ``context``."""
-    clean = re.sub("\0R\\d+\0", "", line).lstrip("*#:; ")
-    links = list(_LINK.finditer(clean))
-    head = re.split(r"\s+[–-]\s+|[,(:]|\.\s", clean, maxsplit=1)[0] if not links else clean[: links[0].start()]
-    after = re.split(r"[,.;:()]", clean[links[0].end() :] if links else clean[len(head) :].lstrip(" –-,"), maxsplit=1)[0]
-    own = f"{head} {after}" if links else f"{head} {after}"
-    role = next((n for n, (w, *_) in LIST_ROLES.items() if re.search(_word(w) + r"(?!\s+של)", own)), None)
-    role = role or next((n for n, words in LIST_SECTIONS.items() if re.search(words, context)), None)
-    if role is None:
-        return
-    _, relation, direction = LIST_ROLES[role]
-    who = []
-    for k, m in enumerate(links):
-        between = clean[links[k - 1].end() : m.start()] if k else head
-        if k and not _ITEM.fullmatch(between):
-            break
-        if not k and re.search(r"\sשל\s|[–-]\s", between):  # the person of the line is somebody else
-            return
-        who.append(_title(m.group(1)))
-    if not links:
-        bare = re.sub(rf"^{_any({w for words, *_ in LIST_ROLES.values() for w in words})}{_ORDINAL}\s*,?\s*", "", head.strip())
-        titled = re.match(rf"{_any(HONORIFICS)}\s+", bare)
-        name = lexicon.name(bare[titled.end() :] if titled else bare, bool(titled)) if lexicon.every else ""
-        who = ["~" + name] if name else []
-    for x in who:
-        if x != page and not any(x.lower().startswith(ns) for ns in tx.SKIPPED_NAMESPACES):
-            a, b = (page, x) if direction == "SR" else (x, page)
-            yield a, b, relation, f"list:{role}", LIST_UNLINKED if x.startswith("~") else LIST_LINKED
+def document_frequency(texts: DataFrame) -> DataFrame:
+    """(word, n): how many of ``texts`` (text) have a word of two letters or more."""
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[א-ת][א-ת'\"-]+"), F.lit(0)))
+    return texts.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def gender_of_title(title: Column, lead: Column) -> Column:
@@ -305,7 +71,7 @@ def gender_of_title(title: Column, lead: Column) -> Column:
     t = tx.normalize_quotes(title)
     first = F.split(t, r"\s+")[0]
     kin = F.split(tx.disambiguator(t), r"\s+")[0]
-    verb = F.regexp_extract(lead, _word([w for words in GENDERED.values() for w in words] + ["היה", "הייתה", "היתה", "הוא", "היא"]), 0)
+    verb = F.regexp_extract(lead, word([w for words in GENDERED.values() for w in words] + ["היה", "הייתה", "היתה", "הוא", "היא"]), 0)
     man = [*GENDERED["m"], "היה", "הוא"]
     return (
         F.when(first.isin(*FEMALE_TITLES), "f").when(first.isin(*HONORIFICS), "m").when(kin.isin(*FEMALE_KIN), "f").when(kin.isin(*MALE_KIN), "m")
@@ -315,13 +81,13 @@ def gender_of_title(title: Column, lead: Column) -> Column:
 
 def gender_votes(text: Column) -> Column:
     """struct(m, f): how many gendered verbs a text has."""
-    n = lambda g: F.size(F.regexp_extract_all(text, F.lit(_word(GENDERED[g])), F.lit(0)))
+    n = lambda g: F.size(F.regexp_extract_all(text, F.lit(word(GENDERED[g])), F.lit(0)))
     return F.struct(n("m").alias("m"), n("f").alias("f"))
 
 
 def honorific_gender(before: Column) -> Column:
     """Gender of a title that stands right before a name, at the end of ``before``; other titles say nothing."""
-    last = F.regexp_extract(tx.normalize_quotes(before), rf"(?:^|[\s,;:(–-])((?:{_any(HONORIFICS)}\s+)+)$", 1)
+    last = F.regexp_extract(tx.normalize_quotes(before), rf"(?:^|[\s,;:(–-])((?:{any_of(HONORIFICS)}\s+)+)$", 1)
     words = F.split(F.trim(last), r"\s+")
     female = F.array(*[F.lit(t) for t in FEMALE_TITLES])
     return F.when(F.trim(last) == "", F.lit(None).cast("string")).when(F.arrays_overlap(words, female), "f").otherwise("m")
@@ -334,13 +100,13 @@ def gender_conflict(own: Column, votes: Column, word: Column) -> Column:
 
 
 def looks_like_year(text: Column) -> Column:
-    """Whether a name is in truth a year or a number."""
-    t = F.trim(tx.normalize_quotes(text))
-    return t.rlike(rf"^(?:(?:ה')?ת[{_LETTERS}]{{0,3}}\"[{_LETTERS}]|\d{{3,4}}|שנת .*|[{_LETTERS}]{{1,2}}\"[{_LETTERS}]|\d{{1,2}} ב[{_LETTERS}]+)$")
+    """Whether a name is in truth a year, a number, a day or a feast."""
+    return F.trim(tx.normalize_quotes(text)).rlike(f"^(?:{YEAR.pattern})$")
 
 
-def from_text(pages: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
-    """Relations from the sentences and list lines of (title, wikitext)."""
+def lines(pages: DataFrame, lexicon: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The lines of (title, wikitext) that may tell relations: title, notes, row, line, context; with ``lexicon`` also
+    words (those of the line that it has), with ``known`` (title) also people (targets of the line's links in it)."""
     body = tx.tokenize_refs(tx.strip_templates(tx.strip_comments(tx.normalize_quotes(F.col("wikitext")))))
     rows = pages.select("title", tx.refs(tx.normalize_quotes(F.col("wikitext"))).alias("notes"), F.posexplode(F.split(body, "\n")).alias("row", "line"))
     # the heading, or a line before the list that ends in a colon, is what its lines are about
@@ -348,25 +114,62 @@ def from_text(pages: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
     rows = rows.withColumn("context", F.last(lead, ignorenulls=True).over(Window.partitionBy("title").orderBy("row")))  # lines of one page
     listed = F.col("line").rlike(r"^[*#]")
     rows = rows.filter(listed | F.col("line").rlike(TRIGGER)).select("title", "notes", "row", "line", F.coalesce("context", F.lit("")).alias("context"))
+    if lexicon is None and known is None:
+        return rows
+    rows = written(rows, "lines")
+    if lexicon is not None:
+        bare = F.transform(F.split("line", r"\s+"), lambda w: F.regexp_replace(w, r"^[(),.;:'\[\]]+|[(),.;:'\[\]]+$", ""))
+        each = rows.select("title", "row", F.explode(F.array_distinct(bare)).alias("word")).join(lexicon, "word")
+        rows = rows.join(each.groupBy("title", "row").agg(F.collect_list(F.struct("word", "given", "last", "every", "common")).alias("words")), ["title", "row"], "left")
+    if known is not None:
+        target = F.transform(F.regexp_extract_all("line", F.lit(tx.LINK), F.lit(1)), lambda t: F.trim(F.regexp_replace(F.translate(t, "_", " "), r"\s+", " ")))
+        each = rows.select("title", "row", F.explode(F.array_distinct(target)).alias("target")).join(known.select(F.col("title").alias("target")).distinct(), "target")
+        rows = rows.join(each.groupBy("title", "row").agg(F.collect_set("target").alias("people")), ["title", "row"], "left")
+    return rows
+
+
+def from_text(pages: DataFrame, lexicon: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Relations from the sentences and list lines of (title, wikitext), titles distinct. With ``lexicon`` (``lexicon_of``)
+    unlinked names are taken as well, as ``~name`` ends; with ``known`` (title), links to other pages without a title
+    before them are doubtful: their relations are kept at ``doubtful_cap`` at most."""
+    rows = lines(pages, lexicon, known)
+    none = F.lit(None).cast("array<string>")
+    named = rows.withColumn("words", F.lit(None).cast("array<struct<word:string,given:boolean,last:boolean,every:boolean,common:boolean>>")) if lexicon is None else rows
+    part = lambda c: F.transform(F.filter("words", lambda w: w[c]), lambda w: w["word"]).alias(c)
+    rows = named.select(
+        "title", "notes", "row", "line", "context", part("given"), part("last"), part("every"), part("common"),
+        (none if known is None else F.coalesce("people", F.array().cast("array<string>"))).alias("people"),
+    )
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = phrases()
         for batch in batches:
             out = []
-            for title, notes, row, line, context in batch.itertuples(index=False):
-                for k, sentence in enumerate(tx.sentence_list(line)):
-                    found = [(*x, "pattern") for x in of_sentence(title, sentence, table, lexicon)]
-                    if not k and line[:1] in "*#":
-                        found += [(*x, "list") for x in of_list_line(title, line, context, lexicon) if x[:3] not in {f[:3] for f in found}]
-                    refs = [notes[int(i)] for i in re.findall("\0R(\\d+)\0", sentence) if int(i) < len(notes)]
-                    for a, b, relation, pattern, confidence, method in found:
-                        sure = round(max(T.relation_floor, min(confidence, T.relation_cap)), 2)
-                        out.append((a, b, relation, title, re.sub("\0R\\d+\0", "", sentence), refs, method, pattern, sure, None, False, int(row)))
+            for title, notes, row, line, context, *names, people in batch.itertuples(index=False):
+                words = Lexicon(*(frozenset(() if n is None else n) for n in names))
+                for sentence, f in read_line(title, re.sub("\0R(\\d+)\0", "", line), context, table, words, None if people is None else frozenset(people)):
+                    refs = [notes[i] for i in notes_of(line, sentence) if i < len(notes)]
+                    cap = T.doubtful_cap if f.doubtful else T.relation_cap
+                    sure = round(max(T.relation_floor, min(f.confidence, cap)), 2)
+                    method = "list" if f.pattern.startswith("list:") else "pattern"
+                    out.append((f.person, f.relative, f.relation, title, sentence, refs, method, f.pattern, sure, f.side, False, int(row), f.doubtful, f.start, f.end))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return rows.mapInPandas(find, SCHEMA)
 
 
+def notes_of(line: str, sentence: str) -> list[int]:
+    """Numbers of the footnote marks in the part of ``line`` that, without marks, is ``sentence``."""
+    plain, marks = "", []
+    for part in re.split("(\0R\\d+\0)", line):
+        if part.startswith("\0R"):
+            marks.append((len(plain), int(part[2:-1])))
+        else:
+            plain += part
+    start = plain.find(sentence)
+    return [n for at, n in marks if start < at <= start + len(sentence)]
+
+
 def from_infobox(pages: DataFrame, roles: dict[str, tuple[str, ...]]) -> DataFrame:
     """Relations from template parameters of (title, wikitext); ``roles`` names the fields of father, mother, parents,
     spouse, children, siblings."""
@@ -380,29 +183,50 @@ def from_infobox(pages: DataFrame, roles: dict[str, tuple[str, ...]]) -> DataFra
     link = F.regexp_extract("item", tx.LINK, 1)
     bare = F.trim(F.regexp_replace("item", r"<[^>]+>|'{2,}", ""))
     who = F.when(link != "", tx.normalize_title(link)).when((bare != "") & (F.length(bare) <= 40), F.concat(F.lit("~"), bare))
-    rows = items.withColumn("who", who).filter("who IS NOT NULL AND who <> title")
+    rows = items.withColumn("who", who).filter("who IS NOT NULL AND who <> title").filter(~looks_like_year(F.regexp_replace("who", "^~", "")))
     a, b = F.when(F.col("forward"), F.col("title")).otherwise(F.col("who")), F.when(F.col("forward"), F.col("who")).otherwise(F.col("title"))
     sure = F.when(F.col("who").startswith("~"), UNLINKED).otherwise(LINKED)
     return rows.select(
         a.alias("person"), b.alias("relative"), "relation", F.col("title").alias("source_page"),
         F.concat_ws(" = ", "field", F.trim("item")).alias("evidence"), tx.refs(F.col("value")).alias("refs"), F.lit("infobox").alias("method"),
         F.col("field").alias("pattern"), sure.alias("confidence"), F.lit(None).cast("string").alias("side"), F.lit(False).alias("alias"), "order",
+        F.lit(False).alias("doubtful"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"),
     )
 
 
+BORN_IN, DIED_IN = "אישים שנולדו בשנת", "אישים שנפטרו בשנת"  # fixed values: categories of years
+
+
 def page_years(pages: DataFrame, born: tuple[str, ...], died: tuple[str, ...]) -> DataFrame:
-    """(title, born, died): years as written, from the first of the named template fields, else from the first sentence
-    that has the verb."""
+    """(title, born, died): years as written, from the first of the named template fields, else from the page's
+    categories, else from the first sentence that has the verb."""
     t = pages.select("title", F.explode(tx.templates(tx.strip_comments(tx.normalize_quotes(F.col("wikitext"))))).alias("t"))
     fields = t.select("title", F.explode("t.params").alias("field", "value")).filter(F.col("field").isin(*born, *died)).withColumn("year", tx.year_in(F.col("value"))).filter("year IS NOT NULL")
     boxed = fields.groupBy("title").agg(
         F.min(F.when(F.col("field").isin(*born), F.col("year"))).alias("b"), F.min(F.when(F.col("field").isin(*died), F.col("year"))).alias("d"))
-    said = lambda words: tx.year_in(F.regexp_extract(tx.normalize_quotes(F.col("wikitext")), rf"{_word(words)}[^.\n]*", 0))
-    spoken = pages.select("title", said(("נולד", "נולדה")).alias("sb"), said(("נפטר", "נפטרה")).alias("sd"))
-    return spoken.join(boxed, "title", "left").select("title", F.coalesce("b", "sb").alias("born"), F.coalesce("d", "sd").alias("died"))
-
-
-def extract(pages: DataFrame, roles: dict[str, tuple[str, ...]], lexicon: Lexicon = Lexicon()) -> DataFrame:
+    text = tx.normalize_quotes(F.col("wikitext"))
+    said = lambda words: tx.year_in(F.regexp_extract(text, rf"{word(words)}[^.\n]*", 0))
+    filed = lambda lead: F.nullif(F.trim(F.regexp_extract(text, rf"\[\[[^\]|]*:\s*{lead}\s+([^\]|]+)", 1)), F.lit(""))
+    spoken = pages.select("title", filed(BORN_IN).alias("cb"), filed(DIED_IN).alias("cd"), said(("נולד", "נולדה")).alias("sb"), said(("נפטר", "נפטרה")).alias("sd"))
+    return spoken.join(boxed, "title", "left").select("title", F.coalesce("b", "cb", "sb").alias("born"), F.coalesce("d", "cd", "sd").alias("died"))
+
+
+def with_aliases(relations: DataFrame, index: DataFrame) -> DataFrame:
+    """Relations whose unlinked ends are the pages they stand for (``identity.unique_alias_index``), where there is one:
+    names count in running text alone, nicks everywhere. They are no surer than ``alias_cap``."""
+    out = relations.withColumn("in_prose", (F.col("method") == "pattern") & ~F.col("evidence").rlike(r"^[*#]"))
+    for end in ("person", "relative"):
+        bare = F.col(end).startswith("~")
+        named = out.withColumn("name", F.when(bare, F.substring(end, F.lit(2), F.length(end)))).withColumnRenamed("alias", "__alias")
+        hit = resolve_aliases(named, index)
+        sure = F.when(F.col("alias"), F.least(F.col("confidence") + NO_ARTICLE, F.lit(T.alias_cap))).otherwise(F.col("confidence"))
+        out = hit.withColumns({end: F.coalesce("title", end), "confidence": F.round(sure, 2), "__alias": F.col("__alias") | F.col("alias")})
+        out = out.drop("alias", "title", "name").withColumnRenamed("__alias", "alias")
+    return out.filter("person <> relative").select(*relations.columns)
+
+
+def extract(pages: DataFrame, roles: dict[str, tuple[str, ...]], lexicon: DataFrame | None = None, known: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """All relations of (title, wikitext); a page that is there twice counts once."""
     once = pages.select("title", "wikitext").dropDuplicates(["title"])
-    return from_infobox(once, roles).unionByName(from_text(once, lexicon))
+    found = from_infobox(once, roles).unionByName(from_text(once, lexicon, known))
+    return found if index is None else with_aliases(found, index)

@@ -7,6 +7,11 @@ and a budget is a number of rows. Only splitting, which has to draw, works tree
 
 from __future__ import annotations
 
+import copy
+from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +19,7 @@ from pyspark.sql import functions as F
 from kinloom.config import Thresholds
 from kinloom.functions.names import HONORIFICS
 from kinloom.functions.text import normalize_quotes
-from kinloom.operators.layout import Node, forest
+from kinloom.operators.layout import Node, forest, trees_of
 from kinloom.plans.storage import written
 
 T = Thresholds()
@@ -85,14 +90,14 @@ def grow_trees(roots: DataFrame, below: DataFrame, people: DataFrame, bare: Data
     text = kids.join(bare.withColumnRenamed("id", "child"), "child", "left_semi").join(people.select(F.col("id").alias("child"), "name"), "child", "left")
     extra = text.groupBy("spec", F.col("owner").alias("person")).agg(F.sort_array(F.collect_list(F.struct("marriage", "place", "name")))["name"].alias("extra"))
     kids = written(kids.join(bare.withColumnRenamed("id", "child"), "child", "left_anti"), "kids")
-    level = roots.select("tree_id", "spec", "person", F.lit("").alias("path"), F.lit(None).cast("string").alias("up"), F.lit(None).cast("int").alias("marriage"),
+    level = roots.select("tree_id", "spec", "person", F.array().cast("array<int>").alias("path"), F.lit(None).cast("array<int>").alias("up"), F.lit(None).cast("int").alias("marriage"),
                          F.lit(None).cast("int").alias("child"), F.lit(0).alias("depth"), F.lit(False).alias("late"))
     level = written(level, "level")
     every, seen, cut = level, level.select("tree_id", "person"), None
     while max_depth is None or level.first() is not None:
         step = level.select("tree_id", "spec", F.col("person").alias("owner"), F.col("path").alias("up"), "depth", "late").join(kids, ["spec", "owner"])
         step = step.select(
-            "tree_id", "spec", F.col("child").alias("person"), F.concat("up", F.lpad(F.col("marriage").cast("string"), 4, "0"), F.lpad(F.col("place").cast("string"), 6, "0")).alias("path"),
+            "tree_id", "spec", F.col("child").alias("person"), F.concat("up", F.array(F.col("marriage").cast("int"), F.col("place").cast("int"))).alias("path"),
             "up", "marriage", F.col("place").alias("child"), (F.col("depth") + 1).alias("depth"), (F.col("late") | F.col("child").startswith("~")).alias("late"),
         ).join(seen, ["tree_id", "person"], "left_anti")
         if max_depth is not None and int(level.agg(F.max("depth")).first()[0] or 0) >= max_depth:
@@ -119,83 +124,100 @@ def grow_trees(roots: DataFrame, below: DataFrame, people: DataFrame, bare: Data
     return nodes, marriages
 
 
-def _size(n: Node) -> int:
-    return 1 + sum(_size(k) for _, kids in n.marriages for k in kids)
+@dataclass
+class Piece:
+    """One tree of those that a tree is split into: where it was cut from, notes and text in people's boxes."""
 
+    title: str
+    roots: list[Node]
+    origin: str | None = None
+    notes: dict[str, str] = field(default_factory=dict)
+    folded: dict[str, list[str]] = field(default_factory=dict)
 
-def _walk(n: Node):
-    yield n
-    for _, kids in n.marriages:
-        for k in kids:
-            yield from _walk(k)
 
+@dataclass
+class _Spot:
+    """A node of a piece, its size with all below, and the list that it stands in."""
 
-def _lift(n: Node, by: int) -> None:
-    for x in _walk(n):
-        x.depth -= by
+    node: Node
+    size: int
+    beside: list[Node]
+    parent: Node | None
 
 
-def _fits(roots: list[Node], most: int, widest: int) -> bool:
-    import copy
+def _spots(roots: list[Node]) -> list[_Spot]:
+    """All nodes from the top down; sizes are summed on the way back up."""
+    out = [_Spot(r, 1, roots, None) for r in roots]
+    for spot in out:  # grows while it is read
+        out += [_Spot(kid, 1, kids, spot.node) for _, kids in spot.node.marriages for kid in kids]
+    place = {id(s.node): s for s in out}
+    for spot in reversed(out):
+        if spot.parent is not None:
+            place[id(spot.parent)].size += spot.size
+    return out
 
-    return sum(map(_size, roots)) <= most and forest(copy.deepcopy(roots)).width <= widest  # drawing changes its nodes
 
+def _width(roots: list[Node]) -> int:
+    return forest(copy.deepcopy(roots)).width  # drawing changes its nodes
 
-def split_tree(title: str, roots: list[Node], name, may_head, most: int = T.tree_nodes, widest: int = T.tree_width, least: int = T.branch_size):
-    """[(title, roots, title of the tree it was cut from, {person: note}, {person: folded children})].
 
-    Until a tree fits: its largest other root with enough people becomes a tree; else its largest branch that leaves
-    enough does, and a note stays in its place; else unlinked children without children, deepest first, become text.
-    """
-    taken, queue, out = {title}, [(title, roots, None)], []
-
-    def fresh(of: str, person: str) -> str:
-        base = BRANCH.format(of.split(" – ")[0], name(person))
-        found = next(t for t in (base, *(f"{base} ({k})" for k in range(2, len(taken) + 3))) if t not in taken)
-        taken.add(found)
-        return found
-
-    while queue:
-        now, trees, origin = queue.pop(0)
-        notes: dict[str, str] = {}
-        folded: dict[str, list[str]] = {}
-        while not _fits(trees, most, widest):
-            main = max(trees, key=_size)
-            movable = [t for t in trees if t is not main and _size(t) > least and may_head(t.person)]
-            if movable:
-                root = max(movable, key=_size)
-                trees = [t for t in trees if t is not root]
-                queue.append((fresh(now, root.person), [root], now))
-                continue
-            total = sum(map(_size, trees))
-            heads = [n for t in trees for n in _walk(t) if n.depth and _size(n) > least and total - _size(n) + 1 >= least + 2 and may_head(n.person)]
-            if heads:
-                head = max(heads, key=_size)
-                branch = Node(head.person, head.depth, head.marriages)
-                head.marriages = [(s, []) for s, _ in head.marriages]
-                _lift(branch, branch.depth)
-                there = fresh(now, head.person)
-                notes[head.person] = NOTE.format(there)
-                queue.append((there, [branch], now))
+def _branch(piece: Piece, spots: list[_Spot], may_head: Callable[[str], bool], least: int) -> _Spot | None:
+    """What leaves a piece next: a root beside the largest one, or else a branch that leaves enough behind; the largest."""
+    tops = spots[: len(piece.roots)]
+    total, main = sum(t.size for t in tops), max(tops, key=lambda t: t.size)
+    large = [s for s in spots if s.size > least and may_head(s.node.person)]
+    others = [s for s in large if s.parent is None and s is not main]
+    inner = [s for s in large if s.node.depth and s.parent is not None and total - s.size >= least + 1]
+    return max(others or inner, key=lambda s: s.size, default=None)
+
+
+def split_tree(title: str, roots: list[Node], name: Callable[[str], str], may_head: Callable[[str], bool], most: int = T.tree_nodes, widest: int = T.tree_width, least: int = T.branch_size) -> list[Piece]:
+    """The pieces of a tree. A piece that has too many people or is too wide loses, again and again, a whole root or a
+    branch of more than ``least`` people (see ``_branch``), which becomes a piece of its own and leaves a note if it was a
+    branch; where there is none, the deepest of its unlinked people without children become text in their parents' boxes."""
+    times: Counter[str] = Counter()
+
+    def titled(of: Piece, person: str) -> str:
+        base = BRANCH.format(of.title.split(" – ")[0], name(person))
+        times[base] += 1
+        return base if times[base] == 1 else f"{base} ({times[base]})"
+
+    pieces = [Piece(title, roots)]
+    for piece in pieces:  # grows while it is read
+        while True:
+            spots = _spots(piece.roots)
+            if len(spots) <= most and _width(piece.roots) <= widest:
+                break
+            cut = _branch(piece, spots, may_head, least)
+            if cut is not None:
+                head = cut.node
+                if cut.parent is None:
+                    piece.roots = [r for r in piece.roots if r is not head]
+                    fresh = Piece(titled(piece, head.person), [head], piece.title)
+                else:
+                    fresh = Piece(titled(piece, head.person), [Node(head.person, 0, head.marriages)], piece.title)
+                    piece.notes[head.person] = NOTE.format(fresh.title)
+                    for spot in _spots(fresh.roots)[1:]:
+                        spot.node.depth -= head.depth
+                    head.marriages = [(spouse, []) for spouse, _ in head.marriages]
+                pieces.append(fresh)
                 continue
-            leaves = [(k.depth, n, k) for t in trees for n in _walk(t) for _, kids in n.marriages for k in kids if k.person.startswith("~") and _size(k) == 1]
-            if not leaves:
+            loose = [s for s in spots if s.parent is not None and s.size == 1 and s.node.person.startswith("~")]
+            if not loose:
                 break
-            deepest = max(d for d, *_ in leaves)
-            for n in {id(n): n for d, n, _ in leaves if d == deepest}.values():
-                gone = [k for d, m, k in leaves if m is n and d == deepest]
-                folded.setdefault(n.person, []).extend(k.person for k in gone)
-                n.marriages = [(s, [k for k in kids if all(k is not g for g in gone)]) for s, kids in n.marriages]
-        out.append((now, trees, origin, notes, folded))
-    return out
+            deepest = max(s.node.depth for s in loose)
+            for s in (s for s in loose if s.node.depth == deepest):
+                piece.folded.setdefault(s.parent.person, []).append(s.node.person)
+                s.beside[:] = [kid for kid in s.beside if kid is not s.node]
+    return pieces
 
 
-def split_trees(nodes: DataFrame, marriages: DataFrame, people: DataFrame, most: int = T.tree_nodes, widest: int = T.tree_width, least: int = T.branch_size) -> DataFrame:
+def split_trees(nodes: DataFrame, marriages: DataFrame, people: DataFrame, most: int = T.tree_nodes, widest: int = T.tree_width, least: int = T.branch_size, hide: bool = False) -> DataFrame:
     """NODES of the trees after splitting, with origin (the tree it was cut from), note, folded (children put into text)
-    and spouses (by marriage). ``people`` is (id, name); a tree's people are a few hundred, and go to its task with it."""
-    from kinloom.operators.layout import _tree
-
-    named = nodes.join(people.select(F.col("id").alias("person"), "name"), "person", "left")
+    and spouses (by marriage). ``people`` is (id, name) and, for ``hide``, fetched: then nobody without an article gives a
+    tree its title. A tree's people are a few hundred, and go to its task with it."""
+    bare = ~F.coalesce(F.col("fetched"), F.lit(False)) if hide else F.lit(False)
+    named = nodes.join(people.select(F.col("id").alias("person"), "name", bare.alias("bare")), "person", "left")
     schema = f"{NODES}, origin string, note string, folded array<string>, spouses array<string>"
 
     def one(key, mine: pd.DataFrame, wed: pd.DataFrame) -> pd.DataFrame:
@@ -204,14 +226,16 @@ def split_trees(nodes: DataFrame, marriages: DataFrame, people: DataFrame, most:
             return pd.DataFrame(columns=columns)
         names = dict(zip(mine["person"], mine["name"], strict=True))
         shown = lambda p: names.get(p) or p.split("@", 1)[0].lstrip("~")
-        head = lambda p: not p.startswith("~") or len([w for w in shown(p).split() if w not in HONORIFICS]) > 1
+        secret = set(mine["person"][mine["bare"].fillna(hide).astype(bool)])
+        head = lambda p: p not in secret and (not p.startswith("~") or len([w for w in shown(p).split() if w not in HONORIFICS]) > 1)
         rows = []
-        for title, roots, origin, notes, folded in split_tree(key[0], _tree(mine, wed), shown, head, most, widest, least):
+        for piece in split_tree(key[0], trees_of(mine, wed), shown, head, most, widest, least):
             n = 0
-            todo = [(r, None, None, None) for r in roots]
+            todo = [(r, None, None, None) for r in piece.roots]
             while todo:
                 x, up, m, c = todo.pop(0)
-                rows.append((title, n, up, m, c, x.person, x.depth, origin, notes.get(x.person), folded.get(x.person, []), [s for s, _ in x.marriages if s]))
+                text = [shown(p) for p in piece.folded.get(x.person, [])]
+                rows.append((piece.title, n, up, m, c, x.person, x.depth, piece.origin, piece.notes.get(x.person), text, [s for s, _ in x.marriages if s]))
                 todo += [(k, n, i, j) for i, (_, kids) in enumerate(x.marriages) for j, k in enumerate(kids)]
                 n += 1
         return pd.DataFrame(rows, columns=columns).astype({"parent_node": "Int32", "marriage": "Int32", "child": "Int32"})

@@ -76,4 +76,5 @@ def relations(cache: DataFrame, known: DataFrame) -> DataFrame:
     return rows.filter("person <> relative").select(
         "person", "relative", "relation", F.col("title").alias("source_page"), "evidence", F.array().cast("array<string>").alias("refs"), F.lit("model").alias("method"),
         F.lit("model").alias("pattern"), "confidence", F.lit(None).cast("string").alias("side"), F.lit(False).alias("alias"), "order",
+        F.lit(False).alias("doubtful"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"),
     )

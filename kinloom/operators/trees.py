@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.config import Thresholds
+from kinloom.operators.identity import top_value
 from kinloom.operators.traverse import fixpoint
 from kinloom.plans.storage import written
 
@@ -105,6 +106,37 @@ def bloodline(people: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFram
     return down.unionByName(wed).distinct()
 
 
+def bloodlines(people: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(spec, id): ``bloodline`` of each group's own seeds (spec, id), all groups at once."""
+    p = written(_live(edges, "parent"), "trees")
+    fathers = written(p.join(people.filter("gender = 'm'").select(F.col("id").alias("b")), "b", "left_semi"), "trees")
+    key, split = F.concat("spec", F.lit("\0"), "id").alias("node"), F.split("node", "\0", 2)
+
+    def walk(start: DataFrame, step: DataFrame, own: str, other: str) -> DataFrame:
+        def on(known: DataFrame) -> DataFrame:
+            at = known.select(split[0].alias("spec"), split[1].alias(own))
+            return at.join(step, own).select("spec", F.col(other).alias("id")).select(key)
+
+        return fixpoint(start, on)
+
+    down = walk(walk(seeds.select(key), fathers, "a", "b"), p, "b", "a").select(split[0].alias("spec"), split[1].alias("id"))
+    wed = _both_ways(_live(edges, "spouse")).join(down.withColumnRenamed("id", "a"), "a").select("spec", F.col("b").alias("id"))
+    return down.unionByName(wed).distinct()
+
+
+def family_labels(people: DataFrame, specs: DataFrame) -> DataFrame:
+    """(spec, label) of (spec, kind, id): the category, or for components the most frequent surname of the members (the
+    smallest on a tie), as categories are called; the group's number goes with a label that others have too, and
+    stands for one that nobody gives."""
+    named = specs.filter("kind = 'component'").join(people.select("id", "surname"), "id").filter(F.length("surname") > 0)
+    modal = top_value(named, "spec", "surname").select("spec", F.concat(F.lit("משפחת "), "surname").alias("modal"))  # fixed value: how families are called
+    each = specs.select("spec", "kind").distinct().join(modal, "spec", "left")
+    each = each.withColumn("label", F.when(F.col("kind") == "component", F.col("modal")).otherwise(F.col("spec")))
+    shared = each.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    told = F.when(F.col("label").isNull(), F.col("spec")).when((F.col("n") > 1) & (F.col("kind") == "component"), F.concat("label", F.lit(" ("), "spec", F.lit(")"))).otherwise(F.col("label"))
+    return each.join(shared, "label", "left").select("spec", told.alias("label"))
+
+
 def ancestor_subjects(slots: DataFrame, least: int = 3) -> DataFrame:
     """(person): people with enough known ancestors for a chart. ``slots`` is (person, slot, ancestor)."""
     return slots.groupBy("person").agg(F.countDistinct("slot").alias("n")).filter(F.col("n") >= least).select("person")

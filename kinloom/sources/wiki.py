@@ -6,12 +6,14 @@ reads one listing, because the rate limit is for the whole site.
 
 from __future__ import annotations
 
+import importlib
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -181,10 +183,7 @@ class _OneReader(DataSourceReader):
         return [InputPartition(0)]
 
     def client(self) -> Client:
-        import importlib
-
-        module, _, name = self.options["client"].partition(":")
-        return Client(getattr(importlib.import_module(module), name), spacing=float(self.options.get("spacing", 1.0)))
+        return client_of(self.options["client"], float(self.options.get("spacing", 1.0)))
 
 
 class _ListReader(_OneReader):
@@ -227,6 +226,37 @@ def fetch_batch(client: Client, titles: list[str]) -> Iterator[tuple]:
             yield final, p["pageid"], p["text"], p["categories"], p["revid"], now, asked, final if final != asked else None
 
 
+LOOKED_UP = f"{PAGE_SCHEMA}, status string, error string"
+
+
+def client_of(name: str, spacing: float) -> Client:
+    """The client that ``module:function`` calls the site with."""
+    module, _, function = name.partition(":")
+    return Client(getattr(importlib.import_module(module), function), spacing=spacing)
+
+
+def lookup(titles: DataFrame, client: str, spacing: float = 1.0, parallel: int = 1, batch: int = 50) -> DataFrame:
+    """LOOKED_UP for each of (title): status ok, missing or failed. Titles never leave the executors: ``parallel`` tasks ask
+    for their share, each at so many times the spacing, so that the site sees one rate. A batch that the site keeps
+    refusing fails alone."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        site = client_of(client, spacing * parallel)
+        names = [c.split()[0] for c in LOOKED_UP.split(", ")]
+        for part in batches:
+            rows = []
+            for k in range(0, len(part), batch):
+                asked = part["title"].iloc[k : k + batch].tolist()
+                try:
+                    found = {row[6]: (*row, "ok", None) for row in fetch_batch(site, asked)}
+                    rows += [found.get(t, (None,) * 6 + (t, None, "missing", None)) for t in asked]
+                except ApiError as e:
+                    rows += [(None,) * 6 + (t, None, "failed", str(e)) for t in asked]
+            yield pd.DataFrame(rows, columns=names).astype({"pageid": "Int64", "revid": "Int64", "fetched_at": "datetime64[us]"})
+
+    return titles.select("title").repartition(parallel).mapInPandas(ask, LOOKED_UP)
+
+
 def titles_file(spark: SparkSession, path: str) -> DataFrame:
     """(title): lines of a file, stripped; blank ones go."""
     return spark.read.text(path).select(F.trim("value").alias("title")).filter("title <> ''")

@@ -59,20 +59,51 @@ def test_preview_and_report(spark):
     assert "חלקי old (0.4)" in t["text"] and "<td>P</td><td>הורה של</td><td>a</td>" in t["text"]
 
 
+PAGES = "title string, pageid bigint, wikitext string, categories array<string>, revid bigint, fetched_at timestamp, requested_title string, redirect_to string"
+
+
+def written_texts(spark, work):
+    out = []
+    for name in ("out_trees", "out_previews", "out_review"):
+        out += [(r["name"], r["text"]) for r in spark.read.json(f"{work}/{name}").collect()]
+    return out
+
+
 def test_commands_from_pages_to_trees(spark, tmp_path):
     texts = {
         "אברהם כהן": "'''אברהם כהן''' נולד בשנת 1850. ילדיו: [[יצחק כהן]], [[דוד כהן]]. נישא ל[[שרה כהן]]. [[קטגוריה:משפחת כהן]]",
-        "שרה כהן": "'''הרבנית שרה''' נולדה בשנת 1855.", "יצחק כהן": "'''יצחק''' נולד בשנת 1880, בנו של [[אברהם כהן]].<ref>מקור</ref> ילדיו: [[יעקב כהן]].",
-        "דוד כהן": "'''דוד''' נולד בשנת 1885.", "יעקב כהן": "'''יעקב''' נולד בשנת 1910, בנו של [[יצחק כהן]].",
+        "שרה כהן": "'''הרבנית שרה''' נולדה בשנת 1855.",
+        "יצחק כהן": "{{אישיות|ילדים=[[יעקב כהן]]<br>נחום לוי|בן זוג=מינדל רוזן}}'''יצחק''' נולד בשנת 1880, בנו של [[אברהם כהן]].<ref>מקור</ref> ילדיו: [[יעקב כהן]].",
+        "דוד כהן": "'''דוד''' נולד בשנת 1885. אביו [[אבי כהן]]. אחי אביו, [[משה כהן]].",
+        "יעקב כהן": "'''יעקב''' נולד בשנת 1910, בנו של [[יצחק כהן]]. ילדיו: [[1950]].",
+        "משה כהן": "'''משה''' נולד בשנת 1852.", "ספר הזכרונות": "ספר של [[אברהם כהן]], בנו של [[דוד כהן]].",
     }
-    rows = [(t, n, x, ["משפחת כהן"], n, None, t, None) for n, (t, x) in enumerate(texts.items())]
+    rows = [(t, n, x, ["ספרים" if t.startswith("ספר") else "משפחת כהן"], n, None, t, None) for n, (t, x) in enumerate(texts.items())]
+    rows.append(("אברהם כהן", 0, texts["אברהם כהן"], ["משפחת כהן"], 0, None, "אבי כהן", "אברהם כהן"))
     work = f"{tmp_path}/work"
-    spark.createDataFrame(rows, "title string, pageid bigint, wikitext string, categories array<string>, revid bigint, fetched_at timestamp, requested_title string, redirect_to string").write.parquet(f"{work}/pages")
+    spark.createDataFrame(rows, PAGES).write.parquet(f"{work}/pages")
     assert cli.main(["--work", work, "all"], spark) == 0
     edge = {(r["a"], r["b"]) for r in spark.read.parquet(f"{work}/edges").collect() if r["relation"] == "parent"}
     assert {("יצחק כהן", "אברהם כהן"), ("יעקב כהן", "יצחק כהן"), ("דוד כהן", "אברהם כהן")} <= edge
-    (tree,) = spark.read.json(f"{work}/out_trees").collect()
-    assert all(f"[[{t}]]" in tree["text"] for t in texts if t != "שרה כהן") and "עצי משפחה" in tree["text"]
+    assert not any("אבי כהן" in e or "1950" in e or "משה כהן" in e for e in edge)  # a redirect, a year, and an uncle
+    assert {r["title"] for r in spark.read.parquet(f"{work}/persons").collect()} == set(texts) - {"ספר הזכרונות"}
+    found = written_texts(spark, work)
+    tree = next(t for n, t in found if n.endswith(".wiki"))
+    assert all(f"[[{t}]]" in tree for t in ("אברהם כהן", "שרה כהן", "יצחק כהן", "דוד כהן", "יעקב כהן")) and "עצי משפחה" in tree
+    bare = [r["name"] for r in spark.read.parquet(f"{work}/people").filter("NOT coalesce(fetched, false)").collect()]
+    assert {"נחום לוי", "מינדל רוזן"} <= set(bare)
+    assert not [(b, n) for b in bare for n, t in found if b in t or b in n]  # nobody without a page is named anywhere
+    assert cli.main(["--work", work, "render", "--include-unlinked"], spark) == 0
+    assert any("נחום לוי" in t for _, t in written_texts(spark, work))
     assert cli.main(["--work", work, "render", "--ancestors-for", "יעקב כהן"], spark) == 0
     assert "[[אברהם כהן]]" in spark.read.json(f"{work}/out_ancestors").first()["text"]
     assert cli.main(["--work", work, "calibrate"], spark) == 0 and cli.main(["--work", work, "upload", "--yes"], spark) == 3
+
+
+def test_tables_survive_a_crash_between_renames(spark, tmp_path):
+    w = cli.Work(spark, f"{tmp_path}/w")
+    w.save(spark.range(3), "t")
+    at, fs = w._fs("t")
+    fs.rename(at, w._fs("t.old")[0])  # as a run leaves it that ends after the first rename
+    assert w.has("t") and w.load("t").count() == 3
+    assert w.save(spark.range(5), "t").count() == 5 and not fs.exists(w._fs("t.old")[0])

@@ -1,42 +1,8 @@
-import pytest
 from pyspark.sql import functions as F
 
 from kinloom.operators import extraction, model_extraction
 from kinloom.plans import storage
 
-NAMES = extraction.Lexicon(frozenset("משה רבקה ברוך חנה שלום אברהם".split()), frozenset("כהן לוי".split()), frozenset("משה רבקה ברוך חנה שלום אברהם כהן לוי".split()))
-
-
-@pytest.mark.parametrize(("sentence", "expect"), [
-    ("בנו של [[A]], בנו הבכור של [[B]].", {("parent", "P", "A"), ("parent", "A", "B")}),
-    ("היה חתנו של [[T]], בעלה של [[D]].", {("parent_in_law", "P", "T"), ("spouse", "P", "D")}),
-    ("ילדיו: [[X]], [[Y]] ו[[Z]].", {("parent", "X", "P"), ("parent", "Y", "P"), ("parent", "Z", "P")}),
-    ("נשא את בתו של [[X]].", {("parent_in_law", "P", "X")}),
-    ("[[X]], אשת [[Y]].", {("spouse", "X", "Y")}),
-    ("[[X]] בת [[Y]].", {("parent", "X", "Y")}),
-    ("בת [[Y]].", set()),
-    ("חתן [[Y]].", {("parent_in_law", "P", "Y")}),
-    ("נולד ב[[ליאזנא]] לאביו ר' ברוך ולאמו מרת רבקה.", {("parent", "P", "~ברוך"), ("parent", "P", "~רבקה")}),
-    ("נישאה לר' משה כהן.", {("spouse", "P", "~משה כהן")}),
-    ("נישאה לעולם.", set()),
-])
-def test_sentences(sentence, expect):
-    assert {(r, a, b) for a, b, r, *_ in extraction.of_sentence("P", sentence, extraction.phrases(), NAMES)} == expect
-
-
-@pytest.mark.parametrize(("line", "context", "expect"), [
-    ("* [[X]] – נישאה לר' משה כהן.", "ילדיו:", {("parent", "X", "P")}),
-    ("* [[X]] – בנו הבכור", "", {("parent", "X", "P")}),
-    ("* אחיו: [[X]], [[Y]] ו[[Z]]", "", {("sibling", "P", "X"), ("sibling", "P", "Y"), ("sibling", "P", "Z")}),
-    ("* [[X]] – בנו של [[Y]]", "", set()),
-    ("* [[X]], רב ב[[Y]]", "חתניו", {("parent_in_law", "X", "P")}),
-    ("* ר' שלום לוי – רב", "צאצאיו", {("parent", "~שלום לוי", "P")}),
-    ("* [[X]]", "ספריו", set()),
-])
-def test_list_lines(line, context, expect):
-    assert {(r, a, b) for a, b, r, *_ in extraction.of_list_line("P", line, context, NAMES)} == expect
-
-
 def test_lists_below_their_lead_in(spark):
     text = "פלוני נולד בעיר.\n== משפחתו ==\nילדיו:\n* [[רבקה]] – נישאה ל[[דוד]].\n* [[יהודה]]<ref>ש</ref>\n== ספריו ==\n* [[ספר]]"
     rows = extraction.from_text(spark.createDataFrame([("פלוני", text)], "title string, wikitext string")).collect()
@@ -46,8 +12,9 @@ def test_lists_below_their_lead_in(spark):
 
 def test_lexicon_and_genders(spark):
     titles = spark.createDataFrame([("משה כהן",), ("רבקה לוי (אשת דוד)",), ("כהן משה",)], "title string")
-    lexicon = extraction.name_lexicon(titles, 3)
-    assert lexicon.given == {"משה", "רבקה", "כהן"} and lexicon.last == {"לוי"} and extraction.name_lexicon(titles, 4).every == frozenset()
+    rows = extraction.lexicon_of(titles, None, 3).collect()
+    assert {r["word"] for r in rows if r["given"]} == {"משה", "רבקה", "כהן"} and {r["word"] for r in rows if r["last"]} == {"לוי"}
+    assert extraction.lexicon_of(titles, None, 4) is None
     rows = [("הרבנית רבקה", "", "f"), ("הרב דוד", "", "m"), ("חנה (אשת דוד)", "", "f"), ("דוד (בן חנה)", "", "m"), ("פלוני", "נולדה בעיר", "f"), ("פלוני", "הוא נולד", "m"), ("פלוני", "", None)]
     df = spark.createDataFrame(rows, "t string, lead string, g string")
     got = df.select(
@@ -81,3 +48,41 @@ def test_model_answers_are_cached(spark):
     assert [r["title"] for r in model_extraction.asked(pages, cache).collect()] == ["bad"]
     (r,) = model_extraction.relations(cache, pages.select("title").distinct()).collect()
     assert (r["person"], r["relative"], r["confidence"], r["method"]) == ("A", "~B", 0.85, "model")
+
+
+def strict_world(spark, text):
+    titles = ["אשר וילהלם", "חנה וילהלם", "שאול וילהלם", "שלמה זלמן לנדא", "שמואל גליצנשטיין", "פלוני כהן"]
+    pages = spark.createDataFrame([(t, text if t == "פלוני כהן" else "הוא נסע לעיר.") for t in titles] + [("עיר", "נסע נסע")] , "title string, wikitext string")
+    known = spark.createDataFrame([(t,) for t in titles], "title string")
+    lexicon = extraction.lexicon_of(known, pages.select(F.col("wikitext").alias("text")), 3, 2)
+    return pages, lexicon, known
+
+
+def test_lexicon_and_known_people_come_by_joins(spark):
+    text = "אחיו ר' [[שאול וילהלם]] היה נשוי למרת חנה, בת הרב [[שמואל גליצנשטיין]].<ref>מקור</ref> אביו [[עיר]].\nילדיו: [[1950]], [[אשר_וילהלם]]"
+    pages, lexicon, known = strict_world(spark, text)
+    assert {(r["word"], r["common"]) for r in lexicon.collect() if r["word"] in ("נסע", "חנה", "לנדא")} == {("נסע", True), ("חנה", False), ("לנדא", False)}
+    rows = extraction.extract(pages, {}, lexicon, known).collect()
+    got = {(r["relation"], r["person"], r["relative"]): r for r in rows}
+    assert set(got) == {("sibling", "פלוני כהן", "שאול וילהלם"), ("spouse", "שאול וילהלם", "~חנה"), ("parent", "~חנה", "שמואל גליצנשטיין"),
+                        ("parent", "פלוני כהן", "עיר"), ("parent", "אשר וילהלם", "פלוני כהן")}
+    doubt = got["parent", "פלוני כהן", "עיר"]
+    assert doubt["doubtful"] and doubt["confidence"] == 0.35 and got["sibling", "פלוני כהן", "שאול וילהלם"]["refs"] == ["<ref>מקור</ref>"] and doubt["refs"] == []
+    assert all(r["start"] < r["end"] for r in rows)
+
+
+def test_aliases_stand_for_pages(spark):
+    from kinloom.operators import identity
+
+    text = "אביו הרב שאול וילהלם. אמו מרת חנה לנדא.\n== משפחתו ==\n* בנו, ר' שאול וילהלם"
+    pages, lexicon, known = strict_world(spark, text)
+    index = identity.unique_alias_index(spark.createDataFrame([("שאול וילהלם", "שאול וילהלם (הרב)", "name"), ("חנה לנדא", "חנה (אם)", "nick")], "alias string, title string, kind string"))
+    got = {(r["relation"], r["person"], r["relative"]): (r["confidence"], r["alias"]) for r in extraction.extract(pages, {}, lexicon, known, index).collect()}
+    assert got[("parent", "פלוני כהן", "שאול וילהלם (הרב)")] == (0.7, True) and got[("parent", "פלוני כהן", "חנה (אם)")] == (0.7, True)
+    assert ("parent", "~שאול וילהלם", "פלוני כהן") in got  # a name in a list is not resolved
+
+
+def test_years_from_categories(spark):
+    text = "P היה חסיד.\n[[קטגוריה:אישים שנולדו בשנת תרצ\"ז]]\n[[קטגוריה:אישים שנפטרו בשנת תשע\"ט]]"
+    (r,) = extraction.page_years(spark.createDataFrame([("P", text)], "title string, wikitext string"), (), ()).collect()
+    assert (r["born"], r["died"]) == ('תרצ"ז', 'תשע"ט')

@@ -148,12 +148,12 @@ def test_large_trees_are_split():
     head = Node("head", 1, [("w", chain(12, "g", 2))])
     root = Node("top", 0, [(None, [head, *chain(9, "k")])])
     out = forest.split_tree("T", [root], lambda p: p, lambda p: True, most=15, widest=200, least=6)
-    assert [(t, sum(map(forest._size, r)), o) for t, r, o, *_ in out] == [("T", 11, None), ("T – צאצאי head", 13, "T")]
-    assert "T – צאצאי head" in out[0][3]["head"] and out[1][1][0].depth == 0 and out[1][1][0].marriages[0][0] == "w"
+    assert [(x.title, len(forest._spots(x.roots)), x.origin) for x in out] == [("T", 11, None), ("T – צאצאי head", 13, "T")]
+    assert "T – צאצאי head" in out[0].notes["head"] and out[1].roots[0].depth == 0 and out[1].roots[0].marriages[0][0] == "w"
     other = forest.split_tree("T", [Node("p", 0, [(None, chain(9, "a"))]), Node("q", 0, [(None, chain(8, "b"))])], lambda p: p, lambda p: True, most=12, widest=200, least=6)
-    assert [(t, r[0].person) for t, r, *_ in other] == [("T", "p"), ("T – צאצאי q", "q")]
+    assert [(x.title, x.roots[0].person) for x in other] == [("T", "p"), ("T – צאצאי q", "q")]
     folded = forest.split_tree("T", [Node("p", 0, [(None, [*chain(3, "a"), *chain(9, "~u")])])], lambda p: p, lambda p: True, most=6, widest=200, least=20)
-    assert folded[0][4]["p"] == [f"~u{i}" for i in range(9)] and forest._size(folded[0][1][0]) == 4
+    assert folded[0].folded["p"] == [f"~u{i}" for i in range(9)] and len(forest._spots(folded[0].roots)) == 4
 
 
 def test_split_as_rows(spark):

@@ -99,3 +99,37 @@ def test_stream_equals_batch(spark, tmp_path):
     changes.keep_current(stream, f"{tmp_path}/out", ["user_id"], "event_id", f"{tmp_path}/cp").awaitTermination()
     got = changes.current(spark, f"{tmp_path}/out").select("user_id", "event_id", "value")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, incremental.upsert(events.limit(0), events, ["user_id"], "event_id").collect()))
+
+
+def flaky_site(params):
+    """``fake_site``, but it refuses every call that asks for "Bad"."""
+    if "Bad" in params.get("titles", "").split("|"):
+        return 404, {}, {}
+    return fake_site(params)
+
+
+def test_lookups_stay_in_their_tasks(spark):
+    titles = spark.createDataFrame([(t,) for t in ("A", "Old B", "Gone", "Bad")], "title string")
+    rows = wiki.lookup(titles, "tests.test_sources:flaky_site", 0.0, parallel=2, batch=1).collect()
+    got = {r["requested_title"]: (r["status"], r["title"], r["redirect_to"], r["error"] is not None) for r in rows}
+    assert got == {"A": ("ok", "A", None, False), "Old B": ("ok", "B", "B", False), "Gone": ("missing", None, None, False), "Bad": ("failed", None, None, True)}
+
+
+def test_fetch_remembers_what_failed(spark, tmp_path):
+    from kinloom import cli
+
+    work, names = f"{tmp_path}/w", f"{tmp_path}/titles.txt"
+    with open(names, "w") as f:
+        f.write("A\nGone\n\nBad\n")
+    run = lambda site, *more: cli.main(["--work", work, "fetch", "--client", f"tests.test_sources:{site}", "--spacing", "0", "--wait", "0", *more], spark)
+    table = lambda name: {r["title"] for r in spark.read.parquet(f"{work}/{name}").collect()}
+    with open(names, "w") as f:
+        f.write("Bad\n")
+    assert run("flaky_site", "--titles", names) == 2 and table("failures") == {"Bad"} and table("pages") == set()
+    with open(names, "w") as f:
+        f.write("A\nGone\n")
+    assert run("fake_site", "--titles", names) == 0  # the failure is asked for again although nobody wants it any more
+    assert (table("pages"), table("missing"), table("failures")) == ({"A"}, {"Bad", "Gone"}, set())
+    assert run("fake_site", "--titles", names) == 0 and table("todo") == set()
+    assert run("fake_site") == 0 and table("todo") == {"A", "B"} and table("pages") == {"A", "B"}  # what changed since the oldest page
+    assert spark.read.parquet(f"{work}/checked").count() == 1

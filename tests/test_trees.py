@@ -35,3 +35,19 @@ def test_bloodline(spark):
     people, edges = world(spark)
     got = {r["node"] for r in trees.bloodline(people, edges, spark.createDataFrame([("dad",)], "node string")).collect()}
     assert got == {"grandpa", "dad", "kid", "mum"}
+
+
+def test_bloodlines_of_several_groups_keep_apart(spark):
+    people, edges = world(spark)
+    seeds = spark.createDataFrame([("K", "dad"), ("X", "x1"), ("Y", "kid")], "spec string, id string")
+    got = {(r["spec"], r["id"]) for r in trees.bloodlines(people, edges, seeds).collect()}
+    own = {s: {r["node"] for r in trees.bloodline(people, edges, seeds.filter(F.col("spec") == s).select(F.col("id").alias("node"))).collect()} for s in "KXY"}
+    assert got == {(s, i) for s, ids in own.items() for i in ids} and {s for s, _ in got} == {"K", "X", "Y"}
+
+
+def test_labels_of_families(spark):
+    people = spark.createDataFrame([("a", "Levi"), ("b", "Levi"), ("c", "Katz"), ("d", "Katz"), ("e", "Levi"), ("f", "")], "id string, surname string")
+    specs = spark.createDataFrame([("Family K", "category", "a"), ("F1", "component", "a"), ("F1", "component", "b"), ("F1", "component", "c"), ("F2", "component", "c"),
+                                   ("F2", "component", "d"), ("F3", "component", "e"), ("F4", "component", "f")], "spec string, kind string, id string")
+    got = {r["spec"]: r["label"] for r in trees.family_labels(people, specs).collect()}
+    assert got == {"Family K": "Family K", "F1": "משפחת Levi (F1)", "F2": "משפחת Katz", "F3": "משפחת Levi (F3)", "F4": "F4"}
