@@ -86,6 +86,22 @@ def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def shared_letters(a: Column, b: Column) -> Column:
+    """How many letters two texts have in common, each as often as both have it."""
+    each = F.array_distinct(F.split(a, ""))
+    times = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+    return F.aggregate(each, F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
+
+
+def names_may_match(a: Column, b: Column, ratio: float = 0.85) -> Column:
+    """False only for names that ``names_match`` denies: matching blocks have no more letters than both texts share, and no
+    more than the shorter one, which bounds the similarity. Without Python."""
+    x, y = given_part(a), given_part(b)
+    total = F.length(x) + F.length(y)
+    long_enough = 2 * F.least(F.length(x), F.length(y)) >= ratio * total
+    return names_match_plain(a, b) | F.when(long_enough, 2 * shared_letters(x, y) >= ratio * total).otherwise(False)
+
+
 def names_match_plain(a: Column, b: Column) -> Column:
     """Equal, one the beginning of the other, or equal ends with one's words among the other's."""
     x, y = given_part(a), given_part(b)

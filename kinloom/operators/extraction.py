@@ -11,7 +11,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom.config import Thresholds
@@ -28,10 +29,13 @@ from kinloom.operators.reading import (
     TRIGGER,
     UNLINKED,
     YEAR,
+    Found,
     Lexicon,
     any_of,
+    notes_of,
     phrases,
     read_line,
+    read_page,
     word,
 )
 from kinloom.plans.storage import written
@@ -42,6 +46,10 @@ SCHEMA = (
     "person string, relative string, relation string, source_page string, evidence string, refs array<string>, method string, "
     "pattern string, confidence double, side string, alias boolean, order int, doubtful boolean, start int, end int"
 )
+ARROW = pa.schema([
+    *((c, pa.string()) for c in ("person", "relative", "relation", "source_page", "evidence")), ("refs", pa.list_(pa.string())), ("method", pa.string()), ("pattern", pa.string()),
+    ("confidence", pa.float64()), ("side", pa.string()), ("alias", pa.bool_()), ("order", pa.int32()), ("doubtful", pa.bool_()), ("start", pa.int32()), ("end", pa.int32()),
+])
 
 
 def lexicon_of(titles: DataFrame, texts: DataFrame | None = None, least: int = T.strict_lexicon, frequent: int = T.document_frequency) -> DataFrame | None:
@@ -107,8 +115,8 @@ def looks_like_year(text: Column) -> Column:
 def lines(pages: DataFrame, lexicon: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """The lines of (title, wikitext) that may tell relations: title, notes, row, line, context; with ``lexicon`` also
     words (those of the line that it has), with ``known`` (title) also people (targets of the line's links in it)."""
-    body = tx.tokenize_refs(tx.strip_templates(tx.strip_comments(tx.normalize_quotes(F.col("wikitext")))))
-    rows = pages.select("title", tx.refs(tx.normalize_quotes(F.col("wikitext"))).alias("notes"), F.posexplode(F.split(body, "\n")).alias("row", "line"))
+    body = tx.strip_templates(tx.strip_comments(tx.normalize_quotes(F.col("wikitext"))))
+    rows = pages.select("title", body.alias("body")).select("title", tx.refs(F.col("body")).alias("notes"), F.posexplode(F.split(tx.tokenize_refs(F.col("body")), "\n")).alias("row", "line"))
     # the heading, or a line before the list that ends in a colon, is what its lines are about
     lead = F.when(F.col("line").rlike(r"^==+.*==+\s*$"), F.trim(F.regexp_replace("line", "=", ""))).when(F.col("line").rlike(r"^[^*#].*:\s*$"), F.col("line"))
     rows = rows.withColumn("context", F.last(lead, ignorenulls=True).over(Window.partitionBy("title").orderBy("row")))  # lines of one page
@@ -148,26 +156,36 @@ def from_text(pages: DataFrame, lexicon: DataFrame | None = None, known: DataFra
             for title, notes, row, line, context, *names, people in batch.itertuples(index=False):
                 words = Lexicon(*(frozenset(() if n is None else n) for n in names))
                 for sentence, f in read_line(title, re.sub("\0R(\\d+)\0", "", line), context, table, words, None if people is None else frozenset(people)):
-                    refs = [notes[i] for i in notes_of(line, sentence) if i < len(notes)]
-                    cap = T.doubtful_cap if f.doubtful else T.relation_cap
-                    sure = round(max(T.relation_floor, min(f.confidence, cap)), 2)
-                    method = "list" if f.pattern.startswith("list:") else "pattern"
-                    out.append((f.person, f.relative, f.relation, title, sentence, refs, method, f.pattern, sure, f.side, False, int(row), f.doubtful, f.start, f.end))
+                    out.append(_row(title, int(row), sentence, [notes[i] for i in notes_of(line, sentence)], f))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return rows.mapInPandas(find, SCHEMA)
 
 
-def notes_of(line: str, sentence: str) -> list[int]:
-    """Numbers of the footnote marks in the part of ``line`` that, without marks, is ``sentence``."""
-    plain, marks = "", []
-    for part in re.split("(\0R\\d+\0)", line):
-        if part.startswith("\0R"):
-            marks.append((len(plain), int(part[2:-1])))
-        else:
-            plain += part
-    start = plain.find(sentence)
-    return [n for at, n in marks if start < at <= start + len(sentence)]
+def register_page_reader(spark: SparkSession, name: str = "relations_of", lexicon: Lexicon = Lexicon()) -> None:
+    """Make the SQL table function ``name(TABLE(...))`` of tables (title, wikitext): a row for each relation of a page. It
+    gives what ``from_text`` gives, with a lexicon that is small enough to go to every task. Pages stay in their partitions."""
+
+    @F.arrow_udtf(returnType=f"{SCHEMA}")
+    class Reader:
+        def __init__(self) -> None:
+            self.table = phrases()
+
+        def eval(self, pages: pa.RecordBatch) -> Iterator[pa.Table]:
+            rows = []
+            for page, text in zip(pages.column("title").to_pylist(), pages.column("wikitext").to_pylist(), strict=True):
+                if page is not None and text is not None:
+                    rows += [_row(page, row, sentence, refs, f) for row, sentence, refs, f in read_page(page, text, self.table, lexicon)]
+            yield pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(ARROW), ARROW.types, strict=True)], schema=ARROW)
+
+    spark.udtf.register(name, Reader)
+
+
+def _row(page: str, row: int, sentence: str, refs: list[str], f: Found) -> tuple:
+    """A row of SCHEMA, with the confidence within its bounds."""
+    sure = round(max(T.relation_floor, min(f.confidence, T.doubtful_cap if f.doubtful else T.relation_cap)), 2)
+    method = "list" if f.pattern.startswith("list:") else "pattern"
+    return f.person, f.relative, f.relation, page, sentence, refs, method, f.pattern, sure, f.side, False, row, f.doubtful, f.start, f.end
 
 
 def from_infobox(pages: DataFrame, roles: dict[str, tuple[str, ...]]) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.config import Thresholds
-from kinloom.functions.names import alias_key, names_match
+from kinloom.functions.names import alias_key, names_match, names_may_match
 from kinloom.functions.text import display_name
 from kinloom.operators.fusion import canonical_ends
 from kinloom.operators.graph import connected_components
@@ -114,21 +116,34 @@ def near_pairs(rows: DataFrame, block: list[str], node: str, text: str) -> DataF
     return x.join(y, on & close).select(F.col(f"x.{node}").alias("u"), F.col(f"y.{node}").alias("v")).distinct()
 
 
-def merge_in_slots(people: DataFrame, edges: DataFrame, year_window: int = 40) -> DataFrame:
-    """(old, new): unlinked people to be replaced. ``people`` is (id, name, born: year or null).
+def matching_in_slots(placed: DataFrame, year_window: int, match: Callable[[Column, Column], Column] = names_match) -> DataFrame:
+    """(u, v, bare): rows of one slot, the first unlinked, whose names match and whose births, if known, are within the
+    window; of two unlinked ones the smaller id comes first. ``placed`` is (id, name, born, slot, bare).
+
+    No pair comes to a comparison in Python that cannot match: ``names_may_match`` bounds the similarity from above.
+    """
+    near = F.coalesce(F.abs(F.col("x.born") - F.col("y.born")) <= year_window, F.lit(True))
+    x, y = placed.filter("bare").alias("x"), placed.alias("y")
+    on = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.id") != F.col("y.id")) & (~F.col("y.bare") | (F.col("x.id") < F.col("y.id"))) & near
+    own, other = F.col("x.name"), F.col("y.name")
+    pairs = x.join(y, on & names_may_match(own, other)).filter(match(own, other))
+    return pairs.select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), F.col("y.bare").alias("bare")).distinct()
+
+
+def merge_in_slots(people: DataFrame, edges: DataFrame, year_window: int = 40, births: DataFrame | None = None) -> DataFrame:
+    """(old, new): unlinked people to be replaced. ``people`` is (id, name, born: year or null); ``births`` (id, estimate)
+    stands in for years that are not known.
 
     Within a slot, unlinked people with matching names and births within the window are one. A group that matches one
     person with an article becomes that person, else its longest name (most words, longest, shortest id).
     """
-    placed = slots(edges).join(people.select("id", "name", "born"), "id")
-    near = F.coalesce(F.abs(F.col("x.born") - F.col("y.born")) <= year_window, F.lit(True))
+    known = people.select("id", "name", "born")
+    if births is not None:
+        known = known.join(births.select("id", "estimate"), "id", "left").select("id", "name", F.coalesce("born", "estimate").alias("born"))
+    placed = slots(edges).join(known, "id")
     key = F.concat_ws("\u0001", "kind", "other")
     placed = written(placed.withColumn("slot", key).withColumn("bare", F.col("id").startswith("~")), "slots")
-    same = names_match(F.col("x.name"), F.col("y.name"))
-    x, y = placed.filter("bare").alias("x"), placed.alias("y")
-    on = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.id") != F.col("y.id")) & (~F.col("y.bare") | (F.col("x.id") < F.col("y.id"))) & near
-    pairs = x.join(y, on).filter(same).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), F.col("y.bare").alias("bare")).distinct()
-    pairs = written(pairs, "slots")
+    pairs = written(matching_in_slots(placed, year_window), "slots")
     groups = connected_components(pairs.filter("bare").select("u", "v"), written)
     known = pairs.filter("NOT bare").select(F.col("u").alias("node"), "v")
     members = people.filter(F.col("id").startswith("~")).select(F.col("id").alias("node"), "name").join(groups, "node", "left")

@@ -236,7 +236,7 @@ def merge_all(people: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     """The whole schedule: namesakes apart, slots, names across pages, slots, namesakes again, slots."""
 
     def slots(p: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return apply_mapping(p, e, merge_in_slots(p, e, T.slot_year_window))
+        return apply_mapping(p, e, merge_in_slots(p, e, T.slot_year_window, estimated_births(p, e)))
 
     def across(p: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
         p, e = apply_mapping(p, e, merge_middle_names(p, e), weak=True)

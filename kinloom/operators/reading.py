@@ -42,6 +42,7 @@ IS = {  # <word>, Y: the page's person stands for the subject
     "child_in_law_is": (("חתנו", "כלתו", "חתנם", "כלתם"), "parent_in_law", "RS", 0.75),
     "uncle_is": (("דודו", "דודתו"), "uncle", "SR", 0.7),
 }
+MARRIAGE_INSERTS = (r"\s+לאי?שה", r"\s+בזיווג\s+\S+")  # patterns of what may stand between the verb and its preposition
 SPOUSE_VERBS = ("נשוי", "נשואה", "נישא", "נישאה", "התחתן", "התחתנה", "נשא", "נשאה")
 CONSTRUCT = {  # X, <word> Y, without "of"
     "spouse_construct": (("אשת", "רעיית", "אלמנת"), "spouse", "SR", 0.8),
@@ -122,7 +123,7 @@ def phrases() -> list[Phrase]:
 
     is_ = rf"(?:\s*[,:]?\s*{any_of(IS_WORDS)}(?![{_LETTERS}]))?"
     table = []
-    marry = word(SPOUSE_VERBS) + r"(?:\s+לאי?שה)?(?:\s+בזיווג\s+\S+)?"
+    marry = word(SPOUSE_VERBS) + "".join(f"(?:{insert})?" for insert in MARRIAGE_INSERTS)
     table.append(Phrase("married_daughter_of", ends(rf"{marry}\s+(?:(?:את|עם)\s+|ל)?{any_of(MARRIED_DAUGHTER[0])}(?:\s+של)?"), *MARRIED_DAUGHTER[1:], "verb"))
     table.append(Phrase("spouse_verb", ends(rf"{marry}\s+(?:ל|עם\s|את\s)"), "spouse", "SR", SPOUSE_VERB, "verb"))
     between = rf"(?:\s+{any_of(PARENT_WORDS)})?"  # "daughter of her father, X"
@@ -273,7 +274,7 @@ def title_gender(before: str) -> tuple[bool, str | None]:
 
 _NAME_START = re.compile(
     rf"(?:{_OPEN}{any_of(_KIN)}{ORDINAL}(?:\s+של)?(?:\s+{any_of(PARENT_WORDS)})?(?:\s+{any_of(IS_WORDS)})?|(?<![{_LETTERS}])(?:ו?ל|ו|ו?של\s+)?{any_of(TO_PARENTS)}"
-    rf"|{word(SPOUSE_VERBS)}(?:\s+לאי?שה)?\s+(?:ל|עם\s|את\s)|(?<![{_LETTERS}])(?:ו?[לב])?(?={any_of(HONORIFICS)}\s))"
+    rf"|{word(SPOUSE_VERBS)}(?:{MARRIAGE_INSERTS[0]})?\s+(?:ל|עם\s|את\s)|(?<![{_LETTERS}])(?:ו?[לב])?(?={any_of(HONORIFICS)}\s))"
     rf"\s*,?\s*(?P<title>{TITLES})(?=[{_LETTERS}])"
 )
 _HEAD = re.compile(rf"^[*#:;\s]+(?:{any_of(_KIN)}(?![{_LETTERS}]){ORDINAL}\s*,?\s*)?(?P<title>{TITLES})(?=[{_LETTERS}])")
@@ -454,3 +455,37 @@ def read_line(page: str, line: str, context: str, table: list[Phrase], lexicon:
         for f in read_text(page, sentence, table, lexicon, known):
             yield sentence, replace(f, start=f.start + at, end=f.end + at)
         at += len(sentence)
+
+
+_HEADING, _LEAD_IN = re.compile(r"==+.*==+\s*$"), re.compile(r"[^*#].*:\s*$")
+_TELLS = re.compile(TRIGGER)
+
+
+def read_page(page: str, text: str, table: list[Phrase], lexicon: Lexicon = Lexicon(), known: frozenset | None = None) -> Iterator[tuple[int, str, list[str], Found]]:
+    """(row, sentence, footnotes, relation) of a whole page, as a scan over its lines: the last heading or lead-in that ends
+    in a colon is what lists below it are about."""
+    text = text.translate(str.maketrans("״׳’“”", "\"''\"\""))
+    text = tx.strip_template_text(re.sub(r"(?s)<!--.*?-->", "", text))
+    notes = [m.group() for m in re.finditer(tx.REF, text)]
+    number = iter(range(len(notes)))
+    context = ""
+    for row, line in enumerate(re.sub(tx.REF, lambda _: f"\0R{next(number)}\0", text).split("\n")):
+        if _HEADING.match(line):
+            context = line.replace("=", "").strip()
+        elif _LEAD_IN.match(line):
+            context = line
+        if line[:1] in "*#" and line or _TELLS.search(line):
+            for sentence, f in read_line(page, re.sub("\0R\\d+\0", "", line), context, table, lexicon, known):
+                yield row, sentence, [notes[i] for i in notes_of(line, sentence)], f
+
+
+def notes_of(line: str, sentence: str) -> list[int]:
+    """Numbers of the footnote marks in the part of ``line`` that, without marks, is ``sentence``."""
+    plain, marks = "", []
+    for part in re.split("(\0R\\d+\0)", line):
+        if part.startswith("\0R"):
+            marks.append((len(plain), int(part[2:-1])))
+        else:
+            plain += part
+    start = plain.find(sentence)
+    return [n for at, n in marks if start < at <= start + len(sentence)]

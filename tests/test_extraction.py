@@ -86,3 +86,15 @@ def test_years_from_categories(spark):
     text = "P היה חסיד.\n[[קטגוריה:אישים שנולדו בשנת תרצ\"ז]]\n[[קטגוריה:אישים שנפטרו בשנת תשע\"ט]]"
     (r,) = extraction.page_years(spark.createDataFrame([("P", text)], "title string, wikitext string"), (), ()).collect()
     assert (r["born"], r["died"]) == ('תרצ"ז', 'תשע"ט')
+
+
+def test_table_function_gives_what_the_frame_gives(spark):
+    text = "<!-- x<ref>no</ref> -->{{אישיות|אב=ב<ref>box</ref>}}פלוני בנו של [[דוב]].<ref>one</ref> נשוי ל[[אשה]].\n== משפחתו ==\nילדיו:\n* [[בת]]<ref name=\"t\">two</ref> – נישאה ל[[חתן]].\n* [[1950]]\n== ספריו ==\n* [[ספר]]"
+    pages = spark.createDataFrame([("פלוני", text), ("ריק", ""), ("אין", None)], "title string, wikitext string")
+    extraction.register_page_reader(spark)
+    pages.createOrReplaceTempView("some_pages")
+    columns = [c.split()[0] for c in extraction.SCHEMA.split(", ")]
+    told = {tuple(map(str, r)) for r in spark.sql("SELECT * FROM relations_of(TABLE(some_pages))").select(columns).collect()}
+    assert told == {tuple(map(str, r)) for r in extraction.from_text(pages).select(columns).collect()} and len(told) == 4
+    notes = {r["relative"]: r["refs"] for r in spark.sql("SELECT * FROM relations_of(TABLE(some_pages))").collect()}
+    assert notes["דוב"] == ["<ref>one</ref>"] and notes["פלוני"] == ['<ref name="t">two</ref>'] and notes["אשה"] == []

@@ -160,3 +160,27 @@ def test_split_as_rows(spark):
     p, nodes, wed = grown(spark)
     rows = forest.split_trees(written(nodes), written(wed), p, most=4, least=1).collect()
     assert {r["person"] for r in rows} <= {"r", "a", "b", "~c levi@r:child", "x", "y"} and all(r["depth"] == 0 for r in rows if r["parent_node"] is None)
+
+
+def test_no_name_that_matches_is_filtered_before_the_comparison(spark):
+    import random
+
+    from kinloom.functions import names
+
+    rng = random.Random(4)
+    base = ["Moshe Cohen", "Moishe Cohn", "Rivka Levi", "Baruch Shalom Kahn", "Barukh Kahn", "a", "", "Levi"]
+    words = [b[:rng.randint(0, len(b))] + rng.choice(["", "x", " Q", "e"]) + b[rng.randint(0, len(b)):] for b in base for _ in range(8)] + base
+    df = spark.createDataFrame([(x, y) for x in words for y in words], "x string, y string")
+    got = df.select(names.names_match(F.col("x"), F.col("y")).alias("m"), names.names_may_match(F.col("x"), F.col("y")).alias("may")).groupBy("m", "may").count().collect()
+    n = {(r["m"], r["may"]): r["count"] for r in got}
+    assert (True, False) not in n and n[True, True] > 0 and n[False, False] > n.get((False, True), 0)
+
+
+def test_estimated_births_keep_mentions_of_a_slot_apart(spark):
+    from kinloom.operators import identity
+
+    p = spark.createDataFrame([("A", "A", None), ("~Dov@x", "Dov", 1700), ("~Dov@y", "Dov", None)], "id string, name string, born int")
+    e = spark.createDataFrame([("~Dov@x", "A", "parent"), ("~Dov@y", "A", "parent")], "a string, b string, relation string")
+    assert identity.merge_in_slots(p, e).count() == 1
+    births = spark.createDataFrame([("~Dov@y", 1900)], "id string, estimate int")
+    assert identity.merge_in_slots(p, e, births=births).count() == 0
