@@ -465,7 +465,7 @@ def read_page(page: str, text: str, table: list[Phrase], lexicon: Lexicon = Lexi
     """(row, sentence, footnotes, relation) of a whole page, as a scan over its lines: the last heading or lead-in that ends
     in a colon is what lists below it are about."""
     text = text.translate(str.maketrans("״׳’“”", "\"''\"\""))
-    text = tx.strip_template_text(re.sub(r"(?s)<!--.*?-->", "", text))
+    text = tx.strip_template_text(re.sub(tx.COMMENT, "", text))
     notes = [m.group() for m in re.finditer(tx.REF, text)]
     number = iter(range(len(notes)))
     context = ""

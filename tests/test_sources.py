@@ -133,3 +133,57 @@ def test_fetch_remembers_what_failed(spark, tmp_path):
     assert run("fake_site", "--titles", names) == 0 and table("todo") == set()
     assert run("fake_site") == 0 and table("todo") == {"A", "B"} and table("pages") == {"A", "B"}  # what changed since the oldest page
     assert spark.read.parquet(f"{work}/checked").count() == 1
+
+
+CHANGES = "/tmp/kinloom-test-changes.json"  # what ``changing_site`` lists: its process is not the test's
+
+
+def changing_site(params):
+    import json
+
+    with open(CHANGES) as f:
+        rows = [r for r in json.load(f) if r["timestamp"] >= params["rcstart"]]
+    assert params["rcdir"] == "newer" and "timestamp" in params["rcprop"]
+    return 200, {}, {"query": {"recentchanges": sorted(rows, key=lambda r: r["timestamp"])}}
+
+
+def test_stream_of_changes_loses_and_repeats_nothing(spark, tmp_path):
+    import json
+
+    spark.dataSource.register(wiki.WikiChanges)
+    listed = []
+
+    def turn_up(*new):
+        listed.extend({"rcid": n, "timestamp": f"2024-01-01T{t}:00Z", "title": f"T{n}", "ns": 0, "pageid": n} for n, t in new)
+        with open(CHANGES, "w") as f:
+            json.dump(listed, f)
+
+    def run():
+        source = spark.readStream.format("wiki_changes").options(client="tests.test_sources:changing_site", since="2024-01-01T10:00:00Z", spacing="0").load()
+        query = source.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").start()
+        query.processAllAvailable()
+        query.stop()
+        return sorted(r["change"] for r in spark.read.schema(wiki.CHANGED).parquet(f"{tmp_path}/out").collect())
+
+    turn_up((1, "10:00"), (2, "10:30"), (3, "09:00"))  # the third is from before the stream
+    assert run() == [1, 2]
+    assert run() == [1, 2]
+    turn_up((4, "10:10"), (5, "13:00"), (6, "10:30"))  # 4 and 6 turn up late
+    assert run() == [1, 2, 4, 5, 6]
+    turn_up((7, "11:30"), (8, "13:00"), (9, "16:00"))
+    assert run() == [1, 2, 4, 5, 6, 7, 8, 9]
+
+
+def test_a_batch_of_changes_is_the_same_when_it_is_read_again():
+    import json
+
+    rows = [{"rcid": n, "timestamp": f"2024-01-01T{t}:00Z", "title": "T", "ns": 0, "pageid": n} for n, t in ((1, "10:00"), (2, "13:00"))]
+    reader = wiki._ChangeReader({"client": "tests.test_sources:changing_site", "since": "2024-01-01T09:00:00Z", "spacing": "0"})
+    with open(CHANGES, "w") as f:
+        json.dump(rows, f)
+    got, end = reader.read(reader.initialOffset())
+    assert [r[0] for r in got] == [1, 2] and end == {"at": "2024-01-01T13:00:00Z", "seen": [[2, "2024-01-01T13:00:00Z"]]}
+    with open(CHANGES, "w") as f:
+        json.dump([*rows, {"rcid": 3, "timestamp": "2024-01-01T12:00:00Z", "title": "T", "ns": 0, "pageid": 3}], f)
+    assert [r[0] for r in reader.readBetweenOffsets(reader.initialOffset(), end)] == [1, 2]
+    assert [r[0] for r in reader.read(end)[0]] == [3]
