@@ -24,6 +24,8 @@ from kinloom.plans.storage import written
 
 T = Thresholds()
 LEAST_BUDGET, MOST_NODES = 400, 8
+#: Levels that are read apart before they are written as one table.
+MOST_LEVELS = 12
 NODES = "tree_id string, node_id int, parent_node int, marriage int, child int, person string, depth int"
 # How a tree of descendants is titled, and the note where it was cut off.
 BRANCH = "{} – צאצאי {}"
@@ -80,6 +82,13 @@ def families_below(people: DataFrame, edges: DataFrame, owners: DataFrame) -> Da
     return out.select(*[numbered[c] for c in same], "child", "spouse", "marriage", F.coalesce("place", F.lit(0)).alias("place"))
 
 
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def grow_trees(roots: DataFrame, below: DataFrame, people: DataFrame, bare: DataFrame, budget: int, max_depth: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, marriages) of trees from ``roots`` (tree_id, spec, person) over ``below`` (see ``families_below``).
 
@@ -93,8 +102,15 @@ def grow_trees(roots: DataFrame, below: DataFrame, people: DataFrame, bare: Data
     level = roots.select("tree_id", "spec", "person", F.array().cast("array<int>").alias("path"), F.lit(None).cast("array<int>").alias("up"), F.lit(None).cast("int").alias("marriage"),
                          F.lit(None).cast("int").alias("child"), F.lit(0).alias("depth"), F.lit(False).alias("late"))
     level = written(level, "level")
-    every, seen, cut = level, level.select("tree_id", "person"), None
+    levels, cut = [level], None
+    order = Window.partitionBy("tree_id").orderBy("late", F.when(F.col("late"), F.col("depth")).otherwise(0), "path")
     while max_depth is None or level.first() is not None:
+        every = _together(levels)
+        seen = every.select("tree_id", "person")
+        # more people only push others back, so whoever is beyond the budget now stays there, with all below
+        full = every.groupBy("tree_id").count().filter(F.col("count") > budget).select("tree_id")
+        beyond = every.join(full, "tree_id", "left_semi").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") > budget)
+        level = level.join(beyond.select("tree_id", "path"), ["tree_id", "path"], "left_anti")
         step = level.select("tree_id", "spec", F.col("person").alias("owner"), F.col("path").alias("up"), "depth", "late").join(kids, ["spec", "owner"])
         step = step.select(
             "tree_id", "spec", F.col("child").alias("person"), F.concat("up", F.array(F.col("marriage").cast("int"), F.col("place").cast("int"))).alias("path"),
@@ -106,10 +122,10 @@ def grow_trees(roots: DataFrame, below: DataFrame, people: DataFrame, bare: Data
         level = written(step, "level")
         if level.isEmpty():
             break
-        every = written(every.unionByName(level), "level")
-        seen = every.select("tree_id", "person")
-    order = Window.partitionBy("tree_id").orderBy("late", F.when(F.col("late"), F.col("depth")).otherwise(0), "path")
-    ranked = written(every.withColumn("rank", F.row_number().over(order)), "ranked")
+        levels.append(level)
+        if len(levels) > MOST_LEVELS:
+            levels = [written(_together(levels), "level")]
+    ranked = written(_together(levels).withColumn("rank", F.row_number().over(order)), "ranked")
     kept = ranked.filter(F.col("rank") <= budget)
     lost = ranked.filter(F.col("rank") > budget).select("tree_id", F.col("up").alias("path")).distinct()
     lost = (lost if cut is None else lost.unionByName(cut)).distinct().withColumn("truncated", F.lit(True))

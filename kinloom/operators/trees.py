@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinloom.config import Thresholds
 from kinloom.operators.identity import top_value
-from kinloom.operators.traverse import fixpoint
+from kinloom.operators.traverse import fixpoint, reachable
 from kinloom.plans.storage import written
 
 T = Thresholds()
@@ -50,8 +50,9 @@ def owners(people: DataFrame, edges: DataFrame, members: DataFrame, married_in:
     p = written(inside(edges, members, "parent"), "trees")
     of = p.select("spec", F.col("a").alias("child"), F.col("b").alias("parent"))
     # a parent who has another parent of the child among their children comes last
-    grand = of.alias("x").join(of.alias("y"), ["spec", "child"]).filter("x.parent <> y.parent").select("spec", "child", F.col("x.parent").alias("parent"), F.col("y.parent").alias("q"))
-    grand = grand.join(p.select("spec", F.col("a").alias("q"), F.col("b").alias("parent")), ["spec", "q", "parent"], "left_semi")
+    # found from edges between parents, which are few, and not from pairs of parents of a child
+    between = p.select("spec", F.col("a").alias("q"), F.col("b").alias("parent")).join(of.select("spec", F.col("parent").alias("q")).distinct(), ["spec", "q"], "left_semi")
+    grand = between.join(of.withColumnRenamed("parent", "q"), ["spec", "q"]).join(of, ["spec", "child", "parent"], "left_semi")
     grand = grand.select("spec", "child", "parent").distinct().withColumn("late", F.lit(1))
     ranked = of.join(grand, ["spec", "child", "parent"], "left").join(people.select(F.col("id").alias("parent"), "fetched", "gender", "year"), "parent", "left")
     if married_in is not None:
@@ -100,8 +101,8 @@ def bloodline(people: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFram
     """(node): up from ``seeds`` (node) along fathers, down to all children, and the spouses of all these."""
     p = written(_live(edges, "parent"), "trees")
     fathers = written(p.join(people.filter("gender = 'm'").select(F.col("id").alias("b")), "b", "left_semi"), "trees")
-    up = fixpoint(seeds, lambda known: fathers.join(known.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")))
-    down = fixpoint(up, lambda known: p.join(known.withColumnRenamed("node", "b"), "b", "left_semi").select(F.col("a").alias("node")))
+    up = reachable(fathers.select(F.col("a").alias("source"), F.col("b").alias("target")), seeds)
+    down = reachable(p.select(F.col("b").alias("source"), F.col("a").alias("target")), up)
     wed = _both_ways(_live(edges, "spouse")).join(down.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node"))
     return down.unionByName(wed).distinct()
 
