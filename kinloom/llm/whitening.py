@@ -2,7 +2,7 @@
 
 Every entry c of a vector becomes the integer floor(64 c) + 1000000. One aggregation holds a generated SQL expression for
 each pair of dimensions, the sum of the products of both after a whole number next to the mean is taken off each. These
-sums are exact, so that the covariance is that of exact arithmetic, rounded once, and reruns agree to the last bit. LAPACK
+sums are exact (double, long or decimal, by how large they can get), so that the covariance is that of exact arithmetic, rounded once, and reruns agree to the last bit. LAPACK
 (``numpy.linalg.eigh``) decomposes it on the driver, which never holds more than one row of sums; a projection with the
 eigenvectors as literals whitens the rows where they lie. A vector with many copies counts once: copies are combined in
 each task before the shuffle.
@@ -92,12 +92,12 @@ def fit(vectors: DataFrame, opts: Options = Options()) -> Whitening | None:
     lows, highs = [got[f"min{i}"] for i in range(d)], [got[f"max{i}"] for i in range(d)]
     centre = [v // n for v in s]
     reach = max(max(h - c, c - l) for h, l, c in zip(highs, lows, centre, strict=True))
-    kind = "BIGINT" if n * reach * reach < 2**63 else "DECIMAL(18,0)" if reach < 10**18 else None
-    assert kind is not None  # integers() lets none through that are longer
+    most = n * reach * reach  # a double is exact up to 53 bits, and the fastest
+    kind = "DOUBLE" if most < 2**53 else "BIGINT" if most < 2**63 else "DECIMAL(18,0)"
+    near = table.selectExpr(*[f"CAST(coalesce(x{i} - {centre[i]}L, 0L) AS {kind}) AS y{i}" for i in range(d)])
     products: dict[tuple[int, int], int] = {}
     for part in _chunks(_pairs(d), opts.pairs):
-        term = lambda i: f"CAST(x{i} - {centre[i]}L AS {kind})"
-        row = table.selectExpr(*[f"sum({term(i)} * {term(j)}) AS p{i}_{j}" for i, j in part]).collect()[0]
+        row = near.selectExpr(*[f"sum(y{i} * y{j}) AS p{i}_{j}" for i, j in part]).collect()[0]
         products |= {(i, j): int(row[f"p{i}_{j}"]) for i, j in part}
     rest = [v - n * c for v, c in zip(s, centre, strict=True)]  # what the centre leaves of each sum: at least 0, below n
     v = np.zeros((d, d))
