@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from kinloom.functions import text as tx
 from kinloom.functions.names import mention_surname, surname_of, year
 from kinloom.operators import (
+    ancestors,
     boxes,
     canonical,
     consistency,
@@ -230,16 +231,10 @@ def existing_trees(w: Work, a: argparse.Namespace) -> int:
 
 
 def render(w: Work, a: argparse.Namespace) -> int:
-    """Trees of all families, or of --family, or below --root; or the ancestors of --ancestors-for."""
+    """Trees of all families, or of --family, or below --root; or ancestors (--ancestors-for, --ancestors)."""
     people, edges = w.load("people"), w.load("edges")
-    if a.ancestors_for:
-        parent = edges.filter(f"relation = 'parent' AND confidence >= {trees.T.min_confidence}").select(F.col("a").alias("child"), F.col("b").alias("parent"))
-        parent = parent.join(people.select(F.col("id").alias("parent"), "gender"), "parent")
-        start = w.spark.createDataFrame([(a.ancestors_for,)], "node string")
-        slots = traverse.ancestor_slots(parent, start, a.generations)
-        params = {r["slot"]: r["slot"] for r in slots.select("slot").distinct().orderBy(F.length("slot"), "slot").collect()}  # 2 ** generations at most
-        outputs.write_texts(outputs.ahnentafel(slots, people, a.template_name, params).select(F.col("person").alias("name"), "text"), f"{w.folder}/out_ancestors")
-        return 0
+    if a.ancestors_for or a.ancestors:
+        return pedigrees(w, a, people, edges)
     specs = trees.family_specs(people, w.load("families"))
     labels = w.save(trees.family_labels(people, specs), "labels")
     if a.family:
@@ -313,6 +308,28 @@ def render(w: Work, a: argparse.Namespace) -> int:
     return 0
 
 
+def pedigrees(w: Work, a: argparse.Namespace, people: DataFrame, edges: DataFrame) -> int:
+    """The ancestors of --ancestors-for, or of everybody with an article who has enough of them, as a template and as a chart."""
+    parent = edges.filter(f"relation = 'parent' AND confidence >= {trees.T.min_confidence}").select(F.col("a").alias("child"), F.col("b").alias("parent"))
+    parent = parent.join(people.select(F.col("id").alias("parent"), "gender"), "parent")
+    article = people.filter(~selection.without_article(F.col("id"), F.col("fetched"))).select(F.col("id").alias("ancestor"))
+    start = w.spark.createDataFrame([(a.ancestors_for,)], "node string") if a.ancestors_for else article.select(F.col("ancestor").alias("node"))
+    slots = ancestors.with_grandparents(traverse.ancestor_slots(parent, start, a.generations), edges, people)
+    slots = w.save(slots if a.ancestors_for else slots.join(trees.ancestor_subjects(slots), "person", "left_semi"), "ancestors")
+    told = slots if a.include_unlinked else slots.join(article, "ancestor", "left_semi")
+    params = {r["slot"]: r["slot"] for r in slots.select("slot").distinct().orderBy(F.length("slot"), "slot").collect()}  # 2 ** generations at most
+    text = outputs.ahnentafel(told, people, a.template_name, params).select(F.col("person").alias("name"), "text")
+    cells = w.save(ancestors.chart_cells(slots, a.generations), "ancestor_cells")
+    shown = cells.filter("kind = 'box'").select("tree_id", F.col("ref").alias("person")).distinct()
+    shown = shown.join(people.select(F.col("id").alias("person"), "name", "born_text", "died_text"), "person", "left").join(article.select(F.col("ancestor").alias("person"), F.lit(True).alias("named")), "person", "left")
+    label = boxes.person_label(F.col("person"), F.col("name"), F.col("born_text"), F.col("died_text"))
+    content = F.when(F.col("named") | F.lit(a.include_unlinked), label).otherwise(boxes.ANONYMOUS)
+    charts = layout.chart_wikitext(cells, shown.select("tree_id", "person", content.alias("content")), a.start, a.row, a.end)
+    text = text.unionByName(charts.select(F.concat("tree_id", F.lit(" (chart)")).alias("name"), "text"))
+    outputs.write_texts(text, f"{w.folder}/out_ancestors")
+    return 0
+
+
 def report(w: Work, split: DataFrame, edges: DataFrame, known: DataFrame, hide: bool) -> None:
     """The review of each tree: its edges, and how it compares with trees that exist. With ``hide``, edges of people without
     an article are left out, as their names are in the trees."""
@@ -396,6 +413,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--max-depth", type=int)
             c.add_argument("--max-nodes", type=int, default=trees.T.tree_nodes)
             c.add_argument("--ancestors-for")
+            c.add_argument("--ancestors", action="store_true", help="of everybody with enough known ancestors")
             c.add_argument("--generations", type=int, default=4)
             c.add_argument("--template-name", default="אילן יוחסין")
             c.add_argument("--site", default="")

@@ -96,7 +96,9 @@ def test_commands_from_pages_to_trees(spark, tmp_path):
     assert cli.main(["--work", work, "render", "--include-unlinked"], spark) == 0
     assert any("נחום לוי" in t for _, t in written_texts(spark, work))
     assert cli.main(["--work", work, "render", "--ancestors-for", "יעקב כהן"], spark) == 0
-    assert "[[אברהם כהן]]" in spark.read.json(f"{work}/out_ancestors").first()["text"]
+    drawn = {r["name"]: r["text"] for r in spark.read.json(f"{work}/out_ancestors").collect()}
+    assert "[[אברהם כהן]]" in drawn["יעקב כהן"] and "[[אברהם כהן]]" in drawn["יעקב כהן (chart)"] and drawn["יעקב כהן (chart)"].count("|!") == 2
+    assert cli.main(["--work", work, "render", "--ancestors", "--generations", "3"], spark) == 0
     assert cli.main(["--work", work, "calibrate"], spark) == 0 and cli.main(["--work", work, "upload", "--yes"], spark) == 3
 
 
