@@ -39,7 +39,7 @@ from kinloom.operators import (
     traverse,
     trees,
 )
-from kinloom.sinks import outputs
+from kinloom.sinks import files, outputs
 from kinloom.sources import wiki
 
 ROLES = {"father": ("אב",), "mother": ("אם",), "parents": ("הורים",), "spouse": ("בן זוג", "בת זוג", "בני זוג"), "children": ("ילדים",), "siblings": ("אחים",)}
@@ -302,6 +302,10 @@ def render(w: Work, a: argparse.Namespace) -> int:
         outputs.tree_page(F.col("title"), F.col("text"), F.array().cast("array<string>"), F.array().cast("array<string>")).alias("text"),
     )
     outputs.write_texts(page, f"{w.folder}/out_trees")
+    if a.files:
+        w.spark.dataSource.register(files.TextFiles)
+        both = page.unionByName(w.spark.read.schema("name string, text string").json(f"{w.folder}/out_previews"))
+        both.write.format("text_files").mode("overwrite").option("path", a.files).save()
     notes = contents.select("tree_id", F.explode(F.regexp_extract_all("content", F.lit(tx.REF), F.lit(0))).alias("ref")).groupBy("tree_id").agg(F.countDistinct("ref").cast("int").alias("n"))
     w.save(selection.tree_records(split.select("tree_id", "person", "depth"), people, layout.chart_size(cells, notes)), "trees_index")
     report(w, split, edges, known, hide)
@@ -409,6 +413,7 @@ def parser() -> argparse.ArgumentParser:
         if name in ("render", "all"):
             c.add_argument("--family")
             c.add_argument("--root")
+            c.add_argument("--files", help="folder that gets a file for each tree and preview, and their index")
             c.add_argument("--include-unlinked", action="store_true", help="name people without an article")
             c.add_argument("--max-depth", type=int)
             c.add_argument("--max-nodes", type=int, default=trees.T.tree_nodes)

@@ -93,7 +93,8 @@ def test_commands_from_pages_to_trees(spark, tmp_path):
     bare = [r["name"] for r in spark.read.parquet(f"{work}/people").filter("NOT coalesce(fetched, false)").collect()]
     assert {"נחום לוי", "מינדל רוזן"} <= set(bare)
     assert not [(b, n) for b in bare for n, t in found if b in t or b in n]  # nobody without a page is named anywhere
-    assert cli.main(["--work", work, "render", "--include-unlinked"], spark) == 0
+    assert cli.main(["--work", work, "render", "--include-unlinked", "--files", f"{tmp_path}/files"], spark) == 0
+    assert {p.name for p in (tmp_path / "files").iterdir() if p.suffix == ".wiki"} == {n for n, _ in written_texts(spark, work) if n.endswith(".wiki")}
     assert any("נחום לוי" in t for _, t in written_texts(spark, work))
     assert cli.main(["--work", work, "render", "--ancestors-for", "יעקב כהן"], spark) == 0
     drawn = {r["name"]: r["text"] for r in spark.read.json(f"{work}/out_ancestors").collect()}
