@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from kinloom.plans import registry
+from kinloom.plans import registry, wiki_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
