@@ -6,13 +6,14 @@ each row's page tells.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions import names
 from kinloom.functions import text as tx
-from kinloom.operators import extraction, identity
+from kinloom.operators import ancestors, extraction, identity, incremental, traverse, trees
 from kinloom.plans.registry import load, registered
+from kinloom.plans.storage import written
 
 
 def _customer(key: Column) -> Column:
@@ -148,3 +149,98 @@ def slot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ident = F.concat(F.when(art, "").otherwise("~"), name, F.lit("@"), k.cast("string"))
     rows = load(spark, sf_dir, "customer").select(ident.alias("id"), name.alias("name"), (F.lit(1700) + k % 120).alias("born"), F.col("c_nationkey").cast("string").alias("slot"), (~art).alias("bare"))
     return identity.matching_in_slots(rows, 40, names.names_match_plain).select("u", "v", (~F.col("bare")).alias("art"))
+
+
+@registered("""
+WITH a AS (SELECT p_name AS alias, min(p_partkey) AS lo, max(p_partkey) AS hi FROM part WHERE p_partkey % 10 = 0 GROUP BY p_name),
+one AS (SELECT alias, 'P' || lo AS title, CASE WHEN length(alias) % 2 = 0 THEN 'nick' ELSE 'name' END AS kind FROM a WHERE lo = hi AND length(alias) >= 3)
+SELECT p_partkey AS k, p_partkey % 3 = 0 AS in_prose, CASE WHEN kind = 'nick' OR p_partkey % 3 = 0 THEN title END AS title, coalesce(title IS NOT NULL AND (kind = 'nick' OR p_partkey % 3 = 0), false) AS alias
+FROM part LEFT JOIN one ON one.alias = p_name""")
+def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions (names of parts, with a title before them) that stand for the one tenth part of that name."""
+    p = load(spark, sf_dir, "part")
+    kind = F.when(F.length("p_name") % 2 == 0, "nick").otherwise("name")
+    titles = p.filter("p_partkey % 10 = 0").select(F.col("p_name").alias("alias"), F.concat(F.lit("P"), "p_partkey").alias("title"), kind.alias("kind"))
+    mentions = p.select(F.col("p_partkey").alias("k"), F.concat(F.lit("הרב "), "p_name").alias("name"), (F.col("p_partkey") % 3 == 0).alias("in_prose"))
+    return identity.resolve_aliases(mentions, identity.unique_alias_index(titles)).select("k", "in_prose", "title", "alias")
+
+
+@registered("""
+SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'f' WHEN 1 THEN 'm' WHEN 2 THEN 'f' WHEN 3 THEN 'm' ELSE CASE WHEN c_nationkey % 2 = 0 THEN 'm' ELSE 'f' END END AS of_title,
+       CASE c_custkey % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'm' END AS of_honorific, CASE WHEN c_nationkey % 2 = 0 THEN 3 ELSE 2 END AS men, CASE WHEN c_nationkey % 2 = 0 THEN 0 ELSE 1 END AS women, c_custkey % 2 = 1 AS conflict, c_custkey % 4 < 2 AS dated
+FROM customer""")
+def gender_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genders by titles, kin words in parentheses, first verbs, and words before a name; and names that are days or years."""
+    k, n = F.col("c_custkey"), F.concat(F.lit("X"), F.col("c_custkey").cast("string"))
+    title = F.when(k % 5 == 0, F.concat(F.lit("הרבנית "), n)).when(k % 5 == 1, F.concat(F.lit("הרב "), n)).when(k % 5 == 2, F.concat(n, F.lit(" (אשת Y)"))).when(k % 5 == 3, F.concat(n, F.lit(" (בן Y)"))).otherwise(n)
+    lead = F.when(F.col("c_nationkey") % 2 == 0, "נולד בעיר").otherwise("נולדה בעיר")
+    before = F.when(k % 3 == 0, "אצל מרת ").when(k % 3 == 1, "אצל הרב ").otherwise("הרב בעיר ")
+    votes = extraction.gender_votes(F.when(F.col("c_nationkey") % 2 == 0, "נולד ונפטר, כיהן, שימש").otherwise("למד, נפטר, נולדה"))
+    own = F.when(k % 2 == 0, "m").otherwise("f")
+    name = F.when(k % 4 == 0, 'תרפ"ט').when(k % 4 == 1, F.lit("1950")).when(k % 4 == 2, "דוד").otherwise(n)
+    return load(spark, sf_dir, "customer").select(
+        k.alias("k"), extraction.gender_of_title(title, lead).alias("of_title"), extraction.honorific_gender(before).alias("of_honorific"), votes["m"].cast("int").alias("men"), votes["f"].cast("int").alias("women"),
+        extraction.gender_conflict(own, votes, F.lit("m")).alias("conflict"), extraction.looks_like_year(name).alias("dated"),
+    )
+
+
+@registered("""
+SELECT 'T' || o_orderkey AS title, CASE o_orderkey % 3 WHEN 0 THEN CAST(1600 + o_orderkey % 300 AS VARCHAR) WHEN 1 THEN 'תר"ן' ELSE CAST(1700 + o_orderkey % 200 AS VARCHAR) END AS born,
+       CASE WHEN o_orderkey % 3 = 1 THEN 'תש"ח' WHEN o_orderkey % 3 = 2 THEN NULL ELSE CAST(1900 + o_orderkey % 99 AS VARCHAR) END AS died FROM orders""")
+def page_year_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years of pages: of a template field before those of a category, before those of a sentence."""
+    k = F.col("o_orderkey")
+    year = lambda base, of: (F.lit(base) + k % of).cast("string")
+    filed = '[[קטגוריה:אישים שנולדו בשנת תר"ן]]\n[[קטגוריה:אישים שנפטרו בשנת תש"ח]]'
+    text = F.when(k % 3 == 0, F.concat(F.lit("{{אישיות|לידה="), year(1600, 300), F.lit("}} נולד בשנת 1555, נפטר בשנת "), year(1900, 99), F.lit(".")))
+    text = text.when(k % 3 == 1, F.concat(F.lit("נולד בשנת "), year(1700, 200), F.lit(".\n" + filed))).otherwise(F.concat(F.lit("היא נולדה בשנת "), year(1700, 200), F.lit(" בעיר.")))
+    pages = load(spark, sf_dir, "orders").select(F.concat(F.lit("T"), k.cast("string")).alias("title"), text.alias("wikitext"))
+    return extraction.page_years(pages, ("לידה",), ("פטירה",))
+
+
+@registered("""
+WITH c AS (SELECT DISTINCT CASE WHEN l_orderkey % 7 = 0 THEN 'Talk:' ELSE '' END || l_partkey AS title FROM lineitem), k AS (SELECT CAST(p_partkey AS VARCHAR) AS title FROM part WHERE p_partkey % 2 = 0)
+SELECT title FROM c WHERE title IN (SELECT title FROM k) OR title NOT LIKE '%:%'""")
+def changed_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which titles of a listing of changes are to be fetched: known ones, and new ones of the main space."""
+    title = F.concat(F.when(F.col("l_orderkey") % 7 == 0, "Talk:").otherwise(""), F.col("l_partkey").cast("string"))
+    known = load(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("title"))
+    return incremental.changed(load(spark, sf_dir, "lineitem").select(title.alias("title")), known, "title")
+
+
+@registered("""
+WITH m AS (SELECT s_nationkey AS n, s_suppkey AS k, s_suppkey % 4 AS surname FROM supplier), c AS (SELECT n, surname, count(*) AS t FROM m WHERE n % 3 <> 0 GROUP BY ALL),
+best AS (SELECT n, 'משפחת S' || surname AS modal, row_number() OVER (PARTITION BY n ORDER BY t DESC, surname) AS r FROM c),
+e AS (SELECT DISTINCT m.n, CASE WHEN m.n % 3 = 0 THEN 'N' || m.n ELSE modal END AS label FROM m LEFT JOIN best ON best.n = m.n AND r = 1)
+SELECT 'N' || n AS spec, CASE WHEN n % 3 <> 0 AND count(*) OVER (PARTITION BY label) > 1 THEN label || ' (N' || n || ')' ELSE label END AS label FROM e""")
+def family_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of a nation are a group; every third nation is a category, the others are called by their commonest surname."""
+    s = load(spark, sf_dir, "supplier")
+    people = s.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("S"), F.col("s_suppkey") % 4).alias("surname"))
+    kind = F.when(F.col("s_nationkey") % 3 == 0, "category").otherwise("component")
+    return trees.family_labels(people, s.select(F.concat(F.lit("N"), "s_nationkey").alias("spec"), kind.alias("kind"), F.concat(F.lit("s"), "s_suppkey").alias("id")))
+
+
+_SLOTS = """
+WITH p AS (SELECT o_orderkey AS child, lag(o_orderkey) OVER w AS f, lag(o_orderkey, 2) OVER w AS m FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+one AS (SELECT child AS person, 'f' AS slot, f AS ancestor FROM p WHERE f IS NOT NULL UNION ALL SELECT child, 'm', m FROM p WHERE m IS NOT NULL),
+s AS (SELECT * FROM one UNION ALL SELECT a.person, a.slot || b.slot, b.ancestor FROM one a JOIN one b ON a.ancestor = b.person),
+top AS (SELECT person, max(length(slot)) AS top FROM s GROUP BY person)"""
+
+
+@registered(f"""{_SLOTS},
+t AS (SELECT person, top, max(CASE WHEN slot = 'f' THEN 1 END) AS f, max(CASE WHEN slot = 'm' THEN 1 END) AS m FROM s JOIN top USING (person) GROUP BY ALL)
+SELECT CAST(person AS VARCHAR) AS tree_id, 'box' AS kind, CAST(2 * (top - length(slot)) AS INT) AS "row", CAST(ancestor AS VARCHAR) AS ref, count(*) AS n FROM s JOIN top USING (person) GROUP BY ALL
+UNION ALL SELECT CAST(person AS VARCHAR), 'box', CAST(2 * top AS INT), CAST(person AS VARCHAR), 1 FROM top
+UNION ALL SELECT CAST(person AS VARCHAR), 'marriage', CAST(2 * (top - 1) AS INT), NULL, 1 FROM t WHERE f = 1 AND m = 1
+UNION ALL SELECT CAST(x.person AS VARCHAR), 'marriage', 0, NULL, count(*) FROM s x JOIN s y ON x.person = y.person AND x.slot || 'f' = y.slot JOIN s z ON x.person = z.person AND x.slot || 'm' = z.slot GROUP BY x.person""")
+def ancestor_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts of two generations of all orders (an order's father is the one before it of its customer, its mother the one
+    before that): how many boxes of whom, and signs of couples, stand in each row."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    p = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("child"), F.lag("o_orderkey").over(w).cast("string").alias("f"), F.lag("o_orderkey", 2).over(w).cast("string").alias("m"))
+    both = F.inline(F.array(F.struct(F.col("f").alias("parent"), F.lit("m").alias("gender")), F.struct(F.col("m").alias("parent"), F.lit("f").alias("gender"))))
+    parents = p.select("child", both).filter("parent IS NOT NULL")
+    slots = written(traverse.ancestor_slots(parents, p.select(F.col("child").alias("node")), 2), "slots")
+    cells = ancestors.chart_cells(slots, 2).filter("kind IN ('box', 'marriage')")
+    return cells.groupBy("tree_id", "kind", "row", "ref").agg(F.count(F.lit(1)).alias("n"))
