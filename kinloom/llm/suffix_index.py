@@ -163,7 +163,8 @@ def scan(docs: DataFrame, opts: Options = Options()) -> DataFrame:
 
 
 def entries(candidates: DataFrame, opts: Options) -> DataFrame:
-    """The anchors of ``candidates`` (sha, text, shared) whose grams are shared: sha, at, g, left, right, cid1, cid2."""
+    """The anchors of ``candidates`` (sha, text, shared) whose grams are shared: sha, at, upto, times, g, left, right, cid1,
+    cid2. Equal entries in a row, as periodic texts have at every place, are one row from the first of them to the last."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,15 +179,19 @@ def entries(candidates: DataFrame, opts: Options) -> DataFrame:
                         left = [held[x:y] for x, y in zip(a.first[lot].tolist(), a.at[lot].tolist(), strict=True)]
                         right = [held[x : y + opts.length] for x, y in zip(a.at[lot].tolist(), a.last[lot].tolist(), strict=True)]
                         ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x + y, seed=len(x)) for x, y in zip(left, right, strict=True)), np.int64).reshape(-1, 2)
-                        of = a.of[lot]
+                        of, at = a.of[lot], a.at[lot]
+                        goes_on = (ids[1:] == ids[:-1]).all(axis=1) & (of[1:] == of[:-1]) & (np.diff(at) <= opts.length)
+                        head = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+                        tail = np.concatenate([head[1:], [len(lot)]]) - 1
+                        of, shift = of[head], bases[of[head]] - offsets[of[head]]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([sha[rows[k]] for k in of], pa.binary()), pa.array(a.at[lot] - offsets[of] + bases[of]), pa.array(a.gram[lot].view(np.int64)),
-                             pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy())],
-                            ["sha", "at", "g", "left", "right", "cid1", "cid2"],
+                            [pa.array([sha[rows[k]] for k in of], pa.binary()), pa.array(at[head] + shift), pa.array(at[tail] + shift), pa.array(tail - head + 1), pa.array(a.gram[lot][head].view(np.int64)),
+                             pa.array([left[k] for k in head], pa.binary()), pa.array([right[k] for k in head], pa.binary()), pa.array(ids[head, 0]), pa.array(ids[head, 1])],
+                            ["sha", "at", "upto", "times", "g", "left", "right", "cid1", "cid2"],
                         )
         free_memory()
 
-    return candidates.mapInArrow(read, "sha binary, at bigint, g bigint, left binary, right binary, cid1 bigint, cid2 bigint")
+    return candidates.mapInArrow(read, "sha binary, at bigint, upto bigint, times bigint, g bigint, left binary, right binary, cid1 bigint, cid2 bigint")
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -366,7 +371,7 @@ def long_repeats(docs: DataFrame, opts: Options, scratch: Scratch) -> tuple[Data
     occurrences = scratch.write(found, "suffix-entries")
     scratch.drop(shared, of_doc)
     distinct = occurrences.groupBy("batch", "cid1", "cid2", "g").agg(
-        F.min("oid").alias("oid"), F.count("*").alias("n"), F.max(F.length("left")).alias("nl"), F.max(F.length("right")).alias("nr")
+        F.min("oid").alias("oid"), F.sum("times").alias("n"), F.max(F.length("left")).alias("nl"), F.max(F.length("right")).alias("nr")
     )
     distinct = scratch.write(distinct, "suffix-distinct")
     hot = scratch.write(distinct.groupBy("g").count().filter(F.col("count") > opts.group).select("g", F.lit(True).alias("hot")), "suffix-hot")
@@ -391,8 +396,8 @@ def long_repeats(docs: DataFrame, opts: Options, scratch: Scratch) -> tuple[Data
     for more in reaches[1:]:
         reach = reach.unionByName(more)
     reach = scratch.write(reach.groupBy("cid1", "cid2").agg(F.max("l").alias("l"), F.max("r").alias("r")), "suffix-reach")
-    spans = occurrences.select("sha", "at", "cid1", "cid2").join(reach, ["cid1", "cid2"])
-    spans = spans.groupBy("sha").agg(F.collect_list(F.struct((F.col("at") - F.col("l")).alias("first"), (F.col("at") + F.col("r")).alias("end"))).alias("spans"))
+    spans = occurrences.select("sha", "at", "upto", "cid1", "cid2").join(reach, ["cid1", "cid2"])
+    spans = spans.groupBy("sha").agg(F.collect_list(F.struct((F.col("at") - F.col("l")).alias("first"), (F.col("upto") + F.col("r")).alias("end"))).alias("spans"))
     once = classes.filter("copies = 1").select("sha")
     return scanned, classes, candidates.select("sha", "text").join(spans.join(once, "sha"), "sha")
 

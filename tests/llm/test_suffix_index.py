@@ -118,3 +118,13 @@ def test_hashes_depend_on_the_gram_alone():
     assert len(set(own.values())) == len(own)
     marks = sx.anchors(np.frombuffer(prose(10, 20_000).encode(), np.uint8), np.array([0, 60_000]), sx.Options())
     assert 100 < np.diff(marks.at).mean() < 300
+
+
+def test_periodic_texts_are_few_rows(spark):
+    texts = ["x" * 60_000, "ab" * 20_000 + "c", "q" + "abc" * 9_000, "x" * 420, "ab" * 199 + "a", prose(12, 30)]
+    df = documents(spark, texts)
+    assert found(df, sx.Options()) == brute([(r["doc_id"], r["text"]) for r in df.collect()], 400)
+    shared = spark.createDataFrame([(b"s", t) for t in texts[:3]], "sha binary, text string")
+    grams = sx.scan(df.limit(3)).selectExpr("explode(grams) AS g").distinct().agg({"g": "collect_set"}).first()[0]
+    rows = sx.entries(shared.selectExpr("sha", "text", f"array({', '.join(f'{g}L' for g in grams)}) AS shared"), sx.Options())
+    assert rows.count() < 60 and rows.agg({"times": "sum"}).first()[0] > 60_000
