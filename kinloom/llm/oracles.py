@@ -113,7 +113,35 @@ SELECT doc_id, CAST(len(x) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0
        sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN kept USING (k)"""
 
+TARGETS = f"""
+WITH d AS (SELECT doc_id, source, len({WORDS.format("coalesce(text, '')")}) AS size FROM documents),
+s AS (SELECT source, sum(size) AS s, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS k FROM d GROUP BY source),
+w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][(k - 1) % 3 + 1] AS w FROM s),
+o AS (SELECT *, 2.0 * s / w AS ratio, sum(2.0 * s) OVER below - 2.0 * s AS held, sum(w) OVER () - sum(w) OVER below + w AS rest, 1.5 * sum(s) OVER () AS total
+      FROM w WINDOW below AS (ORDER BY 2.0 * s / w, k)),
+level AS (SELECT arg_min((total - held) / rest, ratio) FILTER (WHERE (total - held) / rest <= ratio) AS level FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(s AS BIGINT) AS source_size, round(least(2.0 * s, coalesce(level, 1e300) * w), 4) AS target
+FROM d JOIN o ON o.source IS NOT DISTINCT FROM d.source CROSS JOIN level"""
+
+CRC32_BYTES = f"""xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(0, len(h) // 2), lambda i: [h[2 * i + 2], h[2 * i + 1]]))),
+    lambda a, n: xor(a >> 4, CAST({_CRC_ROW} AS BIGINT[])[CAST(xor(a, n) & 15 AS INT) + 1])))"""
+SIZES = f"""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, list_transform(list_filter(string_split(hex(encode(coalesce(text, ''))), ''), lambda c: c <> ''), lambda c: CAST(strpos('0123456789ABCDEF', c) - 1 AS BIGINT)) AS h FROM documents)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CASE WHEN len(h) = 0 THEN 0 ELSE {CRC32_BYTES} END AS text_crc32, true AS together, true AS gapless, true AS level FROM d"""
+
+LANGUAGES = f"""
+SELECT doc_id, {CRC32.format("CAST(doc_id AS VARCHAR)")} % 3 = 1 AS held_out, NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS undecided, true AS in_range FROM documents"""
+
+SECRETS = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda s: length(s) >= 8)) AS n_assign,
+       len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda s: length(s) >= 16)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda s: length(s) >= 32)) AS n_hex FROM d"""
+
 ORACLE_SQL = {
+    "mix_targets": TARGETS,
+    "shard_laws": SIZES,
+    "language_laws": LANGUAGES,
+    "secret_counts": SECRETS,
     "op5_ngram_jaccard": N_GRAM,
     "op7_embedding_near_dedup": EMBEDDINGS,
     "op9_substring_dedup": SUBSTRINGS,

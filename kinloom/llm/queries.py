@@ -110,6 +110,34 @@ def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.dedup_bytes(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of operator 1 SQL can say: sizes, and the targets of sources after all excess is dealt again."""
+    return op1_source_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def shard_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of operator 2 SQL can say: sizes and checksums, and that its laws hold: equal texts together, slots without
+    gaps, and no shard larger than an equal share and one group."""
+    placed = op2_minimax_sharding(spark, sf_dir)
+    group = placed.groupBy("text_crc32", "size").agg((F.countDistinct("shard") == 1).alias("together"), F.sum("size").alias("bytes"))
+    shard = placed.groupBy("shard").agg((F.countDistinct("slot") == F.count("*")).alias("own"), (F.max("slot") + 1 == F.count("*")).alias("full"), (F.min("slot") == 0).alias("first"), F.sum("size").alias("shard_bytes"))
+    bounds = group.agg(F.sum("bytes").alias("total"), F.max("bytes").alias("largest")).first()  # two numbers
+    even = F.col("shard_bytes") <= (bounds["total"] or 0) / 8 + (bounds["largest"] or 0)
+    out = placed.join(group.drop("bytes"), ["text_crc32", "size"]).join(F.broadcast(shard), "shard")  # a row a shard
+    return out.select("doc_id", "size", "text_crc32", "together", (F.col("own") & F.col("full") & F.col("first")).alias("gapless"), even.alias("level"))
+
+
+def language_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of operator 3 SQL can say: which documents are held out, which have no letter, and that scores are shares."""
+    told = op3_language_id(spark, sf_dir)
+    return told.select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("undecided"), F.col("score").between(0, 1).alias("in_range"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of operator 6 SQL can say: how many spans its patterns find."""
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_minimax_sharding": op2_minimax_sharding,
@@ -124,4 +152,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_suffix_array_dedup": op13_suffix_array_dedup,
+    "mix_targets": mix_targets,
+    "shard_laws": shard_laws,
+    "language_laws": language_laws,
+    "secret_counts": secret_counts,
 }
