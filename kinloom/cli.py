@@ -44,6 +44,7 @@ from kinloom.sources import wiki
 
 ROLES = {"father": ("אב",), "mother": ("אם",), "parents": ("הורים",), "spouse": ("בן זוג", "בת זוג", "בני זוג"), "children": ("ילדים",), "siblings": ("אחים",)}
 BORN, DIED = ("תאריך לידה", "לידה"), ("תאריך פטירה", "פטירה")
+# Template fields that hold other names of a person.
 NICKNAMES = ("כינוי", "כינויים", "שם נוסף", "ידוע גם בשם")
 #: What pages are people, unless --rules names a JSON file with the fields of ``canonical.PersonRules``.
 RULES = canonical.PersonRules(

@@ -156,6 +156,7 @@ _CLAUSE = re.compile(r"^\s*,\s*(?:ש[^,]*|אשר\s[^,]*),\s*$")  # ", who was ..
 _LINK = re.compile(r"\[\[([^\[\]|#]+?)(?:#[^\[\]|]*)?(?:\|[^\[\]]*)?\]\]")
 _TITLED = re.compile(rf"(?:^|[\s,;:(–*#-])(?:ו?[לבמ]?)((?:{any_of(HONORIFICS)}\s+)+)$")
 _PLACE = re.compile(r"(?<![א-ת])[בלמ]$")  # "in [[town]]"
+# Fixed value: what years, days and feasts look like.
 YEAR = re.compile(
     rf"(?:ה')?ת[{_LETTERS}]{{0,3}}\"[{_LETTERS}]|\d{{3,4}}|שנת .*|[{_LETTERS}]{{1,2}}\"[{_LETTERS}]|\d{{1,2}} ב[{_LETTERS}]+|{any_of(FEASTS)}"
     rf"|(?:(?:[{_LETTERS}]'|[{_LETTERS}]\"[{_LETTERS}]|[{_LETTERS}]{{1,2}})\s*ב?)?{any_of(MONTHS)}(?:\s+[אב]')?(?:\s+(?:ה')?ת[{_LETTERS}]{{0,3}}\"[{_LETTERS}])?"
