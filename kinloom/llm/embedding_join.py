@@ -1,17 +1,17 @@
 """Near duplicates among embeddings by a subspace pigeonhole join.
 
 Unit vectors at cosine c are at squared distance 2 - 2c. A rotation keeps distances and spreads them evenly over the
-coordinates; the rotated vectors are split into blocks of few dimensions. If a pair is within the squared distance,
-then in some block it is within that block's proportional part of it. So each block is range-joined under its part: a
-grid over two of its coordinates, as wide as the part allows, brings together only vectors of neighbouring cells, their
-distance in the block is computed, and what passes is verified on the whole vectors in double precision. A pair that
-passes in several blocks counts in the first of them.
+coordinates; the rotated vectors are split into subspaces of as many dimensions. If a pair is within the squared
+distance, then in some subspace it is within that subspace's proportional part of it. What passes in one is verified on
+the whole vectors in double precision, once, in however many it passes.
 
-Cells are cut into chunks of bounded size, and a task compares two chunks. It returns counts and the components of its
-links, never the pairs, so that a dense group of m vectors costs m * m comparisons but only m rows.
+Vectors are packed into chunks of bounded size, written once, and all pairs of chunks are compared where a Cartesian
+product reads them, so no vector is ever shuffled to its partners: disk grows with the vectors, and only reading and
+comparing with their square. A task returns counts and the components of its links, never the pairs, so that a dense
+group of m vectors costs m * m comparisons but only m rows a task.
 
-The rotation is a Walsh-Hadamard transform with fixed signs, and all sums are taken in a fixed order, so that every task
-computes the same numbers for a vector.
+The rotation is a Walsh-Hadamard transform with fixed signs, and all sums that decide are taken in a fixed order, so that
+every task computes the same numbers for a vector. The parts are compared in single precision, with room for its error.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components link with nothing and are components of
 their own; vectors of different length never link; a null vec_id links with nothing; rows that share a vec_id are one
@@ -21,26 +21,37 @@ are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import written
 from kinloom.operators.graph import connected_components
+from kinloom.plans.storage import Scratch
+
+
+#: Chunks of long vectors have fewer of them: at most this many bytes as doubles, or 64 vectors.
+CHUNK_BYTES = 2 << 20
+#: Rows that a task gathers before it adds up what concerns the same vectors.
+GATHERED = 1 << 20
+#: Chunks that a task keeps rotated.
+KEPT = 24
+#: A chunk is a row: few to a row group, and sizes looked at after each, so that no reader or writer holds many.
+ROW_GROUPS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
 @dataclass(frozen=True)
 class Options:
-    """Links have a cosine of ``cosine`` at least. Blocks have ``block_dims`` dimensions; chunks at most ``chunk``
-    vectors, more or less, since they are dealt by hash."""
+    """Links have a cosine of ``cosine`` at least. Vectors are split into ``subspaces`` (a power of two, 8 at most); chunks
+    have at most ``chunk`` vectors."""
 
     cosine: float = 0.9
-    block_dims: int = 8
+    subspaces: int = 2
     chunk: int = 4096
 
     @property
@@ -91,115 +102,91 @@ def _matrix(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat[offsets[rows][:, None] + np.arange(d)]
 
 
-def _cells(r: np.ndarray, o: Options) -> Iterator[tuple[int, np.ndarray]]:
-    """(block, grid cells): cells are as wide as a pair may be apart in the block."""
-    dims = min(o.block_dims, r.shape[1])
-    width = np.sqrt(o.squared * dims / r.shape[1]) * (1 + 1e-6) + 1e-9
-    for b in range(r.shape[1] // dims):
-        yield b, np.floor(r[:, b * dims : b * dims + 2] / width).astype(np.int64)
-
-
 def usable(embedding: Column) -> Column:
     """Whether a vector can link: not null, finite, not zero."""
     bad = F.exists(embedding, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     return F.coalesce(~bad & F.exists(embedding, lambda v: v != 0), F.lit(False))
 
 
-def cell_counts(vectors: DataFrame, o: Options) -> list[tuple[int, int, int, int, int]]:
-    """(dims, block, cell, cell, vectors). Coordinates of unit vectors bound the cells, whatever the number of rows."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int, int, int], int] = defaultdict(int)
-        for batch in batches:
-            for _, x in _matrix(batch.column("embedding")):
-                for b, cells in _cells(rotated(unit(x)), o):
-                    for (c1, c2), n in zip(*np.unique(cells, axis=0, return_counts=True), strict=True):
-                        total[x.shape[1], b, int(c1), int(c2)] += int(n)
-        if total:
-            rows = [(*k, n) for k, n in total.items()]
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("d", "b", "c1", "c2", "n"), zip(*rows, strict=True), strict=True)})
-
-    out = vectors.select("embedding").mapInArrow(count, "d long, b long, c1 long, c2 long, n long")
-    return [tuple(r) for r in out.groupBy("d", "b", "c1", "c2").agg(F.sum("n").alias("n")).collect()]
-
-
-FORWARD = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
+def packed(vectors: DataFrame, o: Options) -> DataFrame:
+    """(d, chunk, ids, data): chunks of vectors of d components, in bytes; single precision stays single."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        name = TaskContext.get().partitionId() << 32
 
-def tiles(vectors: DataFrame, counts: list[tuple[int, int, int, int, int]], o: Options) -> DataFrame:
-    """(tile, side, vec_id, embedding): each vector with every chunk of its own and of its neighbouring cells.
+        def chunks(d: int, least: int) -> Iterator[pa.RecordBatch]:
+            nonlocal name
+            size = min(o.chunk, max(64, CHUNK_BYTES // (8 * d)))
+            if sum(len(ids) for ids, _ in held[d]) >= min(size, least):
+                ids, x = (np.concatenate(c) for c in zip(*held[d], strict=True))
+                end = len(ids) if least == 1 else len(ids) - len(ids) % size
+                for k in range(0, end, size):
+                    to = min(end, k + size)
+                    yield pa.RecordBatch.from_pydict(
+                        {"d": pa.array([d], pa.int64()), "chunk": pa.array([name], pa.int64()), "ids": pa.array([ids[k:to].tobytes()], pa.binary()), "data": pa.array([x[k:to].tobytes()], pa.binary())}
+                    )
+                    name += 1
+                held[d] = [(ids[end:], x[end:])]
 
-    Side 0 is the chunk of the earlier cell, 1 that of the later, 2 a chunk that is compared with itself.
-    """
-    chunks = {tuple(k): -(-n // o.chunk) for *k, n in counts}
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            mix = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for rows, x in _matrix(batch.column("embedding")):
-                d = x.shape[1]
-                for b, cells in _cells(rotated(unit(x)), o):
-                    take, names, sides = [], [], []
-                    for (c1, c2) in np.unique(cells, axis=0).tolist():
-                        inside = np.flatnonzero((cells[:, 0] == c1) & (cells[:, 1] == c2))
-                        own = chunks[d, b, c1, c2]
-                        chunk = (mix[rows[inside]] % np.uint64(own)).astype(np.int64)
-                        for sign in (1, -1):
-                            for f1, f2 in FORWARD:
-                                o1, o2 = c1 + sign * f1, c2 + sign * f2
-                                other = chunks.get((d, b, o1, o2), 0)
-                                if (f1, f2) == (0, 0) and sign < 0:
-                                    continue
-                                for k in range(other):
-                                    for h in range(own):
-                                        at = rows[inside[chunk == h]]
-                                        if (f1, f2) == (0, 0):
-                                            name, side = f"{d}.{b}.{c1}.{c2}.{min(h, k)}.{c1}.{c2}.{max(h, k)}", 2 if h == k else int(h > k)
-                                        elif sign > 0:
-                                            name, side = f"{d}.{b}.{c1}.{c2}.{h}.{o1}.{o2}.{k}", 0
-                                        else:
-                                            name, side = f"{d}.{b}.{o1}.{o2}.{k}.{c1}.{c2}.{h}", 1
-                                        take.append(at)
-                                        names += [name] * len(at)
-                                        sides.append(np.full(len(at), side, np.int32))
-                    if names:
-                        part = batch.take(pa.array(np.concatenate(take)))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(names), pa.array(np.concatenate(sides)), part.column("vec_id"), part.column("embedding")],
-                            ["tile", "side", "vec_id", "embedding"],
-                        )
-
-    kind = vectors.schema["embedding"].dataType.simpleString()
-    return vectors.select("vec_id", "embedding").mapInArrow(deal, f"tile string, side int, vec_id bigint, embedding {kind}")
-
-
-def _links(x: np.ndarray, y: np.ndarray, block: int, same: bool, o: Options, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of links between unit vectors x and y that pass in ``block`` and in no earlier one."""
-    rx, ry = rotated(x), rotated(y)
-    dims = min(o.block_dims, x.shape[1])
-    part = o.squared * dims / x.shape[1] + 1e-12
-    bx, by = (r[:, block * dims : (block + 1) * dims].astype(np.float32) for r in (rx, ry))
-    nx, ny = (bx * bx).sum(1), (by * by).sum(1)
-    for a in range(0, len(x), rows):
-        near = nx[a : a + rows, None] + ny[None, :] - 2 * (bx[a : a + rows] @ by.T) <= part + 1e-5
-        i, j = np.nonzero(near)
-        i += a
-        if same:
-            i, j = i[i < j], j[i < j]
-        for s in range(0, len(i), 1 << 16):
-            u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-            gaps = (rx[u] - ry[v]) ** 2
-            passed = np.stack([_sums(gaps[:, k : k + dims]) <= part for k in range(0, x.shape[1], dims)], axis=1)
-            first = passed[:, block] & ~passed[:, :block].any(axis=1)
-            u, v = u[first], v[first]
-            ok = _sums(x[u] * y[v]) >= o.cosine
-            yield u[ok], v[ok]
-
-
-def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Smallest index of each node's component."""
+                held[x.shape[1]].append((ids[rows], x if x.dtype == np.float32 else x.astype(np.float64)))
+                yield from chunks(x.shape[1], o.chunk)
+        for d in list(held):
+            yield from chunks(d, 1)
+
+    return vectors.select("vec_id", "embedding").mapInArrow(pack, "d bigint, chunk bigint, ids binary, data binary")
+
+
+def _sides(u: np.ndarray, o: Options) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each subspace, factors of which the products of vectors are minus half the squared distance in it."""
+    out = []
+    for part in np.split(rotated(u), o.subspaces, axis=1):
+        half, one = -(part * part).sum(axis=1, keepdims=True) / 2, np.ones((len(u), 1))
+        left, right = (np.concatenate([part, *ends], axis=1).astype(np.float32) for ends in ((half, one), (one, half)))
+        out.append((left, np.ascontiguousarray(right.T)))
+    return out
+
+
+@dataclass
+class _Chunk:
+    ids: np.ndarray
+    unit: np.ndarray
+    sides: list[tuple[np.ndarray, np.ndarray]]
+
+
+def _links(x: _Chunk, y: _Chunk, same: bool, o: Options, rows: int = 512, cols: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of links between the chunks x and y; if they are the same, each pair once."""
+    low = np.float32(-(o.squared / o.subspaces) / 2 - 1e-5)
+    for a in range(0, len(x.ids), rows):
+        for b in range(0, len(y.ids), cols):
+            if same and b + cols <= a:
+                continue
+            near = []
+            for (left, _), (_, right) in zip(x.sides, y.sides, strict=True):
+                gap = left[a : a + rows] @ right[:, b : b + cols]
+                some = np.flatnonzero(gap.max(axis=1) >= low)
+                if len(some):
+                    i, j = np.nonzero(gap[some] >= low)
+                    near.append((a + some[i]) * len(y.ids) + b + j)
+            if not near:
+                continue
+            i, j = np.divmod(np.unique(np.concatenate(near)), len(y.ids))
+            if same:
+                i, j = i[i < j], j[i < j]
+            for s in range(0, len(i), 1 << 16):
+                u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+                ok = _sums(x.unit[u] * y.unit[v]) >= o.cosine
+                yield u[ok], v[ok]
+
+
+def _roots(n: int, u: np.ndarray, v: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Smallest index of each node's component; ``before`` has those of edges given before."""
     label = np.arange(n)
+    if before is not None:
+        u, v = np.concatenate([label, u]), np.concatenate([before, v])
     while True:
         low = np.minimum(label[u], label[v])
         new = label.copy()
@@ -213,40 +200,84 @@ def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare(dealt: DataFrame, o: Options) -> DataFrame:
-    """(vec_id, links, root) per tile: how many links a vector has there, and the smallest id of its component."""
-
-    def tile(table: pa.Table) -> pa.Table:
-        name = table.column("tile")[0].as_py()
-        side, ids = table.column("side").to_numpy(), table.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        side, ids = side[order], ids[order]
-        ((_, x),) = _matrix(table.column("embedding"))
-        x = unit(x[order])
-        a, b = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
-        same = bool(len(side)) and side[0] == 2
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if len(a) and len(b):
-            for i, j in _links(x[a], x[b], int(name.split(".")[1]), same, o):
-                u.append(a[i])
-                v.append(b[j])
-        u, v = np.concatenate(u), np.concatenate(v)
-        links = np.bincount(u, minlength=len(ids)) + np.bincount(v, minlength=len(ids))
-        root, some = _roots(len(ids), u, v), links > 0
-        return pa.table({"vec_id": pa.array(ids[some]), "links": pa.array(links[some]), "root": pa.array(ids[root[some]])})
+def _found(x: _Chunk, y: _Chunk, same: bool, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, their links, smallest ids of their components) in two chunks."""
+    nodes, place = np.unique(np.concatenate([x.ids, y.ids]), return_inverse=True)  # in order: the smallest index is the smallest id
+    links, label, ends, waiting = np.zeros(len(nodes), np.int64), np.arange(len(nodes)), [], 0
+    at_x, at_y = place[: len(x.ids)], place[len(x.ids) :]
+    for i, j in _links(x, y, same, o):
+        u, v = at_x[i], at_y[j]
+        links += np.bincount(u, minlength=len(nodes)) + np.bincount(v, minlength=len(nodes))
+        ends.append((u, v))
+        waiting += len(u)
+        if waiting >= GATHERED:
+            label, ends, waiting = _roots(len(nodes), *(np.concatenate(e) for e in zip(*ends, strict=True)), label), [], 0
+    if ends:
+        label = _roots(len(nodes), *(np.concatenate(e) for e in zip(*ends, strict=True)), label)
+    some = links > 0
+    return nodes[some], links[some], nodes[label[some]]
+
+
+def _together(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row for each id: its links added up, and the smallest id of its component in all of them."""
+    ids, links, roots = (np.concatenate(c) for c in zip(*found, strict=True))
+    nodes, place = np.unique(np.concatenate([ids, roots]), return_inverse=True)
+    label = _roots(len(nodes), place[: len(ids)], place[len(ids) :])
+    total = np.zeros(len(nodes), np.int64)
+    np.add.at(total, place[: len(ids)], links)
+    return nodes, total, nodes[label]
+
+
+def compare(chunks: DataFrame, o: Options) -> DataFrame:
+    """(vec_id, links, root) per task: how many links a vector has in it, and the smallest id of its component."""
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: OrderedDict[int, _Chunk] = OrderedDict()
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def chunk(batch: pa.RecordBatch, side: str, k: int) -> _Chunk:
+            name, d = batch.column("chunk" + side)[k].as_py(), batch.column("d" + side)[k].as_py()
+            if name not in ready:
+                ids = np.frombuffer(batch.column("ids" + side)[k].as_buffer(), np.int64)
+                data = batch.column("data" + side)[k].as_buffer()
+                x = unit(np.frombuffer(data, np.float32 if data.size == 4 * d * len(ids) else np.float64).reshape(-1, d))
+                ready[name] = _Chunk(ids.copy(), x, _sides(x, o))
+                if len(ready) > KEPT:
+                    ready.popitem(last=False)
+            ready.move_to_end(name)
+            return ready[name]
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found[0]], ["vec_id", "links", "root"])
 
-    return dealt.groupBy("tile").applyInArrow(tile, "vec_id bigint, links bigint, root bigint")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = chunk(batch, "1", k), chunk(batch, "2", k)
+                found.append(_found(x, y, x is y, o))
+                if sum(len(ids) for ids, _, _ in found) >= GATHERED:
+                    found = [_together(found)]
+                    if len(found[0][0]) >= GATHERED // 2:
+                        yield rows()
+                        found = []
+        if found:
+            found = [_together(found)]
+            yield rows()
+
+    one, two = (chunks.select(*[F.col(c).alias(c + side) for c in chunks.columns]) for side in "12")
+    pairs = one.join(two.hint("shuffle_replicate_nl"), (F.col("d1") == F.col("d2")) & (F.col("chunk1") <= F.col("chunk2")))
+    return pairs.mapInArrow(tiles, "vec_id bigint, links bigint, root bigint")
 
 
 def near_vectors(embeddings: DataFrame, o: Options = Options()) -> DataFrame:
     """Per row of ``embeddings`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
+    scratch = Scratch(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
     vectors = rows.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).distinct()
-    vectors = written(vectors, "vectors")
-    counts = cell_counts(vectors, o)
-    found = written(compare(tiles(vectors, counts, o), o), "vector-links")
+    chunks = scratch.write(packed(vectors, o), "vectors", **ROW_GROUPS)
+    found = scratch.write(compare(chunks, o), "vector-links")
+    scratch.drop(chunks)
     edges = found.select(F.col("vec_id").alias("u"), F.col("root").alias("v"))
-    component = connected_components(edges, lambda df: written(df, "vector-edges"))
+    component = connected_components(edges, lambda df: scratch.write(df, "vector-edges"), scratch.drop)
     links = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     out = rows.select("vec_id").join(links, "vec_id", "left").join(component.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component_id = F.coalesce("component", "vec_id")
