@@ -48,6 +48,11 @@ def test_links_templates_sections_sentences(spark):
     assert one(spark, text.sentences_plain, "A b. C d! e\n\nf") == ["A b.", "C d!", "e", "f"]
 
 
+def test_sentences_keep_digits_at_their_ends(spark):
+    assert one(spark, text.sentences_plain, "0 a 0. 12.1.1.1 b\n2 c 2! 33") == ["0 a 0.", "12.1.1.1 b", "2 c 2!", "33"]
+    assert one(spark, text.sentences_plain, "  a \n\u00a0b 1\u3000\n \u2003 \n\tc\t") == ["a", "b 1", "\tc\t"]
+
+
 def test_nested_templates_and_own_namespaces(spark):
     found = one(spark, text.nested_templates, "a {{A|x={{B|[[p|q]]}}|{{C}}}} {{D_d|1=z}} {{open")
     assert [(t["name"], t["params"], t["positional"]) for t in found] == [("A", {"x": "{{B|[[p|q]]}}"}, ["{{C}}"]), ("B", {}, ["[[p|q]]"]), ("C", {}, []), ("D d", {}, ["1=z"])]
