@@ -120,14 +120,20 @@ def matching_in_slots(placed: DataFrame, year_window: int, match: Callable[[Colu
     """(u, v, bare): rows of one slot, the first unlinked, whose names match and whose births, if known, are within the
     window; of two unlinked ones the smaller id comes first. ``placed`` is (id, name, born, slot, bare).
 
-    No pair comes to a comparison in Python that cannot match: ``names_may_match`` bounds the similarity from above.
+    Names are compared, not rows: each two names of a slot once, whatever the number of rows that have them, and then the
+    rows meet on names that match. No names come to a comparison in Python that cannot match: ``names_may_match`` bounds
+    the similarity from above.
     """
-    near = F.coalesce(F.abs(F.col("x.born") - F.col("y.born")) <= year_window, F.lit(True))
-    x, y = placed.filter("bare").alias("x"), placed.alias("y")
-    on = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.id") != F.col("y.id")) & (~F.col("y.bare") | (F.col("x.id") < F.col("y.id"))) & near
-    own, other = F.col("x.name"), F.col("y.name")
-    pairs = x.join(y, on & names_may_match(own, other)).filter(match(own, other))
-    return pairs.select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), F.col("y.bare").alias("bare")).distinct()
+    bare = placed.filter("bare")
+    own, other = bare.select("slot", "name").distinct().alias("x"), placed.select("slot", "name").distinct().alias("y")
+    first, second = F.col("x.name"), F.col("y.name")
+    alike = own.join(other, (F.col("x.slot") == F.col("y.slot")) & names_may_match(first, second)).filter(match(first, second))
+    alike = alike.select(F.col("x.slot").alias("slot"), first.alias("own"), second.alias("other"))
+    x = bare.select("slot", F.col("name").alias("own"), F.col("id").alias("u"), F.col("born").alias("born_u")).join(alike, ["slot", "own"]).alias("x")
+    y = placed.select("slot", F.col("name").alias("other"), F.col("id").alias("v"), F.col("born").alias("born_v"), "bare").alias("y")
+    near = F.coalesce(F.abs(F.col("born_u") - F.col("born_v")) <= year_window, F.lit(True))
+    on = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.other") == F.col("y.other")) & (F.col("u") != F.col("v")) & (~F.col("bare") | (F.col("u") < F.col("v"))) & near
+    return x.join(y, on).select("u", "v", "bare").distinct()
 
 
 def merge_in_slots(people: DataFrame, edges: DataFrame, year_window: int = 40, births: DataFrame | None = None) -> DataFrame:

@@ -176,6 +176,24 @@ def test_no_name_that_matches_is_filtered_before_the_comparison(spark):
     assert (True, False) not in n and n[True, True] > 0 and n[False, False] > n.get((False, True), 0)
 
 
+def test_names_of_a_slot_are_compared_once_not_rows(spark):
+    from kinloom.operators import identity
+
+    rows = [(f"~{n}@{i:02}", n, 1800 + i, s, True) for s in ("s", "t") for n in ("A B", "A C", "A x B") for i in range(20)] + [("A B", "A B", None, "s", False)]
+    placed = spark.createDataFrame(rows, "id string, name string, born int, slot string, bare boolean")
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def same(x, y):
+        asked.add(1)
+        return x == y or {x, y} == {"A B", "A x B"}
+
+    got = {tuple(r) for r in identity.matching_in_slots(placed, 5, same).collect()}
+    fits = lambda x, y: x == y or {x, y} == {"A B", "A x B"}
+    assert got == {(i, j, bare) for i, n, b, s, _ in rows if i[0] == "~" for j, m, c, t, bare in rows if s == t and i != j and (not bare or i < j) and fits(n, m) and (c is None or abs(b - c) <= 5)}
+    assert 0 < asked.value <= 18
+
+
 def test_estimated_births_keep_mentions_of_a_slot_apart(spark):
     from kinloom.operators import identity
 
