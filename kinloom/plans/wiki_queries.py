@@ -46,7 +46,9 @@ def kin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of pages in running text and lists, by the table function in SQL."""
     extraction.register_page_reader(spark)
-    kin_pages(spark, sf_dir).createOrReplaceTempView("kinloom_kin_pages")
+    # pages are written from a few bytes of a row each, so a file of many comes as one partition, and a page takes a millisecond
+    pages = kin_pages(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pages.createOrReplaceTempView("kinloom_kin_pages")
     return spark.sql("SELECT source_page AS page, relation, person, relative, pattern, confidence FROM relations_of(TABLE(kinloom_kin_pages))")
 
 

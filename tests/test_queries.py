@@ -38,3 +38,10 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_pages_of_one_file_are_read_in_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    read = wiki_queries.page_relations(spark, SF).select(F.spark_partition_id().alias("task"))
+    assert read.distinct().count() > 1
