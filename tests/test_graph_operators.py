@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from kinloom.operators import consistency, fusion, identity, inference, traverse
@@ -101,6 +102,51 @@ def test_closing_edges_equal_brute_force():
         assert traverse.closing_edges(ranked) == expect
 
 
+def test_closing_ranks_equal_closing_edges():
+    import random
+
+    import numpy as np
+
+    for seed in range(200):
+        rng = random.Random(seed)
+        nodes = rng.randint(2, 14)
+        ranked = [(i, j) for i in range(nodes) for j in range(nodes) if i != j]
+        rng.shuffle(ranked)
+        ranked = ranked[: rng.randint(1, len(ranked))]
+        a, b = (np.array(x, dtype=np.int32) for x in zip(*ranked))
+        for listed in (0, 4, 30):
+            assert [ranked[k] for k in traverse.closing_ranks(a, b, listed)] == traverse.closing_edges(ranked)
+
+
+def test_a_large_cyclic_part_stays_small_in_memory(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    ranked = np.random.default_rng(1).permutation(400 * 399)
+    a, b = ranked // 399, ranked % 399
+    part = pd.DataFrame({"a": a, "b": np.where(b >= a, b + 1, b), "confidence": 0.9, "alias_any": False, "n_evidence": 1})
+    made = []
+
+    class Stop(Exception):
+        pass
+
+    def kept(self, f, schema):
+        made.append(f)
+        raise Stop
+
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInPandas", kept)
+    few = spark.createDataFrame([(1, 2, 0.9, False, 1), (2, 1, 0.8, False, 1)], "a long, b long, confidence double, alias_any boolean, n_evidence long")
+    with pytest.raises(Stop):
+        traverse.break_cycles(few, 0.2)
+    tracemalloc.start()
+    cut = made[0](part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(cut) == len(part) // 2 and peak < 150 * len(part)  # bytes; of edges that are equally sure, those to smaller ids go
+
+
 def test_cycle_query_leaves_no_cycle(spark):
     from kinloom.plans import registry
 
